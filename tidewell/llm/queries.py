@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, media, packing, token_files
-from tidewell.llm.common import Workspace, documents
+from tidewell.llm import bpe, language, media, packing, secrets, token_files, toxicity
+from tidewell.llm.common import Workspace, crc_mod, documents
+
+
+#: Documents with at least this score are predicted to be toxic.
+TOXIC_FROM = 0.7
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +21,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir, "doc_id", "text", "lang"), crc_mod("doc_id", 5) == 0
+    model = language.fit(docs, tokenizer_file("piece_bpe_32k.model"), Workspace(spark, "language"), learn=~held_out)
+    return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,11 +49,31 @@ def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+    def line(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(crc_mod("doc_id", 3) != 1)
+    scored = toxicity.score(docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text"), toxicity.fit(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "token-files")
     blocks = token_files.write_documents(documents(spark, sf_dir, "doc_id", "text"), work, tokenizer_file("byte_bpe_50k.json"))
     return token_files.read_documents(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe_roundtrip, op4_media_columns, op6_cost_packing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_bpe_roundtrip, op4_media_columns, op6_cost_packing, op7_secret_scan, op9_toxicity, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
