@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, language, media, packing, secrets, token_files, toxicity
+from tidewell.llm import bpe, language, media, merkle, packing, secrets, token_files, toxicity
 from tidewell.llm.common import Workspace, crc_mod, documents
 
 
@@ -44,6 +44,14 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("right(payload, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", media.feature().alias("feature"))
 
 
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = merkle.pair_with_next(merkle.add_fingerprint(docs), "doc_id", "text", "fingerprint")
+    edited = merkle.add_fingerprint(pairs.withColumn("edited", merkle.replace_half(F.col("text"), F.col("next_text"))), "edited", "edited_fingerprint")
+    own = F.col("fingerprint")
+    return edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", merkle.likeness(own, F.col("edited_fingerprint")).alias("near_edited"), merkle.likeness(own, F.col("next_fingerprint")).alias("near_next"))
+
+
 def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -75,5 +83,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_bpe_roundtrip, op4_media_columns, op6_cost_packing, op7_secret_scan, op9_toxicity, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_bpe_roundtrip, op4_media_columns, op5_merkle_fingerprints, op6_cost_packing, op7_secret_scan, op9_toxicity, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}

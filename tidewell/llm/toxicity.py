@@ -3,7 +3,8 @@
 A document's features are the character n-grams that occur in its words (letters
 only, lower case, with marks at both ends), hashed into ``DIMENSIONS``.  For each
 feature r = log of the smoothed share of toxic documents with it over that of
-the others; the ``FEATURES`` with the most evidence stay, and a logistic
+the others; the ones with the most evidence stay (two for each row of
+the rarer class, ``FEATURES`` at most), and a logistic
 regression learns weights for the presence values scaled by r.
 
 Learning reads a bounded sample: at most ``LABELLED`` labelled rows, those with
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # Evidence: how far the share of toxic documents with the feature is from the share without, in standard errors.
     both = (got[:, 1:].sum(1) + 2 * ALPHA) / (seen.sum() + 4 * ALPHA)
     evidence = np.abs(share[:, 1] - share[:, 0]) / np.sqrt(both * (1 - both) * (1 / seen[0] + 1 / seen[1]) + 1e-12)
-    best = np.argsort(-evidence, kind="stable")[:FEATURES]
+    best = np.argsort(-evidence, kind="stable")[: min(FEATURES, max(256, 2 * int(seen.min())))]  # few labels don't bear many weights
     kept, r = {int(g): i for i, g in enumerate(got[best, 0])}, r[best]
 
     def reduce(batches):
