@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, language, media, merkle, packing, secrets, token_files, toxicity
+from tidewell.llm import bpe, hmm, language, media, merkle, packing, secrets, token_files, toxicity
 from tidewell.llm.common import Workspace, crc_mod, documents
 
 
@@ -21,6 +21,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm.score(documents(spark, sf_dir, "doc_id", "text"), Workspace(spark, "hmm"), crc_mod("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir, "doc_id", "text", "lang"), crc_mod("doc_id", 5) == 0
     model = language.fit(docs, tokenizer_file("piece_bpe_32k.model"), Workspace(spark, "language"), learn=~held_out)
@@ -83,5 +88,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_bpe_roundtrip, op4_media_columns, op5_merkle_fingerprints, op6_cost_packing, op7_secret_scan, op9_toxicity, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scores, op2_language_id, op3_bpe_roundtrip, op4_media_columns, op5_merkle_fingerprints, op6_cost_packing, op7_secret_scan, op9_toxicity, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
