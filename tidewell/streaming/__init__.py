@@ -1 +1 @@
-
+"""Continuous imports with Structured Streaming."""
