@@ -45,11 +45,20 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-SUFFIX:]) % CLASSES
+@dataclass(frozen=True)
+class Sizes:
+    """Words with a symbol of their own, words whose counts every task holds, classes of the other words, words counted at a time."""
 
+    words: int = WORDS
+    known: int = KNOWN
+    classes: int = CLASSES
+    flush: int = FLUSH_WORDS
 
-def count_tokens(df: DataFrame, text: str) -> DataFrame:
+    def word_class(self, word: bytes) -> int:
+        return zlib.crc32(word[-SUFFIX:]) % self.classes
+
+
+def count_tokens(df: DataFrame, text: str, flush: int = FLUSH_WORDS) -> DataFrame:
     """(word, c) of all texts; summed in each task before the shuffle, with a bounded number of words held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +71,7 @@ def count_tokens(df: DataFrame, text: str) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for t in texts(batch.column(0).slice(at, SLICE_ROWS)):
                     held.update(tokens(t))
-                if len(held) > FLUSH_WORDS:
+                if len(held) > flush:
                     yield out()
                     held.clear()
         if held:
@@ -81,6 +90,7 @@ class Vocabulary:
     symbol: np.ndarray  # symbol of each rank
     room: np.ndarray  # log10 of what a class's counts are divided by
     frequency: np.ndarray  # tokens of each symbol
+    sizes: Sizes = Sizes()
 
     @property
     def rare(self) -> float:
@@ -88,28 +98,28 @@ class Vocabulary:
         return float(np.log10(self.total + self.distinct + 1))
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, sizes: Sizes = Sizes()) -> Vocabulary:
     """From the written counts: the most frequent words, and sums over all others by class."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(KNOWN - 1).toPandas()  # a fixed number of rows
+    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(sizes.known - 1).toPandas()  # a fixed number of rows
     words, c = [END, *map(bytes, top["word"])], np.append(end, top["c"].to_numpy(np.int64))
-    own = min(WORDS, len(words))
-    suffix = F.crc32(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")) % CLASSES
+    own = min(sizes.words, len(words))
+    suffix = F.crc32(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")) % sizes.classes
     by = counts.groupBy(suffix.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
-    sums, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    sums, kinds = np.zeros(sizes.classes, np.int64), np.zeros(sizes.classes, np.int64)
     sums[by["k"].to_numpy(np.int64)], kinds[by["k"].to_numpy(np.int64)] = by["n"], by["v"]
-    klass = np.array([word_class(w) for w in words])
+    klass = np.array([sizes.word_class(w) for w in words])
     seen = (c > 0)[:own]
-    sums -= np.bincount(klass[:own], c[:own], CLASSES).astype(np.int64)
-    kinds -= np.bincount(klass[:own], seen, CLASSES).astype(np.int64)
+    sums -= np.bincount(klass[:own], c[:own], sizes.classes).astype(np.int64)
+    kinds -= np.bincount(klass[:own], seen, sizes.classes).astype(np.int64)
     room = np.log10(sums + kinds + 1.0)
     logs = np.log10(c + 1.0)
     rank = np.arange(len(words))
-    symbol = np.where(rank < own, rank, WORDS + klass)
-    frequency = np.zeros(WORDS + CLASSES)
-    frequency[:own], frequency[WORDS:] = c[:own], sums
-    return Vocabulary(int(n), int(v), {w: i for i, w in enumerate(words)}, logs - np.log10(n + v + 1.0), np.where(rank < own, 0.0, logs - room[klass]), symbol, room, frequency)
+    symbol = np.where(rank < own, rank, sizes.words + klass)
+    frequency = np.zeros(sizes.words + sizes.classes)
+    frequency[:own], frequency[sizes.words:] = c[:own], sums
+    return Vocabulary(int(n), int(v), {w: i for i, w in enumerate(words)}, logs - np.log10(n + v + 1.0), np.where(rank < own, 0.0, logs - room[klass]), symbol, room, frequency, sizes)
 
 
 def encode(df: DataFrame, words: Vocabulary, text: str, *keep: str) -> DataFrame:
@@ -129,8 +139,8 @@ def encode(df: DataFrame, words: Vocabulary, text: str, *keep: str) -> DataFrame
                     inside = float(within[r].sum())
                     if other:
                         rare = [found[i] for i in other]
-                        klass = np.array([word_class(w) for w in rare])
-                        s[other] = WORDS + klass
+                        klass = np.array([words.sizes.word_class(w) for w in rare])
+                        s[other] = words.sizes.words + klass
                         inside -= float(words.room[klass].sum())
                         rare = [{"word": w, "n": n} for w, n in Counter(rare).items()]
                     rows.append((s.astype("<u2").tobytes(), len(found), int(seen[r].sum()), float(base[r].sum()), inside, rare if other else []))
@@ -272,11 +282,11 @@ def likelihood(encoded: DataFrame, m: Model, *keep: str) -> DataFrame:
     return encoded.select("symbols", *keep).mapInArrow(run, f"{kinds}, log10 double")
 
 
-def score(df: DataFrame, work: Workspace, learn: Column, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(df: DataFrame, work: Workspace, learn: Column, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, sizes: Sizes = Sizes()) -> DataFrame:
     """key, learned (``learn`` of the row), n_tokens, n_known, train_tokens, base_score and score of each text."""
     rows = df.select(key, text, learn.alias("learned"))
-    counts = work.write(count_tokens(rows.filter("learned"), text), "counts")
-    words = vocabulary(counts)
+    counts = work.write(count_tokens(rows.filter("learned"), text, sizes.flush), "counts")
+    words = vocabulary(counts, sizes)
     encoded = work.write(encode(rows, words, text, key, "learned").withColumn("row", F.monotonically_increasing_id()), "encoded")
     model = first_model(words)
     for _ in range(rounds):

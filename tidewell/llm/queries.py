@@ -46,7 +46,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     found = media.probe_media(stored, "media", "doc_id", "n_bytes", "media_bytes", "media_sha256", payload=True)
     size = F.length("payload").cast("long")
-    return found.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("right(payload, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", media.feature().alias("feature"))
+    return found.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", media.feature().alias("feature"))
 
 
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
