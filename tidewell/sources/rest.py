@@ -123,8 +123,8 @@ class PagedRestStream(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         records = self._after(start["since"])
         field = self.options.get("cursor", "modified_time")
-        return _rows(records, self.schema), {"since": max([start["since"], *(str(r.get(field, "")) for r in records)])}
+        return iter(list(_rows(records, self.schema))), {"since": max([start["since"], *(str(r.get(field, "")) for r in records)])}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         field = self.options.get("cursor", "modified_time")
-        return _rows([r for r in self._after(start["since"]) if str(r.get(field, "")) <= end["since"]], self.schema)
+        return iter(list(_rows([r for r in self._after(start["since"]) if str(r.get(field, "")) <= end["since"]], self.schema)))
