@@ -92,6 +92,9 @@ def test_folder(spark, tmp_path):
     assert folder.find("things.csv").endswith("processed/things.csv") and folder.writable()
     assert files.listing(spark, str(watched), 10_000).count() >= 1
     assert folder.remove_old(2**62) == 2
+    assert files.connection_problems(spark, "csv", path=str(watched)) == []
+    assert files.connection_problems(spark, "rest", url="http://x", module="Leads", transport="fake_transport:FakeTransport") == []
+    assert files.connection_problems(spark, "ftp")
 
 
 def test_settings():

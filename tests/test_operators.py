@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from tidewell.functions.hashing import row_hash
-from tidewell.operators import identity, infer, matching, profile, reports, upsert, validation
+from tidewell.functions.naming import field_name
+from tidewell.operators import identity, infer, matching, profile, proposals, reports, upsert, validation
 from tidewell.operators.identity import Field
 
 
@@ -140,3 +141,19 @@ def test_reports(spark):
     empty = spark.createDataFrame([(0, 0, 0, 0)], "success int, updated int, skipped int, failed int")
     assert reports.rates(empty).first()["success_rate"] is None
     assert upsert.recommendations(0, 0, 0, 0) and upsert.recommendations(1, 2, 9, 1)
+
+
+def test_proposals():
+    assert proposals.propose_target("vendor_list.csv", ["a", "b"]) == ("General", 1.0, False)
+    assert proposals.propose_target("vendor_list.csv", ["client", "item", "zip"]) == ("Supplier", 0.8, False)
+    assert proposals.propose_target("my_things.csv", []) == ("My Things", 0.5, True)
+    assert proposals.propose_mapping(["E Mail", "Phone No", "zz"], ["e_mail"], field_name) == {"E Mail": "e_mail", "Phone No": "mobile_no", "zz": "zz"}
+    assert proposals.similar_field("colour", ["color", "x_colour_y"]) == "x_colour_y" and proposals.similar_field("abcdefgx", ["abcdefgh"]) == "abcdefgh"
+    assert proposals.map_record(["Item Code", "??"], ["item_code"], field_name) == {"Item Code": "item_code"}
+    assert proposals.table_name_warnings("Orders final") == ([], ["the ending may confuse"]) and proposals.table_name_warnings("Role")[0]
+
+
+def test_backfill(spark):
+    df = spark.createDataFrame([("b", "x", None), ("a", "x", None), ("c", "x", "kept")], "name string, v string, row_hash string")
+    got = {r["name"]: r["row_hash"] for r in identity.backfill_hashes(df, ["v"]).collect()}
+    assert got["c"] == "kept" and len(set(got.values())) == 3

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.hashing import row_hash
 from tidewell.functions.strings import filled, strip
 from tidewell.operators.profile import uniqueness
 
@@ -101,3 +102,12 @@ def changed_fields(columns: list[str], old: str = "old", new: str = "new") -> Co
             o, n = strip(F.coalesce(F.col(f"{old}.`{c}`").cast("string"), F.lit(""))), strip(F.coalesce(F.col(f"{new}.`{c}`").cast("string"), F.lit("")))
             tests.append(F.when((n != "") & (n != o), F.lit(c)))
     return F.array_compact(F.array(*tests))
+
+
+def backfill_hashes(table: DataFrame, columns: list[str]) -> DataFrame:
+    """``table`` with a row_hash for records that lack one.
+
+    Equal records get different hashes by a number that grows with their place by name (with gaps between partitions).
+    """
+    ordered = table.repartitionByRange("name").sortWithinPartitions("name").withColumn("_at", F.monotonically_increasing_id())
+    return ordered.withColumn("row_hash", F.coalesce("row_hash", row_hash(columns, F.col("_at")))).drop("_at")

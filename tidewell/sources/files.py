@@ -67,3 +67,21 @@ def listing(spark: SparkSession, path: str, max_bytes: int | None = None) -> Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     out = files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.col("modificationTime").alias("modified"))
     return out.filter(F.col("length") <= max_bytes) if max_bytes is not None else out
+
+
+def connection_problems(spark: SparkSession, source: str, **options: str) -> list[str]:
+    """What keeps a source (``csv`` with ``path``, ``rest`` with the options of the REST source) from being read."""
+    if source == "csv":
+        try:
+            return [] if Folder(spark, options["path"]).writable() else [f"{options['path']} can't be written"]
+        except Exception as e:  # any failure of the store is the answer
+            return [str(e)[:200]]
+    if source == "rest":
+        from tidewell.sources.rest import pages
+
+        try:
+            next(pages(options), None)
+            return []
+        except Exception as e:  # any failure of the service is the answer
+            return [str(e)[:200]]
+    return [f"unknown source {source}"]
