@@ -84,15 +84,34 @@ def near_copies(seed, groups=6, copies=12):
     return [*out, (None, "null key alone here it stands"), (None, "one"), (7, None), (7, rows[0])]
 
 
-@pytest.mark.parametrize(("seed", "exhaustive"), [(1, 2_000_000), (2, 0), (3, 50)])
-def test_link_equals_all_pairs(spark, monkeypatch, seed, exhaustive):
-    monkeypatch.setattr(jaccard, "EXHAUSTIVE", exhaustive)
-    monkeypatch.setattr(jaccard, "STARS", 3)
+def test_sketches_rule_out_no_similar_pair():
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        a = np.unique(r.integers(0, 2**63, r.integers(1, 300)).astype(np.uint64))
+        b = np.unique(np.append(r.permutation(a)[r.integers(0, len(a) // 5 + 1) :], r.integers(0, 2**63, r.integers(0, len(a) // 5 + 1)).astype(np.uint64)))
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        m = min(len(x), len(y))
+        differ = np.bitwise_count(jaccard.folded([x], m) ^ jaccard.folded([y], m)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+        if jaccard.similar(a, b):
+            assert jaccard.may_be_similar(differ, np.int64(len(a)), np.int64(len(b)), 80)
+
+
+def test_hashes_of_words():
+    words = [b"x", b"ab", b"ba", b"\xc3\xa9", b"y" * 70_000, b"z" * 65_536, b"x"]
+    got = jaccard.all_hashes(b" \n" + b" \t".join(words) + b" " * 70_000)
+    assert len(got) == 7 and got[0] == got[6] and len(set(got.tolist())) == 6
+    assert jaccard.all_hashes(b"").tolist() == [] and jaccard.all_hashes(b"ab")[0] == got[1]
+
+
+@pytest.mark.parametrize(("seed", "stars", "block"), [(1, 4, 2048), (2, 1, 3), (3, 3, 2)])
+def test_link_equals_all_pairs(spark, monkeypatch, seed, stars, block):
+    monkeypatch.setattr(jaccard, "STARS", stars)
     rows = near_copies(seed)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # groups of signatures then span batches
     try:
         df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, class int").repartition(3)
-        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(df, Workspace(spark, "t")).collect()]
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(df, Workspace(spark, "t"), block=block).collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(got, key=repr) == sorted(brute(rows), key=repr)

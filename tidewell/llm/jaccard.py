@@ -13,9 +13,15 @@ those, which many unlike sets would share.  No similar pair is missed.
 Equal sets are one class from the start.  Classes that share a signature are
 compared in exact rounds: first every member of a signature's group with one
 representative, then with the member that has most links so far, and last all
-pairs that no links connect yet.  Groups of near copies thus take a number of
-comparisons in proportion to their size, and still no link between different
-texts that could join two components is left out.
+pairs of a group's members that no links connect yet.  Groups of near copies
+thus take a number of comparisons in proportion to their size, and still no link
+between different texts that could join two components is left out.
+
+Before texts are compared, parity sketches rule pairs out: a set has about as
+many bits as elements, and each element flips one.  Two sketches differ in at
+most as many bits as the sets in elements, so a pair whose sketches differ in
+more than k bits isn't similar.  In the last round the pairs of a group are only
+looked at as sketches, in blocks of bounded size, and few of them become rows.
 
 Defined cases: texts without words have the empty set and are linked with
 nothing; a null key takes part (a component's id is its least key that isn't
@@ -39,11 +45,11 @@ from tidewell.llm.common import SLICE_ROWS, Workspace, texts
 from tidewell.llm.components import components
 
 WORDS, PERCENT = 5, 80
-CACHE_WORDS, CACHE_CLASSES = 300_000, 1_000_000
+CACHE_CLASSES = 1_000_000
 #: Classes whose texts are looked up by a broadcast of their keys (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Pairs of one exhaustive round; while there are more, another representative is tried first (at most ``STARS`` times).
-EXHAUSTIVE, STARS = 2_000_000, 6
+#: Rounds with a representative, before all pairs that are left are looked at; members of a group that meet in one block.
+STARS, BLOCK = 2, 2048
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -57,30 +63,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Texts are hashed by array operations in parts of at most so many bytes.
+ARRAY_BYTES = 1 << 16
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random value for each byte; powers of an odd number and of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    one = lambda x: np.multiply.accumulate(np.append(np.uint64(1), np.full(ARRAY_BYTES, x, np.uint64)))
+    return mix(np.arange(1, 257, dtype=np.uint64) * ODD[1]), one(base), one(pow(base, -1, 1 << 64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of at most ``ARRAY_BYTES`` bytes of lower-case text."""
+    value, power, inverse = _powers()
+    b = np.frombuffer(data, np.uint8)
+    letter = np.zeros(len(b) + 2, np.int8)
+    letter[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(value[b] * power[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start])
+
+
+def all_hashes(data: bytes) -> np.ndarray:
+    """The same for texts and words of any length: cut at white space; a word beyond the bound is hashed by itself."""
+    if len(data) <= ARRAY_BYTES:
+        return word_hashes(data)
+    out, at = [], 0
+    while at < len(data):
+        end = at + ARRAY_BYTES
+        if end < len(data):
+            end = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if end > at or (end == at and at + 1 == len(data)):
+            out.append(word_hashes(data[at:end]))
+        elif end < 0 or data[at : at + 1].strip():
+            word = data[at:].split(None, 1)[0]
+            end = at + len(word)
+            out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64) if len(word) > ARRAY_BYTES else word_hashes(word))
+        else:
+            end = at + 1
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 class Shingles:
     """Sorted 64-bit hashes of the distinct shingles of texts."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words = words
         self.odd = ODD if words == WORDS else np.resize(ODD, words) + np.arange(words, dtype=np.uint64) * np.uint64(2)
 
     def of(self, text: str) -> np.ndarray:
-        found = text.encode().lower().split()
-        if len(found) < self.words:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), 1)] if found else [], np.uint64)
-        known = self.known
-        ids = list(map(known.get, found))
-        if None in ids:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            ids = [known.setdefault(w, xxhash.xxh3_64_intdigest(w)) if i is None else i for w, i in zip(found, ids, strict=True)]
-        x = np.array(ids, np.uint64)
+        x = all_hashes(text.encode().lower())
+        if len(x) < self.words:
+            return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), 1)] if len(x) else [], np.uint64)
         n = len(x) - self.words + 1
         out = x[:n] * self.odd[0]
         for k in range(1, self.words):
             out += x[k : k + n] * self.odd[k]
-            out = out ^ (out >> np.uint64(31))
-        return np.unique(mix(out))
+            out ^= out >> np.uint64(31)
+        out = mix(out)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -121,6 +168,12 @@ def parts(i: int, percent: int) -> tuple[int, int]:
         e += 1
 
 
+@functools.cache
+def _salts(i: int, percent: int) -> np.ndarray:
+    """A number for each partition of band ``i``."""
+    return mix(np.arange(parts(i, percent)[0], dtype=np.uint64) + np.uint64((i + 1) << 32))
+
+
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """64-bit signatures of a set that isn't empty."""
     out, value = [], mix(shingles + np.uint64(1))
@@ -135,7 +188,7 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         held = np.bincount(at, minlength=n) > 0
         # The sum of the elements' mixed values, modulo 2**64; halves are summed apart, so the sums are exact.
         total = np.bincount(at, low, n).astype(np.uint64) + (np.bincount(at, high, n).astype(np.uint64) << np.uint64(32))
-        sig = mix(total ^ mix(np.arange(n, dtype=np.uint64) + np.uint64((i + 1) << 32)))
+        sig = mix(total ^ _salts(i, percent))
         out.append(sig if n - held.sum() > e else sig[held])
     return np.concatenate(out)
 
@@ -213,20 +266,106 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(run, "sig long, class long, first long")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity bits: a power of two of them, at least 64 and as many as elements; half as many come from both halves' exclusive or."""
+    m = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles ^ ODD[2]) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """One row of 64-bit words for each sketch, all of ``size`` bytes."""
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for i, x in enumerate(sketches):
+        v = np.frombuffer(x, np.uint64)
+        while len(v) * 8 > size:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out[i] = v
+    return out
+
+
+def may_be_similar(bits: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes whose sketches differ in ``bits`` bits can be similar."""
+    return (bits * (100 + percent) <= (size_a + size_b) * (100 - percent)) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+
+
 def texts_of(df: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(class, text): one text for each class of ``wanted`` (class, key of one of its rows)."""
+    """(class, text, size, bits): a text for each class of ``wanted`` (class, key of one of its rows), its set's size and sketch."""
     keys = wanted.select(F.col(key).alias("k"), "class")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(words).of
         for batch in batches:
-            ok = [len(s := of(t or "")) > 0 and set_hash(s) == c for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                sets = [of(t or "") for t in part.column(1).to_pylist()]
+                ok = [i for i, (c, s) in enumerate(zip(part.column(0).to_pylist(), sets, strict=True)) if len(s) and set_hash(s) == c]
+                chosen = part.take(pa.array(ok, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array([len(sets[i]) for i in ok], pa.int64()), pa.array([sketch(sets[i]) for i in ok], pa.binary())], ["class", "text", "size", "bits"])
 
-    # A key may stand in several rows; only the one with the class's set stays.
+    # A key may stand in several rows; only one with the class's set stays.
     found = df.select(key, text).join(keys, F.col(key).eqNullSafe(F.col("k"))).select("class", text)
-    return found.mapInArrow(run, "class long, text string").groupBy("class").agg(F.first("text").alias("text"))
+    return found.mapInArrow(run, "class long, text string, size long, bits binary").groupBy("class").agg(*[F.first(c).alias(c) for c in ("text", "size", "bits")])
+
+
+def plausible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [x.to_pylist() for x in batch.columns[4:6]]
+            differ = np.zeros(batch.num_rows, np.int64)
+            size = [min(len(x), len(y)) for x, y in zip(*bits, strict=True)]
+            for m in set(size):
+                at = [i for i, v in enumerate(size) if v == m]
+                x, y = (folded([b[i] for i in at], m) for b in bits)
+                differ[at] = np.bitwise_count(x ^ y).sum(1)
+            keep = pa.array(may_be_similar(differ, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
+
+    one, two = (held.select(F.col("class").alias(f"_{x}"), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    joined = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def pairs_within(mixed: DataFrame, held: DataFrame, percent: int, block: int) -> DataFrame:
+    """The pairs (a, b) of classes in one group (sig, class, root, n members) but with different roots that sketches don't rule out.
+
+    Members of a group are dealt to blocks; every two blocks meet in a cell of bounded size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the cell that isn't complete yet
+
+        def cell(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, roots, sizes, blocks = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("class", "root", "size", "own"))
+            bits = [x for r in rows for x in r.column("bits").to_pylist()]
+            words = folded(bits, min(map(len, bits)))
+            same = rows[0].column("lo")[0].as_py() == rows[0].column("hi")[0].as_py()
+            for i in range(1, len(ids)):
+                j = np.flatnonzero((roots[:i] != roots[i]) & (same | (blocks[:i] != blocks[i])))
+                if len(j) and len(j := j[may_be_similar(np.bitwise_count(words[j] ^ words[i]).sum(1), sizes[j], sizes[i], percent)]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[j], ids[i])), pa.array(np.maximum(ids[j], ids[i]))], ["a", "b"])
+
+        for batch in batches:
+            key = [batch.column(c).to_numpy() for c in ("sig", "lo", "hi")]
+            cut = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut, cut[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if held and a == 0 and b and any(held[-1].column(c)[-1] != part.column(c)[0] for c in ("sig", "lo", "hi")) or held and a:
+                    yield from cell(held)
+                    held = []
+                if b > a:
+                    held.append(part)
+        if held:
+            yield from cell(held)
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    rows = mixed.join(held.select(F.col("class").alias("c"), "size", "bits"), F.col("class") == F.col("c")).withColumn("own", own)
+    cells = rows.select("sig", "class", "root", "size", "bits", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "root", "size", "bits", "own")
+    return cells.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
@@ -251,7 +390,7 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id (the least key that links reach) of every row."""
     df = df.select(key, text)
     own = work.write(classes_of(df, key, text, words), "classes")
@@ -260,41 +399,26 @@ def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text"
     wanted = found.select("class").distinct().join(firsts, "class")
     held = work.write(texts_of(df, wanted, key, text, words), "texts")
 
-    empty = df.sparkSession.createDataFrame([], "a long, b long")
-    links, tested, roots = empty, empty, None
-    rounds = 0
-    while True:
-        if rounds == 0:
+    links, roots = None, None
+    for i in range(STARS + 1):
+        if i == 0:
             pairs = _ordered(found, "class", "first")
         else:
             # Groups that links don't connect as a whole: their members with their components.
             mixed = found.join(roots, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
             split = mixed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x < y").select(F.col("sig").alias("s"), "n")
-            mixed = work.write(mixed.join(split, F.col("sig") == F.col("s")).drop("s"), f"mixed-{rounds}")
-            by_root = mixed.groupBy("sig", "root").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-            rest = by_root.agg(F.coalesce(F.sum(F.col("k") * (F.col("n") - F.col("k"))), F.lit(0))).first()[0] // 2
-            if not rest:
-                break
-            final = rest <= EXHAUSTIVE or rounds >= STARS
-            if final:
-                one, two = (mixed.select("sig", F.col("class").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-                pairs = _ordered(one.join(two, "sig").filter("root_a < root_b"), "a", "b")
+            mixed = mixed.join(split, F.col("sig") == F.col("s")).drop("s")
+            if i < STARS:  # the member with most links
+                degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+                rank = mixed.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("count", F.lit(0)).alias("rank"))
+                heads = rank.groupBy(F.col("sig").alias("s")).agg(F.max_by("class", F.struct("rank", "class")).alias("head"))
+                pairs = _ordered(mixed.join(heads, F.col("sig") == F.col("s")), "class", "head").join(links, ["a", "b"], "left_anti")
             else:
-                if rounds == 1:  # the member with most links
-                    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-                    rank = mixed.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("count", F.lit(0)).alias("rank"))
-                else:
-                    rank = mixed.select("sig", "class", F.xxhash64("class", F.lit(rounds)).alias("rank"))
-                heads = rank.groupBy("sig").agg(F.max_by("class", F.struct("rank", "class")).alias("head"))
-                pairs = _ordered(mixed.join(heads, "sig"), "class", "head")
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.write(pairs, f"pairs-{rounds}")
-        new = work.write(verified(pairs, held, words, percent), f"links-{rounds}")
-        links, tested = links.unionByName(new), tested.unionByName(pairs)
-        roots = work.write(components(links, work, f"roots-{rounds}"), f"roots-{rounds}")
-        if rounds and final:
-            break
-        rounds += 1
+                pairs = pairs_within(mixed, held, percent, block)
+        pairs = work.write(plausible(pairs, held, percent) if i < STARS else pairs, f"pairs-{i}")
+        new = work.write(verified(pairs, held, words, percent), f"links-{i}")
+        links = new if links is None else links.unionByName(new)
+        roots = work.write(components(links, work, f"roots-{i}"), f"roots-{i}")
 
     labels = firsts.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), key)
     least = labels.groupBy("root").agg(F.min(key).alias("component_id"))
