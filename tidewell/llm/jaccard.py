@@ -12,8 +12,9 @@ those, which many unlike sets would share.  No similar pair is missed.
 
 Equal sets are one class from the start.  Classes that share a signature are
 compared in exact rounds: first every member of a signature's group with one
-representative, then with the member that has most links so far, and last all
-pairs of a group's members that no links connect yet.  Groups of near copies
+representative, then, as far as links don't connect them yet, with the member that
+has most links and with members taken at random, and last all pairs of a group's
+members that are still apart.  Groups of near copies
 thus take a number of comparisons in proportion to their size, and still no link
 between different texts that could join two components is left out.
 
@@ -49,7 +50,9 @@ CACHE_CLASSES = 1_000_000
 #: Classes whose texts are looked up by a broadcast of their keys (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Rounds with a representative, before all pairs that are left are looked at; members of a group that meet in one block.
-STARS, BLOCK = 2, 2048
+STARS, BLOCK = 4, 2048
+#: Pairs of sketches that are compared at a time.
+PAIRS = 200_000
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -336,30 +339,44 @@ def pairs_within(mixed: DataFrame, held: DataFrame, percent: int, block: int) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the rows of the cell that isn't complete yet
-
-        def cell(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, roots, sizes, blocks = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("class", "root", "size", "own"))
-            bits = [x for r in rows for x in r.column("bits").to_pylist()]
-            words = folded(bits, min(map(len, bits)))
-            same = rows[0].column("lo")[0].as_py() == rows[0].column("hi")[0].as_py()
-            for i in range(1, len(ids)):
-                j = np.flatnonzero((roots[:i] != roots[i]) & (same | (blocks[:i] != blocks[i])))
-                if len(j) and len(j := j[may_be_similar(np.bitwise_count(words[j] ^ words[i]).sum(1), sizes[j], sizes[i], percent)]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[j], ids[i])), pa.array(np.maximum(ids[j], ids[i]))], ["a", "b"])
-
+        def first_rows(t: pa.RecordBatch) -> np.ndarray:
+            """The first row of each row's cell."""
+            keys = [t.column(c).to_numpy() for c in ("sig", "lo", "hi")]
+            new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], 0))
+            return np.maximum.accumulate(np.where(new, np.arange(t.num_rows), 0))
+
+        def cells(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            start = first_rows(t)
+            ids, roots, sizes, own = (t.column(c).to_numpy() for c in ("class", "root", "size", "own"))
+            same, bits = t.column("lo").to_numpy() == t.column("hi").to_numpy(), t.column("bits").to_pylist()
+            width = np.array([len(x) for x in bits])
+            words = {m: folded([x if len(x) >= m else bytes(m) for x in bits], m) for m in set(width.tolist())}
+            before = np.arange(len(start)) - start  # rows of the cell that stand before the row
+            for rows in np.split(np.arange(len(start)), np.flatnonzero(np.diff(np.cumsum(before) // PAIRS)) + 1):
+                i = np.repeat(rows, before[rows])
+                j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(before[rows]) - before[rows], before[rows])
+                ok = (roots[i] != roots[j]) & (same[i] | (own[i] != own[j]))
+                i, j = i[ok], j[ok]
+                m, differ = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+                for w, held_words in words.items():
+                    at = np.flatnonzero(m == w)
+                    differ[at] = np.bitwise_count(held_words[i[at]] ^ held_words[j[at]]).sum(1)
+                ok = may_be_similar(differ, sizes[i], sizes[j], percent)
+                a, b = ids[i[ok]], ids[j[ok]]
+                if len(a):
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+
+        rest: list[pa.RecordBatch] = []  # the rows of the cell that may go on
         for batch in batches:
-            key = [batch.column(c).to_numpy() for c in ("sig", "lo", "hi")]
-            cut = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], 0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cut, cut[1:], strict=False):
-                part = batch.slice(a, b - a)
-                if held and a == 0 and b and any(held[-1].column(c)[-1] != part.column(c)[0] for c in ("sig", "lo", "hi")) or held and a:
-                    yield from cell(held)
-                    held = []
-                if b > a:
-                    held.append(part)
-        if held:
-            yield from cell(held)
+            if batch.num_rows:
+                t = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+                last = int(first_rows(t)[-1])
+                if last:
+                    yield from cells(t.slice(0, last))
+                rest = [t.slice(last)]
+        if rest:
+            yield from cells(rest[0])
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
@@ -408,11 +425,14 @@ def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text"
             mixed = found.join(roots, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
             split = mixed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x < y").select(F.col("sig").alias("s"), "n")
             mixed = mixed.join(split, F.col("sig") == F.col("s")).drop("s")
-            if i < STARS:  # the member with most links
-                degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-                rank = mixed.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("count", F.lit(0)).alias("rank"))
-                heads = rank.groupBy(F.col("sig").alias("s")).agg(F.max_by("class", F.struct("rank", "class")).alias("head"))
-                pairs = _ordered(mixed.join(heads, F.col("sig") == F.col("s")), "class", "head").join(links, ["a", "b"], "left_anti")
+            if i < STARS:  # the member with most links, later any one
+                if i == 1:
+                    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+                    rank = mixed.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", "root", F.coalesce("count", F.lit(0)).alias("rank"))
+                else:
+                    rank = mixed.select("sig", "class", "root", F.xxhash64("sig", "class", F.lit(i)).alias("rank"))
+                heads = rank.groupBy(F.col("sig").alias("s")).agg(F.max(F.struct("rank", "class", "root")).alias("head"))
+                pairs = _ordered(mixed.join(heads, F.col("sig") == F.col("s")).filter("root != head.root").select("class", F.col("head.class").alias("head")), "class", "head")
             else:
                 pairs = pairs_within(mixed, held, percent, block)
         pairs = work.write(plausible(pairs, held, percent) if i < STARS else pairs, f"pairs-{i}")
