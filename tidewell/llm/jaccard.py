@@ -407,6 +407,21 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _compared(pairs: DataFrame, held: DataFrame, work: Workspace, i: int, words: int, percent: int) -> DataFrame:
+    """The links among ``pairs``: sketches first, then texts."""
+    return work.write(verified(work.write(plausible(pairs, held, percent), f"pairs-{i}"), held, words, percent), f"links-{i}")
+
+
+def _joined(roots: DataFrame, links: DataFrame, work: Workspace, i: int) -> DataFrame:
+    """``roots`` (node, root) with further links: only the roots that links join, and nodes without one, form the new graph."""
+    a, b = (roots.select(F.col("node").alias(f"node_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+    ends = links.join(a, F.col("a") == F.col("node_a"), "left").join(b, F.col("b") == F.col("node_b"), "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = components(ends, work, f"roots-{i}").select(F.col("node").alias("k"), F.col("root").alias("to"))
+    kept = roots.join(moved, F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = moved.join(roots, F.col("k") == F.col("node"), "left_anti").select(F.col("k").alias("node"), F.col("to").alias("root"))
+    return work.write(kept.unionByName(fresh), f"roots-{i}-all")
+
+
 def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id (the least key that links reach) of every row."""
     df = df.select(key, text)
@@ -416,29 +431,31 @@ def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text"
     wanted = found.select("class").distinct().join(firsts, "class")
     held = work.write(texts_of(df, wanted, key, text, words), "texts")
 
-    links, roots = None, None
-    for i in range(STARS + 1):
-        if i == 0:
-            pairs = _ordered(found, "class", "first")
-        else:
-            # Groups that links don't connect as a whole: their members with their components.
-            mixed = found.join(roots, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
-            split = mixed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x < y").select(F.col("sig").alias("s"), "n")
-            mixed = mixed.join(split, F.col("sig") == F.col("s")).drop("s")
-            if i < STARS:  # the member with most links, later any one
-                if i == 1:
-                    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-                    rank = mixed.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", "root", F.coalesce("count", F.lit(0)).alias("rank"))
-                else:
-                    rank = mixed.select("sig", "class", "root", F.xxhash64("sig", "class", F.lit(i)).alias("rank"))
-                heads = rank.groupBy(F.col("sig").alias("s")).agg(F.max(F.struct("rank", "class", "root")).alias("head"))
-                pairs = _ordered(mixed.join(heads, F.col("sig") == F.col("s")).filter("root != head.root").select("class", F.col("head.class").alias("head")), "class", "head")
+    roots = components(links := _compared(_ordered(found, "class", "first"), held, work, 0, words, percent), work, "roots-0")
+    open_groups, new = found, True
+    for i in range(1, STARS + 1):
+        if new:
+            # Groups that links don't connect as a whole: their members with their components.  A group of two has been compared.
+            rooted = open_groups.select("sig", "class").join(roots, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
+            split = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select(F.col("sig").alias("s"), "n")
+            open_groups = work.write(rooted.join(split, F.col("sig") == F.col("s")).drop("s"), f"open-{i}")
+            if open_groups.isEmpty():
+                break
+        if i == STARS:
+            pairs = work.write(pairs_within(open_groups, held, percent, block), f"pairs-{i}")
+            found_links = work.write(verified(pairs, held, words, percent), f"links-{i}")
+        else:  # the member with most links, later any one
+            if i == 1:
+                degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+                rank = open_groups.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", "root", F.coalesce("count", F.lit(0)).alias("rank"))
             else:
-                pairs = pairs_within(mixed, held, percent, block)
-        pairs = work.write(plausible(pairs, held, percent) if i < STARS else pairs, f"pairs-{i}")
-        new = work.write(verified(pairs, held, words, percent), f"links-{i}")
-        links = new if links is None else links.unionByName(new)
-        roots = work.write(components(links, work, f"roots-{i}"), f"roots-{i}")
+                rank = open_groups.select("sig", "class", "root", F.xxhash64("sig", "class", F.lit(i)).alias("rank"))
+            heads = rank.groupBy(F.col("sig").alias("s")).agg(F.max(F.struct("rank", "class", "root")).alias("head"))
+            pairs = _ordered(open_groups.join(heads, F.col("sig") == F.col("s")).filter("root != head.root").select("class", F.col("head.class").alias("head")), "class", "head")
+            found_links = _compared(pairs, held, work, i, words, percent)
+        new = not found_links.isEmpty()
+        if new:
+            roots = _joined(roots, found_links, work, i)
 
     labels = firsts.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), key)
     least = labels.groupBy("root").agg(F.min(key).alias("component_id"))
