@@ -106,6 +106,19 @@ def test_upsert_equals_the_fold(spark):
     assert decided(upsert.resolve_chains(upsert.decide(b, table, ["code", "email"]))) == [(a, x, n) for a, x, n in decided(upsert.strict(b, table, ["code", "email"]))]
 
 
+def test_chains_over_two_keys_equal_the_fold(spark):
+    table = known(spark, [("R1", "c900", "e900", "")])
+    # Row i + 1 shares its e-mail or its code with row i in turn; one chain starts at a record, one at an insert.
+    chain = [(i, f"c{(i + 1) // 2}", f"e{i // 2}", f"x{i}") for i in range(20)]
+    known_chain = [(100 + i, f"c{900 + (i + 1) // 2}", f"e{901 + i // 2}", f"y{i}") for i in range(20)]
+    r = random.Random(8)
+    mixed = [(200 + i, f"m{r.randrange(30)}" if r.random() < 0.7 else "", f"n{r.randrange(30)}" if r.random() < 0.7 else "", f"z{i}") for i in range(80)]
+    b = batch(spark, chain + known_chain + mixed)
+    got = decided(upsert.resolve_chains(upsert.decide(b, table, ["code", "email"])))
+    assert got == decided(upsert.strict(b, table, ["code", "email"]))
+    assert {n for i, _, n in got if i < 20} == {"N0"} and {n for i, _, n in got if 100 <= i < 120} == {"R1"}
+
+
 def test_merge(spark):
     table = known(spark, [("R1", "c1", "old@x.org", "keep"), ("R2", "c2", "", "same")])
     b = batch(spark, [(0, "c1", "new@x.org", ""), (1, "c1", "", "later"), (2, "c9", "n@x.org", "first"), (3, "c9", "", "second"), (4, "c2", "", "same")])

@@ -67,15 +67,18 @@ def match_by_hash(rows: DataFrame, target: DataFrame) -> DataFrame:
     return rows.join(build, F.col("row_hash") == F.col("_h"), "left").drop("_h")
 
 
-def match_by_keys(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``key_match``: the record that the first of the ranked keys finds; the least name of equals."""
+def match_by_keys(rows: DataFrame, target: DataFrame, keys: list[str], each: bool = False) -> DataFrame:
+    """``rows`` with ``key_match``: the record that the first of the ranked keys finds; the least name of equals.
+
+    With ``each``, what every key finds stays as ``_m0``, ``_m1`` and so on.
+    """
     found: list[Column] = []
     for i, k in enumerate(keys):
         build = target.select(filled(F.col(f"`{k}`").cast("string")).alias(f"_k{i}"), "name").filter(f"_k{i} is not null").groupBy(f"_k{i}").agg(F.min("name").alias(f"_m{i}"))
         rows = rows.join(build, filled(F.col(f"`{k}`").cast("string")) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         found.append(F.col(f"_m{i}"))
     out = rows.withColumn("key_match", F.coalesce(*found, F.lit(None).cast("string")) if found else F.lit(None).cast("string"))
-    return out.drop(*[f"_m{i}" for i in range(len(keys))])
+    return out if each else out.drop(*[f"_m{i}" for i in range(len(keys))])
 
 
 def match_by_identifier(rows: DataFrame, target: DataFrame, row_key: str, target_key: str) -> DataFrame:

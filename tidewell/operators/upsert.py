@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.strings import filled
 from tidewell.operators.identity import match_by_hash, match_by_keys
+from tidewell.workspace import Workspace
 
 ACTIONS = ("INSERT", "UPDATE", "SKIP", "FAILED")
 SYSTEM = ("row_hash", "last_import_date")
@@ -24,36 +25,44 @@ SYSTEM = ("row_hash", "last_import_date")
 def decide(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (with row_index, row_hash, errors and new_name) with ``action`` and ``record_name``.
 
-    Two joins a key set with the target, and one window for each key over the rows that nothing matched.
+    A join a key with the target and one window a key over the rows whose value it lacks.  As in a fold over the
+    rows, the first key that finds something decides: a record of the target, or the first row with that value.
     """
-    out = match_by_keys(match_by_hash(rows, target), target, keys)
-    out = out.withColumn("_open", (F.size("errors") == 0) & F.col("hash_match").isNull() & F.col("key_match").isNull())
-    # The first open row of a key's value leads the rows with that value; the first key that is filled in decides.
-    lead = F.lit(None).cast("struct<row_index:bigint,new_name:string>")
-    leads = []
+    out = match_by_keys(match_by_hash(rows, target), target, keys, each=True)
+    live = (F.size("errors") == 0) & F.col("hash_match").isNull()
+    hits = []
     for i, k in enumerate(keys):
         value = filled(F.col(f"`{k}`").cast("string"))
         # Rows without the key stand alone in the window, so blanks aren't a hot group.
-        own = F.when(F.col("_open") & value.isNotNull(), value)
-        out = out.withColumn(f"_l{i}", F.when(own.isNotNull(), F.min(F.struct(F.col("row_index").cast("bigint").alias("row_index"), F.col("new_name").cast("string").alias("new_name"))).over(Window.partitionBy(own, F.when(own.isNull(), F.col("row_index"))))))
-        leads.append(F.col(f"_l{i}"))
-    lead = F.least(*leads) if len(leads) > 1 else leads[0] if leads else lead
-    out = out.withColumn("_lead", lead)
-    follows = F.col("_open") & F.col("_lead").isNotNull() & (F.col("_lead.row_index") < F.col("row_index"))
+        own = F.when(live & F.col(f"_m{i}").isNull() & value.isNotNull(), value)
+        row = F.struct(F.col("row_index").cast("bigint").alias("row_index"), F.col("new_name").cast("string").alias("new_name"))
+        out = out.withColumn(f"_l{i}", F.when(own.isNotNull(), F.min(row).over(Window.partitionBy(own, F.when(own.isNull(), F.col("row_index"))))))
+        hits.append(F.coalesce(F.col(f"_m{i}"), F.when(F.col(f"_l{i}.row_index") < F.col("row_index"), F.col(f"_l{i}.new_name"))))
     # A leader may itself follow another row by another key; see resolve_chains.
-    action = F.when(F.size("errors") > 0, "FAILED").when(F.col("hash_match").isNotNull(), "SKIP").when(F.col("key_match").isNotNull() | follows, "UPDATE").otherwise("INSERT")
-    name = F.when(F.size("errors") > 0, F.lit(None)).otherwise(F.coalesce("hash_match", "key_match", F.when(follows, F.col("_lead.new_name")), "new_name"))
+    out = out.withColumn("_hit", F.coalesce(*hits, F.lit(None).cast("string")))
+    action = F.when(F.size("errors") > 0, "FAILED").when(F.col("hash_match").isNotNull(), "SKIP").when(F.col("_hit").isNotNull(), "UPDATE").otherwise("INSERT")
+    name = F.when(F.size("errors") > 0, F.lit(None)).otherwise(F.coalesce("hash_match", "_hit", "new_name"))
     out = out.withColumn("action", action).withColumn("record_name", name)
-    return out.drop("_open", "_lead", "hash_match", "key_match", *[f"_l{i}" for i in range(len(keys))])
+    return out.drop("_hit", "hash_match", "key_match", *[f"_{x}{i}" for i in range(len(keys)) for x in "lm"])
 
 
-def resolve_chains(decided: DataFrame, rounds: int = 3) -> DataFrame:
-    """Rows that update a record whose own row became an update follow it to the record that was inserted."""
-    out = decided
-    for _ in range(rounds):
-        moved = out.filter("action = 'UPDATE'").select(F.col("new_name").alias("_n"), F.col("record_name").alias("_to")).filter("_n != _to").distinct()
-        out = out.join(moved, F.col("record_name") == F.col("_n"), "left").withColumn("record_name", F.coalesce("_to", "record_name")).drop("_n", "_to")
-    return out
+def resolve_chains(decided: DataFrame) -> DataFrame:
+    """Rows that update a record whose own row became an update follow it to the record that was inserted.
+
+    The links are written and doubled in reach until none moves, so chains of any length end at their record.
+    """
+    work, i = Workspace(decided.sparkSession, "chains"), 0
+    links = work.write(decided.filter("action = 'UPDATE' and new_name != record_name").select(F.col("new_name").alias("_n"), F.col("record_name").alias("_to")).distinct(), "0")
+    while True:
+        hops = links.select(F.col("_n").alias("_m"), F.col("_to").alias("_next"))
+        longer = work.write(links.select("_n", "_to").join(hops, F.col("_to") == F.col("_m"), "left").select("_n", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")), f"{i + 1}")
+        work.drop(f"{i}")
+        links, i = longer, i + 1
+        if links.filter("_moved").isEmpty():
+            break
+        if i > 64:  # rows only follow earlier ones
+            raise ValueError("rows follow each other in a circle; new_name must be unique")
+    return decided.join(links.drop("_moved"), (F.col("action") == "UPDATE") & (F.col("record_name") == F.col("_n")), "left").withColumn("record_name", F.coalesce("_to", "record_name")).drop("_n", "_to")
 
 
 def merge(decided: DataFrame, target: DataFrame, columns: list[str], imported_at) -> DataFrame:

@@ -141,10 +141,9 @@ class Importer:
         typed = checked.select("row_index", "source_file", "raw", "row_hash", "errors", "error_log", name.alias("_base"), *values)
         table = self.records(target)
         typed = upsert.numbered_names(typed, "_base", "row_index", table.select("name")).withColumnRenamed("unique_name", "new_name").drop("_base")
-        decided = upsert.resolve_chains(upsert.decide(typed, table, matching_keys(table, fields)))
-        # Written once; the merge, the log, staging and the counts all read this.
-        self.store.replace("decided", decided)
-        decided = self.store.read("decided")
+        # Written before and after chains are followed; the merge, the log, staging and the counts all read the latter.
+        decided = self.store.replace("decided", upsert.decide(typed, table, matching_keys(table, fields)))
+        decided = self.store.replace("decided", upsert.resolve_chains(decided))
         merged = upsert.merge(decided, table, list(by), state.now())
         self.store.replace(self._table(target), merged)
         log = self.store.read("import_log", state.IMPORT_LOG)
