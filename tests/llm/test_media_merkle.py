@@ -115,3 +115,15 @@ def test_edits_are_located(spark):
     assert len(got[0]["d"]) == 1 and got[1]["d"] == [] and [r["same"] for r in got] == [False, True, True]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_equal_short_leaves_are_told_apart(spark):
+    seen = {}
+    for i in range(1_000_000):
+        a, b = seen.setdefault(hashlib.sha256(f"text {i}".encode()).hexdigest()[:8], f"text {i}"), f"text {i}"
+        if a != b:
+            break
+    df = spark.createDataFrame([(a, b), (f"x\n{a}", f"x\n{b}")], "a string, b string")
+    df = merkle.add_fingerprint(merkle.add_fingerprint(df, "a", "fa"), "b", "fb")
+    for r in df.select("fa", "fb", merkle.likeness(F.col("fa"), F.col("fb")).alias("near"), merkle.differing(F.col("fa"), F.col("fb")).alias("d")).collect():
+        assert a != b and r["fa"][:64] != r["fb"][:64] and r["near"] < 1 and len(r["d"]) == 1

@@ -7,9 +7,11 @@ hash is that of its leaves, a section's that of its paragraphs, the root that of
 the sections.  Equal roots mean equal texts; where roots differ, the sections
 and paragraphs whose hashes differ locate the edit.
 
-A fingerprint is the root (64 hex digits), a colon, and the leaves (8 hex digits
+A fingerprint is the root (64 hex digits), a colon, and the leaves (32 hex digits
 each): blocks are joined by ``.``, paragraphs by ``,`` and sections by ``;``, so
-that the inner hashes can be computed again and need no room.
+that the inner hashes (64 hex digits) can be computed again and need no room.
+:func:`compact` gives the short form, whose leaves have 8 hex digits and whose
+root follows from these alone: different texts may share it, so it decides nothing.
 
 Defined cases: null counts as the empty text, whose tree is one empty paragraph;
 in :func:`pair_with_next` null keys come first, rows with equal keys are ordered
@@ -19,16 +21,27 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, LEAF_DIGITS, NODE_DIGITS = 64, 8, 16
+#: Code points of a block, hex digits of a leaf, and of the leaves and inner hashes of the short form.
+BLOCK, LEAF_DIGITS, SHORT_LEAF, SHORT_NODE = 64, 32, 8, 16
 #: Rows wanted in a bucket of :func:`pair_with_next`, and the most buckets (two-level table of their borders).
 BUCKET_ROWS, SIDE = 256, 128
 
 
 def _node(x: Column) -> Column:
-    return F.substring(F.sha2(x, 256), 1, NODE_DIGITS)
+    return F.sha2(x, 256)
+
+
+def _short_node(x: Column) -> Column:
+    return F.substring(F.sha2(x, 256), 1, SHORT_NODE)
+
+
+def _short(leaves: Column) -> Column:
+    return F.regexp_replace(leaves, f"([0-9a-f]{{{SHORT_LEAF}}})[0-9a-f]{{{LEAF_DIGITS - SHORT_LEAF}}}", "$1")
 
 
 def leaves_text(text: Column) -> Column:
@@ -38,20 +51,30 @@ def leaves_text(text: Column) -> Column:
         return F.array_join(F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda b: F.substring(F.sha2(b, 256), 1, LEAF_DIGITS)), ".")
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), paragraph)
-    ended = F.transform(lines, lambda p: F.concat(p, F.when((p == "") | _node(p).endswith("0"), F.lit(";")).otherwise(F.lit(","))))
+    ended = F.transform(lines, lambda p: F.concat(p, F.when((p == "") | _short_node(_short(p)).endswith("0"), F.lit(";")).otherwise(F.lit(","))))
     joined = F.array_join(ended, "")
     return F.substring(joined, F.lit(1), F.length(joined) - 1)
 
 
-def sections(body: Column) -> Column:
+def sections(body: Column, node: Callable[[Column], Column] = _node) -> Column:
     """Array of the sections' hashes, from the leaves."""
-    return F.transform(F.split(body, ";", -1), lambda s: _node(F.array_join(F.transform(F.split(s, ",", -1), _node), ",")))
+    return F.transform(F.split(body, ";", -1), lambda s: node(F.array_join(F.transform(F.split(s, ",", -1), node), ",")))
 
 
 def fingerprint(body: Column) -> Column:
     return F.concat(F.sha2(F.array_join(sections(body), ","), 256), F.lit(":"), body)
 
 
+def root(x: Column) -> Column:
+    return F.substring_index(x, ":", 1)
+
+
+def compact(x: Column) -> Column:
+    """The short form of a fingerprint."""
+    body = _short(F.substring_index(x, ":", -1))
+    return F.concat(F.sha2(F.array_join(sections(body, _short_node), ","), 256), F.lit(":"), body)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Twice the number of different leaves that two fingerprints share, over the sum of their numbers; 1 for equal roots."""
 

@@ -54,7 +54,7 @@ def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = merkle.pair_with_next(merkle.add_fingerprint(docs), "doc_id", "text", "fingerprint")
     edited = merkle.add_fingerprint(pairs.withColumn("edited", merkle.replace_half(F.col("text"), F.col("next_text"))), "edited", "edited_fingerprint")
     own = F.col("fingerprint")
-    return edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", merkle.likeness(own, F.col("edited_fingerprint")).alias("near_edited"), merkle.likeness(own, F.col("next_fingerprint")).alias("near_next"))
+    return edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), merkle.compact(own).alias("fingerprint"), merkle.compact(F.col("edited_fingerprint")).alias("edited_fingerprint"), merkle.root(own).alias("root"), merkle.root(F.col("edited_fingerprint")).alias("edited_root"), merkle.likeness(own, F.col("edited_fingerprint")).alias("near_edited"), merkle.likeness(own, F.col("next_fingerprint")).alias("near_next"))
 
 
 def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
