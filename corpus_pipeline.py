@@ -35,11 +35,15 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the least id stays."""
-    linked = jaccard.link(docs, Workspace(spark, "near-copies"))
-    gone = linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    """Of rows that links join, the one with the least id stays; null ids come last, equal ids go by the row's number."""
+    work = Workspace(spark, "near-copies")
+    rows = work.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = jaccard.link(rows, work, key="_row").select("_row", F.col("component_id").alias("_group"))
+    ranked = linked.join(rows.select("_row", "doc_id"), "_row").select("_row", "_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_rank"))
+    kept = ranked.groupBy("_group").agg(F.min("_rank").alias("_rank")).select(F.col("_rank._row").alias("_row"))
+    gone = work.write(linked.select("_row").join(kept, "_row", "left_anti"), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

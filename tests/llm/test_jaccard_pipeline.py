@@ -159,3 +159,13 @@ def test_pipeline(spark):
             assert after["text"] == r["text"]
     whole = {(r["doc_id"], r["start"], r["length"]) for r in kept[5].collect()}
     assert {(r["doc_id"], r["start"], r["length"]) for r in corpus_pipeline.run(spark, SF).collect()} == whole
+
+
+def test_copies_go_by_row(spark):
+    same, other = "one and the same text of six words", "a clean text that stands alone here"
+    rows = [(None, same, 1), (None, same, 2), (3, same, 3), (3, same, 4), (5, same, 5), (5, other, 6), (None, "no copies of this one are there", 7), (None, "", 8), (None, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1)
+    got = corpus_pipeline.one_of_each_group(spark, df, SF)
+    assert got.columns == df.columns and sorted(r["n_chars"] for r in got.collect()) == [3, 6, 7, 8, 9]
+    nulls = corpus_pipeline.one_of_each_group(spark, df.filter("doc_id is null"), SF)
+    assert sorted(r["n_chars"] for r in nulls.collect()) == [1, 7, 8, 9]
