@@ -8,7 +8,10 @@ and a linear layer.  It is trained on labelled findings; a held-out part of them
 calibrates its scores (Platt) and sets the threshold, the highest that still
 recalls ``RECALL`` of the held-out secrets.
 
-Patterns' spans always stay; the network adds candidates that no pattern touches.
+Patterns' spans always stay; the network adds candidates that no pattern touches and,
+of runs that one touches, the parts outside it from ``PART_CHARS`` characters on.  A
+candidate longer than the inner part of a window is seen by its two ends and by
+overlapping windows over all of it, and the highest score counts.
 
 Defined cases: null and empty texts have no spans; null keys are kept; repeated
 rows give repeated results; an empty table gives an empty table.
@@ -37,7 +40,10 @@ KINDS = ("assign", "access", "hex", "model")
 
 CANDIDATE_CHARS = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.~@-])[A-Za-z0-9+/_=.~@-]{16,}+")
+RUN = re.compile(r"[A-Za-z0-9+/_=.~@-]+")
 DIGIT = re.compile(r"[0-9]")
+#: Least length of what is left of a run beside a pattern's span.
+PART_CHARS = 4
 CONTEXT, INNER = 24, 48
 RECALL, FINDINGS, SEED = 0.99, 6000, 7
 
@@ -61,6 +67,32 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])]
 
 
+def outside(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The candidates that ``base`` (sorted spans) doesn't touch, and the parts outside it of the runs that it touches."""
+    if not base:
+        return candidates(text)
+    covered: list[list[int]] = []
+    for a, b, _ in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out, k = [], 0
+    for m in RUN.finditer(text):
+        (a, b), at, touched = m.span(), m.start(), False
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        j = k
+        while j < len(covered) and covered[j][0] < b:
+            touched = True
+            if covered[j][0] - at >= PART_CHARS:
+                out.append((at, covered[j][0]))
+            at, j = covered[j][1], j + 1
+        if b - at >= (PART_CHARS if touched else CANDIDATE_CHARS) and (touched or DIGIT.search(m[0])):
+            out.append((at, b))
+    return out
+
+
 # ---- the network
 
 
@@ -78,21 +110,30 @@ TAPS, FILTERS = 5, 24
 WIDTH = 2 * CONTEXT + INNER
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
+def window(text: str, start: int, end: int, length: int = 0) -> np.ndarray:
     """Classes of the context before, of the candidate's first and last characters, and of the context after.
 
-    A candidate longer than the inner part is shown by its two ends; its length is a feature of its own.
+    A candidate longer than the inner part is shown by its two ends.  Last comes the candidate's true length,
+    ``length`` if the window only shows a part of it.
     """
     before, after, inner = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT], text[start:end]
     if len(inner) > INNER:
         inner = inner[: INNER // 2] + inner[-INNER // 2 :]
-    out = np.zeros(WIDTH, np.uint8)
+    out = np.zeros(WIDTH + 1, np.uint16)
+    out[WIDTH] = min(length or end - start, 65535)
     for at, part in ((CONTEXT - len(before), before), (CONTEXT, inner), (CONTEXT + INNER, after)):
         codes = np.frombuffer(part.encode("utf-32-le", "replace"), "<u4")
         out[at : at + len(codes)] = np.where(codes < 128, CLASS[np.minimum(codes, 127)], 1)
     return out
 
 
+def views(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What the windows of a candidate show: all of it (of a long one, the two ends), and overlapping parts of a long one."""
+    if end - start <= INNER:
+        return [(start, end)]
+    return [(start, end), *((a, a + INNER) for a in range(start, end - INNER, INNER // 2)), (end - INNER, end)]
+
+
 @dataclass
 class Network:
     taps: np.ndarray  # (TAPS, CLASSES, FILTERS)
@@ -113,7 +154,7 @@ class Network:
         a, b = h[:, inner].argmax(1) + CONTEXT - TAPS // 2, np.flatnonzero(~inner)[h[:, ~inner].argmax(1)]
         at = np.concatenate([a, b], 1)
         top = np.maximum(np.take_along_axis(h, at.reshape(len(x), 2, FILTERS), 1).reshape(len(x), -1), 0)
-        length = (x[:, CONTEXT : CONTEXT + INNER] > 0).sum(1, keepdims=True) / INNER
+        length = np.log1p(x[:, WIDTH:]) / np.log1p(INNER)
         return np.concatenate([top, length, np.ones((len(x), 1))], 1), at
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -209,24 +250,68 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, i
     return out
 
 
+def more_findings(n: int = FINDINGS // 4, seed: int = SEED + 1) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, length, 1 for a secret) of views: parts of runs beside a pattern's span, and windows over long runs."""
+    r = random.Random(seed)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda alphabet, a, b: "".join(r.choice(alphabet) for _ in range(r.randint(a, b)))
+    word = lambda: some("etaoinshrdlucmfwypvbgk", 2, 9)
+    values = [t[a:b] for t, a, b, y in findings(2 * n, seed) if y]
+    out = []
+    for i in range(n):  # beside a span
+        base = r.choice((lambda: r.choice(("password=", "secret: ", "token=", "api_key=")) + some(alnum, 8, 20), lambda: "AKIA" + some(alnum[26:], 16, 16).upper(), lambda: some("abcdef0123456789", 32, 40)))()
+        mark = "@" if base[0] not in "A0123456789" and r.random() < 0.5 else r.choice("~@")
+        if i % 2:
+            part = r.choice((lambda: mark + word().capitalize() + some("0123456789", 1, 4), lambda: mark + some(alnum, 5, 20), lambda: ("/" if base[0] == "A" else "~") + r.choice(values)))()
+        else:
+            part = r.choice((lambda: f"@{word()}.{r.choice(['com', 'org', 'net', 'io'])}", lambda: f"@{word()}.{word()}.{r.choice(['com', 'org', 'net', 'io'])}", lambda: mark + word(), lambda: "~/" + word() + "/" + word(), lambda: "@" + "-".join(word() for _ in range(2)) + ".txt"))()
+        before, after = word() + " ", r.choice([" ", ". ", '" ', "\n", ", "]) + word()
+        out.append((before + base + part + after, len(before + base), len(before + base + part), len(part), i % 2))
+    for i in range(n // 3):  # over long runs
+        sep = r.choice("/./.-_")
+        left, right = (sep.join(word() for _ in range(r.randint(6, 20))) + sep for _ in range(2))
+        value = r.choice(values) if i % 2 else some("0123456789", 1, 4)
+        run = left + value + sep + right[:-1] + some("0123456789", 0, 2)
+        before = word() + " "
+        text = before + run + r.choice([" ", ". ", "\n"]) + word()
+        at = len(before + left)
+        for a, b in views(text, len(before), len(before) + len(run))[1:]:
+            seen = min(b, at + len(value)) - max(a, at)
+            if not i % 2 or seen <= 0 or seen >= 16:  # a few characters of a secret are neither
+                out.append((text, a, b, len(run), int(i % 2 and seen >= 16)))
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def default_network() -> Network:
-    labelled = findings()
-    return train(np.stack([window(t, a, b) for t, a, b, _ in labelled]), np.array([y for *_, y in labelled], float))
+    labelled = [(t, *view, b - a, y) for t, a, b, y in findings() for view in views(t, a, b)] + more_findings()
+    return train(np.stack([window(t, a, b, n) for t, a, b, n, _ in labelled]), np.array([y for *_, y in labelled], float))
 
 
 def find(docs: list[str], net: Network) -> list[list[tuple[int, int, int, float]]]:
     """(start, end, kind, score) of the secrets of each text, by start and then kind."""
-    spans, seen = [], []
+    spans: list = []
+    waiting: list[tuple[int, int, int, int, int]] = []
+    best: dict[tuple[int, int, int], float] = {}
+
+    def score() -> None:
+        if waiting:
+            for (i, a, b, _, _), p in zip(waiting, net.scores(np.stack([window(docs[i], x, y, b - a) for i, a, b, x, y in waiting])).tolist(), strict=True):
+                best[i, a, b] = max(p, best.get((i, a, b), 0.0))
+            waiting.clear()
+
     for i, t in enumerate(docs):
         base = base_spans(t)
         spans.append([(a, b, k, 1.0) for a, b, k in base])
-        seen += [(i, a, b) for a, b in candidates(t) if not any(x < b and a < y for x, y, _ in base)]
-    for at in range(0, len(seen), 1024):
-        some = seen[at : at + 1024]
-        for (i, a, b), p in zip(some, net.scores(np.stack([window(docs[i], a, b) for i, a, b in some])).tolist(), strict=True):
-            if p >= net.threshold:
-                spans[i].append((a, b, KINDS.index("model"), p))
+        for a, b in outside(t, base):
+            for x, y in views(t, a, b):
+                waiting.append((i, a, b, x, y))
+                if len(waiting) == 1024:
+                    score()
+    score()
+    for (i, a, b), p in best.items():
+        if p >= net.threshold:
+            spans[i].append((a, b, KINDS.index("model"), p))
     return [sorted(s, key=lambda s: (s[0], s[2])) for s in spans]
 
 
