@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 from hypothesis import given, settings
@@ -127,3 +128,37 @@ def test_equal_short_leaves_are_told_apart(spark):
     df = merkle.add_fingerprint(merkle.add_fingerprint(df, "a", "fa"), "b", "fb")
     for r in df.select("fa", "fb", merkle.likeness(F.col("fa"), F.col("fb")).alias("near"), merkle.differing(F.col("fa"), F.col("fb")).alias("d")).collect():
         assert a != b and r["fa"][:64] != r["fb"][:64] and r["near"] < 1 and len(r["d"]) == 1
+
+
+def track(number, codec, scale, sizes, place, keys=None, wide=False):
+    b, f, u = media.box, media.full, lambda *v: struct.pack(f">{len(v)}I", *v)
+    stbl = [f(b"stsd", 0, u(1), b(codec, bytes(28))), f(b"stts", 0, u(1, len(sizes), 10) if sizes else u(0)), f(b"stsz", 0, u(0, len(sizes), *sizes))]
+    stbl += [f(b"stsc", 0, u(1, 1, len(sizes), 1) if sizes else u(0))]
+    stbl += [f(b"co64", 0, struct.pack(">IQ", 1, place)) if wide else f(b"stco", 0, u(1, place) if sizes else u(0))]
+    stbl += [f(b"stss", 0, u(len(keys), *keys))] if keys else []
+    mdhd = f(b"mdhd", 0, u(0, 0, scale, 7, 0))
+    return b(b"trak", f(b"tkhd", 7, u(0, 0, number, 0)), b(b"mdia", mdhd, b(b"minf", b(b"stbl", *stbl))))
+
+
+def test_every_track_has_its_own_tables(spark):
+    audio, video = track(1, b"mp4a", 8000, [3, 3, 3], 8), track(2, b"avc1", 90000, [5, 6, 7, 8], 17, keys=[1, 3], wide=True)
+    data = media.box(b"mdat", bytes(range(40)))
+    rows = [(1, data + media.box(b"moov", audio, video)), (2, data + media.box(b"moov", video, audio)), (3, data + media.box(b"moov", audio, media.box(b"trak")))]
+    got = {r["id"]: r for r in media.probe_media(spark.createDataFrame(rows, "id int, media binary"), "media", "id", payload=True).collect()}
+    sound = ("mp4a", 8000, 30, 3, [(8, 11), (11, 14), (14, 17)])
+    film = ("avc1", 90000, 40, 4, [(17, 22), (28, 35)])
+    plain = lambda t: (t["codec"], t["timescale"], t["duration"], t["samples"], t["keyframes"] and [tuple(k) for k in t["keyframes"]])
+    assert [plain(t) for t in got[1]["tracks"]] == [sound, film] and plain(got[1]) == sound and bytes(got[1]["payload"]) == data[8:17]
+    assert [plain(t) for t in got[2]["tracks"]] == [film, sound] and plain(got[2]) == film and bytes(got[2]["payload"]) == data[17:43]
+    assert [plain(t) for t in got[3]["tracks"]] == [sound, (None,) * 5]
+
+
+def test_fragments():
+    b, f, u = media.box, media.full, lambda *v: struct.pack(f">{len(v)}I", *v)
+    moov = b(b"moov", track(1, b"mp4a", 8000, [], 0), track(2, b"avc1", 90000, [], 0), b(b"mvex", f(b"trex", 0, u(1, 1, 10, 4, 0)), f(b"trex", 0, u(2, 1, 20, 0, 0x10000))))
+    make = lambda n: b(b"moof", b(b"traf", f(b"tfhd", 0x20000, u(1)), f(b"trun", 1, u(3, n + 8))), b(b"traf", f(b"tfhd", 0x20000, u(2)), f(b"trun", 0x205, u(2, n + 20, 0, 6, 5))))
+    moof = make(len(make(0)))
+    at = len(moov) + len(moof) + 8
+    sound, film = media.sample_tables(moov + moof + b(b"mdat", bytes(23)))
+    assert (sound["samples"], sound["duration"], sound["offsets"].tolist(), sound["keys"].tolist()) == (3, 30, [at, at + 4, at + 8], [0, 1, 2])
+    assert (film["samples"], film["duration"], film["offsets"].tolist(), film["sizes"].tolist(), film["keys"].tolist()) == (2, 40, [at + 12, at + 18], [6, 5], [0])

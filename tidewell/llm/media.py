@@ -2,8 +2,8 @@
 
 :func:`store_media` keeps the bytes of a text as 8-bit PCM samples in an ISO
 container, :func:`probe_media` walks the nested boxes of any such container,
-decodes its sample tables and stores codec, duration and the byte ranges of the
-keyframes.  No payload is decoded for that.  :func:`read_payload` returns the
+decodes the sample tables (and fragments) of every track and stores codec,
+duration and the byte ranges of the keyframes.  No payload is decoded for that.  :func:`read_payload` returns the
 sample bytes that the tables point to.
 
 Defined cases: null text is stored as the empty text (one padded frame); bytes
@@ -108,15 +108,68 @@ def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -
         start = stop
 
 
-def sample_table(media: bytes) -> dict:
-    """Codec, time scale, duration and the samples of the first track, from the boxes alone."""
-    data = memoryview(media)
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in walk(data, 0, len(data)):
-        if path[-1] == b"trak" and b"stbl" in found:
-            break
-        if path[0] == b"moov" and path[-1] not in CONTAINERS:
-            found.setdefault(path[-1], (a, b))
+def _header(data: memoryview, body: int) -> int:
+    """The version and flags of a full box; the flags are the lower 24 bits."""
+    return struct.unpack_from(">I", data, body)[0]
+
+
+def _fragments(data: memoryview, tops: list[tuple[bytes, int, int, int]]) -> dict[int, list[tuple[int, int, int, bool]]]:
+    """(offset, size, duration, whether it is a keyframe) of the samples of each track id that movie fragments hold, in order."""
+    defaults: dict[int, tuple[int, ...]] = {}
+    out: dict[int, list[tuple[int, int, int, bool]]] = {}
+    for kind, start, body, stop in tops:
+        if kind == b"moov":
+            for path, a, _ in walk(data, body, stop):
+                if path[-1] == b"trex":
+                    track, _, *rest = struct.unpack_from(">5I", data, a + 4)
+                    defaults[track] = tuple(rest)  # duration, size, flags
+        if kind != b"moof":
+            continue
+        at, base, track, values = start, start, 0, [0, 0, 0]
+        first_traf = True
+        for path, a, b in walk(data, body, stop):
+            if path[-1] == b"traf":
+                values, track = [0, 0, 0], 0
+            elif path[-1] == b"tfhd":
+                flags, track = _header(data, a) & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+                values, p = list(defaults.get(track, (0, 0, 0))), a + 8
+                # Data starts at the given place, at the fragment, or where the data of the track before ends.
+                base = start if first_traf or flags & 0x20000 else at
+                if flags & 1:
+                    (base,), p = struct.unpack_from(">Q", data, p), p + 8
+                p += 4 if flags & 2 else 0
+                for k, bit in enumerate((0x8, 0x10, 0x20)):
+                    if flags & bit:
+                        (values[k],), p = struct.unpack_from(">I", data, p), p + 4
+                at, first_traf = base, False
+            elif path[-1] == b"trun":
+                flags, p = _header(data, a) & 0xFFFFFF, a + 8
+                (n,) = struct.unpack_from(">I", data, a + 4)
+                if flags & 1:
+                    at, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+                first = None
+                if flags & 4:
+                    (first,), p = struct.unpack_from(">I", data, p), p + 4
+                width = 4 * sum(bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800))
+                if p + n * width > b or n > len(data):
+                    raise ValueError("a run is cut short")
+                for i in range(n):
+                    own = list(values)
+                    for k, bit in enumerate((0x100, 0x200, 0x400)):
+                        if flags & bit:
+                            (own[k],), p = struct.unpack_from(">I", data, p), p + 4
+                    p += 4 if flags & 0x800 else 0
+                    if i == 0 and first is not None and not flags & 0x400:
+                        own[2] = first
+                    if at < 0 or at + own[1] > len(data):
+                        raise ValueError("a sample lies outside the file")
+                    out.setdefault(track, []).append((at, own[1], own[0], not own[2] & 0x10000))
+                    at += own[1]
+    return out
+
+
+def _track(data: memoryview, found: dict[bytes, tuple[int, int]], fragments: dict[int, list[tuple[int, int, int, bool]]]) -> dict:
+    """Codec, time scale, duration and the samples of one track, from its boxes (kind: body) and its fragments."""
 
     def table(kind: bytes, skip: int, dtype: str, width: int = 1) -> np.ndarray:
         a, b = found[kind]
@@ -133,7 +186,7 @@ def sample_table(media: bytes) -> dict:
     sizes = np.full(n, fixed, np.int64) if fixed else table(b"stsz", 12, ">u4")[:, 0]
     chunks = table(b"co64", 8, ">u8")[:, 0] if b"co64" in found else table(b"stco", 8, ">u4")[:, 0]
     runs = table(b"stsc", 8, ">u4", 3)
-    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))  # samples of each chunk
+    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)  # samples of each chunk
     chunk = np.repeat(np.arange(len(chunks)), each)[:n]
     before = np.cumsum(sizes) - sizes
     first = (np.cumsum(each) - each)[chunk]  # the first sample of each sample's chunk
@@ -142,7 +195,48 @@ def sample_table(media: bytes) -> dict:
         raise ValueError("a sample lies outside the file")
     keys = table(b"stss", 8, ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
     times = table(b"stts", 8, ">u4", 2)
-    return {"codec": codec, "timescale": scale, "duration": int((times[:, 0] * times[:, 1]).sum()) or duration, "samples": n, "offsets": offsets, "sizes": sizes, "keys": keys}
+    total = int((times[:, 0] * times[:, 1]).sum())
+    more = fragments.get(struct.unpack_from(">I", data, found[b"tkhd"][0] + (20 if data[found[b"tkhd"][0]] == 1 else 12))[0], []) if b"tkhd" in found else []
+    if more:
+        at, size, time, sync = (np.array(c, np.int64) for c in zip(*more, strict=True))
+        offsets, sizes, keys, total, n = np.append(offsets, at), np.append(sizes, size), np.append(keys, n + np.flatnonzero(sync)), total + int(time.sum()), n + len(more)
+    return {"codec": codec, "timescale": scale, "duration": total or duration, "samples": n, "offsets": offsets, "sizes": sizes, "keys": keys}
+
+
+#: What cut or foreign bytes raise.
+BROKEN = (TypeError, ValueError, KeyError, IndexError, struct.error)
+
+
+def sample_tables(media: bytes) -> list[dict | None]:
+    """:func:`sample_table` of every track, in file order; None for a track whose tables are cut short or missing."""
+    data = memoryview(media)
+    tops, at = [], 0
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    for path, a, b in walk(data, 0, len(data)):
+        if len(path) == 1:
+            tops.append((path[0], at, a, b))
+            at = b
+        elif path == (b"moov", b"trak"):
+            tracks.append({})
+        elif path[:2] == (b"moov", b"trak") and path[-1] not in CONTAINERS:
+            tracks[-1].setdefault(path[-1], (a, b))
+    fragments, out = _fragments(data, tops), []
+    for found in tracks:
+        try:
+            t = _track(data, found, fragments)
+            t["offsets"][t["keys"]]  # keyframes are samples
+            out.append(t)
+        except BROKEN:
+            out.append(None)
+    return out
+
+
+def sample_table(media: bytes) -> dict:
+    """Codec, time scale, duration and the samples of the first track, from the boxes alone."""
+    found = sample_tables(media)
+    if not found or found[0] is None:
+        raise ValueError("no track that can be read comes first")
+    return found[0]
 
 
 def demux(media: bytes, found: dict) -> bytes:
@@ -170,28 +264,41 @@ def store_media(df: DataFrame, text: str = "text", into: str = "media", *keep: s
 
 
 def probe_media(df: DataFrame, media: str = "media", *keep: str, payload: bool = False) -> DataFrame:
-    """``keep`` with codec, timescale, duration, samples and keyframes (start, end), and the payload if asked for."""
+    """``keep`` with codec, timescale, duration, samples and keyframes (start, end) of the first track, and its payload if asked for.
+
+    ``tracks`` holds the same five for every track, in file order; samples of movie fragments are counted in.
+    """
+    ranges = "keyframes: array<struct<start: long, end: long>>"
 
     def start():
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        names, kinds = ["codec", "timescale", "duration", "samples", "keyframes"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), kind]
+        entry = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+
+        def columns(t: dict | None) -> tuple:
+            if t is None:
+                return (None,) * 5
+            a = t["offsets"][t["keys"]]
+            keys = [{"start": s, "end": e} for s, e in zip(a.tolist(), (a + t["sizes"][t["keys"]]).tolist(), strict=True)]
+            return t["codec"], t["timescale"], t["duration"], t["samples"], keys
 
         def probe(x: bytes | None) -> tuple:
             try:
-                t = sample_table(x)
-                a = t["offsets"][t["keys"]]
-                keys = [{"start": s, "end": e} for s, e in zip(a.tolist(), (a + t["sizes"][t["keys"]]).tolist(), strict=True)]
-                return t["codec"], t["timescale"], t["duration"], t["samples"], keys, demux(x, t) if payload else None
-            except (TypeError, ValueError, KeyError, IndexError, struct.error):
-                return (None,) * 6
+                found = sample_tables(x)
+            except BROKEN:
+                return (None,) * 7
+            made = [columns(t) for t in found]
+            first = found[0] if found else None
+            return (*(made[0] if made else (None,) * 5), [dict(zip(names, m, strict=True)) for m in made], demux(x, first) if payload and first else None)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = list(zip(*map(probe, batch.column(0).to_pylist()), strict=True)) or [()] * 6
-            made = [pa.array(list(c), k) for c, k in zip(got, (pa.string(), pa.int64(), pa.int64(), pa.int64(), kind, pa.binary()), strict=True)]
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], *made[: 5 + payload]], [*keep, "codec", "timescale", "duration", "samples", "keyframes", *["payload"] * payload])
+            got = list(zip(*map(probe, batch.column(0).to_pylist()), strict=True)) or [()] * 7
+            made = [pa.array(list(c), k) for c, k in zip(got, (*kinds, entry, pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], *made[: 6 + payload]], [*keep, *names, "tracks", *["payload"] * payload])
 
         return step
 
-    new = ["codec string", "timescale long", "duration long", "samples long", "keyframes array<struct<start: long, end: long>>", *["payload binary"] * payload]
+    new = ["codec string", "timescale long", "duration long", "samples long", ranges.replace(":", "", 1), f"tracks array<struct<codec: string, timescale: long, duration: long, samples: long, {ranges}>>", *["payload binary"] * payload]
     return map_slices(df.select(media, *keep), start, ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), *new]))
 
 
