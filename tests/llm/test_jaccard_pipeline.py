@@ -169,3 +169,14 @@ def test_copies_go_by_row(spark):
     assert got.columns == df.columns and sorted(r["n_chars"] for r in got.collect()) == [3, 6, 7, 8, 9]
     nulls = corpus_pipeline.one_of_each_group(spark, df.filter("doc_id is null"), SF)
     assert sorted(r["n_chars"] for r in nulls.collect()) == [1, 7, 8, 9]
+
+
+def test_links_are_all_pairs(spark):
+    rows = near_copies(1, groups=3)
+    sets = [shingle_set(t) for _, t in rows]
+    near = lambda i, j: sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    want = [(k, len(sets[i]), sum(1 for j in range(len(rows)) if j != i and near(i, j))) for i, (k, _) in enumerate(rows)]
+    pairs, counted = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t"), block=8)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in counted.collect()), key=repr) == sorted(want, key=repr)
+    distinct = list({frozenset(s) for s in sets if s})
+    assert pairs.count() == pairs.distinct().count() == sum(1 for i, a in enumerate(distinct) for b in distinct[:i] if 100 * len(a & b) >= 80 * len(a | b))

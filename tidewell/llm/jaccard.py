@@ -422,6 +422,29 @@ def _joined(roots: DataFrame, links: DataFrame, work: Workspace, i: int) -> Data
     return work.write(kept.unionByName(fresh), f"roots-{i}-all")
 
 
+def links(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links: the pairs (a, b; a < b) of similar classes, and key, n_shingles, class and n_links of every row.
+
+    Rows of one class are linked with each other, and with all rows of the classes that pairs name; ``n_links``
+    counts the other rows that a row is linked with.  A null class has none.  No pair is left out because others
+    connect its ends, so the table grows with the number of links; :func:`link` is the form for components alone.
+    """
+    df = df.select(key, text)
+    own = work.write(classes_of(df, key, text, words), "link-classes")
+    found = work.write(groups(signed(df, text, words, percent)), "link-groups")
+    sized = own.filter("class is not null").groupBy("class").agg(F.min(key).alias(key), F.count("*").alias("n_rows"))
+    held = work.write(texts_of(df, found.select("class").distinct().join(sized.select("class", key), "class"), key, text, words), "link-texts")
+    size = found.groupBy(F.col("sig").alias("s")).agg(F.count("*").alias("n"))
+    # Every class stands for itself as its root, so no pair counts as connected.
+    apart = found.join(size, F.col("sig") == F.col("s")).select("sig", "class", F.col("class").alias("root"), "n")
+    pairs = work.write(verified(work.write(pairs_within(apart, held, percent, block), "link-pairs"), held, words, percent), "links")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sized.select(F.col("class").alias("b"), "n_rows"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n_rows").alias("others"))
+    count = sized.join(others, F.col("class") == F.col("c"), "left").select(F.col("class").alias("k"), (F.col("n_rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    counted = own.join(count, F.col("class") == F.col("k"), "left").select(key, "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return pairs, counted
+
+
 def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id (the least key that links reach) of every row."""
     df = df.select(key, text)
