@@ -162,3 +162,23 @@ def test_fragments():
     sound, film = media.sample_tables(moov + moof + b(b"mdat", bytes(23)))
     assert (sound["samples"], sound["duration"], sound["offsets"].tolist(), sound["keys"].tolist()) == (3, 30, [at, at + 4, at + 8], [0, 1, 2])
     assert (film["samples"], film["duration"], film["offsets"].tolist(), film["sizes"].tolist(), film["keys"].tolist()) == (2, 40, [at + 12, at + 18], [6, 5], [0])
+
+
+def test_one_bucket_never_gets_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 1)
+    rows = [(i, f"t{i}") for i in range(4200)] + [(1 << 50, "far")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for some in (rows, [(None, t) for _, t in rows[:400]]):
+            pairs = merkle.pair_with_next(spark.createDataFrame(some, "k long, t string"), "k", "t")
+            got = pairs.withColumn("p", F.spark_partition_id()).collect()
+            assert len(got) == len(some) and sorted(r["next_t"] for r in got) == sorted(t for _, t in some)
+            assert max(sum(r["p"] == p for r in got) for p in range(4)) < 0.5 * len(some)
+            nexts = {r["t"]: r["next_t"] for r in got}
+            t, seen = some[0][1], set()
+            while t not in seen:
+                seen.add(t)
+                t = nexts[t]
+            assert len(seen) == len(some)  # one ring through all rows
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -14,8 +14,8 @@ that the inner hashes (64 hex digits) can be computed again and need no room.
 root follows from these alone: different texts may share it, so it decides nothing.
 
 Defined cases: null counts as the empty text, whose tree is one empty paragraph;
-in :func:`pair_with_next` null keys come first, rows with equal keys are ordered
-by text, the last row is followed by the first, and a single row by itself; an
+in :func:`pair_with_next` null keys come first, ordered by the hash of their text,
+rows with equal keys are ordered by text, the last row is followed by the first, and a single row by itself; an
 empty table gives an empty table.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Code points of a block, hex digits of a leaf, and of the leaves and inner hashes of the short form.
 BLOCK, LEAF_DIGITS, SHORT_LEAF, SHORT_NODE = 64, 32, 8, 16
 #: Rows wanted in a bucket of :func:`pair_with_next`, and the most buckets (two-level table of their borders).
-BUCKET_ROWS, SIDE = 256, 128
+BUCKET_ROWS, SIDE = 256, 64
 
 
 def _node(x: Column) -> Column:
@@ -119,21 +119,15 @@ def add_fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint"
 def pair_with_next(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """``key``, ``text`` and ``more`` with ``next_<name>`` of the row with the next greater (integer) key.
 
-    Rows are dealt to buckets by ranges of the key, and the first rows of each
-    bucket also go to the bucket before, so one shuffle of the rows and windows
-    within buckets are enough.  The borders are approximate quantiles, at most
-    ``SIDE * SIDE`` of them, so a bucket holds a bounded share of the rows; the
-    window spills if a bucket is large.
+    Rows are dealt to buckets by ranges of the key (null keys by ranges of their text's hash), and the first rows of
+    each bucket also go to the bucket before, so one shuffle of the rows and windows within buckets are enough.  The
+    borders are approximate quantiles at every size, at most ``SIDE * SIDE`` of them, so a bucket holds a bounded
+    share of the rows with different keys; the window spills if a bucket is large.
     """
-    wanted = min(SIDE * SIDE, max(1, df.count() // BUCKET_ROWS))
-    rows = df.select(key, text, *more)
-    if wanted > 1:
-        found = sorted({int(x) for x in df.approxQuantile(key, [i / wanted for i in range(1, wanted)], 0.25 / wanted)}) if wanted <= 4096 else []
-        if not found:  # finer than quantile sketches are made for: equal ranges
-            low, high = df.agg(F.min(key), F.max(key)).first()
-            found = sorted({low + (high - low) * i // wanted for i in range(1, wanted)})
-    else:
-        found = []
+    n, n_null = df.agg(F.count("*"), F.count(F.when(F.col(key).isNull(), 1))).first()
+    wanted, wanted_null = (min(SIDE * SIDE, max(1, m // BUCKET_ROWS)) for m in (n - n_null, n_null))
+    rows = df.select(key, text, *more).withColumn("_hash", F.when(F.col(key).isNull(), F.xxhash64(text)))
+    found = sorted({int(x) for x in df.approxQuantile(key, [i / wanted for i in range(1, wanted)], 0.25 / wanted)}) if wanted > 1 else []
     side = max(1, int(len(found) ** 0.5))
     groups = [found[i : i + side] for i in range(0, len(found), side)]
     # The number of borders up to the key: whole groups first, then within the next one.
@@ -144,14 +138,18 @@ def pair_with_next(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
         bucket = F.when(g == 0, F.lit(0)).otherwise((g - 1) * side + F.size(F.filter(F.element_at(fine, F.greatest(g, F.lit(1))), lambda x: x <= F.col(key))))
     else:
         bucket = F.lit(0)
-    rows = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(0)).cast("int"))
-    # The first key of each bucket that has rows (null before all others); as many rows as there are buckets.
-    firsts = df.select(key).withColumn("_bucket", F.coalesce(bucket, F.lit(0)).cast("int")).groupBy("_bucket").agg(F.when(F.count(F.when(F.col(key).isNull(), 1)) == 0, F.min(key)).alias("_first"))
+    # Buckets of null keys are negative, so they come first.
+    of_null = F.least(F.floor((F.col("_hash").cast("double") / 2.0**64 + 0.5) * wanted_null), F.lit(wanted_null - 1)) - wanted_null
+    at = F.when(F.col(key).isNull(), of_null).otherwise(bucket).cast("int")
+    rows = rows.withColumn("_bucket", at)
+    # The first key and hash of each bucket that has rows; as many rows as there are buckets.
+    firsts = rows.groupBy("_bucket").agg(F.min(key).alias("_first"), F.min("_hash").alias("_first_hash"))
     order = Window.orderBy("_bucket")
-    before = firsts.select("_first", F.lag("_bucket").over(order).alias("_to"), F.max("_bucket").over(Window.partitionBy(F.lit(0))).alias("_last"))
-    guards = rows.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_first"))).select(key, text, *more, F.coalesce("_to", "_last").alias("_bucket"), F.when(F.col("_to").isNull(), 2).otherwise(1).alias("_guard"))
+    before = firsts.select("_first", "_first_hash", F.lag("_bucket").over(order).alias("_to"), F.max("_bucket").over(Window.partitionBy(F.lit(0))).alias("_last"))
+    first = F.col(key).eqNullSafe(F.col("_first")) & F.col("_hash").eqNullSafe(F.col("_first_hash"))
+    guards = rows.join(F.broadcast(before), first).select(key, text, *more, "_hash", F.coalesce("_to", "_last").alias("_bucket"), F.when(F.col("_to").isNull(), 2).otherwise(1).alias("_guard"))
     both = rows.withColumn("_guard", F.lit(0)).unionByName(guards)
-    window = Window.partitionBy("_bucket").orderBy("_guard", key, text)
+    window = Window.partitionBy("_bucket").orderBy("_guard", key, "_hash", text)
     nexts = [F.lead(c).over(window).alias(f"next_{c}") for c in (key, text, *more)]
     return both.select(key, text, *more, "_guard", *nexts).filter("_guard = 0").drop("_guard")
 
