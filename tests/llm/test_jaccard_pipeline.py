@@ -104,7 +104,26 @@ def test_hashes_of_words():
     assert jaccard.all_hashes(b"").tolist() == [] and jaccard.all_hashes(b"ab")[0] == got[1]
 
 
-@pytest.mark.parametrize(("seed", "stars", "block"), [(1, 4, 2048), (2, 1, 3), (3, 3, 2)])
+def test_words_made_to_collide_stay_apart(spark):
+    """A Thue-Morse word and its complement, which have one hash by any polynomial modulo 2**64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_a_set_that_is_sparse_is_dealt_anew():
+    for size in (6, 14, 40):  # all elements in one partition of the first hash
+        i = jaccard.band_of(size, 80)
+        n = np.prod([np.lcm.reduce([jaccard.parts(b, 80)[0] * jaccard.parts(b, 80)[1] for b in (i - 1, i, i + 1, i + 2)])])
+        a = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(n)
+        b = a[1:]
+        assert jaccard.similar(a, b) and set(jaccard.signatures(a).tolist()) & set(jaccard.signatures(b).tolist())
+        far = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(n) + np.uint64(n << 20)
+        assert not set(jaccard.signatures(a).tolist()) & set(jaccard.signatures(far).tolist())
+
+
+@pytest.mark.parametrize(("seed", "stars", "block"), [(1, 2, 2048), (2, 1, 3), (3, 2, 2)])
 def test_link_equals_all_pairs(spark, monkeypatch, seed, stars, block):
     monkeypatch.setattr(jaccard, "STARS", stars)
     rows = near_copies(seed)

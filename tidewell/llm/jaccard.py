@@ -3,37 +3,42 @@
 A document's set holds its distinct word shingles.  Sizes fall into bands so
 that a set and a similar smaller one are in the same or in neighbouring bands;
 each set takes part in its own band and in the next.  Two sets of a band that are
-similar enough differ in at most k elements.  The feature domain is dealt into
-k + 1 + e partitions by hash, and for every such partition (the subsets that
-PartEnum enumerates when every second-level partition stands alone) a set has one
-signature, made of its elements there.  Similar sets agree in at least 1 + e
-partitions; so a set with at most e empty ones need not give signatures for
-those, which many unlike sets would share.  No similar pair is missed.
+similar enough differ in at most k elements.  PartEnum deals the feature domain by
+hash into n1 first-level partitions of n2 second-level ones; at least one first-level
+partition then differs in at most k2 of its n2, and a signature is made of the
+elements in each of the subsets of n2 - k2 of them, so the two sets share one.
+:func:`parts` gives the parameters of a band: one first-level partition of k + 2 for
+short texts (k up to ``ENUMERATE``), where subsets keep signatures long, and k + 1 + e
+that stand alone (n2 = 1) for longer ones, where enumeration makes more signatures
+and larger groups.  A signature without elements would be shared by many unlike
+sets.  Two sets agree in at least 1 + e first-level partitions; so if a set has more
+than e in which a subset is empty, it is dealt anew by another hash, and so is
+any set that agrees with it in empty ones only.  No similar pair is missed.
 
 Equal sets are one class from the start.  Classes that share a signature are
 compared in exact rounds: first every member of a signature's group with one
 representative, then, as far as links don't connect them yet, with the member that
-has most links and with members taken at random, and last all pairs of a group's
-members that are still apart.  Groups of near copies
-thus take a number of comparisons in proportion to their size, and still no link
-between different texts that could join two components is left out.
+has most links.  Members of groups that are still apart are dealt to cells of bounded
+size; a cell looks at pairs as sketches first, each pair in the cell of the least
+signature that both have.  The few members that may have a link there get their
+texts, and a cell gives a spanning forest of its links: fewer rows than members.
 
-Before texts are compared, parity sketches rule pairs out: a set has about as
-many bits as elements, and each element flips one.  Two sketches differ in at
-most as many bits as the sets in elements, so a pair whose sketches differ in
-more than k bits isn't similar.  In the last round the pairs of a group are only
-looked at as sketches, in blocks of bounded size, and few of them become rows.
+A parity sketch has about as many bits as the set has elements, and each element
+flips one.  Two sketches differ in at most as many bits as the sets in elements, so
+a pair whose sketches differ in more than k bits isn't similar.
 
 Defined cases: texts without words have the empty set and are linked with
 nothing; a null key takes part (a component's id is its least key that isn't
 null, if there is one); rows that share a key or text are linked as other rows
-are; an empty table gives an empty table.  Shingles and sets are compared by
-64-bit hashes, shingles within a pair only.
+are; texts of any length count whole; an empty table gives an empty table; other
+columns are not looked at, whatever their names.  Words, shingles and sets are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,13 +51,15 @@ from tidewell.llm.common import SLICE_ROWS, Workspace, texts
 from tidewell.llm.components import components
 
 WORDS, PERCENT = 5, 80
+#: Bands whose sets differ in at most so many elements enumerate subsets of partitions; hashes that sets are dealt by before an empty subset counts.
+ENUMERATE, LEVELS = 6, 16
 CACHE_CLASSES = 1_000_000
-#: Classes whose texts are looked up by a broadcast of their keys (16 bytes each); more are joined by a shuffle.
+#: Classes whose texts are looked up by a broadcast of their keys (some 24 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Rounds with a representative, before all pairs that are left are looked at; members of a group that meet in one block.
-STARS, BLOCK = 4, 2048
-#: Pairs of sketches that are compared at a time.
-PAIRS = 200_000
+#: Rounds up to the cells; members and shingles of a group that meet in one block of a cell.
+STARS, BLOCK, BLOCK_SHINGLES = 2, 2048, 1 << 20
+#: Pairs of sketches that are compared at a time; signatures of a member that tell which cell a pair belongs to.
+PAIRS, OWNERS = 200_000, 64
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -66,29 +73,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Texts are hashed by array operations in parts of at most so many bytes.
-ARRAY_BYTES = 1 << 16
+#: Texts are hashed by array operations in parts of at most so many bytes; longer words are hashed by themselves.
+ARRAY_BYTES, WORD_BYTES = 1 << 16, 32
 
 
 @functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random value for each byte; powers of an odd number and of its inverse, modulo 2**64."""
-    base = 0x9E3779B97F4A7C15
-    one = lambda x: np.multiply.accumulate(np.append(np.uint64(1), np.full(ARRAY_BYTES, x, np.uint64)))
-    return mix(np.arange(1, 257, dtype=np.uint64) * ODD[1]), one(base), one(pow(base, -1, 1 << 64))
+def _table() -> np.ndarray:
+    """A random value for each place in a word and byte."""
+    return mix(mix(np.arange(1, 256 * WORD_BYTES + 1, dtype=np.uint64) * ODD[1]) + ODD[3])
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of at most ``ARRAY_BYTES`` bytes of lower-case text."""
-    value, power, inverse = _powers()
+    """A 64-bit hash of each word of at most ``ARRAY_BYTES`` bytes of lower-case text: the sum of its bytes' values."""
     b = np.frombuffer(data, np.uint8)
     letter = np.zeros(len(b) + 2, np.int8)
     letter[1:-1] = (b != 32) & ((b < 9) | (b > 13))
     edge = np.flatnonzero(letter[1:] != letter[:-1])
-    start, end = edge[::2], edge[1::2]
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(value[b] * power[: len(b)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    at, first = np.flatnonzero(letter[1:-1]), np.cumsum(size) - size
+    place = np.arange(len(at)) - np.repeat(first, size)
+    long = np.flatnonzero(size > WORD_BYTES)
+    if len(long):
+        np.minimum(place, WORD_BYTES - 1, out=place)
+    out = mix(np.add.reduceat(_table()[(place << 8) | b[at]], first))
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return out
 
 
 def all_hashes(data: bytes) -> np.ndarray:
@@ -105,7 +117,7 @@ def all_hashes(data: bytes) -> np.ndarray:
         elif end < 0 or data[at : at + 1].strip():
             word = data[at:].split(None, 1)[0]
             end = at + len(word)
-            out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64) if len(word) > ARRAY_BYTES else word_hashes(word))
+            out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64) if len(word) > WORD_BYTES else word_hashes(word))
         else:
             end = at + 1
         at = end
@@ -158,57 +170,73 @@ def band_of(size: int, percent: int) -> int:
 
 
 @functools.cache
-def parts(i: int, percent: int) -> tuple[int, int]:
-    """(number of partitions, e) for the sets that meet in band ``i``: those of this band and of the one before."""
+def parts(i: int, percent: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, e) for the sets that meet in band ``i``: those of this band and of the one before."""
     low, high = band(max(0, i - 1), percent)[0], band(i, percent)[1]
     k = 2 * high * (100 - percent) // (100 + percent)
+    if k == 0:
+        return 1, 1, 0, 0
+    if k <= ENUMERATE:
+        return 1, k + 2, k, 0
     e = 0
     while True:
         n = k + 1 + e
         void = n * (1 - 1 / n) ** low
         if e >= void + 2 * void**0.5 or e > low:
-            return n, e
+            return n, 1, 0, e
         e += 1
 
 
 @functools.cache
-def _salts(i: int, percent: int) -> np.ndarray:
-    """A number for each partition of band ``i``."""
-    return mix(np.arange(parts(i, percent)[0], dtype=np.uint64) + np.uint64((i + 1) << 32))
+def subsets(n2: int, k2: int) -> np.ndarray:
+    """One row of ``n2`` flags for each subset of n2 - k2 partitions."""
+    return np.array([[c in s for c in range(n2)] for s in itertools.combinations(range(n2), n2 - k2)])
+
+
+@functools.cache
+def _salts(i: int, percent: int, level: int) -> np.ndarray:
+    """A number for each first-level partition and subset of band ``i``."""
+    n1, n2, k2, _ = parts(i, percent)
+    n = n1 * len(subsets(n2, k2))
+    return mix(np.arange(n, dtype=np.uint64) + np.uint64((i + 1 << 32) + (level << 56))).reshape(n1, -1)
 
 
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """64-bit signatures of a set that isn't empty."""
-    out, value = [], mix(shingles + np.uint64(1))
-    low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
-    own = band_of(len(shingles), percent)
+    out, own = [], band_of(len(shingles), percent)
     for i in (own, own + 1):
-        n, e = parts(i, percent)
-        if n == 1:
-            at = np.zeros(len(shingles), np.int64)
-        else:
-            at = (shingles % np.uint64(n)).astype(np.int64)
-        held = np.bincount(at, minlength=n) > 0
-        # The sum of the elements' mixed values, modulo 2**64; halves are summed apart, so the sums are exact.
-        total = np.bincount(at, low, n).astype(np.uint64) + (np.bincount(at, high, n).astype(np.uint64) << np.uint64(32))
-        sig = mix(total ^ _salts(i, percent))
-        out.append(sig if n - held.sum() > e else sig[held])
+        n1, n2, k2, e = parts(i, percent)
+        n, chosen = n1 * n2, subsets(n2, k2)
+        for level in range(LEVELS):
+            dealt = shingles if level == 0 else mix(shingles ^ np.uint64(level << 40))
+            value, at = mix(dealt + np.uint64(1)), (dealt % np.uint64(n)).astype(np.int64)
+            low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
+            held = np.bincount(at, minlength=n).reshape(n1, n2) > 0
+            # The sum of the elements' mixed values, modulo 2**64; halves are summed apart, so the sums are exact.
+            total = (np.bincount(at, low, n).astype(np.uint64) + (np.bincount(at, high, n).astype(np.uint64) << np.uint64(32))).reshape(n1, n2)
+            if n2 > 1:
+                held, total = (held[:, None, :] & chosen).any(2), np.where(chosen, total[:, None, :], np.uint64(0)).sum(2, dtype=np.uint64)
+            sig, done = mix(total ^ _salts(i, percent, level)), n1 - held.all(1).sum() <= e
+            out.append(sig.reshape(-1) if level == LEVELS - 1 and not done else sig[held])
+            if done:
+                break
     return np.concatenate(out)
 
 
-def classes_of(df: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """(key, n_shingles, class): the class is the hash of the set, null for the empty set."""
+def classes_of(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, h, n_shingles, class, bits) of (key, h, text): the class is the hash of the set, null for the empty set; bits are its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(words).of
         for batch in batches:
-            sets = [of(t) for at in range(0, batch.num_rows, SLICE_ROWS) for t in texts(batch.column(1).slice(at, SLICE_ROWS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], [key, "n_shingles", "class"])
+            sets = [of(t) for at in range(0, batch.num_rows, SLICE_ROWS) for t in texts(batch.column(2).slice(at, SLICE_ROWS))]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["key", "h", "n_shingles", "class", "bits"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, class long")
+    return df.select("key", "h", "text").mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, h long, n_shingles long, class long, bits binary")
 
 
-def signed(df: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+def signed(df: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, class) of all sets that aren't empty; a task signs equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +254,7 @@ def signed(df: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s in sigs]))], ["sig", "class"])
 
-    return df.select(text).mapInArrow(run, "sig long, class long")
+    return df.select("text").mapInArrow(run, "sig long, class long")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -292,24 +320,13 @@ def may_be_similar(bits: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, per
     return (bits * (100 + percent) <= (size_a + size_b) * (100 - percent)) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
 
 
-def texts_of(df: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(class, text, size, bits): a text for each class of ``wanted`` (class, key of one of its rows), its set's size and sketch."""
-    keys = wanted.select(F.col(key).alias("k"), "class")
+def texts_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, text): a text for each class of ``wanted`` (class, rep: key and h of one of its rows)."""
+    keys = wanted.select(F.col("rep.h").alias("wanted_h"), F.col("rep.key").alias("wanted_key"), "class")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingles(words).of
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                sets = [of(t or "") for t in part.column(1).to_pylist()]
-                ok = [i for i, (c, s) in enumerate(zip(part.column(0).to_pylist(), sets, strict=True)) if len(s) and set_hash(s) == c]
-                chosen = part.take(pa.array(ok, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array([len(sets[i]) for i in ok], pa.int64()), pa.array([sketch(sets[i]) for i in ok], pa.binary())], ["class", "text", "size", "bits"])
-
-    # A key may stand in several rows; only one with the class's set stays.
-    found = df.select(key, text).join(keys, F.col(key).eqNullSafe(F.col("k"))).select("class", text)
-    return found.mapInArrow(run, "class long, text string, size long, bits binary").groupBy("class").agg(*[F.first(c).alias(c) for c in ("text", "size", "bits")])
+    # Several rows may have the key and the text.
+    found = df.join(keys, (F.col("h") == F.col("wanted_h")) & F.col("key").eqNullSafe(F.col("wanted_key")))
+    return found.groupBy("class").agg(F.first("text").alias("text"))
 
 
 def plausible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -332,26 +349,76 @@ def plausible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def pairs_within(mixed: DataFrame, held: DataFrame, percent: int, block: int) -> DataFrame:
-    """The pairs (a, b) of classes in one group (sig, class, root, n members) but with different roots that sketches don't rule out.
+def first_rows(t: pa.RecordBatch) -> np.ndarray:
+    """The first row of each row's cell (sig, lo, hi)."""
+    keys = [t.column(c).to_numpy() for c in ("sig", "lo", "hi")]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], 0))
+    return np.maximum.accumulate(np.where(new, np.arange(t.num_rows), 0))
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come sorted by cell, in batches that split none."""
+    rest: list[pa.RecordBatch] = []  # rows of the cell that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest:
+            old = tuple(rest[0].column(c)[0].as_py() for c in ("sig", "lo", "hi"))
+            if old == tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("sig", "lo", "hi")):
+                rest.append(batch)
+                continue
+        t = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+        last = int(first_rows(t)[-1])
+        if last:
+            yield t.slice(0, last)
+        rest = [t.slice(last)]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def in_cells(mixed: DataFrame, held: DataFrame, block: int) -> DataFrame:
+    """The members of groups (sig, class, root, n members) dealt to cells of bounded size: any two blocks of a group meet in one.
 
-    Members of a group are dealt to blocks; every two blocks meet in a cell of bounded size.
+    ``least`` are the class's least signatures of open groups, in their order.
     """
+    sigs = mixed.groupBy(F.col("class").alias("c")).agg(F.slice(F.array_sort(F.collect_list("sig")), 1, OWNERS).alias("least"))
+    known = held.select(F.col("class").alias("k"), "size", "bits")
+    rows = mixed.join(sigs.join(known, F.col("c") == F.col("k")), F.col("class") == F.col("c")).select("sig", "class", "root", "n", "size", "bits", "least")
+    top = mixed.join(known.select("k", "size"), F.col("class") == F.col("k")).groupBy(F.col("sig").alias("s")).agg(F.max("size").alias("top"))
+    members = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_SHINGLES) / F.col("top"))))
+    blocks = F.ceil(F.col("n") / members).cast("int")
+    dealt = rows.join(top, F.col("sig") == F.col("s")).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return other.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "root", "size", "bits", "own", "least")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def first_rows(t: pa.RecordBatch) -> np.ndarray:
-            """The first row of each row's cell."""
-            keys = [t.column(c).to_numpy() for c in ("sig", "lo", "hi")]
-            new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], 0))
-            return np.maximum.accumulate(np.where(new, np.arange(t.num_rows), 0))
 
-        def cells(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def pairs_within(cells: DataFrame, percent: int, members: bool) -> DataFrame:
+    """What sketches don't rule out of each cell's pairs with different roots, each pair in the cell of its least common signature.
+
+    ``members``: the rows (sig, lo, hi, class, root) that have such a pair, which are no more than the cell's; else the pairs (a, b).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def owned(sig: int, i: np.ndarray, j: np.ndarray, least: list) -> np.ndarray:
+            """Whether no signature below ``sig`` is in the lists of both; lists that were cut may let a pair through twice."""
+            out = np.ones(len(i), bool)
+            for x in np.unique(i):
+                at = np.flatnonzero(i == x)
+                mine = least[x][least[x] < sig]
+                if len(mine):
+                    rows = [least[y] for y in j[at]]
+                    hit = np.isin(np.concatenate(rows), mine)
+                    out[at] = ~np.logical_or.reduceat(hit, np.cumsum([0, *map(len, rows[:-1])]))
+            return out
+
+        for t in whole_cells(batches):
             start = first_rows(t)
-            ids, roots, sizes, own = (t.column(c).to_numpy() for c in ("class", "root", "size", "own"))
-            same, bits = t.column("lo").to_numpy() == t.column("hi").to_numpy(), t.column("bits").to_pylist()
+            sig, ids, roots, sizes, own = (t.column(c).to_numpy() for c in ("sig", "class", "root", "size", "own"))
+            same, bits, least = t.column("lo").to_numpy() == t.column("hi").to_numpy(), t.column("bits").to_pylist(), t.column("least")
             width = np.array([len(x) for x in bits])
             words = {m: folded([x if len(x) >= m else bytes(m) for x in bits], m) for m in set(width.tolist())}
             before = np.arange(len(start)) - start  # rows of the cell that stand before the row
+            wanted = np.zeros(len(start), bool)
             for rows in np.split(np.arange(len(start)), np.flatnonzero(np.diff(np.cumsum(before) // PAIRS)) + 1):
                 i = np.repeat(rows, before[rows])
                 j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(before[rows]) - before[rows], before[rows])
@@ -362,30 +429,64 @@ def pairs_within(mixed: DataFrame, held: DataFrame, percent: int, block: int) ->
                     at = np.flatnonzero(m == w)
                     differ[at] = np.bitwise_count(held_words[i[at]] ^ held_words[j[at]]).sum(1)
                 ok = may_be_similar(differ, sizes[i], sizes[j], percent)
-                a, b = ids[i[ok]], ids[j[ok]]
-                if len(a):
-                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                lists = {x: least[x].values.to_numpy() for x in np.unique(np.append(i, j)).tolist()}
+                ok = np.concatenate([owned(sig[i[part[0]]], i[part], j[part], lists) for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(start[i])) + 1)])
+                i, j = i[ok], j[ok]
+                if members:
+                    wanted[i] = wanted[j] = True
+                elif len(i):
+                    both = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
+            if members and wanted.any():
+                yield t.select(["sig", "lo", "hi", "class", "root"]).filter(pa.array(wanted))
 
-        rest: list[pa.RecordBatch] = []  # the rows of the cell that may go on
-        for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
-                last = int(first_rows(t)[-1])
-                if last:
-                    yield from cells(t.slice(0, last))
-                rest = [t.slice(last)]
-        if rest:
-            yield from cells(rest[0])
+    rows = cells.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    return rows.mapInArrow(run, "sig long, lo int, hi int, class long, root long" if members else "a long, b long")
 
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    rows = mixed.join(held.select(F.col("class").alias("c"), "size", "bits"), F.col("class") == F.col("c")).withColumn("own", own)
-    cells = rows.select("sig", "class", "root", "size", "bits", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "root", "size", "bits", "own")
-    return cells.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
+def forests(members: DataFrame, held_texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links that join the members of each cell (sig, lo, hi, class, root) as far as similar sets do; fewer than members."""
 
-def verified(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingles(words).of
+
+        def links(cell: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+            ids, roots = cell.column("class").to_pylist(), cell.column("root").to_pylist()
+            sets = [of(x) for x in cell.column("text").to_pylist()]
+            bits, size, up = [sketch(s) for s in sets], np.array([len(s) for s in sets]), {r: r for r in roots}
+
+            def root(x: int) -> int:
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            for m in sorted({len(x) for x in bits}):
+                rows = [i for i, x in enumerate(bits) if len(x) >= m]
+                table = folded([bits[i] for i in rows], m)
+                for at, i in enumerate(rows):
+                    # Pairs of which the shorter sketch has m bytes.
+                    near = may_be_similar(np.bitwise_count(table[:at] ^ table[at]).sum(1, dtype=np.int64), size[rows[:at]], size[i], percent)
+                    for k in np.flatnonzero(near).tolist():
+                        j = rows[k]
+                        if min(len(bits[i]), len(bits[j])) == m and root(roots[i]) != root(roots[j]) and similar(sets[i], sets[j], percent):
+                            up[root(roots[i])] = root(roots[j])
+                            yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+        for t in whole_cells(batches):
+            cuts = [*np.unique(first_rows(t)).tolist(), t.num_rows]
+            found = [x for a, b in itertools.pairwise(cuts) for x in links(t.slice(a, b - a))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    rows = members.join(held_texts.select(F.col("class").alias("c"), "text"), F.col("class") == F.col("c")).drop("c")
+    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, held_texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +499,7 @@ def verified(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Dat
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    one, two = (held.select(F.col("class").alias(f"_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    one, two = (held_texts.select(F.col("class").alias(f"_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     joined = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")
 
@@ -407,9 +508,40 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _compared(pairs: DataFrame, held: DataFrame, work: Workspace, i: int, words: int, percent: int) -> DataFrame:
-    """The links among ``pairs``: sketches first, then texts."""
-    return work.write(verified(work.write(plausible(pairs, held, percent), f"pairs-{i}"), held, words, percent), f"links-{i}")
+class _Join:
+    """The tables that all rounds share."""
+
+    def __init__(self, df: DataFrame, work: Workspace, key: str, text: str, words: int, percent: int, block: int):
+        self.work, self.words, self.percent, self.block = work, words, percent, block
+        rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+        self.rows = rows.withColumn("h", F.xxhash64("text"))
+        self.own = work.write(classes_of(self.rows, words), "classes")
+        self.found = work.write(groups(signed(rows, words, percent)), "groups")
+        known = self.own.filter("class is not null")
+        first = known.groupBy("class").agg(F.min(F.struct("key", "h")).alias("rep"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
+        self.held = work.write(self.found.select("class").distinct().join(first, "class"), "held")
+
+    def texts(self, classes: DataFrame, name: str) -> DataFrame:
+        return self.work.write(texts_of(self.rows, self.held.join(classes.distinct(), "class").select("class", "rep")), f"texts-{name}")
+
+    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The links among ``pairs``: sketches first, then texts."""
+        left = self.work.write(plausible(pairs, self.held, self.percent), f"pairs-{name}")
+        held_texts = self.texts(left.select(F.explode(F.array("a", "b")).alias("class")), name)
+        out = self.work.write(verified(left, held_texts, self.words, self.percent), f"links-{name}")
+        self.dropped(f"pairs-{name}", f"texts-{name}")
+        return out
+
+    def joined_cells(self, open_groups: DataFrame) -> DataFrame:
+        """Links that join what is similar in open groups."""
+        members = self.work.write(pairs_within(in_cells(open_groups, self.held, self.block), self.percent, True), "members")
+        out = self.work.write(forests(members, self.texts(members.select("class"), "cells"), self.words, self.percent), "links-cells")
+        self.dropped("members", "texts-cells")
+        return out
+
+    def dropped(self, *names: str) -> None:
+        for name in names:
+            self.work.drop(name)
 
 
 def _joined(roots: DataFrame, links: DataFrame, work: Workspace, i: int) -> DataFrame:
@@ -429,33 +561,26 @@ def links(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text
     counts the other rows that a row is linked with.  A null class has none.  No pair is left out because others
     connect its ends, so the table grows with the number of links; :func:`link` is the form for components alone.
     """
-    df = df.select(key, text)
-    own = work.write(classes_of(df, key, text, words), "link-classes")
-    found = work.write(groups(signed(df, text, words, percent)), "link-groups")
-    sized = own.filter("class is not null").groupBy("class").agg(F.min(key).alias(key), F.count("*").alias("n_rows"))
-    held = work.write(texts_of(df, found.select("class").distinct().join(sized.select("class", key), "class"), key, text, words), "link-texts")
-    size = found.groupBy(F.col("sig").alias("s")).agg(F.count("*").alias("n"))
+    j = _Join(df, work, key, text, words, percent, block)
+    sized = j.own.filter("class is not null").groupBy("class").agg(F.count("*").alias("n_rows"))
+    size = j.found.groupBy(F.col("sig").alias("s")).agg(F.count("*").alias("n"))
     # Every class stands for itself as its root, so no pair counts as connected.
-    apart = found.join(size, F.col("sig") == F.col("s")).select("sig", "class", F.col("class").alias("root"), "n")
-    pairs = work.write(verified(work.write(pairs_within(apart, held, percent, block), "link-pairs"), held, words, percent), "links")
+    apart = j.found.join(size, F.col("sig") == F.col("s")).select("sig", "class", F.col("class").alias("root"), "n")
+    left = work.write(pairs_within(in_cells(apart, j.held, block), percent, False).distinct(), "link-pairs")
+    pairs = work.write(verified(left, j.texts(left.select(F.explode(F.array("a", "b")).alias("class")), "links"), words, percent), "links")
+    j.dropped("groups", "held", "link-pairs", "texts-links")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(sized.select(F.col("class").alias("b"), "n_rows"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n_rows").alias("others"))
     count = sized.join(others, F.col("class") == F.col("c"), "left").select(F.col("class").alias("k"), (F.col("n_rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    counted = own.join(count, F.col("class") == F.col("k"), "left").select(key, "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = j.own.join(count, F.col("class") == F.col("k"), "left").select(F.col("key").alias(key), "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return pairs, counted
 
 
 def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id (the least key that links reach) of every row."""
-    df = df.select(key, text)
-    own = work.write(classes_of(df, key, text, words), "classes")
-    found = work.write(groups(signed(df, text, words, percent)), "groups")
-    firsts = own.filter("class is not null").groupBy("class").agg(F.min(key).alias(key))
-    wanted = found.select("class").distinct().join(firsts, "class")
-    held = work.write(texts_of(df, wanted, key, text, words), "texts")
-
-    roots = components(links := _compared(_ordered(found, "class", "first"), held, work, 0, words, percent), work, "roots-0")
-    open_groups, new = found, True
+    j = _Join(df, work, key, text, words, percent, block)
+    links_ = j.compared(_ordered(j.found, "class", "first"), "0")
+    roots, open_groups, new = components(links_, work, "roots-0"), j.found, True
     for i in range(1, STARS + 1):
         if new:
             # Groups that links don't connect as a whole: their members with their components.  A group of two has been compared.
@@ -465,23 +590,22 @@ def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text"
             if open_groups.isEmpty():
                 break
         if i == STARS:
-            pairs = work.write(pairs_within(open_groups, held, percent, block), f"pairs-{i}")
-            found_links = work.write(verified(pairs, held, words, percent), f"links-{i}")
-        else:  # the member with most links, later any one
-            if i == 1:
-                degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-                rank = open_groups.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", "root", F.coalesce("count", F.lit(0)).alias("rank"))
-            else:
-                rank = open_groups.select("sig", "class", "root", F.xxhash64("sig", "class", F.lit(i)).alias("rank"))
+            found = j.joined_cells(open_groups)
+        else:  # the member with most links
+            degree = links_.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+            rank = open_groups.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", "root", F.coalesce("count", F.lit(0)).alias("rank"))
             heads = rank.groupBy(F.col("sig").alias("s")).agg(F.max(F.struct("rank", "class", "root")).alias("head"))
             pairs = _ordered(open_groups.join(heads, F.col("sig") == F.col("s")).filter("root != head.root").select("class", F.col("head.class").alias("head")), "class", "head")
-            found_links = _compared(pairs, held, work, i, words, percent)
-        new = not found_links.isEmpty()
+            found = j.compared(pairs, f"{i}")
+        new = not found.isEmpty()
         if new:
-            roots = _joined(roots, found_links, work, i)
+            roots = _joined(roots, found, work, i)
 
-    labels = firsts.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), key)
-    least = labels.groupBy("root").agg(F.min(key).alias("component_id"))
+    firsts = j.own.filter("class is not null").groupBy("class").agg(F.min("key").alias("key"))
+    labels = firsts.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "key")
+    least = labels.groupBy("root").agg(F.min("key").alias("component_id"))
     component = work.write(labels.select("class", "root").join(least, "root").select(F.col("class").alias("c"), "component_id"), "components")
-    linked = own.filter("class is not null").join(component, F.col("class") == F.col("c")).select(key, "n_shingles", "component_id")
-    return linked.unionByName(own.filter("class is null").select(key, "n_shingles", F.col(key).alias("component_id")))
+    j.dropped("groups", "held", *[f"open-{i}" for i in range(1, STARS + 1)])
+    linked = j.own.filter("class is not null").join(component, F.col("class") == F.col("c")).select("key", "n_shingles", "component_id")
+    alone = j.own.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"))
+    return linked.unionByName(alone).withColumnRenamed("key", key)
