@@ -45,7 +45,7 @@ def test_matching():
     assert matching.map_headers(["E Mail", "Qty", "zz"], ["email", "quantity", "other"]) == {"E Mail": "email", "Qty": "quantity"}
     assert matching.semantic_similarity("unit_price", "total_cost") == 0.8
     assert (matching.threshold(None), matching.threshold(20), matching.threshold(99), matching.threshold(70)) == (0.8, 0.5, 0.95, 0.7)
-    got = matching.layered_mapping(["Service Name", "unit price", "Customer ID", "mail"], "Service", ["email", "price"], custom={"mail": "email"})
+    got = matching.layered_mapping(["Service Name", "unit price", "Customer ID", "mail"], "Service", ["email", "price"], custom={"mail": "email"}, named=(*matching.RULES, (r"(.+)_id", r"\1_id")))
     assert got == {"Service Name": "service_name", "unit price": "price", "Customer ID": "customer_id", "mail": "email"}
     assert matching.add_columns_statement("t", [("a", "string")]) == "ALTER TABLE t ADD COLUMNS (`a` STRING)"
     patterns = {"Customer": {"required": ("customer",), "optional": ("email",)}, "Item": {"required": ("item",), "exclude": ("customer",)}}
@@ -103,7 +103,7 @@ def test_upsert_equals_the_fold(spark):
         code = pick("c", 15)
         rows.append((i, code, "" if code else pick("e", 5), f"x{r.randrange(6)}"))
     b = batch(spark, rows)
-    assert decided(upsert.resolve_chains(upsert.decide(b, table, ["code", "email"]))) == [(a, x, n) for a, x, n in decided(upsert.strict(b, table, ["code", "email"]))]
+    assert decided(upsert.decide(b, table, ["code", "email"])) == [(a, x, n) for a, x, n in decided(upsert.strict(b, table, ["code", "email"]))]
 
 
 def test_chains_over_two_keys_equal_the_fold(spark):
@@ -114,7 +114,7 @@ def test_chains_over_two_keys_equal_the_fold(spark):
     r = random.Random(8)
     mixed = [(200 + i, f"m{r.randrange(30)}" if r.random() < 0.7 else "", f"n{r.randrange(30)}" if r.random() < 0.7 else "", f"z{i}") for i in range(80)]
     b = batch(spark, chain + known_chain + mixed)
-    got = decided(upsert.resolve_chains(upsert.decide(b, table, ["code", "email"])))
+    got = decided(upsert.decide(b, table, ["code", "email"]))
     assert got == decided(upsert.strict(b, table, ["code", "email"]))
     assert {n for i, _, n in got if i < 20} == {"N0"} and {n for i, _, n in got if 100 <= i < 120} == {"R1"}
 
@@ -140,7 +140,42 @@ def test_second_run_skips(spark):
 def test_numbered_names(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, b string")
     taken = spark.createDataFrame([("a",), ("a-4",)], "name string")
-    assert {r["i"]: r["unique_name"] for r in upsert.numbered_names(df, "b", "i", taken).collect()} == {1: "a-5", 2: "a-6", 3: "b"}
+    assert {r["i"]: r["unique_name"] for r in upsert.numbered_names(df, "b", "i", taken).collect()} == {1: "a-1", 2: "a-2", 3: "b"}
+
+
+def fold_names(rows, taken):
+    used, out = set(taken), {}
+    for i, b in sorted(rows):
+        out[i] = next(x for x in (b if n == 0 else f"{b}-{n}" for n in range(99)) if x not in used)
+        used.add(out[i])
+    return out
+
+
+def test_names_never_collide(spark):
+    get = lambda rows, taken: {r["i"]: r["unique_name"] for r in upsert.numbered_names(spark.createDataFrame(rows, "i int, b string"), "b", "i", spark.createDataFrame([(t,) for t in taken], "name string")).collect()}
+    for rows, taken in (([(1, "a"), (2, "a"), (3, "a-1")], []), ([(1, "SKU-0003")], ["SKU-0003"]), ([(1, "a"), (2, "a-1"), (3, "a")], ["a", "a-2"]), ([(1, "x-7"), (2, "x-7")], ["x", "x-7", "x-7-1"])):
+        assert get(rows, taken) == fold_names(rows, taken)
+    assert get([(1, None), (2, "a")], ["a"]) == {1: None, 2: "a-1"} and get([], ["a"]) == {}
+    r = random.Random(2)
+    rows, taken = [(i, r.choice(("a", "a-1", "a-2", "b", "b-1-1"))) for i in range(40)], ["a", "a-3", "b-1", "a-1-1"]
+    got = get(rows, taken)
+    assert len(set(got.values())) == 40 and not set(got.values()) & set(taken)
+
+
+def test_equal_rows_and_written_keys(spark):
+    table = known(spark, [("R0", "k0", "", "")])
+    b = batch(spark, [(0, "k0", "new@x", "n"), (1, "", "new@x", "m"), (2, "q", "", "same"), (3, "q", "", "same"), (4, "z", "e1", ""), (5, "y", "e2", ""), (6, "y", "e1", "b"), (7, " ", None, "blank"), (8, None, "", "other")])
+    got = decided(upsert.decide(b, table, ["code", "email"]))
+    assert got == decided(upsert.strict(b, table, ["code", "email"]))
+    assert got == [(0, "UPDATE", "R0"), (1, "UPDATE", "R0"), (2, "INSERT", "N2"), (3, "SKIP", "N2"), (4, "INSERT", "N4"), (5, "INSERT", "N5"), (6, "UPDATE", "N5"), (7, "INSERT", "N7"), (8, "INSERT", "N8")]
+    r = random.Random(4)
+    pick = lambda p, n: f"{p}{r.randrange(n)}" if r.random() < 0.7 else ""
+    for n in (8, 25):
+        b = batch(spark, [(i, pick("c", n), pick("e", n), pick("x", 2)) for i in range(80)])
+        table = known(spark, [(f"R{i}", f"c{i}", f"e{i + 2}", "x0") for i in range(4)])
+        assert decided(upsert.decide(b, table, ["code", "email"])) == decided(upsert.strict(b, table, ["code", "email"]))
+    assert upsert.decide(b.filter("false"), table, ["code"]).count() == 0
+    assert {a for _, a, _ in decided(upsert.decide(b, table.filter("false"), []))} == {"INSERT", "SKIP"}
 
 
 def test_changed_fields(spark):

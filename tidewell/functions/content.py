@@ -15,9 +15,9 @@ from tidewell.functions.strings import blank, strip
 CURRENCY_START = "^(INR|USD|EUR|GBP|[$€£₹¥])"
 CURRENCY_MARKS = "INR|USD|EUR|GBP|[$€£₹¥, ]"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-DATE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})"
+DATE = r"^([0-9]{4}(-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{1,2}(-[0-9]{1,2}-|/[0-9]{1,2}/)[0-9]{4})"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-PHONE = r"^(\+[0-9]{10,15}|[0-9]{10,15}|(\+[0-9]{1,3}-?)?[0-9]{10,15}|\([0-9]{3,4}\)[0-9]{6,10})$"
+PHONE = r"^((\+([0-9]{1,3}-?)?)?[0-9]{10,15}|\([0-9]{3,4}\)[0-9]{6,10})$"
 BOOLEANS = ("1", "0", "true", "false", "yes", "no", "y", "n", "on", "off", "enabled", "disabled", "active", "inactive")
 TRUE = ("1", "true", "yes", "y", "on", "enabled", "active")
 DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "M/d/yyyy", "M-d-yyyy")
@@ -69,11 +69,14 @@ def to_number(c: Column, legacy: bool = True, paren_negative: bool = False) -> C
     return F.when(blank(c), F.lit(None).cast("double")).when(kept == "", F.lit(0.0 if legacy else None).cast("double")).otherwise(value)
 
 
-def to_integer(c: Column, legacy: bool = True) -> Column:
-    """Digits and hyphens are kept: with ``legacy`` the point goes too, so 12.5 is 125; without, it is an error."""
+def to_integer(c: Column, legacy: bool = True, zero: bool | None = None) -> Column:
+    """Digits and hyphens are kept: with ``legacy`` the point goes too, so 12.5 is 125; without, it is an error.
+
+    ``zero`` (``legacy`` if not given): a value without any digit is 0, not an error.
+    """
     kept = F.regexp_replace(c, "[^0-9-]" if legacy else "[^0-9.-]", "")
     value = F.when(kept.rlike("^-?[0-9]+$"), kept.try_cast("bigint"))
-    return F.when(blank(c), F.lit(None).cast("bigint")).when(kept == "", F.lit(0 if legacy else None).cast("bigint")).otherwise(value)
+    return F.when(blank(c), F.lit(None).cast("bigint")).when(kept == "", F.lit(0 if (legacy if zero is None else zero) else None).cast("bigint")).otherwise(value)
 
 
 def to_timestamp(c: Column, day_first: bool = False) -> Column:
@@ -99,12 +102,12 @@ def to_text(c: Column, length: int | None = None) -> Column:
     return F.substring(x, 1, length) if length else x
 
 
-def converted(c: Column, kind: str, length: int | None = None, legacy: bool = True, check_as_string: bool = False) -> Column:
-    """By field type."""
+def converted(c: Column, kind: str, length: int | None = None, legacy: bool = True, check_as_string: bool = False, zero: bool | None = None) -> Column:
+    """By field type; ``legacy`` strips the point of integers, ``zero`` (``legacy`` if not given) takes values without digits for 0."""
     if kind in ("Currency", "Float"):
-        return to_number(c, legacy)
+        return to_number(c, legacy if zero is None else zero)
     if kind == "Int":
-        return to_integer(c, legacy)
+        return to_integer(c, legacy, zero)
     if kind == "Date":
         return to_date(c)
     if kind == "Datetime":

@@ -25,7 +25,7 @@ HEADER_ALIASES = {
 }
 TABLE_ALIASES = {"Vendor": "Supplier", "Vendors": "Supplier", "Customers": "Customer", "Items": "Item", "Products": "Item", "Suppliers": "Supplier"}
 RECORD_PREFIXES = {"Supplier": "SUP", "Customer": "CUST", "Contact": "CONT", "Lead": "LEAD", "Item": "ITEM"}
-RESERVED_SQL = ("select", "insert", "update", "delete", "drop", "create", "alter", "table", "index", "where", "from", "join")
+RESERVED_SQL = ("user", "select", "insert", "delete", "update", "drop", "create", "alter")
 
 # ---- cleaners of names
 
@@ -128,6 +128,17 @@ def file_name(x: str) -> str:
 # ---- names of records
 
 
+def numbered_base(c: Column) -> Column:
+    """What counters are put behind: other characters become hyphens; 130 characters at most."""
+    return F.substring(F.regexp_replace(c, "[^a-zA-Z0-9_-]", "-"), 1, 130)
+
+
+def short_base(c: Column) -> Column:
+    """A shorter form that keeps blanks and drops other characters: 50 characters at most, never empty."""
+    cut = F.substring(F.regexp_replace(c, r"[^a-zA-Z0-9_\s-]", ""), 1, 50)
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("Unnamed")).when(cut == "", F.lit("Record")).otherwise(cut)
+
+
 def record_name(c: Column, table: str, fallback: Column | None = None) -> Column:
     """From an identifier: long digit runs keep their last eight, all else its safe characters; a blank one gets ``fallback``."""
     prefix = RECORD_PREFIXES.get(table, "REC")

@@ -35,6 +35,11 @@ def truthy(c: Column | str, kind: str = "string") -> Column:
     return F.when(c != {"string": F.lit(""), "boolean": F.lit(False)}.get(kind, F.lit(0)), c)
 
 
+def json_map(c: Column) -> Column:
+    """A JSON object as a map of texts; null if it can't be read."""
+    return F.from_json(c, "map<string,string>")
+
+
 def like_escaped(c: Column, text: str) -> Column:
     """``text`` stands in ``c``, with ``%`` and ``_`` taken as they are."""
     return c.contains(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.hashing import row_hash
@@ -15,11 +15,11 @@ from tidewell.operators.profile import uniqueness
 EXCLUDED = ("customer_id", "supplier_id", "user_id", "contact_id", "company_id", "parent_id", "owner_id", "created_by", "modified_by")
 FOREIGN = (("customer", "supplier", "contact", "user", "company", "parent", "owner"), ("_id", "_name"))
 KEY_WORDS = (
-    (80, "unique_identifier", ("_code", "_number", "_id", "sku", "barcode", "serial", "_no", "item_code")),
-    (90, "business_key", ("reference", "invoice_no", "po_number", "transaction_id", "order_id", "voucher_no", "receipt_no", "bill_no")),
-    (85, "natural_key", ("email", "phone", "mobile", "tax_id", "registration_no", "pan", "gstin", "ein", "ssn")),
+    (80, ("_code", "_number", "_id", "sku", "barcode", "serial", "_no", "item_code")),
+    (90, ("reference", "invoice_no", "po_number", "transaction_id", "order_id", "voucher_no", "receipt_no", "bill_no")),
+    (85, ("email", "phone", "mobile", "tax_id", "registration_no", "pan", "gstin", "ein", "ssn")),
 )
-MATCH_FROM = 70.0
+MATCH_FROM, BEST_UNIQUENESS = 70.0, 90
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def name_score(field: str) -> int:
     low = field.lower()
     if low in EXCLUDED or (low.endswith(FOREIGN[1]) and any(w in low for w in FOREIGN[0])):
         return -100
-    return max((s for s, _, words in KEY_WORDS if any(w in low for w in words)), default=0)
+    return max((s for s, words in KEY_WORDS if any(w in low for w in words)), default=0)
 
 
 def key_scores(target: DataFrame, fields: list[Field], sample: int | None = None) -> list[tuple[str, float]]:
@@ -58,6 +58,8 @@ def key_scores(target: DataFrame, fields: list[Field], sample: int | None = None
 
 
 def matching_keys(target: DataFrame, fields: list[Field], sample: int | None = None) -> list[str]:
+    """The fields that rows are matched by; values are only counted of those that could reach the score."""
+    fields = [f for f in fields if f.unique or name_score(f.name) + 0.5 * BEST_UNIQUENESS + 10 * f.indexed >= MATCH_FROM]
     return [name for name, score in key_scores(target, fields, sample) if score >= MATCH_FROM]
 
 
@@ -110,7 +112,7 @@ def changed_fields(columns: list[str], old: str = "old", new: str = "new") -> Co
 def backfill_hashes(table: DataFrame, columns: list[str]) -> DataFrame:
     """``table`` with a row_hash for records that lack one.
 
-    Equal records get different hashes by a number that grows with their place by name (with gaps between partitions).
+    Equal records get different hashes by their number in the order of names, so hashes are the same in every run.
     """
-    ordered = table.repartitionByRange("name").sortWithinPartitions("name").withColumn("_at", F.monotonically_increasing_id())
-    return ordered.withColumn("row_hash", F.coalesce("row_hash", row_hash(columns, F.col("_at")))).drop("_at")
+    place = F.row_number().over(Window.partitionBy(row_hash(columns)).orderBy("name")) - 1
+    return table.withColumn("_at", place).withColumn("row_hash", F.coalesce("row_hash", row_hash(columns, F.col("_at")))).drop("_at")

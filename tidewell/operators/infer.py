@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.content import bare_number, is_boolean, is_currency, is_date, is_email, is_number, is_phone
+from tidewell.functions.content import EMAIL, bare_number, is_boolean, is_currency, is_date, is_email, is_number, is_phone
 from tidewell.functions.strings import strip
 from tidewell.operators.profile import first_values
 
@@ -21,6 +21,7 @@ SCORED = (
     ("Email", (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",)),
     ("Phone", (r"^[+]?[1-9][0-9\s()-]{7,15}$",)),
 )
+#: Fixed values.
 FIELD_TYPES = {"Currency": "Currency", "Date": "Date", "Email": "Data", "Phone": "Phone", "ID": "Data", "Float": "Float", "Text": "Data"}
 SYSTEM_FIELDS = {"row_hash": "Data", "migration_source": "Data", "migration_batch": "Data", "last_import_date": "Datetime"}
 
@@ -97,6 +98,26 @@ def value_type(value: str) -> str:
     return "Text" if len(x) > 140 else "Data"
 
 
+def value_type_column(c: Column) -> Column:
+    """The same of a column."""
+    x = strip(c)
+    return (
+        F.when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.when(x.contains("."), "Float").otherwise("Int"))
+        .when(x.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})"), "Date")
+        .when(x.rlike(EMAIL), "Email")
+        .when(F.lower(x).isin("true", "false", "yes", "no", "y", "n", "on", "off"), "Check")
+        .when(F.length(x) > 140, "Text")
+        .otherwise("Data")
+    )
+
+
+def record_structure(rows: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """(key, field, value, field_type, is_empty): the fields of each record; values are cut after 100 characters."""
+    columns = columns or [c for c in rows.columns if c != key]
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("value")) for c in columns])
+    return rows.select(key, F.inline(fields)).select(key, "field", F.substring("value", 1, 100).alias("value"), value_type_column(F.col("value")).alias("field_type"), (strip(F.col("value")) == "").alias("is_empty"))
+
+
 def field_definition(header: str, kind: str, longest: int, by_name: bool = True) -> tuple[str, int | None]:
     """(field type, length): text types by length, then by words in the header (``by_name``)."""
     length: int | None = None

@@ -23,6 +23,7 @@ SEMANTIC_GROUPS = (
     ("status", "state", "condition"),
     ("type", "category", "class", "kind"),
 )
+#: Fixed values.
 SYNONYMS = (
     ("name", "title", "label", "display_name"),
     ("description", "desc", "details", "info", "notes"),
@@ -64,10 +65,28 @@ def schema_scores(headers: DataFrame, fields: DataFrame) -> DataFrame:
 
 def best_schema(scores: DataFrame, threshold: float) -> DataFrame:
     """The target with the best score for each source, if it reaches the threshold; equals go to the first name."""
-    best = scores.groupBy("source").agg(F.max_by(F.struct("target", "score"), F.struct("score", F.expr("-1 * hash(target)"))).alias("b"))
+    best = scores.groupBy("source").agg(F.min_by(F.struct("target", "score"), F.struct(-F.col("score"), "target")).alias("b"))
     return best.select("source", "b.target", "b.score").filter(F.col("score") >= threshold)
 
 
+def differences(a: Column, b: Column) -> tuple[Column, Column]:
+    """(what only the first array has, what only the second has)"""
+    return F.array_except(a, b), F.array_except(b, a)
+
+
+def all_types(custom: DataFrame, standard: DataFrame) -> DataFrame:
+    """The targets of both catalogs (target); ``custom`` tells where each comes from."""
+    return custom.select("target", F.lit(True).alias("custom")).unionByName(standard.select("target", F.lit(False).alias("custom")))
+
+
+def known_patterns(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """Files (file, schema_fingerprint) with the target of the registry entry of their schema, null where there is none.
+
+    The registry has one entry for each schema; it is left to the size limit of broadcasts how it is joined.
+    """
+    return files.join(registry.select("schema_fingerprint", "target"), "schema_fingerprint", "left")
+
+
 def threshold(setting: float | None) -> float:
     """A percentage as a share between 0.5 and 0.95; 0.8 if there is none."""
     return 0.8 if setting is None else max(0.5, min(setting / 100, 0.95))
@@ -118,16 +137,14 @@ def primary_column(headers: list[str]) -> str | None:
     return next((h for h in headers if any(w in h.lower() for w in PRIMARY)), None)
 
 
-def smart_rules(target: str) -> list[tuple[str, str]]:
-    """Ordered (pattern, field) rules; ``\\1`` stands for the pattern's group."""
-    base = re.sub(r"[^a-z0-9_]+", "_", target.lower()).strip("_")
-    return [
-        (f"{base}_?id", f"{base}_id"), (r"(.+)_id", r"\1_id"), ("id", "name"),
-        (f"{base}_?name", f"{base}_name"), (r"service[_\s-]*name|service[\s-]*type", "service_name"), ("name|title", "name"), (r"(.+)_name", r"\1_name"),
-        (r"base[_\s-]*price", "base_price"), (r"one[_\s-]*time[_\s-]*price", "one_time_price"), (r"unit[_\s-]*price", "price"), (r"default[_\s-]*price", "default_price"), ("price|cost|amount|rate", "price"),
-        ("description|desc|details|notes|remarks", "description"),
-        ("frequency", "frequency"), (r"active|is[_\s-]*active|enabled", "is_active"), ("status", "status"),
-    ]
+#: A small default of (pattern, field) rules, tried in order on the whole name; ``{table}`` stands for the target's name.
+RULES = (("{table}_?(id|name)", r"{table}_\1"), ("id|title", "name"), ("price|cost", "price"), ("state|status", "status"))
+
+
+def named_rules(target: str, rules: tuple[tuple[str, str], ...] = RULES) -> list[tuple[str, str]]:
+    """The rules for one target."""
+    table = snake(target)
+    return [(pattern.replace("{table}", table), field.replace("{table}", table)) for pattern, field in rules]
 
 
 def fields_alike(a: str, b: str) -> bool:
@@ -136,12 +153,12 @@ def fields_alike(a: str, b: str) -> bool:
     return a == b or any(a in g and b in g for g in SYNONYMS)
 
 
-def layered_mapping(headers: list[str], target: str, fields: list[str], universal: dict[str, str] | None = None, custom: dict[str, str] | None = None) -> dict[str, str | None]:
-    """Custom rules over smart ones over universal ones; then a similar mapped name; then a field of the target."""
+def layered_mapping(headers: list[str], target: str, fields: list[str], universal: dict[str, str] | None = None, custom: dict[str, str] | None = None, named: tuple[tuple[str, str], ...] = RULES) -> dict[str, str | None]:
+    """Custom rules over named ones (patterns) over universal ones; then a similar mapped name; then a field of the target."""
     rules: dict[str, str] = dict(universal or {})
     for h in headers:
         x = plain(h, dots=True)
-        for pattern, field in smart_rules(target):
+        for pattern, field in named_rules(target, named):
             if m := re.fullmatch(pattern, x):
                 rules[x] = m.expand(field)
                 break
@@ -165,6 +182,12 @@ def target_field(x: str, fields: list[str]) -> str | None:
     return next(iter(difflib.get_close_matches(x, fields, 1, 0.6)), None)
 
 
+def domain_mapping(target: str, table: dict[str, dict[str, str]]) -> dict[str, str]:
+    """The header-to-field table of the first domain whose name stands in the target's, as ``universal`` rules."""
+    low = target.lower()
+    return next((dict(rules) for domain, rules in table.items() if domain.lower() in low), {})
+
+
 def missing_fields(mapping: dict[str, str | None], kinds: dict[str, str]) -> list[tuple[str, str]]:
     """(field, SQL type) of headers without a field."""
     from tidewell.functions.content import SPARK_TYPES

@@ -54,9 +54,9 @@ def rates(counters: DataFrame) -> DataFrame:
 
 
 def most_frequent(df: DataFrame, column: str) -> DataFrame:
-    """The value with most rows, the first of equals, and its share."""
+    """The value with most rows, the least of equals, and its share."""
     by = df.groupBy(column).agg(F.count("*").alias("n"))
-    return by.agg(F.max_by(column, F.struct(F.col("n"), F.expr(f"-1 * conv(substr(md5({column}), 1, 8), 16, 10)"))).alias(column), F.max("n").alias("n"), F.sum("n").alias("total")).withColumn("share", F.round(F.col("n") / F.col("total"), 6))
+    return by.agg(F.min_by(column, F.struct(-F.col("n"), column)).alias(column), F.max("n").alias("n"), F.sum("n").alias("total")).withColumn("share", F.round(F.col("n") / F.col("total"), 6))
 
 
 def search(df: DataFrame, columns: list[str], text: str, order: list[Column], n: int = 100) -> DataFrame:
@@ -65,6 +65,30 @@ def search(df: DataFrame, columns: list[str], text: str, order: list[Column], n:
     return df.filter(found).orderBy(*order).limit(n)
 
 
+def catalog(types: DataFrame, excluded: tuple[str, ...] = (), active_only: bool = True) -> DataFrame:
+    """The types (target, is_active) that a user may choose: active ones, without those that are excluded."""
+    kept = types.filter(F.coalesce(F.col("is_active").cast("boolean"), F.lit(False))) if active_only else types
+    return kept.filter(~F.col("target").isin(list(excluded))) if excluded else kept
+
+
+def automation(files: DataFrame) -> DataFrame:
+    """Of files (file, status): how many there are, were imported, wait for approval and failed, and the share imported, in percent (0 without files)."""
+    n = lambda *s: F.count(F.when(F.col("status").isin(*s), 1))
+    counted = files.agg(F.count("*").alias("files"), n("completed").alias("imported"), n("approval_requested").alias("waiting"), n("failed").alias("failed"))
+    return counted.withColumn("automation_rate", F.round(F.coalesce(F.col("imported") * 100.0 / F.nullif(F.col("files"), F.lit(0)), F.lit(0.0)), 2))
+
+
+def users_with_roles(users: DataFrame, roles: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """The different (user, role) pairs of users (user, enabled) that are enabled, of the wanted roles if any are given."""
+    held = roles.filter(F.col("role").isin(list(wanted))) if wanted else roles
+    return users.filter(F.col("enabled").cast("boolean")).select("user").join(held.select("user", "role"), "user").distinct()
+
+
+def users_of_roles(users: DataFrame, roles: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """The users (user, ...) with any of the roles, each once."""
+    return users.join(roles.filter(F.col("role").isin(list(wanted))).select("user").distinct(), "user", "left_semi")
+
+
 def record_counts(types: DataFrame, records: DataFrame) -> DataFrame:
     """Each type (target) with the number of its records."""
     by = records.groupBy("target").agg(F.count("*").alias("records"))

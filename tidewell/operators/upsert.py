@@ -2,16 +2,22 @@
 
 Each row is skipped (its hash is known), updates a record (a ranked key finds
 one), inserts one, or fails validation.  Within a batch, order counts: the first
-row of a new key inserts and later ones update that record.  Keys are ranked
-once for a batch; new rows are linked key by key in that order.
+row of a new key inserts and later ones update that record, and of rows with one
+hash all but the first are skipped.  Keys are ranked once for a batch, and a value
+keeps finding the record that had it first.
+
+Defined cases: a null or blank key finds nothing; rows without a hash are never
+skipped; ``row_index`` and ``new_name`` are unique within the batch; an empty batch
+or table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.strings import filled
@@ -23,52 +29,62 @@ SYSTEM = ("row_hash", "last_import_date")
 
 
 def decide(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (with row_index, row_hash, errors and new_name) with ``action`` and ``record_name``.
+    """``rows`` (with row_index, row_hash, errors and new_name) with ``action`` and ``record_name``, as a fold over them in order gives.
 
-    A join a key with the target and one window a key over the rows whose value it lacks.  As in a fold over the
-    rows, the first key that finds something decides: a record of the target, or the first row with that value.
+    A join a key with the target; then, for each key, the first row of every value that the target lacks, by one
+    aggregate over narrow rows that is joined back.  The first ranked key that finds a record or an earlier row decides.
     """
-    out = match_by_keys(match_by_hash(rows, target), target, keys, each=True)
-    live = (F.size("errors") == 0) & F.col("hash_match").isNull()
+    work = Workspace(rows.sparkSession, "upsert")
+    matched = work.write(match_by_keys(match_by_hash(rows, target), target, keys, each=True), "matched")
+    row = F.struct(F.col("row_index").cast("bigint").alias("row_index"), F.col("new_name").cast("string").alias("new_name"))
+    sound = matched.filter((F.size("errors") == 0) & F.col("hash_match").isNull())
+    first = sound.filter("row_hash is not null").groupBy("row_hash").agg(F.min(row).alias("_first"))
+    twins = sound.select("row_index", "row_hash").join(first, "row_hash").filter(F.col("_first.row_index") < F.col("row_index")).select(F.col("row_index").alias("_t"), F.col("_first.new_name").alias("_twin"))
+    out = work.write(matched.join(twins, F.col("row_index") == F.col("_t"), "left").drop("_t"), "rows")
+    live = out.filter((F.size("errors") == 0) & F.col("hash_match").isNull() & F.col("_twin").isNull())
     hits = []
     for i, k in enumerate(keys):
-        value = filled(F.col(f"`{k}`").cast("string"))
-        # Rows without the key stand alone in the window, so blanks aren't a hot group.
-        own = F.when(live & F.col(f"_m{i}").isNull() & value.isNotNull(), value)
-        row = F.struct(F.col("row_index").cast("bigint").alias("row_index"), F.col("new_name").cast("string").alias("new_name"))
-        out = out.withColumn(f"_l{i}", F.when(own.isNotNull(), F.min(row).over(Window.partitionBy(own, F.when(own.isNull(), F.col("row_index"))))))
-        hits.append(F.coalesce(F.col(f"_m{i}"), F.when(F.col(f"_l{i}.row_index") < F.col("row_index"), F.col(f"_l{i}.new_name"))))
-    # A leader may itself follow another row by another key; see resolve_chains.
-    out = out.withColumn("_hit", F.coalesce(*hits, F.lit(None).cast("string")))
-    action = F.when(F.size("errors") > 0, "FAILED").when(F.col("hash_match").isNotNull(), "SKIP").when(F.col("_hit").isNotNull(), "UPDATE").otherwise("INSERT")
-    name = F.when(F.size("errors") > 0, F.lit(None)).otherwise(F.coalesce("hash_match", "_hit", "new_name"))
-    out = out.withColumn("action", action).withColumn("record_name", name)
-    return out.drop("_hit", "hash_match", "key_match", *[f"_{x}{i}" for i in range(len(keys)) for x in "lm"])
-
-
-def resolve_chains(decided: DataFrame) -> DataFrame:
-    """Rows that update a record whose own row became an update follow it to the record that was inserted.
+        own = live.filter(F.col(f"_m{i}").isNull()).withColumn("_value", filled(F.col(f"`{k}`").cast("string"))).filter("_value is not null")
+        leads = own.groupBy("_value").agg(F.min(row).alias("_lead"))
+        hits.append(own.select("row_index", "_value").join(leads, "_value").filter(F.col("_lead.row_index") < F.col("row_index")).select("row_index", F.struct(F.lit(i).alias("rank"), F.col("_lead.new_name").alias("name")).alias("hit")))
+    found = F.lit(None).cast("string")
+    if keys:
+        best = reduce(DataFrame.unionByName, hits).groupBy(F.col("row_index").alias("_t")).agg(F.min("hit").alias("_hit"))
+        out = out.join(best, F.col("row_index") == F.col("_t"), "left").drop("_t")
+        found = F.coalesce(*[x for i in range(len(keys)) for x in (F.col(f"_m{i}"), F.when(F.col("_hit.rank") == i, F.col("_hit.name")))])
+    action = F.when(F.size("errors") > 0, "FAILED").when(F.coalesce("hash_match", "_twin").isNotNull(), "SKIP").when(found.isNotNull(), "UPDATE").otherwise("INSERT")
+    name = F.when(F.size("errors") > 0, F.lit(None)).otherwise(F.coalesce("hash_match", "_twin", found, "new_name"))
+    out = out.withColumns({"action": action, "record_name": name})
+    # A row that others follow may itself follow another one by another key.
+    return _followed(out.drop("hash_match", "key_match", "_twin", "_hit", *[f"_m{i}" for i in range(len(keys))]), work)
+
+
+def _followed(decided: DataFrame, work: Workspace) -> DataFrame:
+    """Rows that follow a row which became an update get the record that was inserted or found.
 
     The links are written and doubled in reach until none moves, so chains of any length end at their record.
     """
-    work, i = Workspace(decided.sparkSession, "chains"), 0
-    links = work.write(decided.filter("action = 'UPDATE' and new_name != record_name").select(F.col("new_name").alias("_n"), F.col("record_name").alias("_to")).distinct(), "0")
+    decided, i = work.write(decided, "decided"), 0
+    links = work.write(decided.filter("action = 'UPDATE' and new_name != record_name").select(F.col("new_name").alias("_n"), F.col("record_name").alias("_to")), "links-0")
     while True:
         hops = links.select(F.col("_n").alias("_m"), F.col("_to").alias("_next"))
-        longer = work.write(links.select("_n", "_to").join(hops, F.col("_to") == F.col("_m"), "left").select("_n", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")), f"{i + 1}")
-        work.drop(f"{i}")
+        longer = work.write(links.select("_n", "_to").join(hops, F.col("_to") == F.col("_m"), "left").select("_n", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")), f"links-{i + 1}")
+        work.drop(f"links-{i}")
         links, i = longer, i + 1
         if links.filter("_moved").isEmpty():
             break
         if i > 64:  # rows only follow earlier ones
             raise ValueError("rows follow each other in a circle; new_name must be unique")
-    return decided.join(links.drop("_moved"), (F.col("action") == "UPDATE") & (F.col("record_name") == F.col("_n")), "left").withColumn("record_name", F.coalesce("_to", "record_name")).drop("_n", "_to")
+    work.drop("matched")
+    work.drop("rows")
+    return decided.join(links.drop("_moved"), F.col("record_name") == F.col("_n"), "left").withColumn("record_name", F.coalesce("_to", "record_name")).drop("_n", "_to")
 
 
-def merge(decided: DataFrame, target: DataFrame, columns: list[str], imported_at) -> DataFrame:
+def merge(decided: DataFrame, target: DataFrame, columns: list[str], imported_at, **stamps: Column) -> DataFrame:
     """The table after the batch: untouched, updated and inserted records.
 
-    Per record and field the last filled value wins; an empty value never overwrites.
+    Per record and field the last filled value wins; an empty value never overwrites.  ``stamps`` are further
+    columns of the target that records of the batch get.
     """
     changes = decided.filter(F.col("action").isin("INSERT", "UPDATE")).groupBy(F.col("record_name").alias("_name"))
     newest = [F.max(F.when(filled(F.col(f"`{c}`").cast("string")).isNotNull(), F.struct("row_index", F.col(f"`{c}`").alias("v")))).getField("v").alias(f"_{c}") for c in columns]
@@ -76,7 +92,8 @@ def merge(decided: DataFrame, target: DataFrame, columns: list[str], imported_at
     both = target.join(last, F.col("name") == F.col("_name"), "full_outer")
     values = [F.coalesce(F.col(f"`_{c}`"), F.col(f"`{c}`")).alias(c) for c in columns]
     date = F.when(F.col("_name").isNotNull(), imported_at).otherwise(F.col("last_import_date"))
-    return both.select(F.coalesce("name", "_name").alias("name"), *values, F.coalesce("_row_hash", "row_hash").alias("row_hash"), date.alias("last_import_date"))
+    stamped = [F.when(F.col("_name").isNotNull(), v).otherwise(F.col(c)).alias(c) for c, v in stamps.items()]
+    return both.select(F.coalesce("name", "_name").alias("name"), *values, F.coalesce("_row_hash", "row_hash").alias("row_hash"), date.alias("last_import_date"), *stamped)
 
 
 def counts(decided: DataFrame) -> DataFrame:
@@ -110,6 +127,8 @@ def strict(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
                 out.append((r["row_index"], "SKIP", hashes[r["row_hash"]]))
                 continue
             name = hit or r["new_name"]
+            if isinstance(r["row_hash"], str):
+                hashes[r["row_hash"]] = name
             for i, v in enumerate(values):
                 if v:
                     by[i].setdefault(v, name)
@@ -121,13 +140,38 @@ def strict(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered_names(rows: DataFrame, base: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """``rows`` with ``unique_name``: base, base-1, base-2 ... in order, after those that are taken (name)."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1)
-    if taken is not None:
-        used = taken.select(F.regexp_replace("name", "-[0-9]+$", "").alias("_b"), F.coalesce(F.regexp_extract("name", "-([0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("_u"))
-        used = used.groupBy("_b").agg((F.max("_u") + 1).alias("_from"))
-        numbered = numbered.join(used, F.col(base) == F.col("_b"), "left").withColumn("_n", F.col("_n") + F.coalesce("_from", F.lit(0))).drop("_b", "_from")
-    return numbered.withColumn("unique_name", F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("_n").cast("string")))).drop("_n")
+    """``rows`` with ``unique_name``: base, base-1, base-2 ... in order, each the first that is free among taken names (name).
+
+    Where two bases come to one name, the earlier row has it and the other takes its next one, until none
+    collides.  A null base has no name.
+    """
+    work, i = Workspace(rows.sparkSession, "names"), 0
+    rows = work.write(rows.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    open_ = rows.select("_id", F.col(base).alias("_b"), F.col(order).alias("_o")).filter("_b is not null")
+    names = taken.select("name").filter("name is not null").distinct() if taken is not None else rows.sparkSession.createDataFrame([], "name string")
+    done = None
+    while True:
+        named = work.write(_first_free(open_, names), f"named-{i}")
+        firsts = named.groupBy(F.col("_name").alias("_f")).agg(F.min(F.struct("_o", "_id")).alias("_w"))
+        judged = work.write(named.join(firsts, F.col("_name") == F.col("_f")).select("_id", "_b", "_o", "_name", (F.col("_id") == F.col("_w._id")).alias("_won")), f"judged-{i}")
+        won, open_ = judged.filter("_won").select("_id", F.col("_name").alias("unique_name")), judged.filter("not _won").select("_id", "_b", "_o")
+        done = won if done is None else done.unionByName(won)
+        if open_.isEmpty():
+            return rows.join(done, "_id", "left").drop("_id")
+        names, i = names.unionByName(won.select(F.col("unique_name").alias("name"))), i + 1
+
+
+def _first_free(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (_id, _b, _o) with _name: the n-th row of a base gets its n-th number that isn't taken (0: the base alone)."""
+    split = names.filter(F.col("name").rlike("-[1-9][0-9]{0,17}$")).select(F.regexp_extract("name", "^(.*)-[0-9]+$", 1).alias("_b"), F.regexp_extract("name", "-([0-9]+)$", 1).cast("bigint").alias("_n"))
+    used = names.select(F.col("name").alias("_b"), F.lit(0).cast("bigint").alias("_n")).unionByName(split).distinct().join(rows.select("_b").distinct(), "_b", "left_semi")
+    # The j-th taken number t stands before t - j free ones; so many taken numbers precede the n-th free one as have t - j <= n.
+    gaps = used.select("_b", (F.col("_n") - F.row_number().over(Window.partitionBy("_b").orderBy("_n")) + 1).alias("_p"), F.lit(0).alias("_kind"))
+    wanted = rows.withColumns({"_p": (F.row_number().over(Window.partitionBy("_b").orderBy("_o", "_id")) - 1).cast("bigint"), "_kind": F.lit(1)})
+    both = wanted.unionByName(gaps, allowMissingColumns=True)
+    before = F.count(F.when(F.col("_kind") == 0, 1)).over(Window.partitionBy("_b").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = both.withColumn("_n", F.col("_p") + before).filter("_kind = 1")
+    return numbered.select("_id", "_b", "_o", F.when(F.col("_n") == 0, F.col("_b")).otherwise(F.concat("_b", F.lit("-"), F.col("_n").cast("string"))).alias("_name"))
 
 
 def recommendations(success: int, updated: int, skipped: int, failed: int) -> list[str]:

@@ -7,7 +7,8 @@ import re
 import shutil
 from dataclasses import dataclass, fields
 
-REMOTE_MODULES = ("Leads", "Contacts", "Accounts", "Deals", "Tasks", "Events", "Calls", "Products", "Quotes", "Invoices", "Vendors", "Cases", "Solutions", "Campaigns")
+#: Fixed values.
+REMOTE_MODULES = ("Leads", "Contacts", "Accounts", "Deals", "Tasks", "Events", "Calls", "Products", "Quotes", "Sales_Orders", "Purchase_Orders", "Invoices", "Campaigns", "Suppliers")
 
 
 def cast(value: str, like: object):
@@ -35,8 +36,8 @@ class Settings:
     keep_days: int = 30
     max_file_bytes: int = 100 * 1024 * 1024
     suffixes: tuple = (".csv", ".xlsx", ".xls")
-    # Ways of the former tool that its users may rely on; the defaults are the sane ones.
-    int_strip_point: bool = True
+    # Ways of the former tool that its users may rely on; by default a value that doesn't fit its type fails its row.
+    int_strip_point: bool = False
     nonnumeric_as_zero: bool = False
     hash_with_row_number: bool = True
     max_rows_per_file: int = 0  # 0: all

@@ -23,6 +23,9 @@ from tidewell.sources.delimited import read_strings
 from tidewell.sources.files import Folder
 
 
+STAGED_BY = ("run_id", "target")
+
+
 @dataclass
 class Result:
     """What became of a file; ``target`` is always set."""
@@ -59,7 +62,7 @@ class Importer:
 
     def records(self, target: str) -> DataFrame:
         fields = self.tables()[target]
-        schema = ", ".join(["name string", *(f"`{f.name}` {SPARK_TYPES.get(f.kind, 'string')}" for f in fields), "row_hash string", "last_import_date timestamp"])
+        schema = ", ".join(["name string", *(f"`{f.name}` {SPARK_TYPES.get(f.kind, 'string')}" for f in fields), "row_hash string", "last_import_date timestamp", "migration_source string", "migration_batch string"])
         return self.store.read(self._table(target), schema)
 
     def _table(self, target: str) -> str:
@@ -78,7 +81,9 @@ class Importer:
         return {"fields": {c: list(d) for c, d in fields.items()}, "unique": key, "total": total}
 
     def fields_of(self, analysis: dict) -> list[Field]:
-        return [Field(naming.field_name(c), kind, unique=c == analysis["unique"], length=length) for c, (kind, length) in analysis["fields"].items()]
+        """Fields of a new table; the system's own columns are added by :meth:`records`."""
+        fields = {c: d for c, d in infer.table_fields({c: tuple(d) for c, d in analysis["fields"].items()}).items() if c in analysis["fields"]}
+        return [Field(naming.field_name(c), kind, unique=c == analysis["unique"], length=length) for c, (kind, length) in fields.items()]
 
     def match(self, headers: list[str]) -> tuple[str | None, float]:
         """The known table whose fields fit the headers best, and its score."""
@@ -119,7 +124,7 @@ class Importer:
         by = {f.name: f for f in fields}
         headers = [c for c in rows.columns if not c.startswith("_")]
         mapping = matching.map_headers(headers, list(by))
-        self.store.append("staging", state.staged(rows, target, session), "target")
+        self.store.append("staging", state.staged(rows, target, session), *STAGED_BY)
         staging = self.store.read("staging").filter((F.col("run_id") == session) & (F.col("target") == target))
         if self.settings.max_rows_per_file:
             staging = state.pending(staging, target, self.settings.max_rows_per_file)
@@ -132,19 +137,19 @@ class Importer:
         rows_ = renamed.withColumn("row_hash", row_hash([f"raw {h}" for h in headers], number))
         last = {f: h for h, f in mapping.items()}  # two columns of one field: the last in the file wins
         mapped = rows_.select("row_index", "source_file", "raw", "row_hash", *[(F.col(f"raw {last[f]}") if f in last else F.lit(None).cast("string")).alias(f) for f in by])
-        legacy = self.settings.nonnumeric_as_zero or self.settings.int_strip_point
-        checked = validate(mapped, fields, legacy=legacy)
-        values = [converted(F.col(f"`{f.name}`"), f.kind, f.length, legacy, self.settings.check_as_string).alias(f.name) for f in fields]
+        legacy, zero = self.settings.int_strip_point, self.settings.nonnumeric_as_zero
+        checked = validate(mapped, fields, legacy=legacy, zero=zero)
+        values = [converted(F.col(f"`{f.name}`"), f.kind, f.length, legacy, self.settings.check_as_string, zero).alias(f.name) for f in fields]
         primary = matching.primary_column(list(last)) if last else None
         fallback = F.concat(F.lit(naming.snake(target)[:5] + "-"), F.col("row_hash"))
         name = naming.record_name(F.col(f"`{primary}`"), target, fallback) if primary else fallback
         typed = checked.select("row_index", "source_file", "raw", "row_hash", "errors", "error_log", name.alias("_base"), *values)
         table = self.records(target)
         typed = upsert.numbered_names(typed, "_base", "row_index", table.select("name")).withColumnRenamed("unique_name", "new_name").drop("_base")
-        # Written before and after chains are followed; the merge, the log, staging and the counts all read the latter.
+        # The merge, the log, staging and the counts all read what is written here.
         decided = self.store.replace("decided", upsert.decide(typed, table, matching_keys(table, fields)))
-        decided = self.store.replace("decided", upsert.resolve_chains(decided))
-        merged = upsert.merge(decided, table, list(by), state.now())
+        source = rows.select("_source_file").first()
+        merged = upsert.merge(decided, table, list(by), state.now(), migration_source=F.lit(source[0] if source else None).cast("string"), migration_batch=F.lit(session))
         self.store.replace(self._table(target), merged)
         log = self.store.read("import_log", state.IMPORT_LOG)
         self.store.append("import_log", state.new_log_entries(state.log_entries(decided, session, target), log))
@@ -155,12 +160,12 @@ class Importer:
         """Staged rows get their status and messages."""
         status = F.create_map(*[F.lit(x) for x in ("INSERT", "Processed", "UPDATE", "Processed", "SKIP", "Skipped", "FAILED", "Failed")])
         done = decided.select(F.col("row_index").alias("_i"), status[F.col("action")].alias("_status"), F.nullif("error_log", F.lit("")).alias("_log"))
-        staging = self.store.read("staging", state.STAGING)
-        mine = (F.col("run_id") == session) & (F.col("target") == target)
-        joined = staging.join(done, mine & (F.col("row_index") == F.col("_i")), "left")
+        # Staging is partitioned by run, so earlier runs are neither read nor written.
+        staging = self.store.read("staging", state.STAGING).filter((F.col("run_id") == session) & (F.col("target") == target))
+        joined = staging.join(done, F.col("row_index") == F.col("_i"), "left")
         kind = F.when(F.col("_log").isNotNull(), error_category(F.col("_log")))
         out = joined.withColumns({"status": F.coalesce("_status", "status"), "error_log": F.coalesce("_log", "error_log"), "error_type": F.coalesce(kind, "error_type"), "processed_at": F.when(F.col("_status").isNotNull(), state.now()).otherwise(F.col("processed_at"))})
-        self.store.replace("staging", out.select(*staging.columns), "target")
+        self.store.replace_parts("staging", out.select(*staging.columns), *STAGED_BY)
 
     # ---- requests and folders
 
@@ -206,7 +211,7 @@ class Importer:
 
     def clean(self, cutoff) -> None:
         """Finished staging rows and requests from before ``cutoff`` (a timestamp column) go."""
-        self.store.replace("staging", state.cleaned(self.store.read("staging", state.STAGING), cutoff), "target")
+        self.store.replace("staging", state.cleaned(self.store.read("staging", state.STAGING), cutoff), *STAGED_BY)
         requests = self.store.read("requests", state.REQUESTS)
         old = F.col("status").isin("Completed", "Rejected", "Failed") & (F.col("created_at") < cutoff)
         self.store.replace("requests", requests.filter(~F.coalesce(old, F.lit(False))))

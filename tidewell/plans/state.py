@@ -1,7 +1,7 @@
 """State as Parquet tables: staging, import log, schema registry, creation requests, records.
 
 A table is a folder of versions; a new version is written whole and becomes
-current by one small pointer file, so readers never see half a write and a lost
+current by one small numbered pointer file (the highest number holds), so readers never see half a write and a lost
 executor costs a task, not the table.  Appended tables only ever get new files.
 """
 
@@ -43,18 +43,24 @@ class Store:
     def _at(self, *parts: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
-    def current(self, name: str) -> tuple[str, str] | None:
-        """(version, schema as JSON)"""
-        pointer = self._at(name, "_CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointer files, oldest first."""
+        folder = self._at(name)
+        return sorted(x for s in self._fs.listStatus(folder) if (x := s.getPath().getName()).startswith("_V-")) if self._fs.exists(folder) else []
+
+    def _pointed(self, name: str, pointer: str) -> tuple[str, str]:
+        stream = self._fs.open(self._at(name, pointer))
         try:
             version, _, schema = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream)).readLine().partition(" ")
             return version, schema
         finally:
             stream.close()
 
+    def current(self, name: str) -> tuple[str, str] | None:
+        """(version, schema as JSON)"""
+        found = self._pointers(name)
+        return self._pointed(name, found[-1]) if found else None
+
     def read(self, name: str, schema: str | None = None) -> DataFrame | None:
         now = self.current(name)
         if now is None:
@@ -63,21 +69,31 @@ class Store:
         return self.spark.read.schema(kept).parquet(f"{self.path}/{name}/{now[0]}").select(*[f"`{c}`" for c in kept.names])
 
     def replace(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
-        """Write a new version; the one before stays for readers that hold it, older ones go."""
-        version, old = uuid.uuid4().hex, (self.current(name) or ("",))[0]
+        """Write a new version; the one before stays for readers that hold it, older ones go.
+
+        A version counts from the moment its pointer has its name, by one rename; a writer that comes second fails.
+        """
+        version, pointers = uuid.uuid4().hex, self._pointers(name)
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.path}/{name}/{version}")
-        pending = self._at(name, f"_CURRENT-{version}")
+        pending, pointer = self._at(name, f"_pending-{version}"), f"_V-{int(pointers[-1][3:]) + 1 if pointers else 0:012d}"
         stream = self._fs.create(pending, True)
         stream.write(bytearray(f"{version} {df.schema.json()}", "utf-8"))
         stream.close()
-        self._fs.delete(self._at(name, "_CURRENT"), False)
-        self._fs.rename(pending, self._at(name, "_CURRENT"))
+        if self._fs.exists(self._at(name, pointer)) or not self._fs.rename(pending, self._at(name, pointer)):
+            raise RuntimeError(f"table {name} was replaced by another writer")
+        kept = {version, *(self._pointed(name, p)[0] for p in pointers[-1:])}
+        for p in pointers[:-1]:
+            self._fs.delete(self._at(name, p), False)
         for status in self._fs.listStatus(self._at(name)):
-            if status.isDirectory() and status.getPath().getName() not in (version, old):
+            if status.isDirectory() and status.getPath().getName() not in kept:
                 self._fs.delete(status.getPath(), True)
         return self.read(name)
 
+    def replace_parts(self, name: str, df: DataFrame, *partition_by: str) -> None:
+        """Write the partitions that ``df`` has over those of the current version; others aren't read or written."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(f"{self.path}/{name}/{self.current(name)[0]}")
+
     def append(self, name: str, df: DataFrame, *partition_by: str) -> None:
         now = self.current(name)
         if now is None:

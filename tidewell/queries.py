@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import content, messages, naming
 from tidewell.functions.hashing import row_hash, schema_fingerprint_column
-from tidewell.functions.strings import blank, strip
+from tidewell.functions.strings import blank, json_map, strip
 from tidewell.operators import identity, infer, matching, profile, reports, upsert, validation
 from tidewell.operators.identity import Field
 from tidewell.plans import state
+from tidewell.sources.delimited import read_strings
+from tidewell.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,11 +95,14 @@ def uniqueness_orders(spark, sf_dir):
     return profile.uniqueness(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query(f"SELECT column_name, CAST(0 + 0.5 * score AS DOUBLE) AS total FROM ({_uniqueness_sql('lineitem', ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber'))})")
+_KEY_NAMES = {"l_orderkey": "order_id", "l_partkey": "item_code", "l_suppkey": "supplier_id", "l_linenumber": "serial_no"}
+
+
+@query(f"SELECT CASE column_name WHEN 'l_orderkey' THEN 'order_id' WHEN 'l_partkey' THEN 'item_code' ELSE 'serial_no' END AS field, CAST(CASE column_name WHEN 'l_orderkey' THEN 90 ELSE 80 END + 0.5 * score AS DOUBLE) AS total FROM ({_uniqueness_sql('lineitem', ('l_orderkey', 'l_partkey', 'l_linenumber'))}) WHERE CASE column_name WHEN 'l_orderkey' THEN 90 ELSE 80 END + 0.5 * score > 0")
 def key_score_lineitem(spark, sf_dir):
-    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    names = F.create_map(*[F.lit(x) for c in columns for x in (c, identity.name_score(c))])
-    return profile.uniqueness(table(spark, sf_dir, "lineitem"), columns).select("column_name", (names[F.col("column_name")] + 0.5 * F.col("score")).cast("double").alias("total"))
+    rows = table(spark, sf_dir, "lineitem").select(*[F.col(c).alias(n) for c, n in _KEY_NAMES.items()])
+    scores = identity.key_scores(rows, [Field(n) for n in _KEY_NAMES.values()])  # a row for each column
+    return spark.createDataFrame(scores, "field string, total double")
 
 
 def _vote_sql(name: str, order: str, columns: dict[str, str]) -> str:
@@ -138,19 +143,28 @@ def pattern_scores_pages(spark, sf_dir):
     return infer.pattern_scores(pages)
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')")
+def _words_sql(test: str) -> str:
+    return f"SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: {test})) > 0"
+
+
+def _docs_with(spark: SparkSession, sf_dir: str, test) -> DataFrame:
+    """Documents with a word that looks so."""
+    return table(spark, sf_dir, "documents").filter(F.exists(F.split("text", "[ \\t\\n\\r]+"), test)).select("doc_id")
+
+
+@query(_words_sql("regexp_full_match(w, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')"))
 def email_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike(content.EMAIL.strip("^$"))).select("doc_id")
+    return _docs_with(spark, sf_dir, content.is_email)
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])[0-9]{10,15}([^0-9]|$)')")
+@query(_words_sql("regexp_full_match(regexp_replace(w, '[^0-9+()-]', '', 'g'), '(\\+([0-9]{1,3}-?)?)?[0-9]{10,15}|\\([0-9]{3,4}\\)[0-9]{6,10}')"))
 def phone_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("(^|[^0-9])[0-9]{10,15}([^0-9]|$)")).select("doc_id")
+    return _docs_with(spark, sf_dir, content.is_phone)
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[$€£₹¥]')")
+@query(_words_sql("regexp_matches(w, '^(INR|USD|EUR|GBP|[$€£₹¥])')"))
 def currency_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("[$€£₹¥]")).select("doc_id")
+    return _docs_with(spark, sf_dir, content.is_currency)
 
 
 # ---- names
@@ -306,12 +320,22 @@ def ranked_key_match(spark, sf_dir):
     return identity.match_by_keys(rows, known, ["tax_id", "email"]).select("s_suppkey", "key_match")
 
 
-@query("SELECT DISTINCT r_name, c_mktsegment FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND c_acctbal > 0")
+def _users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as users and the priorities of their orders as roles."""
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), (F.col("c_acctbal") > 0).alias("enabled"))
+    return users, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("role"))
+
+
+@query("SELECT DISTINCT c_custkey AS \"user\", o_orderpriority AS role FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 0 AND o_orderpriority LIKE '1%'")
 def roles_join_distinct(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
-    customers = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
-    joined = table(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey")).join(customers, F.col("n_nationkey") == F.col("c_nationkey"))
-    return joined.select("r_name", "c_mktsegment").distinct()
+    users, roles = _users(spark, sf_dir)
+    return reports.users_with_roles(users, roles, ("1-URGENT",)).select("user", "role")
+
+
+@query("SELECT c_custkey AS \"user\" FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '5%')")
+def users_of_roles(spark, sf_dir):
+    users, roles = _users(spark, sf_dir)
+    return reports.users_of_roles(users, roles, ("1-URGENT", "5-LOW")).select("user")
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -443,17 +467,40 @@ def context_counts(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(messages.business_context(name).alias("context")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_brand, n, total, round(n / total, 6) AS share FROM (SELECT p_brand, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM part WHERE p_brand <> 'x' GROUP BY p_brand) ORDER BY n DESC, CAST(('0x' || left(md5(p_brand), 8)) AS BIGINT) LIMIT 1")
+@query("SELECT p_brand, n, total, round(n / total, 6) AS share FROM (SELECT p_brand, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM part WHERE p_brand <> 'x' GROUP BY p_brand) ORDER BY n DESC, p_brand LIMIT 1")
 def context_mode(spark, sf_dir):
     return reports.most_frequent(table(spark, sf_dir, "part"), "p_brand")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 AS n_keys FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events")
 def json_fields(spark, sf_dir):
-    parsed = F.from_json("props", "map<string,string>")
+    parsed = json_map(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", parsed["k"].cast("long").alias("k"), F.size(parsed).alias("n_keys"))
 
 
+@query("SELECT c_custkey, to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS document FROM customer")
+def json_rows(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("document"))
+
+
+@query("SELECT column_name, null_count, unique_count FROM (SELECT 'o_orderstatus' AS column_name, count(CASE WHEN o_orderstatus = '' THEN 1 END) AS null_count, count(DISTINCT o_orderstatus) AS unique_count FROM orders UNION ALL SELECT 'o_custkey', 0, count(DISTINCT o_custkey) FROM orders)")
+def structure_orders(spark, sf_dir):
+    return profile.structure(table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderstatus", "o_custkey"]).select("column_name", "null_count", "unique_count")
+
+
+_CSV = f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, {SQL_MONEY.format('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
+
+
+@query(f"SELECT *, CAST(row_number() OVER (ORDER BY CAST(c_custkey AS BIGINT)) - 1 AS BIGINT) AS row_index FROM ({_CSV})")
+def csv_round_trip(spark, sf_dir):
+    """The customers as one file, read as strings with their row numbers."""
+    work = Workspace(spark, "csv")
+    raw(table(spark, sf_dir, "customer").orderBy("c_custkey"), "c_acctbal").coalesce(1).write.option("header", True).csv(f"{work.path}/out")
+    file = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{work.path}/out").select("path").first()["path"]
+    rows = read_strings(spark, file)
+    return rows.select(*[c for c in rows.columns if not c.startswith("_")], F.col("_row_index").alias("row_index"))
+
+
 @query("""SELECT target, success, updated, skipped, failed, success + updated + skipped + failed AS total, round((success + updated + skipped) * 100.0 / (success + updated + skipped + failed), 2) AS success_rate FROM (SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS target, count(CASE WHEN event_id % 4 = 0 THEN 1 END) AS success, count(CASE WHEN event_id % 4 = 1 THEN 1 END) AS updated, count(CASE WHEN event_id % 4 = 2 THEN 1 END) AS skipped, count(CASE WHEN event_id % 4 = 3 THEN 1 END) AS failed FROM events GROUP BY 1)""")
 def success_rate(spark, sf_dir):
     k = F.col("event_id") % 4
@@ -485,3 +532,10 @@ def event_windows(spark, sf_dir):
 def filled_orders(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").filter(~blank("o_orderpriority") & F.col("o_custkey").isNotNull() & (strip("o_orderpriority") != ""))
     return rows.agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("customers"))
+
+
+# Metadata, files and state: literal inputs with known results.
+from tidewell import cases  # noqa: E402
+
+QUERIES |= cases.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL

@@ -53,6 +53,8 @@ def read_strings(spark: SparkSession, path: str, sep: str = ",", enc: str | None
     # One multi-line file is one partition in file order, so this id is consecutive.
     indexed = kept.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields], F.monotonically_increasing_id().alias("_row_index"))
     full = indexed.filter(F.exists(F.array(*fields), lambda x: x != ""))
+    if full.isEmpty():
+        raise ImportFailure(f"csv file {path} has no rows")
     return full.toDF(*unique(names), "_row_index").withColumn("_source_file", F.lit(path))
 
 

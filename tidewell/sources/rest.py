@@ -45,6 +45,42 @@ class HttpTransport:
             return {"Authorization": f"Bearer {json.loads(answer.read())['access_token']}"}
 
 
+class ListTransport:
+    """Serves the records of the option ``documents`` (JSON: module to records), for tests and trials; asks for credentials once."""
+
+    def __init__(self, options: dict):
+        self.documents, self.signed = json.loads(options["documents"]), False
+
+    def get(self, url: str, params: dict, headers: dict) -> tuple[int, dict]:
+        module = url.rsplit("/", 1)[-1]
+        if not self.signed:
+            return 401, {}
+        if module == "modules":
+            return 200, {"modules": [{"api_name": m} for m in self.documents]}
+        since = params.get("modified_since") or ""
+        records = [r for r in self.documents.get(module, []) if not since or str(r.get("modified_time", "")) >= since]
+        if not records:
+            return 204, {}
+        at, n = (params["page"] - 1) * params["per_page"], params["per_page"]
+        return 200, {"data": records[at : at + n], "info": {"more_records": at + n < len(records)}}
+
+    def refresh(self) -> dict:
+        self.signed = True
+        return {}
+
+
+def modules(options: dict) -> list[str]:
+    """The names of the service's modules."""
+    client = transport(options)
+    url = f"{options.get('url', '').rstrip('/')}/settings/modules"
+    status, document = client.get(url, {}, {})
+    if status == 401:
+        status, document = client.get(url, {}, client.refresh())
+    if status != 200:
+        raise RuntimeError(f"network: {url} answered {status}")
+    return [m["api_name"] for m in document.get("modules", [])]
+
+
 def transport(options: dict):
     name = options.get("transport")
     if not name:

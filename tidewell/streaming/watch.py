@@ -25,6 +25,21 @@ def watch(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int],
     return writer.trigger(processingTime=f"{minutes} minutes").start() if minutes else writer.trigger(availableNow=True).start()
 
 
+def import_stream(importer, path: str, checkpoint: str, target: str | None = None, minutes: int | None = None):
+    """Import each new CSV file of a folder once, in the order of their names, as :meth:`Importer.import_file` does.
+
+    The stream only brings the names of new files; rows are read and numbered by the import itself.  A batch that is
+    repeated after a failure changes nothing: its rows' hashes are known by then.
+    """
+    files = importer.spark.readStream.schema("value string").csv(path).select(F.col("_metadata.file_path").alias("_source_file"))
+
+    def batch(rows: DataFrame, _: int) -> None:
+        for r in rows.distinct().orderBy("_source_file").collect():  # names of one batch's files
+            importer.import_file(r["_source_file"], target)
+
+    return watch(files, checkpoint, batch, minutes)
+
+
 def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows by window of event time and keys; works on streams (late rows go) and tables.  Times without a zone are UTC."""
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
