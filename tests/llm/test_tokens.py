@@ -44,7 +44,7 @@ def test_bpe_of_long_pieces(encoder):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_cached_tokenizer_equals_the_library(name, spark):
-    mine = CachedTokenizer(P.path(name), cache_units=500)
+    mine = CachedTokenizer(P.path(name), cache_bytes=100_000)
 
     @settings(max_examples=200, deadline=None)
     @given(st.lists(st.text(max_size=40) | st.text(alphabet="aBé ß'sT\n1.²", max_size=60), max_size=4))

@@ -3,8 +3,11 @@
 A unit is a piece of text whose ids don't depend on what stands around it: a
 white-space-delimited word where the tokenizer drops white space, else a word
 with the one space before it, or a run of white space.  Texts repeat their
-words, so most units come from a dictionary; new ones are split and mapped to
-the byte alphabet here and then merged by the file's own model in bulk.
+words, so most units come from a dictionary; new ones are split, mapped to
+the byte alphabet and merged by the file's own model, hundreds at a time.
+
+The cache is bounded in bytes and never keeps a unit of over ``UNIT_BYTES``, so
+texts without spaces take no more memory than others.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units that a worker keeps (about 200 bytes each); those beyond are encoded anew for each slice.
-CACHE_UNITS = 600_000
+#: Bytes of units and their ids that a worker keeps, with what each entry takes besides; longer units than ``UNIT_BYTES`` are encoded anew.
+CACHE_BYTES, UNIT_BYTES, ENTRY_BYTES = 128 << 20, 64, 200
 
 #: The characters with the Unicode property White_Space, and the contractions of both patterns.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -27,24 +30,28 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Units of these characters alone are split here; their case, normal form and classes are the same in every Unicode version.
 PLAIN = re.compile("[ -~À-ÿ]*")
+PLAIN_LINES = re.compile("[ -~À-ÿ\n]*")
 LETTER = "a-zA-ZÀ-ÖØ-öø-ÿ"
+#: For units in lines of their own.
 PRETOKEN = {
-    "byte": re.compile(f"{CONTRACTIONS}| ?[{LETTER}]+| ?[0-9]+| ?[^ {LETTER}0-9]+| +"),
-    "word": re.compile(f"{CONTRACTIONS}|[{LETTER}]+|[0-9]|[^ {LETTER}0-9]+"),
+    "byte": re.compile(f"{CONTRACTIONS}| ?[{LETTER}]+| ?[0-9]+| ?[^ {LETTER}0-9\n]+| +"),
+    "word": re.compile(f"{CONTRACTIONS}|[{LETTER}]+|[0-9]|[^ {LETTER}0-9\n]+"),
 }
-BULK = 500
+BULK = 200
 
 
 @functools.cache
 def byte_alphabet() -> str:
-    """The printable character that stands for each byte: itself if printable in Latin-1, else the next from 256 on."""
+    """The printable character that stands for each byte: itself if printable in Latin-1, else the next from 256 on; line breaks stay."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
-    return "".join(chr(b if b in printable else next(rest)) for b in range(256))
+    alphabet = [chr(b if b in printable else next(rest)) for b in range(256)]
+    alphabet[10] = "\n"  # never within a unit that is mapped here
+    return "".join(alphabet)
 
 
 class CachedTokenizer:
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -59,51 +66,62 @@ class CachedTokenizer:
         for token, i in vocabulary.items():
             self.width[i] = len(token) - 4 * (self.kind == "word" and len(token) > 4 and token.endswith("</w>"))
         self.cache: dict = {}
-        self.cache_units = cache_units
+        self.cache_bytes, self.held_bytes = cache_bytes, 0
 
     def units(self, text: str) -> list:
         return UNIT.findall(text) if self.kind == "byte" else text.encode().split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out, late, missing = [], [], {}
+        cache, out, late = self.cache, [], []
         for i, text in enumerate(texts):
             units = self.units(text)
-            parts = list(map(self.cache.get, units))
             try:
-                out.append(b"".join(parts))
-            except TypeError:
+                out.append(b"".join(map(cache.__getitem__, units)))
+            except KeyError:
                 out.append(b"")
-                late.append((i, units, parts))
-                missing.update((u, None) for u, p in zip(units, parts, strict=True) if p is None)
-        if missing:
-            new = self.encode_units(list(missing))
-            for i, units, parts in late:
-                out[i] = b"".join([new[u] if p is None else p for u, p in zip(units, parts, strict=True)])
-            if len(self.cache) + len(new) <= self.cache_units:
-                self.cache.update(new)
+                late.append((i, units))
+        if late:
+            missing = list(set().union(*[u for _, u in late]).difference(cache))
+            new = self.encode_units(missing)
+            kept = {u: x for u, x in new.items() if len(u) <= UNIT_BYTES}
+            size = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+            if len(kept) == len(new) and self.held_bytes + size <= self.cache_bytes:
+                cache.update(kept)
+                self.held_bytes += size
+                known = cache
+            else:  # a full cache keeps what it has: the units that came early are the frequent ones
+                known = _Both(cache, new)
+            for i, units in late:
+                out[i] = b"".join(map(known.__getitem__, units))
         return out
 
     def encode_units(self, units: list) -> dict:
-        plain, other, out = [], [], {}
-        for u in units:
-            s = u if self.kind == "byte" else u.decode()
-            (plain if PLAIN.fullmatch(s) and not s.isspace() else other).append((u, s))
-        for at in range(0, len(plain), BULK):
-            some = plain[at : at + BULK]
-            if (ids := self._merge([s for _, s in some])) is None:
-                other += some
-            else:
-                out.update((u, x) for (u, _), x in zip(some, ids, strict=True))
+        out, other = {}, []
+        for at in range(0, len(units), BULK):
+            some = units[at : at + BULK]
+            lines = "\n".join(some) if self.kind == "byte" else b"\n".join(some).decode()
+            if not PLAIN_LINES.fullmatch(lines) or lines.count("\n") >= len(some) or any(map(str.isspace, lines.split("\n"))):
+                strings = lines.split("\n") if lines.count("\n") < len(some) else [u if self.kind == "byte" else u.decode() for u in some]
+                plain = [(u, s) for u, s in zip(some, strings, strict=True) if PLAIN.fullmatch(s) and not s.isspace()]
+                held = {u for u, _ in plain}
+                other += [(u, s) for u, s in zip(some, strings, strict=True) if u not in held]
+                some, lines = [u for u, _ in plain], "\n".join([s for _, s in plain])
+            if some:
+                if (ids := self._merge(some, lines)) is None:
+                    other += zip(some, lines.split("\n"), strict=True)
+                else:
+                    out.update(zip(some, ids, strict=True))
         for (u, _), e in zip(other, self.whole.encode_batch_fast([s for _, s in other], add_special_tokens=False), strict=True):
             out[u] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def _merge(self, units: list[str]) -> list[bytes] | None:
-        split, alphabet = PRETOKEN[self.kind].findall, byte_alphabet()
-        mapped = [[p.encode().decode("latin-1").translate(alphabet) for p in split(u.lower() if self.kind == "word" else u)] for u in units]
-        ids = np.array(self.merges.encode("\n".join([p for ps in mapped for p in ps]), add_special_tokens=False).ids, "<u4")
-        ends = np.cumsum([sum(map(len, ps)) for ps in mapped])
+    def _merge(self, units: list, lines: str) -> list[bytes] | None:
+        """The ids of units of plain characters, which ``lines`` holds one a line; None if they can't be told apart."""
+        pieces = "\n".join(PRETOKEN[self.kind].findall(lines.lower() if self.kind == "word" else lines))
+        mapped = pieces.encode().decode("latin-1").translate(byte_alphabet())
+        ids = np.array(self.merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(u) for u in units] if self.kind == "word" or lines.isascii() else [len(u.encode()) for u in units])
         at = np.cumsum(self.width[ids])
         cut = np.searchsorted(at, ends) + 1
         if not len(at) or not np.array_equal(at[np.minimum(cut, len(at)) - 1], ends):
@@ -112,6 +130,17 @@ class CachedTokenizer:
         return [data[4 * a : 4 * b] for a, b in zip([last, *cut[:-1].tolist()], cut.tolist(), strict=True)]
 
 
+class _Both(dict):
+    """Units of the cache and new ones, without a copy of the cache."""
+
+    def __init__(self, cache: dict, new: dict):
+        super().__init__(new)
+        self.cache = cache
+
+    def __missing__(self, unit):
+        return self.cache[unit]
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> CachedTokenizer:
     """One for each Python worker and file."""
