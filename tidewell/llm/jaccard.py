@@ -59,7 +59,7 @@ BROADCAST_KEYS = 1_000_000
 #: Rounds up to the cells; members and shingles of a group that meet in one block of a cell.
 STARS, BLOCK, BLOCK_SHINGLES = 2, 2048, 1 << 20
 #: Pairs of sketches that are compared at a time; signatures of a member that tell which cell a pair belongs to.
-PAIRS, OWNERS = 200_000, 64
+PAIRS, OWNERS = 200_000, 24
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
