@@ -40,6 +40,22 @@ def map_slices(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(df: DataFrame, *names: str) -> str:
+    """Names and types as DDL."""
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -12,7 +12,9 @@ those with the least hash of their key.  Scoring is one pass over the texts.
 Defined cases: null texts and those without a letter are ``und`` with score 0;
 equal posteriors go to the first language in alphabetical order; documents with
 a null language aren't learned from; without any language all are ``und``;
-repeated rows get equal results.  A character that the vocabulary lacks is a
+repeated rows get equal results; an empty table gives an empty table.  Other columns
+pass through, whatever their names; those called like the two results are replaced
+(``into`` names them).  Texts count whole.  A character that the vocabulary lacks is a
 piece of its own kind.  Learning (not scoring) cuts words of over ``WORD_CHARS``.
 """
 
@@ -29,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Workspace, map_slices, texts
+from tidewell.llm.common import Workspace, fresh, map_slices, quoted, texts
 
 DOCUMENTS, ROUNDS, WORD_CHARS, SMOOTHING = 3000, 3, 64, 0.1
-CACHE_WORDS, FLUSH_WORDS = 400_000, 200_000
+#: Words that a worker keeps, of at most ``CACHE_CHARS`` characters; words and characters that are counted at a time.
+CACHE_WORDS, CACHE_CHARS, FLUSH_WORDS, FLUSH_CHARS = 400_000, 64, 200_000, 1 << 26
 MARK, TINY = "▁", 1e-150
 
 
@@ -125,7 +128,7 @@ def count_words(docs: DataFrame, group: str, text: str) -> DataFrame:
     kind = docs.schema[group].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, size = Counter(), 0
 
         def out() -> pa.RecordBatch:
             keys = list(held)
@@ -134,9 +137,11 @@ def count_words(docs: DataFrame, group: str, text: str) -> DataFrame:
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 held.update((g, w[i : i + WORD_CHARS]) for w in words(t) for i in range(0, len(w), WORD_CHARS))
-                if len(held) > FLUSH_WORDS:
+                size += len(t)
+                if len(held) > FLUSH_WORDS or size > FLUSH_CHARS:
                     yield out()
                     held.clear()
+                    size = 0
         if held:
             yield out()
 
@@ -186,26 +191,37 @@ class Scorer:
         self.cache_words = cache_words
         self.lattice = pieces(model.vocabulary).lattice
 
+    def word(self, word: str) -> list[float]:
+        lattice = self.lattice(MARK + word)
+        return [forward(lattice, t) for t in self.rows]
+
     def _add(self, word: str) -> int:
-        lattice, i = self.lattice(MARK + word), len(self.at)
+        i = len(self.at)
         if i == len(self.logs):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-        self.logs[i] = [forward(lattice, t) for t in self.rows]
+        self.logs[i] = self.word(word)
         self.at[word] = i
         return i
 
     def text(self, text: str) -> np.ndarray:
-        found = words(text)
-        if len(self.at) > self.cache_words:
+        out, at, full = np.zeros(len(self.model.languages)), [], self.cache_words
+        for w in words(text):
+            if (i := self.at.get(w)) is None:
+                if len(w) > CACHE_CHARS or len(self.at) >= full:
+                    out += self.word(w)  # words beyond the cache count like others
+                    continue
+                i = self._add(w)
+            at.append(i)
+        out += self.logs[at].sum(0)
+        if len(self.at) >= full:
             self.at.clear()
-        at = [i if (i := self.at.get(w)) is not None else self._add(w) for w in found]
-        return self.logs[at].sum(0) if at else np.zeros(len(self.model.languages))
+        return out
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``df`` with ``lang_pred`` and ``score``, the posterior of that language."""
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+def predict(df: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``df`` with (by default) ``lang_pred`` and ``score``, the posterior of that language."""
+    keep = [c for c in df.columns if c not in into]
+    letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
 
     def start():
         scorer = Scorer(model) if model.languages else None
@@ -221,9 +237,10 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 best = int(z.argmax())
                 names.append(model.languages[best])
                 scores.append(float(1 / np.exp(z - z[best]).sum()))
-            return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, *into])
 
         return step
 
-    kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), "lang_pred string, score double"])
-    return map_slices(df.select(F.col(text).alias("_text"), letter.alias("_letter"), *keep), start, kinds)
+    kinds = ", ".join([*([quoted(df, *keep)] if keep else []), f"`{into[0]}` string, `{into[1]}` double"])
+    held = fresh(df, "_text", "_letter")
+    return map_slices(df.select(F.col(f"`{text}`").alias(held[0]), letter.alias(held[1]), *[f"`{k}`" for k in keep]), start, kinds)

@@ -7,14 +7,16 @@ the others; the ones with the most evidence stay (two for each row of
 the rarer class, ``FEATURES`` at most), and a logistic
 regression learns weights for the presence values scaled by r.
 
-Learning reads a bounded sample: at most ``LABELLED`` labelled rows, those with
-the least hash of their key.  Only they, reduced to the kept features, reach the
+Learning reads a bounded sample: about ``LABELLED`` labelled rows, those whose key's
+hash lies in a share of its range.  Only they, reduced to the kept features, reach the
 driver.  Scoring is one pass over the texts.
 
 Defined cases: null and empty texts have no features and get the score of the
 intercept; rows with a null label or key aren't learned from, and of repeated
 labels of a key the largest counts; without labelled rows of both classes every
-score is the smoothed share of toxic rows; repeated rows get equal scores.
+score is the smoothed share of toxic rows; repeated rows get equal scores; an empty
+table gives an empty table.  Other columns pass through, whatever their names; one
+called like the result is replaced (``into`` names it).  Texts count whole.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_slices, texts
+from tidewell.llm.common import fresh, map_slices, quoted, texts
 
 LABELLED, DIMENSIONS, FEATURES, GRAMS, ALPHA = 24_000, 1 << 18, 4096, (3, 4, 5, 6), 0.5
-CACHE_WORDS = 500_000
+#: Words that a worker keeps, of at most ``CACHE_CHARS`` characters.
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,6 +53,8 @@ class Features:
     def word(self, word: str) -> tuple[int, ...]:
         if (got := self.words.get(word)) is None:
             got = tuple(grams(word) if self.kept is None else {k for g in grams(word) if (k := self.kept.get(g)) is not None})
+            if len(word) > CACHE_CHARS:
+                return got
             if len(self.words) >= (CACHE_WORDS if self.kept is not None else CACHE_WORDS // 10):
                 self.words.clear()
             self.words[word] = got
@@ -75,9 +80,12 @@ class Model:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled keys."""
-    chosen = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
-    return docs.select(F.col(key).alias("d"), text).join(F.broadcast(chosen), F.col("d") == F.col("k")).select(text, "y")  # at most `most` rows are broadcast
+    """(text, label) of about ``most`` labelled keys."""
+    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"))
+    share = most / max(1, known.count())
+    chosen = known.filter(F.abs(F.xxhash64("k", F.lit(7)) % 1_000_003) / F.lit(1_000_003.0) < share).groupBy("k").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(f"`{key}`").alias("d"), F.col(f"`{text}`").alias("t"))
+    return rows.join(F.broadcast(chosen), F.col("d") == F.col("k")).select("t", "y")  # about `most` rows are broadcast
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LABELLED, steps: int = 120) -> Model:
@@ -145,5 +153,5 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "score")
 
         return step
 
-    kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), f"`{into}` double"])
-    return map_slices(df.select(F.col(text).alias("_text"), *keep), start, kinds)
+    kinds = ", ".join([*([quoted(df, *keep)] if keep else []), f"`{into}` double"])
+    return map_slices(df.select(F.col(f"`{text}`").alias(*fresh(df, "_text")), *[f"`{k}`" for k in keep]), start, kinds)
