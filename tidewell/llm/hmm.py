@@ -1,7 +1,7 @@
 """A hidden Markov language model.
 
 Tokens are the words of a text (A-Z in lower case) and one end.  Latent states
-emit symbols: the ``WORDS`` most frequent words of the training texts, the end,
+emit symbols: up to ``WORDS`` of the most frequent words of the training texts, the end,
 and ``CLASSES`` classes (by their last bytes) for all other words.  Within a class a
 word has its smoothed relative frequency, one share being kept for all words
 that weren't seen.  So every text has one exact probability: the forward
@@ -11,14 +11,16 @@ Counts of all training words are summed by Spark and written as a table.  The
 texts are encoded once, written, and each round of Baum-Welch is one pass over
 the written symbols: tasks add up expected counts of their sequences by scaled
 forward and backward recursions, Spark sums them by symbol, and the driver gets
-one row for each symbol, a number that doesn't depend on the corpus.  Words
-outside the ``KNOWN`` most frequent meet their counts in a join; none of them
+one row for each symbol, a number that doesn't depend on the corpus.  Fewer than
+``KNOWN`` words, all above a least count, are known to every task; other words meet
+their counts in a join; none of them
 can be in more than a ``KNOWN``-th part of all tokens, so no key is hot.
 
 Defined cases: a null or empty text is its end alone; a null key counts as the
 empty text where rows are split; repeated rows are counted and scored each; equal
 counts are ranked by the word's bytes; without training texts all counts are 0
-and the formulas hold as they are; an empty table gives an empty table.
+and the formulas hold as they are; an empty table gives an empty table; texts of any
+length are scored whole; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,11 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import SLICE_ROWS, Workspace, texts
 
 STATES, ROUNDS, WORDS, KNOWN, CLASSES, SUFFIX, SEED = 8, 4, 1 << 14, 1 << 16, 512, 3, 5
-FLUSH_WORDS, BATCH_TOKENS = 250_000, 400_000
+FLUSH_WORDS, FLUSH_CHARS, BATCH_TOKENS = 250_000, 1 << 26, 400_000
+#: Learning (not scoring) takes longer texts as several sequences.
+LEARN_TOKENS = 1 << 16
+#: Counts up to it stand for themselves in the histogram, greater ones share a bin with those at most 1.6 % apart.
+PLAIN_COUNTS, BINS = 1024, 64
 END = b""
 
 
@@ -62,7 +68,7 @@ def count_tokens(df: DataFrame, text: str, flush: int = FLUSH_WORDS) -> DataFram
     """(word, c) of all texts; summed in each task before the shuffle, with a bounded number of words held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, size = Counter(), 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
@@ -71,9 +77,11 @@ def count_tokens(df: DataFrame, text: str, flush: int = FLUSH_WORDS) -> DataFram
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for t in texts(batch.column(0).slice(at, SLICE_ROWS)):
                     held.update(tokens(t))
-                if len(held) > flush:
-                    yield out()
-                    held.clear()
+                    size += len(t)
+                    if len(held) > flush or size > FLUSH_CHARS:
+                        yield out()
+                        held.clear()
+                        size = 0
         if held:
             yield out()
 
@@ -102,7 +110,13 @@ def vocabulary(counts: DataFrame, sizes: Sizes = Sizes()) -> Vocabulary:
     """From the written counts: the most frequent words, and sums over all others by class."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(sizes.known - 1).toPandas()  # a fixed number of rows
+    # The least count whose words, with all more frequent ones, are few enough: from a histogram of a few thousand bins.
+    bin_ = F.when(F.col("c") <= PLAIN_COUNTS, F.col("c")).otherwise(PLAIN_COUNTS + 1 + F.floor(F.log(F.col("c") / F.lit(float(PLAIN_COUNTS))) * BINS)).cast("long")
+    others = counts.filter(F.length("word") > 0)
+    bins = others.groupBy(bin_.alias("b")).agg(F.count("*").alias("k")).toPandas().sort_values("b", ascending=False)
+    kept = bins["b"][bins["k"].cumsum() < sizes.known]
+    top = others.filter(bin_ >= int(kept.min())).toPandas() if len(kept) else others.limit(0).toPandas()  # fewer rows than known
+    top = top.iloc[sorted(range(len(top)), key=lambda i: (-top["c"].iat[i], bytes(top["word"].iat[i])))]
     words, c = [END, *map(bytes, top["word"])], np.append(end, top["c"].to_numpy(np.int64))
     own = min(sizes.words, len(words))
     suffix = F.crc32(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")) % sizes.classes
@@ -204,9 +218,14 @@ class Lattice:
         return alpha, scale, emit
 
     def log_likelihood(self, m: Model) -> np.ndarray:
-        """Natural logarithm of each sequence's probability."""
-        _, scale, _ = self.forward(m)
-        return np.bincount(self.who, np.log(scale)[self.place], self.who[-1] + 1)
+        """Natural logarithm of each sequence's probability; only the last alphas are held."""
+        out, row = np.zeros(self.active[0]), m.start[None, :]
+        for t, n in enumerate(self.active.tolist()):
+            x = (row if t == 0 else row[:n] @ m.move) * m.emit[self.symbol[self.at[t] : self.at[t] + n]]
+            s = x.sum(1)
+            out[:n] += np.log(s)
+            row = x / s[:, None]
+        return out
 
     def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """(start, move, emission counts, log likelihood) of all sequences."""
@@ -245,7 +264,7 @@ def baum_welch_round(encoded: DataFrame, m: Model, words: Vocabulary) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit)
         for batch in batches:
-            found = sequences_of(batch.column(0))
+            found = [x[i : i + LEARN_TOKENS] for x in sequences_of(batch.column(0)) for i in range(0, len(x), LEARN_TOKENS)]
             for group in batches_of(found):
                 s, a, e, _ = Lattice([found[i] for i in group]).expected(m)
                 start, move, emit = start + s, move + a, emit + e
