@@ -9,7 +9,8 @@ it takes the last token back and never comes to that position again.  The ids
 are those that the merges give one by one.
 
 Defined cases: null and empty texts have no ids; an id that the ranks lack
-raises ValueError; repeated rows give repeated results.
+raises ValueError; repeated rows give repeated results; texts of any length are encoded
+whole; an empty table gives an empty table; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from tidewell.llm.common import map_slices, texts
 from tidewell.llm.tokens import UNIT
 
-CACHE_UNITS, CACHE_PAIRS = 300_000, 1_000_000
+#: Bytes of units and pairs of tokens that a worker keeps; longer units than ``UNIT_BYTES`` are encoded anew.
+CACHE_BYTES, CACHE_PAIRS, UNIT_BYTES = 96 << 20, 500_000, 64
 
 
 class BacktrackingBPE:
@@ -117,14 +119,14 @@ class BacktrackingBPE:
 class Encoder:
     """Whole texts: each match of ``pattern`` is a piece of its own."""
 
-    def __init__(self, path: str, pattern: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
         import regex
 
         with open(path, "rb") as f:
             self.bpe = BacktrackingBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.split = regex.compile(pattern).findall
         self.units: dict[str, bytes] = {}
-        self.cache_units = cache_units
+        self.cache_bytes, self.held_bytes = cache_bytes, 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -137,10 +139,14 @@ class Encoder:
 
     def _unit(self, unit: str) -> bytes:
         if (got := self.units.get(unit)) is None:
-            got = np.array([i for piece in self.split(unit) for i in self.bpe.encode_piece(piece.encode())], "<u4").tobytes()
-            if len(self.units) >= self.cache_units:
-                self.units.clear()
-            self.units[unit] = got
+            pieces = [piece.encode() for piece in self.split(unit)]
+            got = np.array([i for piece in pieces for i in self.bpe.encode_piece(piece)], "<u4").tobytes()
+            if sum(map(len, pieces)) <= UNIT_BYTES:
+                self.held_bytes += 250 + 4 * len(unit) + len(got)
+                if self.held_bytes > self.cache_bytes:
+                    self.units.clear()
+                    self.held_bytes = 0
+                self.units[unit] = got
         return got
 
     def decode(self, ids: bytes) -> bytes:
