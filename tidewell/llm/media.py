@@ -7,9 +7,11 @@ duration and the byte ranges of the keyframes.  No payload is decoded for that.
 sample bytes that the tables point to.
 
 Defined cases: null text is stored as the empty text (one padded frame); bytes
-that aren't a container, or whose tables are cut short, give null columns and
-never fail the job; repeated rows give repeated results; an empty table gives an
-empty table.
+that aren't a container, whose tables are cut short, promise more samples than the
+file has bytes, or are nested beyond ``DEPTH``, give null columns and never fail the
+job; nothing is allocated before it was checked against the file's length; texts of any
+length are stored whole; repeated rows give repeated results; an empty table gives an
+empty table; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tidewell.llm.common import map_slices, texts
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 IDENTITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 CODEC = b"raw "
+#: Nesting of boxes that is followed.
+DEPTH = 32
 
 #: 8-bit samples in a frame, frames in a chunk (the first of each is a keyframe), samples a second.
 FRAME, CHUNK_FRAMES, RATE = 576, 16, 8000
@@ -91,9 +95,13 @@ def mux(payload: bytes) -> bytes:
     return ftyp + moov(head) + box(b"mdat", payload)
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end of the body) of each box, containers included, in file order."""
-    while start + 8 <= end:
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start, end of the body) of each box, containers included, in file order; nesting deeper than ``DEPTH`` is an error."""
+    open_ = [(start, end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -103,9 +111,11 @@ def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -
         if stop < body or stop > end:
             raise ValueError("a box reaches beyond its parent")
         yield (*path, kind), body, stop
+        open_.append((stop, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            if len(path) >= DEPTH:
+                raise ValueError("boxes are nested too deep")
+            open_.append((body, stop, (*path, kind)))
 
 
 def _header(data: memoryview, body: int) -> int:
@@ -183,11 +193,17 @@ def _track(data: memoryview, found: dict[bytes, tuple[int, int]], fragments: dic
     codec = bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
     a, _ = found[b"stsz"]
     fixed, n = struct.unpack_from(">II", data, a + 4)
+    if fixed and n * fixed > len(data):
+        raise ValueError("samples lie outside the file")
     sizes = np.full(n, fixed, np.int64) if fixed else table(b"stsz", 12, ">u4")[:, 0]
     chunks = table(b"co64", 8, ">u8")[:, 0] if b"co64" in found else table(b"stco", 8, ">u4")[:, 0]
     runs = table(b"stsc", 8, ">u4", 3)
     each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)  # samples of each chunk
-    chunk = np.repeat(np.arange(len(chunks)), each)[:n]
+    if len(each) and int(each[:-1].sum()) <= n <= int(each.sum()):
+        each[-1] = n - int(each[:-1].sum())
+    elif n or len(each):
+        raise ValueError("chunks don't hold the samples")
+    chunk = np.repeat(np.arange(len(chunks)), each)
     before = np.cumsum(sizes) - sizes
     first = (np.cumsum(each) - each)[chunk]  # the first sample of each sample's chunk
     offsets = chunks[chunk] + before - before[first]
