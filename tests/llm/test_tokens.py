@@ -57,6 +57,22 @@ def test_cached_tokenizer_equals_the_library(name, spark):
     assert mine.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in mine.whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_caches_are_bounded_in_bytes():
+    """Long texts without spaces, each unlike the others, leave nothing in the caches; many words fill them to their bound."""
+    r = np.random.default_rng(0)
+    unspaced = ["".join(map(chr, r.integers(0x4E00, 0x9000, 4000))) for _ in range(20)]
+    many = [" ".join(f"w{a}x{b}" for b in range(100)) for a in range(60)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        mine = CachedTokenizer(P.path(name), cache_bytes=200_000)
+        want = [np.array(e.ids, "<u4").tobytes() for e in mine.whole.encode_batch(unspaced + many, add_special_tokens=False)]
+        assert [x for t in unspaced + many for x in mine.encode([t])] == want
+        assert mine.held_bytes <= 200_000 and max(map(len, mine.cache)) <= 64 and 500 < len(mine.cache) < 1000
+    small = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, cache_bytes=100_000)
+    for t in unspaced + many:
+        assert np.frombuffer(small.encode(t), "<u4").tolist() == REFERENCE.encode_ordinary(t)
+        assert small.held_bytes <= 100_000 + 400 and max(map(len, small.units), default=0) <= 64
+
+
 def odd_rows(spark):
     rows = [(i if i != 3 else None, t, f"x{i}") for i, t in enumerate(ODD_TEXTS)] + [(5, "again", "y"), (5, "again", "y")]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string")  # a clashing extra column

@@ -30,7 +30,7 @@ from tidewell.llm.tokens import tokenizer
 END_ID, BLOCK_IDS = 2, 1 << 21
 
 #: Bytes of each of the four values of a control byte.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -39,19 +39,20 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = size - 1
-    controls = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return controls.astype(np.uint8).tobytes(), data.tobytes()
+    a, b, c, d = codes.reshape(-1, 4).T
+    most = int(size.max(initial=1))
+    data = values.view(np.uint8).reshape(-1, 4)[:, :most][np.arange(most, dtype=np.uint8) < size[:, None]]
+    return (a | b << 2 | c << 4 | d << 6).astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_values(controls: bytes, data: bytes, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(controls, np.uint8)].reshape(-1)[:n]
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data + bytes(3), np.uint8).astype(np.uint32)
-    out = raw[at]
-    for k in (1, 2, 3):
+    at = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data + bytes(3), np.uint8)
+    out = raw[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
         longer = np.flatnonzero(size > k)
-        out[longer] |= raw[at[longer] + k] << (8 * k)
+        out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 

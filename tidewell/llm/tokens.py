@@ -21,12 +21,14 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of units and their ids that a worker keeps, with what each entry takes besides; longer units than ``UNIT_BYTES`` are encoded anew.
-CACHE_BYTES, UNIT_BYTES, ENTRY_BYTES = 128 << 20, 64, 200
+CACHE_BYTES, UNIT_BYTES, ENTRY_BYTES = 192 << 20, 64, 200
 
 #: The characters with the Unicode property White_Space, and the contractions of both patterns.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
+#: White space that isn't one space or line break between words.
+UNEVEN = re.compile(f"(?![ \n])[{WHITE}]|[ \n][ \n]|^[ \n]|[ \n]\\Z")
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Units of these characters alone are split here; their case, normal form and classes are the same in every Unicode version.
 PLAIN = re.compile("[ -~À-ÿ]*")
@@ -69,7 +71,22 @@ class CachedTokenizer:
         self.cache_bytes, self.held_bytes = cache_bytes, 0
 
     def units(self, text: str) -> list:
-        return UNIT.findall(text) if self.kind == "byte" else text.encode().split()
+        """Keys of the text's units in the cache: a word stands for itself after a space, bytes for any other unit."""
+        if self.kind == "word":
+            return text.encode().split()
+        if not text or UNEVEN.search(text):
+            return [u[1:] if u[0] == " " and not u.isspace() else u.encode() for u in UNIT.findall(text)]
+        out: list = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = words[0].encode()
+            out += words
+            out.append(b"\n")
+        out.pop()
+        return out
+
+    def strings(self, units: list) -> list[str]:
+        return [f" {u}" if isinstance(u, str) else u.decode() for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -100,15 +117,15 @@ class CachedTokenizer:
         out, other = {}, []
         for at in range(0, len(units), BULK):
             some = units[at : at + BULK]
-            lines = "\n".join(some) if self.kind == "byte" else b"\n".join(some).decode()
-            if not PLAIN_LINES.fullmatch(lines) or lines.count("\n") >= len(some) or any(map(str.isspace, lines.split("\n"))):
-                strings = lines.split("\n") if lines.count("\n") < len(some) else [u if self.kind == "byte" else u.decode() for u in some]
+            strings = self.strings(some)
+            lines = "\n".join(strings)
+            if not PLAIN_LINES.fullmatch(lines) or lines.count("\n") >= len(some) or any(map(str.isspace, strings)):
                 plain = [(u, s) for u, s in zip(some, strings, strict=True) if PLAIN.fullmatch(s) and not s.isspace()]
                 held = {u for u, _ in plain}
                 other += [(u, s) for u, s in zip(some, strings, strict=True) if u not in held]
                 some, lines = [u for u, _ in plain], "\n".join([s for _, s in plain])
             if some:
-                if (ids := self._merge(some, lines)) is None:
+                if (ids := self._merge(lines)) is None:
                     other += zip(some, lines.split("\n"), strict=True)
                 else:
                     out.update(zip(some, ids, strict=True))
@@ -116,12 +133,13 @@ class CachedTokenizer:
             out[u] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def _merge(self, units: list, lines: str) -> list[bytes] | None:
+    def _merge(self, lines: str) -> list[bytes] | None:
         """The ids of units of plain characters, which ``lines`` holds one a line; None if they can't be told apart."""
         pieces = "\n".join(PRETOKEN[self.kind].findall(lines.lower() if self.kind == "word" else lines))
         mapped = pieces.encode().decode("latin-1").translate(byte_alphabet())
         ids = np.array(self.merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(u) for u in units] if self.kind == "word" or lines.isascii() else [len(u.encode()) for u in units])
+        strings = lines.split("\n")
+        ends = np.cumsum(list(map(len, strings)) if lines.isascii() else [len(s.encode()) for s in strings])
         at = np.cumsum(self.width[ids])
         cut = np.searchsorted(at, ends) + 1
         if not len(at) or not np.array_equal(at[np.minimum(cut, len(at)) - 1], ends):
