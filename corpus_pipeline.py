@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
-the columns of ``docs``.
+the columns of ``docs``, others than those of documents too, whatever their names.
+
+Defined cases: a null text counts as empty: it isn't toxic, goes for its language
+(it has no letter), and would be linked with nothing and packed as its end alone.  A null
+``doc_id`` is a document like others.  Repeated rows are copies: one of them stays.  Rows that share an id
+but not their text are judged each for itself.  Texts count whole, whatever their length.  Equal scores
+are judged alike.  An empty table gives an empty table; without labels nothing is
+toxic, and without a learned language every document stays.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import jaccard, language, packing, secrets, toxicity
-from tidewell.llm.common import Workspace, crc_mod
+from tidewell.llm.common import Workspace, crc_mod, fresh
 from tidewell.llm.queries import TOXIC_FROM, tokenizer_file
 
 #: Documents whose language has a lower posterior are rejected, as are those without a letter.
@@ -23,7 +30,8 @@ BROADCAST_KEYS = 1_000_000
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(crc_mod("doc_id", 3) != 1)
-    return toxicity.score(docs, toxicity.fit(docs, labels), into="_score").filter(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    (score,) = fresh(docs, "_score")
+    return toxicity.score(docs, toxicity.fit(docs, labels), into=score).filter(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +39,22 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     model = language.fit(docs, tokenizer_file("piece_bpe_32k.model"), Workspace(spark, "language"), learn=crc_mod("doc_id", 5) != 0)
     if not model.languages:
         return docs
-    return language.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_FROM)).select(*docs.columns)
+    names = fresh(docs, "_lang_pred", "_score")
+    judged = language.predict(docs, model, into=tuple(names))
+    return judged.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= LANGUAGE_FROM)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that links join, the one with the least id stays; null ids come last, equal ids go by the row's number."""
-    work = Workspace(spark, "near-copies")
-    rows = work.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    linked = jaccard.link(rows, work, key="_row").select("_row", F.col("component_id").alias("_group"))
-    ranked = linked.join(rows.select("_row", "doc_id"), "_row").select("_row", "_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_rank"))
-    kept = ranked.groupBy("_group").agg(F.min("_rank").alias("_rank")).select(F.col("_rank._row").alias("_row"))
-    gone = work.write(linked.select("_row").join(kept, "_row", "left_anti"), "gone")
+    work, (row, other) = Workspace(spark, "near-copies"), fresh(docs, "_row", "_gone")
+    rows = work.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    linked = jaccard.link(rows.select(row, "text"), work, key=row).select(F.col(row).alias("r"), F.col("component_id").alias("g"))
+    ids = rows.select(F.col(row).alias("k"), F.col("doc_id").alias("id"))
+    ranked = linked.join(ids, F.col("r") == F.col("k")).select("r", "g", F.struct(F.col("id").isNull().alias("none"), "id", "r").alias("rank"))
+    kept = ranked.groupBy("g").agg(F.min("rank").alias("rank")).select(F.col("rank.r").alias("r"))
+    gone = work.write(linked.select("r").join(kept, "r", "left_anti").withColumnRenamed("r", other), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, F.col(row) == F.col(other), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,6 +190,27 @@ def test_copies_go_by_row(spark):
     assert sorted(r["n_chars"] for r in nulls.collect()) == [1, 7, 8, 9]
 
 
+ODD = [(1, "a plain text about the weather of today in the north", 1), (None, "another plain text that nobody has written before in words", 2), (None, None, 3), (2, "", 4), (3, "12 34 !", 5), (4, "word " * 30_000, 6), (5, "a plain text about the weather of today in the north", 7), (5, "a plain text about the weather of today in the north", 8), (6, "my key ghp_a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8 stays here", 9)]
+
+
+@pytest.mark.parametrize("clash", ["_score _row _text _letter", "score lang_pred component_id class", "sig k r g"])
+def test_stages_of_odd_rows(spark, clash):
+    """Nulls, empty and long texts, repeated rows, names that clash, and empty tables, through every stage."""
+    names = clash.split()
+    df = spark.createDataFrame([(i, t, "en", "s", n, *["x"] * len(names)) for i, t, n in ODD], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    stages, left = dict(corpus_pipeline.STAGES), {}
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, df, SF)
+        rows = out.collect()
+        assert out.columns == df.columns and all(r[n] == "x" for r in rows for n in names)
+        left[name] = sorted(r["n_chars"] for r in rows) if name != "secrets" else len(rows)
+        assert stages[name](spark, df.limit(0), SF).count() == 0
+    assert left["toxicity"] == list(range(1, 10)) and left["secrets"] == 9
+    assert set(left["language"]) == {1, 2, 6, 7, 8, 9} and left["near_copies"] in ([1, 2, 3, 4, 5, 6, 9], [1, 2, 3, 4, 5, 6, 9])
+    packed = stages["packing"](spark, df, SF)
+    assert packed.select("doc_id").distinct().count() == 7 and stages["packing"](spark, df.limit(0), SF).count() == 0
+
+
 def test_links_are_all_pairs(spark):
     rows = near_copies(1, groups=3)
     sets = [shingle_set(t) for _, t in rows]

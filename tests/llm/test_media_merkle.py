@@ -39,6 +39,18 @@ def test_broken_containers(spark):
     assert good[k["start"] : k["end"]] == media.padded(b"abc") == bytes(got[6]["payload"])
 
 
+def test_hostile_containers(spark):
+    """Tables that promise more than the file holds, and boxes without end, cost neither memory nor the job."""
+    good = media.mux(media.padded(b"x" * 3000))
+    at = good.index(b"stsz") + 8
+    deep = b"".join(struct.pack(">I4s", 8 * (3000 - i), b"moov") for i in range(3000))
+    stsc = good.index(b"stsc") + 16
+    hostile = [good[:at] + struct.pack(">II", 1 << 20, 0xFFFFFFFF) + good[at + 8 :], good[:at] + struct.pack(">II", 1, 0xFFFFFFFF) + good[at + 8 :], deep, good[: stsc - 4] + struct.pack(">I", 0xFFFFFFF0) + good[stsc:], b"", b"\0" * 64]
+    df = spark.createDataFrame([(i, x, "mine") for i, x in enumerate([good, *hostile])], "id int, media binary, codec string")
+    got = {r["id"]: r for r in media.probe_media(df, "media", "id", payload=True).collect()}
+    assert got[0]["payload"] == media.padded(b"x" * 3000) and all(got[i]["codec"] is None for i in range(1, 1 + len(hostile)))
+
+
 def test_op4(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op4_media_columns(spark, SF).collect()

@@ -114,6 +114,38 @@ def test_hmm_with_few_known_words(spark):
     assert empty.count() == 0
 
 
+def test_scores_equal_enumeration(spark, monkeypatch):
+    """The score of a text is the sum over all paths of states, times its words' shares within their classes."""
+    held = {}
+    keep = lambda name, f: lambda *a, **k: held.setdefault(name, f(*a, **k))
+    likelihood = hmm.likelihood
+    monkeypatch.setattr(hmm, "vocabulary", keep("words", hmm.vocabulary))
+    monkeypatch.setattr(hmm, "likelihood", lambda e, m, *k: held.update(model=m) or likelihood(e, m, *k))
+    sizes = hmm.Sizes(3, 6, 2, 5)
+    rows = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 1 + i % 3))) for i in range(40)] + [(90, "w1 NEVER w9"), (91, None), (92, "W1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in hmm.score(df, Workspace(spark, "t"), crc_mod("doc_id", 7) != 2, rounds=2, sizes=sizes).collect()}
+    words, m = held["words"], held["model"]
+    texts = {i: [*(t or "").encode().lower().split(), b""] for i, t in rows}
+    count = Counter(w for i, t in texts.items() if crc(i, 7) != 2 for w in t)
+    own = {w for w, r in words.known.items() if r < min(sizes.words, len(words.known))}
+    assert len(words.known) < sizes.known and len(own) == 3 and min(count[w] for w in own) >= max(c for w, c in count.items() if w not in words.known)
+    room = [sum(c + 1 for w, c in count.items() if w not in own and sizes.word_class(w) == k) + 1 for k in range(sizes.classes)]
+    for i, t in texts.items():
+        symbols = [int(words.symbol[words.known[w]]) if w in words.known else sizes.words + sizes.word_class(w) for w in t]
+        inside = math.prod((count[w] + 1) / room[sizes.word_class(w)] for w in t if w not in own)
+        assert math.isclose(got[i], math.log10(sum(x for x, _ in paths(m, symbols)) * inside), rel_tol=1e-9), t
+
+
+def test_long_texts_are_learned_in_parts(spark, monkeypatch):
+    m, s = small_model(seed=1), np.random.default_rng(1).integers(0, 5, 60).astype("<u2")
+    words = hmm.Vocabulary(60, 5, {}, np.zeros(5), np.zeros(5), np.arange(5), np.zeros(1), np.full(5, 12.0))
+    frame = lambda parts: spark.createDataFrame([(bytes(p.tobytes()),) for p in parts], "symbols binary")
+    monkeypatch.setattr(hmm, "LEARN_TOKENS", 20)
+    one, two = hmm.baum_welch_round(frame([s]), m, words), hmm.baum_welch_round(frame([s[:20], s[20:40], s[40:]]), m, words)
+    assert np.allclose(one.emit, two.emit) and np.allclose(one.move, two.move)
+
+
 # ---- language ID
 
 
@@ -170,9 +202,76 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language.predict(df, none).collect()} == {"und"}
 
 
+def test_posteriors_equal_enumeration(spark):
+    """Of languages whose words' probabilities are summed over all segmentations one by one."""
+    rows = [(i, "the cat and a dog", "en") for i in range(6)] + [(i, "der hund und ein", "de") for i in range(6, 10)] + [(10, "le chat", "fr")]
+    df = spark.createDataFrame(rows + [(11, "the hund cat", None), (12, "Ein chat", None)], "doc_id long, text string, lang string")
+    model = language.fit(df, PIECES, Workspace(spark, "t"), rounds=2)
+    p, n = language.pieces(PIECES), Counter(r[2] for r in rows)
+    for r in language.predict(df, model).collect():
+        logs = []
+        for i, lang in enumerate(model.languages):
+            theta = model.theta[i]
+            each = [math.log(sum(math.prod(theta[x] for x in s) for s in segmentations("▁" + w, p.lattice("▁" + w)))) for w in r["text"].lower().split()]
+            logs.append(math.log(n[lang] / 11) + sum(each))
+        share = [math.exp(x - max(logs)) for x in logs]
+        assert r["lang_pred"] == model.languages[int(np.argmax(logs))] and math.isclose(r["score"], max(share) / sum(share), rel_tol=1e-9)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(i, "the thing and that" if i % 2 else "der die und sich", "en" if i % 2 else "de", "t", "l", 7, "mine") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, _letter string, _score int, `a b` string")
+    model = language.fit(df, PIECES, Workspace(spark, "t"))
+    for r in language.predict(df, model).collect():
+        assert (r["_text"], r["_letter"], r["_score"], r["a b"], r["lang_pred"]) == ("t", "l", 7, "mine", r["lang"])
+    tox = toxicity.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert all((r["_text"], r["_score"], r["a b"]) == ("t", 7, "mine") for r in toxicity.score(df, tox).collect())
+    assert language.predict(df.select("text"), model).columns == ["lang_pred", "score"] or "text" in language.predict(df.select("text"), model).columns
+
+
+def test_words_beyond_the_cache_count(spark):
+    df = spark.createDataFrame([(i, "the thing and that", "en") for i in range(9)] + [(9, "der die", "de")], "doc_id long, text string, lang string")
+    model = language.fit(df, PIECES, Workspace(spark, "t"))
+    text = "the " + "x" * 70 + " and der unseen words " + "y" * 5000
+    want = language.Scorer(model).text(text)
+    small = language.Scorer(model, cache_words=2)
+    assert np.allclose(small.text(text), want) and np.allclose(small.text(text), want) and len(small.at) <= 2
+
+
 # ---- toxicity
 
 
+def test_weights_equal_a_dense_fit(spark):
+    """Log-count ratios scale the presence of grams; the same descent over a full matrix gives the same scores."""
+    rows = [(i, " ".join(w for k, w in enumerate(("nice", "fool", "day", "idiot", "sun")) if (i * 7 + k * 3) % 5 < 2), int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    found = [set().union(set(), *[toxicity.grams(w) for w in t.split()]) for _, t, _ in rows]
+    y = np.array([x for *_, x in rows], float)
+    seen = np.array([(y == 0).sum(), (y == 1).sum()])
+    grams = sorted(set().union(*found))
+    n = np.array([[sum(g in f and v == k for f, v in zip(found, y, strict=True)) for k in (0, 1)] for g in grams])
+    share = (n + toxicity.ALPHA) / (seen + 2 * toxicity.ALPHA)
+    assert set(model.kept) == set(grams)
+    x = np.array([[float(g in f) for g in grams] for f in found]) * np.log(share[:, 1] / share[:, 0])
+    w, b = np.full(len(grams), 0.05), float(np.log((seen[1] + 0.5) / (seen[0] + 0.5)))
+    m = v = np.zeros(len(grams) + 1)
+    for step in range(1, 121):
+        d = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g = np.append(x.T @ d + 1e-5 * w, d.sum())
+        m, v = m + 0.1 * (g - m), v + 0.01 * (g * g - v)
+        move = 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        w, b = w - move[:-1], b - move[-1]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert np.allclose([got[i] for i, *_ in rows], 1 / (1 + np.exp(-(x @ w + b))), rtol=1e-6)
+
+
+def test_learning_takes_a_share_of_labels(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "'text' AS text", "cast(id % 2 AS int) AS toxic")
+    n = toxicity.labelled_rows(df, df, "doc_id", "text", "toxic", 600).count()
+    assert 480 < n < 720 and toxicity.labelled_rows(df, df, "doc_id", "text", "toxic", 5000).count() == 3000
+
+
 def test_op9(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     got = queries.op9_toxicity(spark, "/root/testdata/sf0.1").collect()

@@ -3,6 +3,10 @@
 Every round hangs the greater neighbours of a node, then the smaller ones, on the
 least of them (large-star and small-star), so long chains and stars both take
 few rounds.  The driver sees only two numbers a round.
+
+Defined cases: a link of a node with itself, a repeated one and one that is turned
+round add nothing; a node without a link to another isn't in the result; nodes are integers, links with a null
+are dropped; no links give an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
