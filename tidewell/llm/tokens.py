@@ -17,11 +17,15 @@ import os
 import re
 
 import numpy as np
+import xxhash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of units and their ids that a worker keeps, with what each entry takes besides; longer units than ``UNIT_BYTES`` are encoded anew.
-CACHE_BYTES, UNIT_BYTES, ENTRY_BYTES = 192 << 20, 64, 200
+CACHE_BYTES, UNIT_BYTES, ENTRY_BYTES = 160 << 20, 64, 200
+
+#: Bytes of the ids of whole texts that a worker keeps, by the texts' 128-bit hashes: copies are encoded once.
+COPY_BYTES = 40 << 20
 
 #: The characters with the Unicode property White_Space, and the contractions of both patterns.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -68,6 +72,8 @@ class CachedTokenizer:
         for token, i in vocabulary.items():
             self.width[i] = len(token) - 4 * (self.kind == "word" and len(token) > 4 and token.endswith("</w>"))
         self.cache: dict = {}
+        self.copies: dict[bytes, bytes] = {}
+        self.copy_bytes = 0
         self.cache_bytes, self.held_bytes = cache_bytes, 0
 
     def units(self, text: str) -> list:
@@ -91,7 +97,11 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         cache, out, late = self.cache, [], []
+        marks = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
         for i, text in enumerate(texts):
+            if (held := self.copies.get(marks[i])) is not None:
+                out.append(held)
+                continue
             units = self.units(text)
             try:
                 out.append(b"".join(map(cache.__getitem__, units)))
@@ -111,6 +121,13 @@ class CachedTokenizer:
                 known = _Both(cache, new)
             for i, units in late:
                 out[i] = b"".join(map(known.__getitem__, units))
+        for mark, ids in zip(marks, out, strict=True):
+            if mark not in self.copies and len(ids) <= COPY_BYTES // 64:
+                self.copy_bytes += len(ids) + ENTRY_BYTES
+                if self.copy_bytes > COPY_BYTES:
+                    self.copies.clear()
+                    self.copy_bytes = len(ids) + ENTRY_BYTES
+                self.copies[mark] = ids
         return out
 
     def encode_units(self, units: list) -> dict:
