@@ -233,9 +233,21 @@ def test_words_beyond_the_cache_count(spark):
     df = spark.createDataFrame([(i, "the thing and that", "en") for i in range(9)] + [(9, "der die", "de")], "doc_id long, text string, lang string")
     model = language.fit(df, PIECES, Workspace(spark, "t"))
     text = "the " + "x" * 70 + " and der unseen words " + "y" * 5000
-    want = language.Scorer(model).text(text)
-    small = language.Scorer(model, cache_words=2)
-    assert np.allclose(small.text(text), want) and np.allclose(small.text(text), want) and len(small.at) <= 2
+    p = language.pieces(PIECES)
+    want = np.sum([[language.forward(p.lattice("▁" + w), t) for t in model.theta.tolist()] for w in text.split()], 0)
+    small = language.Scorer(model, cache_words=4)
+    for texts in ([text], ["", text, "the"], [text]):
+        assert np.allclose(small.texts(texts)[texts.index(text)], want) and small.used <= 9
+    assert max(map(len, small.at)) <= 64
+
+
+def test_words_in_bulk_equal_words_alone(spark):
+    df = spark.createDataFrame([(i, "the thing and that", "en") for i in range(9)] + [(9, "der die", "de")], "doc_id long, text string, lang string")
+    model = language.fit(df, PIECES, Workspace(spark, "t"))
+    scorer, p = language.Scorer(model), language.pieces(PIECES)
+    found = ["the", "x", "日本", "é", "a" * 23, "b" * 24, "c" * 60, "d" * 700, "nation-wide", "\x00"]
+    want = [[language.forward(p.lattice("▁" + w), t) for t in model.theta.tolist()] for w in found]
+    assert np.allclose(scorer.words(found), want) and scorer.words([]).shape == (0, 2)
 
 
 # ---- toxicity

@@ -116,8 +116,8 @@ def vocabulary(counts: DataFrame, sizes: Sizes = Sizes()) -> Vocabulary:
     bins = others.groupBy(bin_.alias("b")).agg(F.count("*").alias("k")).toPandas().sort_values("b", ascending=False)
     kept = bins["b"][bins["k"].cumsum() < sizes.known]
     top = others.filter(bin_ >= int(kept.min())).toPandas() if len(kept) else others.limit(0).toPandas()  # fewer rows than known
-    top = top.iloc[sorted(range(len(top)), key=lambda i: (-top["c"].iat[i], bytes(top["word"].iat[i])))]
-    words, c = [END, *map(bytes, top["word"])], np.append(end, top["c"].to_numpy(np.int64))
+    ranked = sorted(zip(map(bytes, top["word"]), top["c"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    words, c = [END, *(w for w, _ in ranked)], np.array([end, *(k for _, k in ranked)], np.int64)
     own = min(sizes.words, len(words))
     suffix = F.crc32(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")) % sizes.classes
     by = counts.groupBy(suffix.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()

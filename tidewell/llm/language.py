@@ -35,8 +35,10 @@ from tidewell.llm.common import Workspace, fresh, map_slices, quoted, texts
 
 DOCUMENTS, ROUNDS, WORD_CHARS, SMOOTHING = 3000, 3, 64, 0.1
 #: Words that a worker keeps, of at most ``CACHE_CHARS`` characters; words and characters that are counted at a time.
-CACHE_WORDS, CACHE_CHARS, FLUSH_WORDS, FLUSH_CHARS = 400_000, 64, 200_000, 1 << 26
+CACHE_WORDS, CACHE_CHARS, FLUSH_WORDS, FLUSH_CHARS = 700_000, 64, 200_000, 1 << 26
 MARK, TINY = "▁", 1e-150
+#: Words of at most so many characters are summed many at a time; their probabilities need no scaling.
+BULK_CHARS, BULK_WORDS = 24, 8192
 
 
 class Pieces:
@@ -72,6 +74,29 @@ class Pieces:
         return out
 
 
+    def edges(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, end, piece) of the lattices of words of fewer than 64 characters, by start."""
+        out: list[int] = []
+        add, trie = out.append, self.trie
+        for k, word in enumerate(found):
+            n = len(word)
+            for i in range(n):
+                at, node = k << 6 | i, trie.get(word[i])
+                if node is None:
+                    add((at << 6 | i + 1) << 20)
+                    continue
+                piece = node.get("")
+                add((at << 6 | i + 1) << 20 | (piece or 0))
+                for j in range(i + 1, n):
+                    if (node := node.get(word[j])) is None:
+                        break
+                    if (piece := node.get("")) is not None:
+                        add((at << 6 | j + 1) << 20 | piece)
+        x = np.array(out, np.int64)
+        x = x[np.argsort(x >> 26 & 63, kind="stable")]
+        return x >> 32, x >> 26 & 63, x >> 20 & 63, x & 0xFFFFF
+
+
 @functools.lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
     """One for each Python worker."""
@@ -185,36 +210,51 @@ class Scorer:
     """Log probabilities of texts in each language, by a bounded cache of words."""
 
     def __init__(self, model: Model, cache_words: int = CACHE_WORDS):
-        self.model, self.rows = model, model.theta.tolist()
+        self.model, self.rows, self.columns = model, model.theta.tolist(), np.ascontiguousarray(model.theta.T)
         self.at: dict[str, int] = {}
-        self.logs = np.zeros((1024, len(model.languages)))
+        self.logs, self.used = np.zeros((1024, len(model.languages))), 0
         self.cache_words = cache_words
-        self.lattice = pieces(model.vocabulary).lattice
-
-    def word(self, word: str) -> list[float]:
-        lattice = self.lattice(MARK + word)
-        return [forward(lattice, t) for t in self.rows]
-
-    def _add(self, word: str) -> int:
-        i = len(self.at)
-        if i == len(self.logs):
-            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-        self.logs[i] = self.word(word)
-        self.at[word] = i
-        return i
-
-    def text(self, text: str) -> np.ndarray:
-        out, at, full = np.zeros(len(self.model.languages)), [], self.cache_words
-        for w in words(text):
-            if (i := self.at.get(w)) is None:
-                if len(w) > CACHE_CHARS or len(self.at) >= full:
-                    out += self.word(w)  # words beyond the cache count like others
-                    continue
-                i = self._add(w)
-            at.append(i)
-        out += self.logs[at].sum(0)
-        if len(self.at) >= full:
+        self.pieces = pieces(model.vocabulary)
+
+    def words(self, found: list[str]) -> np.ndarray:
+        """One row of logarithms for each word, which are summed over all segmentations many words at a time."""
+        out = np.zeros((len(found), len(self.rows)))
+        short = [i for i, w in enumerate(found) if len(w) < BULK_CHARS]
+        for k in range(0, len(short), BULK_WORDS):
+            some = short[k : k + BULK_WORDS]
+            marked = [MARK + found[i] for i in some]
+            word, start, end, piece = self.pieces.edges(marked)
+            alpha = np.zeros((len(some), BULK_CHARS + 1, len(self.rows)))
+            alpha[:, 0] = 1.0
+            cut = np.searchsorted(start, np.arange(BULK_CHARS + 1))
+            for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                # Pieces that start at one place of a word end at different ones.
+                alpha[word[a:b], end[a:b]] += alpha[word[a:b], i] * self.columns[piece[a:b]]
+            out[some] = np.log(alpha[np.arange(len(some)), [len(w) for w in marked]])
+        for i in set(range(len(found))).difference(short):
+            lattice = self.pieces.lattice(MARK + found[i])
+            out[i] = [forward(lattice, t) for t in self.rows]
+        return out
+
+    def texts(self, given: list[str]) -> np.ndarray:
+        """One row for each text."""
+        split = [words(t) for t in given]
+        distinct = set().union(*split)
+        new = list(distinct.difference(self.at))
+        if self.used + len(new) > self.cache_words:
             self.at.clear()
+            self.used, new = 0, list(distinct)
+        if self.used + len(new) > len(self.logs):
+            self.logs = np.concatenate([self.logs[: self.used], np.zeros((max(len(new), self.used), self.logs.shape[1]))])
+        self.logs[self.used : self.used + len(new)] = self.words(new)
+        self.at.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+        get, out = self.at.__getitem__, np.zeros((len(given), len(self.rows)))
+        for i, found in enumerate(split):
+            if found:
+                out[i] = self.logs[list(map(get, found))].sum(0)
+        for w in [w for w in new if len(w) > CACHE_CHARS]:
+            del self.at[w]
         return out
 
 
@@ -227,16 +267,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", into: tuple[str, st
         scorer = Scorer(model) if model.languages else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, scores = [], []
-            for t, has in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not has or scorer is None:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                z = scorer.text(t) + model.prior
-                best = int(z.argmax())
-                names.append(model.languages[best])
-                scores.append(float(1 / np.exp(z - z[best]).sum()))
+            has = [i for i, x in enumerate(batch.column(1).to_pylist()) if x and scorer is not None]
+            names, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            if has:
+                for i, z in zip(has, scorer.texts(batch.column(0).take(pa.array(has)).to_pylist()) + model.prior, strict=True):
+                    best = int(z.argmax())
+                    names[i], scores[i] = model.languages[best], float(1 / np.exp(z - z[best]).sum())
             return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, *into])
 
         return step
