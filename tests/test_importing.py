@@ -97,6 +97,48 @@ def test_folder(spark, tmp_path):
     assert files.connection_problems(spark, "ftp")
 
 
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A writer that dies before its version has a pointer leaves the table as it was; a second writer of one version fails."""
+    store = state.Store(spark, str(tmp_path / "store"))
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    read = lambda: [r["v"] for r in store.read("t").collect()]
+    store.replace("t", one(1))
+    fs = store._fs
+
+    class Dies:
+        def __getattr__(self, name):
+            return (lambda *a: (_ for _ in ()).throw(OSError("gone"))) if name == "rename" else getattr(fs, name)
+
+    monkeypatch.setattr(store, "_fs", Dies())
+    with pytest.raises(OSError):
+        store.replace("t", one(2))
+    monkeypatch.setattr(store, "_fs", fs)
+    assert read() == [1]
+    other = state.Store(spark, str(tmp_path / "store"))
+    seen = other._pointers("t")
+    store.replace("t", one(3))
+    monkeypatch.setattr(other, "_pointers", lambda name: seen)
+    with pytest.raises(RuntimeError):
+        other.replace("t", one(4))
+    assert read() == [3]
+    for v in (5, 6, 7):
+        store.replace("t", one(v))
+    assert read() == [7] and len(store._pointers("t")) == 2
+
+
+def test_staging_of_earlier_runs_is_not_read(spark, tmp_path):
+    imp = Importer(spark, str(tmp_path / "store"), Settings(approval_required=False))
+    path = tmp_path / "things.csv"
+    for n in (3, 4):
+        path.write_text(rows(n))
+        imp.import_file(str(path))
+    runs = [r["run_id"] for r in imp.store.read("staging").select("run_id").distinct().collect()]
+    mine = imp.store.read("staging").filter(F.col("run_id") == runs[0])
+    assert len(runs) == 2 and "PartitionFilters: [isnotnull(run_id" in mine._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        state.register_schema(imp.store.read("registry"), "", "f", [], "T", 1.0)
+
+
 def test_settings():
     assert Settings.load({"chunk_size": 500}, {"TIDEWELL_MATCH_THRESHOLD": "70", "TIDEWELL_AUTO_CREATE": "no"}) == Settings(chunk_size=500, match_threshold=70.0, auto_create=False)
     for bad in ({"chunk_size": 50}, {"match_threshold": 99}, {"max_jobs": 0}, {"watch_dir": "x/y"}):

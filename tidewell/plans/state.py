@@ -141,7 +141,9 @@ def new_log_entries(entries: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def register_schema(registry: DataFrame, source_file: str, fingerprint: str, headers: list[str], target: str, confidence: float, at=None) -> DataFrame:
-    """The registry with this schema: a new entry, or one more use of the old one."""
+    """The registry with this schema: a new entry, or one more use of the old one; its file, fingerprint and target are required."""
+    if not (source_file and fingerprint and target):
+        raise ValueError("a registered schema has a file, a fingerprint and a target")
     at = now() if at is None else at
     one = registry.sparkSession.createDataFrame([(source_file, fingerprint, headers, target, float(confidence), 1)], "source_file string, schema_fingerprint string, headers array<string>, target string, confidence double, usage_count long").withColumns({"created_date": at, "last_used": at})
     both = registry.unionByName(one)

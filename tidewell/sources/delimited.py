@@ -18,8 +18,8 @@ MAX_BYTES = 100 * 1024 * 1024
 
 
 def encoding(spark: SparkSession, path: str) -> str:
-    """Of one file; its lines are checked by tasks, none is read on the driver."""
-    lines = spark.read.format("binaryFile").load(path).select(F.expr("is_valid_utf8(content)").alias("ok"))
+    """Of one file of any size: lines come as raw bytes and are checked by tasks, none is read on the driver."""
+    lines = spark.read.text(path).select(F.expr("is_valid_utf8(value)").alias("ok"))
     return "UTF-8" if lines.agg(F.coalesce(F.min(F.col("ok").cast("int")), F.lit(1))).first()[0] else "ISO-8859-1"
 
 
