@@ -483,25 +483,36 @@ def _two_imports(spark: SparkSession) -> tuple[Importer, list]:
     return imp, done
 
 
+_HELD: dict[str, tuple] = {}
+
+
+def _imported(spark: SparkSession) -> tuple[Importer, list]:
+    """The same store for all queries of a session that only read it."""
+    key = spark.sparkContext.applicationId
+    if key not in _HELD:
+        _HELD[key] = _two_imports(spark)
+    return _HELD[key]
+
+
 @stated("run bigint, action string, n bigint", [(0, "INSERT", 4), (1, "SKIP", 2), (1, "UPDATE", 1), (1, "FAILED", 1), (1, "INSERT", 1)])
 def import_counts(spark, sf_dir):
-    return spark.createDataFrame([(i, a, n) for i, r in enumerate(_two_imports(spark)[1]) for a, n in r.counts.items()], "run bigint, action string, n bigint")
+    return spark.createDataFrame([(i, a, n) for i, r in enumerate(_imported(spark)[1]) for a, n in r.counts.items()], "run bigint, action string, n bigint")
 
 
 @stated("item_code string, title string, price double, since string, stamped boolean", [("SKU-0000", "Thing 0", 1000.5, "2024-01-01", True), ("SKU-0001", "Renamed", 1001.5, "2024-01-02", True), ("SKU-0002", "Thing 2", 1002.5, "2024-01-03", True), ("SKU-0003", "Thing 3", 1003.5, "2024-01-04", True), ("SKU-0004", "Thing 4", 1004.5, "2024-01-05", True)])
 def imported_records(spark, sf_dir):
-    records = _two_imports(spark)[0].records("Things")
+    records = _imported(spark)[0].records("Things")
     return records.select("item_code", "title", "price", F.col("since").cast("string").alias("since"), (F.col("migration_source").endswith("things_data.csv") & F.col("migration_batch").isNotNull()).alias("stamped"))
 
 
 @stated("status string, error_type string, n bigint", [("Processed", None, 6), ("Skipped", None, 2), ("Failed", "validation", 1)])
 def staging_after_imports(spark, sf_dir):
-    return _two_imports(spark)[0].store.read("staging").groupBy("status", "error_type").agg(F.count("*").alias("n"))
+    return _imported(spark)[0].store.read("staging").groupBy("status", "error_type").agg(F.count("*").alias("n"))
 
 
 @stated("action string, n bigint", [("Inserted", 5), ("Updated", 1)])
 def log_after_imports(spark, sf_dir):
-    return _two_imports(spark)[0].store.read("import_log").groupBy("action").agg(F.count("*").alias("n"))
+    return _imported(spark)[0].store.read("import_log").groupBy("action").agg(F.count("*").alias("n"))
 
 
 @stated("column_name string, field_type string, length bigint, is_unique boolean", [("item_code", "Data", 30, True), ("title", "Data", 30, False), ("price", "Currency", None, False), ("since", "Date", None, False)])
