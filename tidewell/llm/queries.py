@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, hmm, jaccard, language, media, merkle, packing, secrets, token_files, toxicity
+from tidewell.llm import bpe, hmm, jaccard, language, media, merkle, packing, ranked, secrets, token_files, toxicity
 from tidewell.llm.common import Workspace, crc_mod, documents
+from tidewell.llm.sql import ORACLE_SQL  # noqa: F401
 
 
 #: Documents with at least this score are predicted to be toxic.
@@ -92,5 +93,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scores, op2_language_id, op3_bpe_roundtrip, op4_media_columns, op5_merkle_fingerprints, op6_cost_packing, op7_secret_scan, op8_jaccard_components, op9_toxicity, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "ranked")
+    index, total = ranked.write_index(documents(spark, sf_dir, "doc_id", "text"), work)
+    return ranked.search(index, total, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scores, op2_language_id, op3_bpe_roundtrip, op4_media_columns, op5_merkle_fingerprints, op6_cost_packing, op7_secret_scan, op8_jaccard_components, op9_toxicity, op10_token_files, op13_ranked_search)}
