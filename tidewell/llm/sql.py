@@ -47,5 +47,6 @@ FROM g LEFT JOIN c ON len(g.s) > 0 AND list_sort(g.s) = c.s LEFT JOIN m ON m.k =
 
 ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_components": components(5, False),
+    "op12_bottomk_components": components(4, True),
     "op13_ranked_search": RANKED,
 }
