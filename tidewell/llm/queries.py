@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bottomk, bpe, hmm, jaccard, language, media, merkle, packing, ranked, secrets, token_files, toxicity
+from tidewell.llm import bottomk, bpe, hmm, jaccard, language, media, merkle, packing, phrases, ranked, secrets, token_files, toxicity
 from tidewell.llm.common import Workspace, crc_mod, documents
 from tidewell.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -93,6 +93,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir, "lang", "text"), Workspace(spark, "phrases"))
+
+
 def op12_bottomk_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.link(documents(spark, sf_dir, "doc_id", "text"), Workspace(spark, "bottomk"))
 
@@ -103,4 +107,4 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(index, total, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scores, op2_language_id, op3_bpe_roundtrip, op4_media_columns, op5_merkle_fingerprints, op6_cost_packing, op7_secret_scan, op8_jaccard_components, op9_toxicity, op10_token_files, op12_bottomk_components, op13_ranked_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scores, op2_language_id, op3_bpe_roundtrip, op4_media_columns, op5_merkle_fingerprints, op6_cost_packing, op7_secret_scan, op8_jaccard_components, op9_toxicity, op10_token_files, op11_phrases, op12_bottomk_components, op13_ranked_search)}

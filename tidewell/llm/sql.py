@@ -45,8 +45,26 @@ FROM g LEFT JOIN c ON len(g.s) > 0 AND list_sort(g.s) = c.s LEFT JOIN m ON m.k =
 """
 
 
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lowered("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(flatten([[w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)] FOR k IN [1, 2, 3, 4]])) AS w FROM w),
+f AS (SELECT lang, w, count(*) AS f FROM g GROUP BY lang, w),
+c AS (SELECT lang, w, f AS a FROM f WHERE f >= 30 AND len(w) > 1),
+k AS (SELECT c.lang, c.w, c.a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+      FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:]),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+i AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest(flatten([[w[i:i + m - 1] FOR i IN range(1, len(w) - m + 2)] FOR m IN range(2, len(w))])) AS part FROM c) GROUP BY lang, part),
+o AS (SELECT s.*, array_to_string(s.w, ' ') AS phrase FROM s LEFT JOIN i ON i.lang = s.lang AND i.part = s.w WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * s.a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_components": components(5, False),
+    "op11_phrases": PHRASES,
     "op12_bottomk_components": components(4, True),
     "op13_ranked_search": RANKED,
 }
