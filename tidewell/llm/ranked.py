@@ -187,7 +187,7 @@ def search(index: DataFrame, total: int, queries: DataFrame, work: Workspace, ke
     rows = queries.select(F.col(f"`{query_key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.regexp_count("t", F.lit(APART)) > 0)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = -(-size // block_bytes) if total else 0
-    numbered = work.write(rows.withColumn("block", F.pmod(F.monotonically_increasing_id() * 2654435761, F.lit(max(1, blocks))).cast("long")), "queries")
+    numbered = work.write(rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, blocks)))), "queries")
     out = None
     for b in range(blocks):
         block = [(r["k"], r["t"]) for r in numbered.filter(F.col("block") == b).collect()]
