@@ -34,7 +34,7 @@ class Settings:
     max_jobs: int = 5
     poll_minutes: int = 15
     keep_days: int = 30
-    max_file_bytes: int = 100 * 1024 * 1024
+    max_file_bytes: int = 0  # 0: any size
     suffixes: tuple = (".csv", ".xlsx", ".xls")
     # Ways of the former tool that its users may rely on; by default a value that doesn't fit its type fails its row.
     int_strip_point: bool = False

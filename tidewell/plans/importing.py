@@ -98,7 +98,7 @@ class Importer:
     def import_file(self, path: str, target: str | None = None, approve: bool = False) -> Result:
         """Into ``target``, or the best known table, or a new one; a new one needs approval unless the settings or ``approve`` say otherwise."""
         session = uuid.uuid4().hex
-        rows = read_strings(self.spark, path, max_bytes=self.settings.max_file_bytes)
+        rows = read_strings(self.spark, path, max_bytes=self.settings.max_file_bytes or None)
         headers = [c for c in rows.columns if not c.startswith("_")]
         score = 1.0
         if target is None:

@@ -501,6 +501,33 @@ def csv_round_trip(spark, sf_dir):
     return rows.select(*[c for c in rows.columns if not c.startswith("_")], F.col("_row_index").alias("row_index"))
 
 
+def _one_file(df: DataFrame, order: str) -> DataFrame:
+    """The rows written as one file and read again as strings, with their numbers."""
+    work = Workspace(df.sparkSession, "csv")
+    df.orderBy(order).coalesce(1).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(f"{work.path}/out")
+    file = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{work.path}/out").select("path").first()["path"]
+    return read_strings(df.sparkSession, file)
+
+
+_LINE = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1"
+
+
+@query(f"SELECT CAST({_LINE} AS BIGINT) AS row_index, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, {SQL_MONEY.format('l_extendedprice')} AS l_extendedprice, l_returnflag FROM lineitem")
+def csv_lineitem(spark, sf_dir):
+    """The lines as one file, which its splits' tasks read."""
+    rows = table(spark, sf_dir, "lineitem").sort("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    rows = raw(rows.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.monotonically_increasing_id().alias("at")), "l_extendedprice")
+    read = _one_file(rows.withColumn("at", F.col("at").cast("long")), "at")
+    return read.select(F.col("_row_index").alias("row_index"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_index, CAST(doc_id AS VARCHAR) AS doc_id, md5(text || '\"' || text) AS text_md5, source FROM documents WHERE text <> ''")
+def csv_documents(spark, sf_dir):
+    """Texts with quotes and line breaks as one file; rows may reach over the ends of splits."""
+    rows = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.concat("text", F.lit('"'), "text").alias("text"), "source")
+    return _one_file(rows, "doc_id").select(F.col("_row_index").alias("row_index"), "doc_id", F.md5("text").alias("text_md5"), "source")
+
+
 @query("""SELECT target, success, updated, skipped, failed, success + updated + skipped + failed AS total, round((success + updated + skipped) * 100.0 / (success + updated + skipped + failed), 2) AS success_rate FROM (SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS target, count(CASE WHEN event_id % 4 = 0 THEN 1 END) AS success, count(CASE WHEN event_id % 4 = 1 THEN 1 END) AS updated, count(CASE WHEN event_id % 4 = 2 THEN 1 END) AS skipped, count(CASE WHEN event_id % 4 = 3 THEN 1 END) AS failed FROM events GROUP BY 1)""")
 def success_rate(spark, sf_dir):
     k = F.col("event_id") % 4
