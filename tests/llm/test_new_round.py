@@ -87,7 +87,10 @@ def test_phrases_guards():
     s = phrases._Scanner(["a b", "b a", "a", "b", "a b a"])
     # "ab" is a word of its own, "c" and line ends are guards
     assert s.count(b"a b a b ab a c b\nb a").tolist() == [2, 2, 4, 4, 1]
-    assert len(set(phrases.symbols([str(i) for i in range(70_000)]).values())) == 70_000
+    codes = phrases.symbols(70_000)
+    assert codes.shape == (70_001, 3)
+    assert len({tuple(c) for c in codes.tolist()}) == 70_001
+    assert not set(codes[1:, 0].tolist()) & set(codes[:, 1:].ravel().tolist())
 
 
 def brute_components(rows, words=4):

@@ -6,7 +6,7 @@
 2. Candidates are the n-grams whose cell has the bit and whose parts' cells have it.  No phrase that is
    frequent enough is missed; some that aren't come along.
 3. Blocks of candidates compile into pyahocorasick automata.  Every word of a block
-   is one character there, and all else (ends of pieces, other words) is the delimiter, which no pattern holds: a match
+   is a code of a few characters there, and all else (ends of pieces, other words) is the delimiter, which no pattern holds: a match
    neither begins within a word nor runs across a guard.  Each block scans all texts and counts all matches, overlapping ones
    too, by language.
 4. Counts are summed by Spark, and only then thresholds, scores and ranks apply.
@@ -44,7 +44,8 @@ BLOCK_PHRASES, BLOCK_BYTES = 400_000, 16 << 20
 
 #: Ends of pieces become line breaks, tabs spaces, A-Z a-z.
 TABLE = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-DELIMITER, FIRST, SURROGATES = "\x00", 0x100, (0xD800, 0xE000)
+#: Digits of words' codes, and the first of their characters.
+DIGITS, FIRST = 64, 0x100
 
 
 def blobs(column: list[str]) -> Iterator[bytes]:
@@ -195,14 +196,19 @@ def candidates(rows: DataFrame, sketch: _Sketch) -> DataFrame:
     return rows.mapInArrow(run, "phrase string")
 
 
-def symbols(words: list[str]) -> dict[bytes, str]:
-    """A character for each word."""
-    out, code = {}, FIRST
-    for w in words:
-        code = SURROGATES[1] if code == SURROGATES[0] else code
-        out[w.encode()] = chr(code)
-        code += 1
-    return out
+def symbols(n: int) -> np.ndarray:
+    """The code of each of ``n`` words as a row of characters, the guard's first.
+
+    Nodes of an automaton look through their children one by one, so an alphabet of words would be slow: a word is a
+    fixed number of digits.  First digits have characters of their own, so no match begins within a word.
+    """
+    digits = 1
+    while DIGITS**digits <= n:
+        digits += 1
+    code = np.arange(n + 1)[:, None] // DIGITS ** np.arange(digits)[::-1] % DIGITS + FIRST
+    code[:, 0] += DIGITS
+    code[0] = 0
+    return code.astype("<u4")
 
 
 class _Scanner:
@@ -210,37 +216,49 @@ class _Scanner:
 
     def __init__(self, phrases: list[str]):
         words = sorted({w for p in phrases for w in p.split(" ")})
-        self.symbol = symbols(words)
+        self.number = {w.encode(): i for i, w in enumerate(words, 1)}
+        self.code = symbols(len(words))
         self.automaton = ahocorasick.Automaton()
-        self.single: dict[int, int] = {}
+        self.single = np.full(len(words) + 1, -1, np.int64)
         for i, p in enumerate(phrases):
-            key = "".join([self.symbol[w.encode()] for w in p.split(" ")])
-            if len(key) == 1:
-                self.single[ord(key)] = i
+            ids = [self.number[w] for w in p.encode().split(b" ")]
+            if len(ids) == 1:
+                self.single[ids[0]] = i
             else:
-                self.automaton.add_word(key, i)
+                self.automaton.add_word(self.text(ids), i)
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.codes, self.rows = np.array(list(self.single), np.int64), np.array(list(self.single.values()), np.int64)
         self.n = len(phrases)
 
+    def text(self, ids: list[int]) -> str:
+        return self.code[ids].tobytes().decode("utf-32-le")
+
     def count(self, data: bytes) -> np.ndarray:
         """How often each phrase occurs in the lines."""
-        get = self.symbol.get
-        text = DELIMITER.join(["".join([get(w, DELIMITER) for w in piece.split()]) for piece in data.split(b"\n")])
+        get = self.number.get
+        # No word holds a point; it stands for the end of a piece.
+        ids = [get(w, 0) for w in data.replace(b"\n", b" . ").split()]
         out = np.zeros(self.n, np.int64)
-        if len(self.automaton):
-            found = np.fromiter((i for _, i in self.automaton.iter(text)), np.int64)
+        if len(self.automaton) and ids:
+            found = np.fromiter((i for _, i in self.automaton.iter(self.text(ids))), np.int64)
             out += np.bincount(found, minlength=self.n)
-        if self.single:
-            one = np.bincount(np.frombuffer(text.encode("utf-32-le"), "<u4"), minlength=int(self.codes.max()) + 1)
-            out[self.rows] = one[self.codes]
+        one = np.bincount(np.array(ids, np.int64), minlength=len(self.single))
+        some = np.flatnonzero((self.single >= 0) & (one > 0))
+        out[self.single[some]] = one[some]
         return out
 
 
 _scanners: dict[str, _Scanner] = {}
 
 
+def scanner(mark: str, phrases: list[str]) -> _Scanner:
+    """A worker keeps the last one for its next tasks."""
+    if mark not in _scanners:
+        _scanners.clear()
+        _scanners[mark] = _Scanner(phrases)
+    return _scanners[mark]
+
+
 def counts(rows: DataFrame, block: DataFrame) -> DataFrame:
     """(lang, i, f): how often each phrase of ``block`` (i, phrase) occurs in each language; i = -1: all words of the language, in the block numbered 0."""
     got = block.select("i", "phrase").collect()
@@ -249,10 +267,7 @@ def counts(rows: DataFrame, block: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, phrases = held.value
-        if mark not in _scanners:  # a worker keeps the last one for its next tasks
-            _scanners.clear()
-            _scanners[mark] = _Scanner(phrases)
-        scanner, total, n = _scanners[mark], {}, {}
+        block, total, n = scanner(mark, phrases), {}, {}
         ids = np.array(ids, np.int64)
 
         def given(lang: str) -> pa.RecordBatch:
@@ -266,7 +281,7 @@ def counts(rows: DataFrame, block: DataFrame) -> DataFrame:
                 if len(total) >= LANGUAGES:
                     yield given(next(iter(total)))
                 total[lang], n[lang] = np.zeros(len(ids), np.int64), 0
-            total[lang] += scanner.count(data)
+            total[lang] += block.count(data)
             n[lang] += len(data.split())
         for lang in list(total):
             yield given(lang)
