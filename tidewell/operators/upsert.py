@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.strings import filled
@@ -28,14 +28,20 @@ ACTIONS = ("INSERT", "UPDATE", "SKIP", "FAILED")
 SYSTEM = ("row_hash", "last_import_date")
 
 
-def decide(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+def decide(rows: DataFrame, target: DataFrame, keys: list[str], log: DataFrame | None = None) -> DataFrame:
     """``rows`` (with row_index, row_hash, errors and new_name) with ``action`` and ``record_name``, as a fold over them in order gives.
 
+    ``log`` (row_hash, record_name) holds rows that were imported at some time: they are skipped too, though a later row may have changed
+    their record since.
+
     A join a key with the target; then, for each key, the first row of every value that the target lacks, by one
     aggregate over narrow rows that is joined back.  The first ranked key that finds a record or an earlier row decides.
     """
     work = Workspace(rows.sparkSession, "upsert")
-    matched = work.write(match_by_keys(match_by_hash(rows, target), target, keys, each=True), "matched")
+    hashes = target.select("name", "row_hash")
+    if log is not None:
+        hashes = hashes.unionByName(log.select(F.col("record_name").alias("name"), "row_hash"))
+    matched = work.write(match_by_keys(match_by_hash(rows, hashes), target, keys, each=True), "matched")
     row = F.struct(F.col("row_index").cast("bigint").alias("row_index"), F.col("new_name").cast("string").alias("new_name"))
     sound = matched.filter((F.size("errors") == 0) & F.col("hash_match").isNull())
     first = sound.filter("row_hash is not null").groupBy("row_hash").agg(F.min(row).alias("_first"))
@@ -55,8 +61,9 @@ def decide(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     action = F.when(F.size("errors") > 0, "FAILED").when(F.coalesce("hash_match", "_twin").isNotNull(), "SKIP").when(found.isNotNull(), "UPDATE").otherwise("INSERT")
     name = F.when(F.size("errors") > 0, F.lit(None)).otherwise(F.coalesce("hash_match", "_twin", found, "new_name"))
     out = out.withColumns({"action": action, "record_name": name})
-    # A row that others follow may itself follow another one by another key.
-    return _followed(out.drop("hash_match", "key_match", "_twin", "_hit", *[f"_m{i}" for i in range(len(keys))]), work)
+    out = out.drop("hash_match", "key_match", "_twin", "_hit", *[f"_m{i}" for i in range(len(keys))])
+    # A row that others follow may itself follow another one by another key; with one key it is the first of its value, and inserted.
+    return _followed(out, work) if len(keys) > 1 else out
 
 
 def _followed(decided: DataFrame, work: Workspace) -> DataFrame:
@@ -65,7 +72,10 @@ def _followed(decided: DataFrame, work: Workspace) -> DataFrame:
     The links are written and doubled in reach until none moves, so chains of any length end at their record.
     """
     decided, i = work.write(decided, "decided"), 0
-    links = work.write(decided.filter("action = 'UPDATE' and new_name != record_name").select(F.col("new_name").alias("_n"), F.col("record_name").alias("_to")), "links-0")
+    updates = decided.filter("action = 'UPDATE' and new_name != record_name")
+    if updates.join(decided.filter("action != 'FAILED'").select(F.col("new_name").alias("_n")), F.col("record_name") == F.col("_n"), "left_semi").isEmpty():
+        return decided  # all updates are of records that were there before
+    links = work.write(updates.select(F.col("new_name").alias("_n"), F.col("record_name").alias("_to")), "links-0")
     while True:
         hops = links.select(F.col("_n").alias("_m"), F.col("_to").alias("_next"))
         longer = work.write(links.select("_n", "_to").join(hops, F.col("_to") == F.col("_m"), "left").select("_n", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")), f"links-{i + 1}")
@@ -96,6 +106,16 @@ def merge(decided: DataFrame, target: DataFrame, columns: list[str], imported_at
     return both.select(F.coalesce("name", "_name").alias("name"), *values, F.coalesce("_row_hash", "row_hash").alias("row_hash"), date.alias("last_import_date"), *stamped)
 
 
+def observed(decided: DataFrame, seen: Observation) -> DataFrame:
+    """``decided``; the job that writes it counts its rows by action."""
+    return decided.observe(seen, *[F.count(F.when(F.col("action") == a, 1)).alias(a) for a in ACTIONS])
+
+
+def observed_counts(seen: Observation) -> dict[str, int]:
+    """Rows by action, of those that occur."""
+    return {a: n for a, n in seen.get.items() if n}
+
+
 def counts(decided: DataFrame) -> DataFrame:
     """(action, rows) of the batch."""
     return decided.groupBy("action").agg(F.count("*").alias("rows"))

@@ -41,6 +41,7 @@ class Settings:
     nonnumeric_as_zero: bool = False
     hash_with_row_number: bool = True
     max_rows_per_file: int = 0  # 0: all
+    buckets: int = 64  # parts of a table of records, by the hash of the name; fixed once there are records
     check_as_string: bool = False
     type_by_name: bool = True
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import naming
@@ -17,13 +18,15 @@ from tidewell.operators import infer, matching, upsert
 from tidewell.operators.identity import Field, matching_keys
 from tidewell.operators.profile import structure
 from tidewell.operators.validation import validate
-from tidewell.plans import state
+from tidewell.plans import membership, state
 from tidewell.plans.config import Settings
 from tidewell.sources.delimited import read_strings
 from tidewell.sources.files import Folder
 
 
-STAGED_BY = ("run_id", "target")
+def staged_by() -> Column:
+    """Parts of staging: an import reads and writes its own run only."""
+    return F.concat_ws("/", "run_id", "target")
 
 
 @dataclass
@@ -60,10 +63,11 @@ class Importer:
         known = self.store.read("tables", "target string, fields string").filter(F.col("target") != target)
         self.store.replace("tables", known.unionByName(self.spark.createDataFrame([(target, json.dumps([asdict(f) for f in fields]))], "target string, fields string")))
 
-    def records(self, target: str) -> DataFrame:
+    def records(self, target: str, parts: Callable[[str], bool] | None = None) -> DataFrame:
+        """The records, or those of some buckets."""
         fields = self.tables()[target]
         schema = ", ".join(["name string", *(f"`{f.name}` {SPARK_TYPES.get(f.kind, 'string')}" for f in fields), "row_hash string", "last_import_date timestamp", "migration_source string", "migration_batch string"])
-        return self.store.read(self._table(target), schema)
+        return self.store.read(self._table(target), schema, parts)
 
     def _table(self, target: str) -> str:
         return f"records_{naming.snake(target)}"
@@ -124,8 +128,8 @@ class Importer:
         by = {f.name: f for f in fields}
         headers = [c for c in rows.columns if not c.startswith("_")]
         mapping = matching.map_headers(headers, list(by))
-        self.store.append("staging", state.staged(rows, target, session), *STAGED_BY)
-        staging = self.store.read("staging").filter((F.col("run_id") == session) & (F.col("target") == target))
+        self.store.append("staging", state.staged(rows, target, session), staged_by())
+        staging = self.store.read("staging", parts=f"{session}/{target}".__eq__)
         if self.settings.max_rows_per_file:
             staging = state.pending(staging, target, self.settings.max_rows_per_file)
 
@@ -146,26 +150,33 @@ class Importer:
         typed = checked.select("row_index", "source_file", "raw", "row_hash", "errors", "error_log", name.alias("_base"), *values)
         table = self.records(target)
         typed = upsert.numbered_names(typed, "_base", "row_index", table.select("name")).withColumnRenamed("unique_name", "new_name").drop("_base")
-        # The merge, the log, staging and the counts all read what is written here.
-        decided = self.store.replace("decided", upsert.decide(typed, table, matching_keys(table, fields)))
+        # Only the parts of the log that may hold one of these rows are read; a row that was ever imported is known by it.
+        log = membership.read_log(self.store, typed.select("row_hash", F.lit(target).alias("target")))
+        # The merge, the log and staging read what is written here; the counts come with the write.
+        seen = Observation()
+        outcome = upsert.observed(upsert.decide(typed, table, matching_keys(table, fields), log.filter(F.col("target") == target)), seen)
+        decided = self.store.replace("decided", outcome)
         source = rows.select("_source_file").first()
-        merged = upsert.merge(decided, table, list(by), state.now(), migration_source=F.lit(source[0] if source else None).cast("string"), migration_batch=F.lit(session))
-        self.store.replace(self._table(target), merged)
-        log = self.store.read("import_log", state.IMPORT_LOG)
-        self.store.append("import_log", state.new_log_entries(state.log_entries(decided, session, target), log))
+        changed = decided.filter(F.col("action").isin("INSERT", "UPDATE"))
+        touched = {r[0] for r in changed.select(state.bucket(F.col("record_name"), self.settings.buckets)).distinct().collect()}  # buckets at most
+        if touched:
+            part = self.records(target, touched.__contains__)
+            merged = upsert.merge(decided, part, list(by), state.now(), migration_source=F.lit(source[0] if source else None).cast("string"), migration_batch=F.lit(session))
+            self.store.replace_parts(self._table(target), merged, state.bucket(F.col("name"), self.settings.buckets), touched)
+        membership.append_log(self.store, state.new_log_entries(state.log_entries(decided, session, target), log))
         self._finish(decided, session, target)
-        return {r["action"]: r["rows"] for r in upsert.counts(decided).collect()}  # four rows
+        return upsert.observed_counts(seen)
 
     def _finish(self, decided: DataFrame, session: str, target: str) -> None:
         """Staged rows get their status and messages."""
         status = F.create_map(*[F.lit(x) for x in ("INSERT", "Processed", "UPDATE", "Processed", "SKIP", "Skipped", "FAILED", "Failed")])
         done = decided.select(F.col("row_index").alias("_i"), status[F.col("action")].alias("_status"), F.nullif("error_log", F.lit("")).alias("_log"))
-        # Staging is partitioned by run, so earlier runs are neither read nor written.
-        staging = self.store.read("staging", state.STAGING).filter((F.col("run_id") == session) & (F.col("target") == target))
+        # Earlier runs are neither read nor written.
+        staging = self.store.read("staging", state.STAGING, f"{session}/{target}".__eq__)
         joined = staging.join(done, F.col("row_index") == F.col("_i"), "left")
         kind = F.when(F.col("_log").isNotNull(), error_category(F.col("_log")))
         out = joined.withColumns({"status": F.coalesce("_status", "status"), "error_log": F.coalesce("_log", "error_log"), "error_type": F.coalesce(kind, "error_type"), "processed_at": F.when(F.col("_status").isNotNull(), state.now()).otherwise(F.col("processed_at"))})
-        self.store.replace_parts("staging", out.select(*staging.columns), *STAGED_BY)
+        self.store.replace_parts("staging", out.select(*staging.columns), staged_by())
 
     # ---- requests and folders
 
@@ -211,7 +222,7 @@ class Importer:
 
     def clean(self, cutoff) -> None:
         """Finished staging rows and requests from before ``cutoff`` (a timestamp column) go."""
-        self.store.replace("staging", state.cleaned(self.store.read("staging", state.STAGING), cutoff), *STAGED_BY)
+        self.store.replace("staging", state.cleaned(self.store.read("staging", state.STAGING), cutoff), staged_by())
         requests = self.store.read("requests", state.REQUESTS)
         old = F.col("status").isin("Completed", "Rejected", "Failed") & (F.col("created_at") < cutoff)
         self.store.replace("requests", requests.filter(~F.coalesce(old, F.lit(False))))

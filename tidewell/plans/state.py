@@ -1,17 +1,20 @@
 """State as Parquet tables: staging, import log, schema registry, creation requests, records.
 
-A table is a folder of versions; a new version is written whole and becomes
-current by one small numbered pointer file (the highest number holds), so readers never see half a write and a lost
-executor costs a task, not the table.  Appended tables only ever get new files.
+A table is a set of parts, folders of files that are never changed.  A small numbered manifest names the
+parts (the highest number holds) and appears by one rename, so readers never see half a write and a lost
+executor costs a task, not the table.  Replacing some parts, appending or replacing all is the same: new folders and
+a new manifest; other parts' files are neither read nor written.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Collection
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,59 +51,91 @@ class Store:
         folder = self._at(name)
         return sorted(x for s in self._fs.listStatus(folder) if (x := s.getPath().getName()).startswith("_V-")) if self._fs.exists(folder) else []
 
-    def _pointed(self, name: str, pointer: str) -> tuple[str, str]:
+    def _pointed(self, name: str, pointer: str) -> dict:
         stream = self._fs.open(self._at(name, pointer))
         try:
-            version, _, schema = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream)).readLine().partition(" ")
-            return version, schema
+            return json.loads(self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine())
         finally:
             stream.close()
 
-    def current(self, name: str) -> tuple[str, str] | None:
-        """(version, schema as JSON)"""
+    def current(self, name: str) -> dict | None:
+        """The manifest: the schema, and the folders of each part by its key."""
         found = self._pointers(name)
         return self._pointed(name, found[-1]) if found else None
 
-    def read(self, name: str, schema: str | None = None) -> DataFrame | None:
+    def parts(self, name: str) -> dict[str, list[str]]:
+        """Key to folders."""
+        return (self.current(name) or {"parts": {}})["parts"]
+
+    def read(self, name: str, schema: str | None = None, parts: Callable[[str], bool] | None = None) -> DataFrame | None:
+        """The table, or the parts whose keys are wanted; an empty one of ``schema`` where there is none yet."""
         now = self.current(name)
         if now is None:
             return self.spark.createDataFrame([], schema) if schema else None
-        kept = StructType.fromJson(json.loads(now[1]))
-        return self.spark.read.schema(kept).parquet(f"{self.path}/{name}/{now[0]}").select(*[f"`{c}`" for c in kept.names])
-
-    def replace(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
-        """Write a new version; the one before stays for readers that hold it, older ones go.
-
-        A version counts from the moment its pointer has its name, by one rename; a writer that comes second fails.
+        kept = StructType.fromJson(now["schema"])
+        folders = [f"{self.path}/{name}/{f}" for k, fs in now["parts"].items() if parts is None or parts(k) for f in fs]
+        return self.spark.read.schema(kept).parquet(*folders) if folders else self.spark.createDataFrame([], kept)
+
+    def _written(self, name: str, df: DataFrame, by: Column | None) -> dict[str, list[str]]:
+        """New folders: one, or one for each value of ``by`` (a text)."""
+        version = uuid.uuid4().hex
+        if by is None:
+            df.write.parquet(f"{self.path}/{name}/{version}")
+            return {version: [version]}
+        df.withColumn("_part", by).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}/{version}")
+        folders = [x.getPath().getName() for x in self._fs.listStatus(self._at(name, version)) if x.isDirectory()]
+        return {unquote(f.removeprefix("_part=")): [f"{version}/{f}"] for f in folders}
+
+    def _commit(self, name: str, schema: StructType, parts: dict[str, list[str]], pointers: list[str]) -> None:
+        """The table is these parts from the moment when the manifest has its name, by one rename; a writer that comes second fails.
+
+        The version before stays for readers that hold it; folders that only older ones name go.
         """
-        version, pointers = uuid.uuid4().hex, self._pointers(name)
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.path}/{name}/{version}")
-        pending, pointer = self._at(name, f"_pending-{version}"), f"_V-{int(pointers[-1][3:]) + 1 if pointers else 0:012d}"
+        pending, pointer = self._at(name, f"_pending-{uuid.uuid4().hex}"), f"_V-{int(pointers[-1][3:]) + 1 if pointers else 0:012d}"
         stream = self._fs.create(pending, True)
-        stream.write(bytearray(f"{version} {df.schema.json()}", "utf-8"))
+        stream.write(bytearray(json.dumps({"schema": json.loads(schema.json()), "parts": parts}) + "\n", "utf-8"))
         stream.close()
         if self._fs.exists(self._at(name, pointer)) or not self._fs.rename(pending, self._at(name, pointer)):
             raise RuntimeError(f"table {name} was replaced by another writer")
-        kept = {version, *(self._pointed(name, p)[0] for p in pointers[-1:])}
+        held = {f for fs in [*parts.values(), *(self._pointed(name, pointers[-1])["parts"].values() if pointers else ())] for f in fs}
         for p in pointers[:-1]:
+            for f in {f for fs in self._pointed(name, p)["parts"].values() for f in fs} - held:
+                self._fs.delete(self._at(name, f), True)
             self._fs.delete(self._at(name, p), False)
-        for status in self._fs.listStatus(self._at(name)):
-            if status.isDirectory() and status.getPath().getName() not in kept:
-                self._fs.delete(status.getPath(), True)
-        return self.read(name)
 
-    def replace_parts(self, name: str, df: DataFrame, *partition_by: str) -> None:
-        """Write the partitions that ``df`` has over those of the current version; others aren't read or written."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(f"{self.path}/{name}/{self.current(name)[0]}")
+    def replace(self, name: str, df: DataFrame, by: Column | None = None) -> DataFrame:
+        """The table is ``df`` from now on, in parts by the text ``by``."""
+        pointers = self._pointers(name)
+        self._commit(name, df.schema, self._written(name, df, by), pointers)
+        return self.read(name)
 
-    def append(self, name: str, df: DataFrame, *partition_by: str) -> None:
-        now = self.current(name)
-        if now is None:
-            self.replace(name, df, *partition_by)
-        else:
-            writer = df.write.mode("append")
-            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}/{now[0]}")
+    def replace_parts(self, name: str, df: DataFrame, by: Column, keys: Collection[str] | None = None) -> None:
+        """``df`` takes the place of the parts that it has rows of, or of those with ``keys``; the others' files stay as they are."""
+        pointers = self._pointers(name)
+        old = self._pointed(name, pointers[-1])["parts"] if pointers else {}
+        new = self._written(name, df, by)
+        self._commit(name, df.schema, {k: v for k, v in old.items() if k not in (new if keys is None else keys)} | new, pointers)
+
+    def append(self, name: str, df: DataFrame, by: Column | None = None) -> list[str]:
+        """Add rows; returns the keys of the parts that got some."""
+        pointers = self._pointers(name)
+        old = self._pointed(name, pointers[-1])["parts"] if pointers else {}
+        new = self._written(name, df, by)
+        self._commit(name, df.schema, old | {k: old.get(k, []) + v for k, v in new.items()}, pointers)
+        return list(new)
+
+    def sweep(self, name: str, before_ms: int) -> int:
+        """Folders go that no manifest names and that were made before ``before_ms``: what writers that died left."""
+        held = {f.split("/")[0] for p in self._pointers(name) for fs in self._pointed(name, p)["parts"].values() for f in fs}
+        old = [x for x in self._fs.listStatus(self._at(name)) if x.isDirectory() and x.getPath().getName() not in held and x.getModificationTime() < before_ms]
+        for x in old:
+            self._fs.delete(x.getPath(), True)
+        return len(old)
+
+
+def bucket(name: Column, buckets: int) -> Column:
+    """The key of a record's part: its bucket by the hash of its name."""
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("string")
 
 
 def now():
