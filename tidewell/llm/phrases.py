@@ -11,7 +11,7 @@
    too, by language.
 4. Counts are summed by Spark, and only then thresholds, scores and ranks apply.
 
-The sketch has about a cell for every eight bytes of text, up to ``2 ** CELL_BITS``; texts beyond that are
+The sketch has about a cell for every four bytes of text, up to ``2 ** CELL_BITS``; texts beyond that are
 sketched in several passes, each over its share of the n-grams' hashes.  The automata of a block are bounded too, so
 more candidates mean more scans and never larger tasks.
 
@@ -23,6 +23,7 @@ in the order of its UTF-8 bytes.  An empty table gives an empty table.  Other co
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,10 +38,12 @@ from tidewell.llm.jaccard import ODD, all_hashes, mix
 LEAST, COVER, TOP, LONGEST = 30, 80, 2000, 4
 #: The greatest sketch of one pass (one bit a cell is broadcast), and the cells of a slab.
 CELL_BITS, SLAB_BITS = 28, 16
-#: n-grams that a task counts at a time; bytes of text that it looks at together; candidates that it remembers to have given; languages whose counts it holds.
+#: n-grams that a task counts at a time; bytes of text that it looks at together; candidates that it holds before it gives them; languages whose counts it holds.
 CHUNK, BLOB, SEEN, LANGUAGES = 1 << 22, 1 << 20, 1 << 20, 16
 #: Candidates of a block, and bytes of their words.
-BLOCK_PHRASES, BLOCK_BYTES = 400_000, 16 << 20
+BLOCK_PHRASES, BLOCK_BYTES = 1_200_000, 48 << 20
+#: Cells that reach the least count, for each bucket of candidates.
+BUCKET = 4096
 
 #: Ends of pieces become line breaks, tabs spaces, A-Z a-z.
 TABLE = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -166,15 +169,22 @@ def heavy_cells(rows: DataFrame, sketch: _Sketch, least: int) -> np.ndarray:
 
 
 def candidates(rows: DataFrame, sketch: _Sketch) -> DataFrame:
-    """(phrase): the n-grams whose cell, and in a single pass whose parts' cells, reach the least count; some may repeat."""
+    """(phrase): the n-grams whose cell, and in a single pass whose parts' cells, reach the least count, each once.
+
+    Tasks give lines of phrases by buckets of their hashes, and a bucket's repeats go together.
+    """
     held = rows.sparkSession.sparkContext.broadcast(sketch.heavy)
     bits, part, parts = sketch.bits, sketch.part, sketch.parts
+    buckets = max(64, int(np.bitwise_count(sketch.heavy).sum()) // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Sketch(bits, part, parts, held.value), set()
+        known, seen, found, n = _Sketch(bits, part, parts, held.value), set(), {}, 0
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([b"\n".join(x) for x in found.values()], pa.binary())], ["bucket", "lines"])
+
         for lang, data in by_language(batches):
-            salt, words, found = _salt(lang), data.split(), []
-            below = None
+            salt, words, below = _salt(lang), data.split(), None
             for k, (at, h) in enumerate(grams(data), 2):
                 salted = mix(h ^ salt)
                 ok = known.has(salted)
@@ -187,13 +197,26 @@ def candidates(rows: DataFrame, sketch: _Sketch) -> DataFrame:
                 h, first = np.unique(h[ok], return_index=True)
                 for x, i in zip(h.tolist(), at[ok][first].tolist(), strict=True):
                     if x not in seen:
-                        if len(seen) < SEEN:
-                            seen.add(x)
-                        found.append(b" ".join(words[i : i + k]).decode())
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["phrase"])
+                        seen.add(x)
+                        found.setdefault(x % buckets, []).append(b" ".join(words[i : i + k]))
+            if len(seen) >= SEEN:
+                yield given()
+                seen, found = set(), {}
+        if found:
+            yield given()
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, set()
+        for batch in batches:
+            for bucket, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    at, known = bucket, set()
+                new = set(lines.split(b"\n")) - known
+                known |= new
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in new], pa.string())], ["phrase"])
 
-    return rows.mapInArrow(run, "phrase string")
+    return rows.mapInArrow(run, "bucket int, lines binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, "phrase string")
 
 
 def symbols(n: int) -> np.ndarray:
@@ -251,56 +274,78 @@ class _Scanner:
 _scanners: dict[str, _Scanner] = {}
 
 
-def scanner(mark: str, phrases: list[str]) -> _Scanner:
-    """A worker keeps the last one for its next tasks."""
+def scanner(mark: str, lines: bytes) -> _Scanner:
+    """Of phrases in compressed lines; a worker keeps the last one for its next tasks."""
     if mark not in _scanners:
         _scanners.clear()
-        _scanners[mark] = _Scanner(phrases)
+        _scanners[mark] = _Scanner(zlib.decompress(lines).decode().split("\n") if lines else [])
     return _scanners[mark]
 
 
 def counts(rows: DataFrame, block: DataFrame) -> DataFrame:
-    """(lang, i, f): how often each phrase of ``block`` (i, phrase) occurs in each language; i = -1: all words of the language, in the block numbered 0."""
+    """(lang, i, f): how often each phrase of ``block`` (i, phrase) occurs in each language; i = -1: all words of the language.
+
+    Tasks give their counts in slabs of phrases, which are summed slab by slab.
+    """
     got = block.select("i", "phrase").collect()
-    held = rows.sparkSession.sparkContext.broadcast(([r["i"] for r in got], [r["phrase"] for r in got]))
-    mark = uuid.uuid4().hex
+    context = rows.sparkSession.sparkContext
+    ids, lines = context.broadcast(np.array([r["i"] for r in got], np.int64)), context.broadcast(zlib.compress("\n".join([r["phrase"] for r in got]).encode(), 1) if got else b"")
+    mark, slab = uuid.uuid4().hex, 1 << SLAB_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, phrases = held.value
-        block, total, n = scanner(mark, phrases), {}, {}
-        ids = np.array(ids, np.int64)
+        block, total, n = scanner(mark, lines.value), {}, {}
 
         def given(lang: str) -> pa.RecordBatch:
-            f = total.pop(lang)
-            some = np.flatnonzero(f)
-            i, f = np.append(ids[some], -1), np.append(f[some], n.pop(lang))
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i), pa.array(f)], ["lang", "i", "f"])
+            f, out = total.pop(lang), [(lang, -1, b"", np.array([n.pop(lang)]).tobytes())]
+            for at in range(0, len(f), slab):
+                if len(some := np.flatnonzero(f[at : at + slab])):
+                    out.append((lang, at >> SLAB_BITS, some.astype("<u2").tobytes(), f[at + some].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "slab", "cells", "counts"])
 
         for lang, data in by_language(batches):
             if lang not in total:
                 if len(total) >= LANGUAGES:
                     yield given(next(iter(total)))
-                total[lang], n[lang] = np.zeros(len(ids), np.int64), 0
+                total[lang], n[lang] = np.zeros(block.n, np.int64), 0
             total[lang] += block.count(data)
             n[lang] += len(data.split())
         for lang in list(total):
             yield given(lang)
 
-    return rows.mapInArrow(run, "lang string, i long, f long").groupBy("lang", "i").agg(F.sum("f").alias("f"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, f = None, None
+
+        def row() -> pa.RecordBatch:
+            some = np.flatnonzero(f)
+            i = ids.value[(at[1] << SLAB_BITS) + some] if at[1] >= 0 else np.array([-1] * len(some), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(some), pa.string()), pa.array(i), pa.array(f[some])], ["lang", "i", "f"])
+
+        for batch in batches:
+            for lang, s, cells, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, s) != at:
+                    if at is not None:
+                        yield row()
+                    at, f = (lang, s), np.zeros(slab if s >= 0 else 1, np.int64)
+                f[np.frombuffer(cells, "<u2") if s >= 0 else 0] += np.frombuffer(n, np.int64) if s >= 0 else int(np.frombuffer(n, np.int64)[0])
+        if at is not None:
+            yield row()
+
+    return rows.mapInArrow(run, "lang string, slab int, cells binary, counts binary").repartition("lang", "slab").sortWithinPartitions("lang", "slab").mapInArrow(total, "lang string, i long, f long")
 
 
 def counted(df: DataFrame, work: Workspace, lang: str, text: str, least: int, cell_bits: int, block_phrases: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of candidates and their words, (lang, n))."""
     rows = df.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(SLAB_BITS, min(cell_bits, (size // 8).bit_length()))
-    parts, found = max(1, -(-(size // 8) >> bits)), None
+    bits = max(SLAB_BITS, min(cell_bits, (size // 4).bit_length()))
+    parts, found = max(1, -(-(size // 4) >> bits)), None
     for p in range(parts):
         sketch = _Sketch(bits, p, parts)
         sketch.heavy = heavy_cells(rows, sketch, least)
         some = candidates(rows, sketch)
         found = some if found is None else found.unionByName(some)
-    phrases = found.distinct()
+    # With several passes a phrase may come in more than one.
+    phrases = work.write(found.distinct() if parts > 1 else found, "phrases")
     words = phrases.select(F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     wanted = work.write(phrases.unionByName(words).withColumn("i", F.monotonically_increasing_id()), "wanted")
     n, held = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
