@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.hashing import row_hash
 from tidewell.functions.strings import filled, strip
-from tidewell.operators.profile import uniqueness
+from tidewell.operators.profile import counted_score, estimated_scores, sketches
 
 #: Fixed values.
 EXCLUDED = ("customer_id", "supplier_id", "user_id", "contact_id", "company_id", "parent_id", "owner_id", "created_by", "modified_by")
@@ -43,10 +43,18 @@ def name_score(field: str) -> int:
     return max((s for s, words in KEY_WORDS if any(w in low for w in words)), default=0)
 
 
-def key_scores(target: DataFrame, fields: list[Field], sample: int | None = None) -> list[tuple[str, float]]:
-    """(field, score) of the candidates, best first; one aggregate over all of them, frozen for a whole batch."""
-    open_ = [f for f in fields if not f.unique and f.kind not in ("Link", "Dynamic Link", "Table") and f.name != "name"]
-    data = {r["column_name"]: r["score"] for r in uniqueness(target, [f.name for f in open_], sample=sample).collect()} if open_ else {}
+def key_scores(target: DataFrame, fields: list[Field], kept: DataFrame | None = None) -> list[tuple[str, float]]:
+    """(field, score) of the candidates, best first, frozen for a whole batch.
+
+    Values aren't counted but sketched, all columns in one aggregate, or by sketches that are ``kept`` of the target's
+    parts; only a column whose score the sketch leaves open is counted.
+    """
+    open_ = [f.name for f in fields if not f.unique and f.kind not in ("Link", "Dynamic Link", "Table") and f.name != "name"]
+    data: dict[str, int] = {}
+    if open_:
+        known = sketches(target, open_) if kept is None else kept.filter(F.col("column_name").isin(open_))
+        data = {c: 0 for c in open_} | {r["column_name"]: r["score"] for r in estimated_scores(known).collect()}  # a row a column
+        data = {c: counted_score(target, c) if s is None else s for c, s in data.items()}
     out = []
     for f in fields:
         if f.name == "name" or f.kind in ("Link", "Dynamic Link", "Table") and not f.unique:
@@ -57,10 +65,14 @@ def key_scores(target: DataFrame, fields: list[Field], sample: int | None = None
     return sorted(out, key=lambda x: -x[1])  # stable: equal scores keep the order of the fields
 
 
-def matching_keys(target: DataFrame, fields: list[Field], sample: int | None = None) -> list[str]:
-    """The fields that rows are matched by; values are only counted of those that could reach the score."""
-    fields = [f for f in fields if f.unique or name_score(f.name) + 0.5 * BEST_UNIQUENESS + 10 * f.indexed >= MATCH_FROM]
-    return [name for name, score in key_scores(target, fields, sample) if score >= MATCH_FROM]
+def key_candidates(fields: list[Field]) -> list[Field]:
+    """The fields that could reach the score of a key."""
+    return [f for f in fields if f.unique or name_score(f.name) + 0.5 * BEST_UNIQUENESS + 10 * f.indexed >= MATCH_FROM]
+
+
+def matching_keys(target: DataFrame, fields: list[Field], kept: DataFrame | None = None) -> list[str]:
+    """The fields that rows are matched by; only those that could reach the score are looked at."""
+    return [name for name, score in key_scores(target, key_candidates(fields), kept) if score >= MATCH_FROM]
 
 
 def match_by_hash(rows: DataFrame, target: DataFrame) -> DataFrame:

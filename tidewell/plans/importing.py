@@ -15,8 +15,8 @@ from tidewell.functions.content import SPARK_TYPES, converted
 from tidewell.functions.hashing import row_hash, schema_fingerprint
 from tidewell.functions.messages import ImportFailure, error_category
 from tidewell.operators import infer, matching, upsert
-from tidewell.operators.identity import Field, matching_keys
-from tidewell.operators.profile import structure
+from tidewell.operators.identity import Field, key_candidates, matching_keys
+from tidewell.operators.profile import sketches, structure
 from tidewell.operators.validation import validate
 from tidewell.plans import membership, state
 from tidewell.plans.config import Settings
@@ -154,7 +154,7 @@ class Importer:
         log = membership.read_log(self.store, typed.select("row_hash", F.lit(target).alias("target")))
         # The merge, the log and staging read what is written here; the counts come with the write.
         seen = Observation()
-        outcome = upsert.observed(upsert.decide(typed, table, matching_keys(table, fields), log.filter(F.col("target") == target)), seen)
+        outcome = upsert.observed(upsert.decide(typed, table, matching_keys(table, fields, self._sketches(target)), log.filter(F.col("target") == target)), seen)
         decided = self.store.replace("decided", outcome)
         source = rows.select("_source_file").first()
         changed = decided.filter(F.col("action").isin("INSERT", "UPDATE"))
@@ -163,10 +163,22 @@ class Importer:
             part = self.records(target, touched.__contains__)
             merged = upsert.merge(decided, part, list(by), state.now(), migration_source=F.lit(source[0] if source else None).cast("string"), migration_batch=F.lit(session))
             self.store.replace_parts(self._table(target), merged, state.bucket(F.col("name"), self.settings.buckets), touched)
+            self._sketch(target, touched)
         membership.append_log(self.store, state.new_log_entries(state.log_entries(decided, session, target), log))
         self._finish(decided, session, target)
         return upsert.observed_counts(seen)
 
+    def _sketches(self, target: str) -> DataFrame | None:
+        """Sketches of the values of a table's possible keys, by bucket; None where there are none yet."""
+        return self.store.read(f"{self._table(target)}_sketches")
+
+    def _sketch(self, target: str, buckets: set[str]) -> None:
+        """The buckets that a batch has changed are sketched anew."""
+        names = [f.name for f in key_candidates(self.tables()[target]) if not f.unique]
+        if names:
+            made = sketches(self.records(target, buckets.__contains__), names, state.bucket(F.col("name"), self.settings.buckets))
+            self.store.replace_parts(f"{self._table(target)}_sketches", made, F.col("part"), buckets)
+
     def _finish(self, decided: DataFrame, session: str, target: str) -> None:
         """Staged rows get their status and messages."""
         status = F.create_map(*[F.lit(x) for x in ("INSERT", "Processed", "UPDATE", "Processed", "SKIP", "Skipped", "FAILED", "Failed")])
