@@ -274,11 +274,11 @@ class _Scanner:
 _scanners: dict[str, _Scanner] = {}
 
 
-def scanner(mark: str, lines: bytes) -> _Scanner:
+def scanner(mark: str, lines: list[bytes]) -> _Scanner:
     """Of phrases in compressed lines; a worker keeps the last one for its next tasks."""
     if mark not in _scanners:
         _scanners.clear()
-        _scanners[mark] = _Scanner(zlib.decompress(lines).decode().split("\n") if lines else [])
+        _scanners[mark] = _Scanner([p for x in lines for p in zlib.decompress(x).decode().split("\n")])
     return _scanners[mark]
 
 
@@ -287,9 +287,16 @@ def counts(rows: DataFrame, block: DataFrame) -> DataFrame:
 
     Tasks give their counts in slabs of phrases, which are summed slab by slab.
     """
-    got = block.select("i", "phrase").collect()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lines = zlib.compress("\n".join(batch.column(1).to_pylist()).encode(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary()), pa.array([lines], pa.binary())], ["ids", "lines"])
+
+    # BLOCK_BYTES at most, compressed: a row for every thousands of phrases.
+    got = block.select("i", "phrase").mapInArrow(packed, "ids binary, lines binary").collect()
     context = rows.sparkSession.sparkContext
-    ids, lines = context.broadcast(np.array([r["i"] for r in got], np.int64)), context.broadcast(zlib.compress("\n".join([r["phrase"] for r in got]).encode(), 1) if got else b"")
+    ids, lines = context.broadcast(np.frombuffer(b"".join([r["ids"] for r in got]), np.int64)), context.broadcast([bytes(r["lines"]) for r in got])
     mark, slab = uuid.uuid4().hex, 1 << SLAB_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
