@@ -76,10 +76,10 @@ def test_outcomes_survive_a_crash(spark, tmp_path, monkeypatch):
     (tmp_path / "a.csv").write_text("code\nA\nB\n")
     commit = imp.store._commit
 
-    def dies(name, schema, parts, pointers):
+    def dies(name, schema, parts, pointers, drop=True):
         if name == "staging" and pointers:
             raise OSError("gone")
-        return commit(name, schema, parts, pointers)
+        return commit(name, schema, parts, pointers, drop)
 
     monkeypatch.setattr(imp.store, "_commit", dies)
     with pytest.raises(OSError):

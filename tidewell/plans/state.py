@@ -86,10 +86,10 @@ class Store:
         folders = [x.getPath().getName() for x in self._fs.listStatus(self._at(name, version)) if x.isDirectory()]
         return {unquote(f.removeprefix("_part=")): [f"{version}/{f}"] for f in folders}
 
-    def _commit(self, name: str, schema: StructType, parts: dict[str, list[str]], pointers: list[str]) -> None:
+    def _commit(self, name: str, schema: StructType, parts: dict[str, list[str]], pointers: list[str], drop: bool = True) -> None:
         """The table is these parts from the moment when the manifest has its name, by one rename; a writer that comes second fails.
 
-        The version before stays for readers that hold it; folders that only older ones name go.
+        The version before stays for readers that hold it; folders that only older ones name go (``drop``).
         """
         pending, pointer = self._at(name, f"_pending-{uuid.uuid4().hex}"), f"_V-{int(pointers[-1][3:]) + 1 if pointers else 0:012d}"
         stream = self._fs.create(pending, True)
@@ -99,7 +99,10 @@ class Store:
             raise RuntimeError(f"table {name} was replaced by another writer")
         held = {f for fs in [*parts.values(), *(self._pointed(name, pointers[-1])["parts"].values() if pointers else ())] for f in fs}
         for p in pointers[:-1]:
-            for f in {f for fs in self._pointed(name, p)["parts"].values() for f in fs} - held:
+            old = {f for fs in self._pointed(name, p)["parts"].values() for f in fs} - held
+            if old and not drop:
+                continue
+            for f in old:
                 self._fs.delete(self._at(name, f), True)
             self._fs.delete(self._at(name, p), False)
 
@@ -121,7 +124,7 @@ class Store:
         pointers = self._pointers(name)
         old = self._pointed(name, pointers[-1])["parts"] if pointers else {}
         new = self._written(name, df, by)
-        self._commit(name, df.schema, old | {k: old.get(k, []) + v for k, v in new.items()}, pointers)
+        self._commit(name, df.schema, old | {k: old.get(k, []) + v for k, v in new.items()}, pointers, drop=False)
         return list(new)
 
     def sweep(self, name: str, before_ms: int) -> int:
