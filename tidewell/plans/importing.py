@@ -220,18 +220,22 @@ class Importer:
         folder, out = Folder(self.spark, path), []
         folder.create()
         for file in folder.inputs():
-            try:
-                result = self.import_file(file)
-                to = "pending" if result.status == "approval_requested" else "processed"
-            except Exception as e:  # one file that fails mustn't stop the others
-                result, to = Result("failed", "", "", message=str(e)), "errors"
-            moved = folder.move(file, to)
-            if to == "pending":
-                requests = self.store.read("requests", state.REQUESTS)
-                self.store.replace("requests", requests.withColumn("source_file", F.when(F.col("request_id") == result.message, F.lit(moved)).otherwise(F.col("source_file"))))
-            out.append(result)
+            out.append(self.import_and_move(folder, file))
         return out
 
+    def import_and_move(self, folder: Folder, file: str, target: str | None = None) -> Result:
+        """One file of the folder; a failure is its result and mustn't stop others."""
+        try:
+            result = self.import_file(file, target)
+            to = "pending" if result.status == "approval_requested" else "processed"
+        except Exception as e:  # whatever is wrong with the file is its result
+            result, to = Result("failed", target or "", "", message=str(e)), "errors"
+        moved = folder.move(file, to)
+        if to == "pending":
+            requests = self.store.read("requests", state.REQUESTS)
+            self.store.replace("requests", requests.withColumn("source_file", F.when(F.col("request_id") == result.message, F.lit(moved)).otherwise(F.col("source_file"))))
+        return result
+
     def clean(self, cutoff) -> None:
         """Finished staging rows and requests from before ``cutoff`` (a timestamp column) go."""
         self.store.replace("staging", state.cleaned(self.store.read("staging", state.STAGING), cutoff), staged_by())

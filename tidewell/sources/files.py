@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,18 @@ class Folder:
         return next((f"{self.path}/{f}/{name}".replace("//", "/") if not f else f"{self.path}/{f}/{name}" for f in folders if self.fs.exists(self._path(f"{self.path}/{f}/{name}"))), None)
 
     def move(self, path: str, folder: str) -> str:
+        """Move a file into a folder below; a file of that name there stays, and the moved one gets the first free number."""
         self.fs.mkdirs(self._path(f"{self.path}/{folder}"))
-        to = f"{self.path}/{folder}/{path.rsplit('/', 1)[-1]}"
-        self.fs.delete(self._path(to), False)
-        if not self.fs.rename(self._path(path), self._path(to)):
-            raise OSError(f"file {path} can't be moved to {to}")
-        return to
+        name = path.rsplit("/", 1)[-1]
+        stem, dot, suffix = name.rpartition(".")
+        for n in itertools.count():
+            to = f"{self.path}/{folder}/{name if not n else f'{stem}-{n}{dot}{suffix}' if stem else f'{name}-{n}'}"
+            if self.fs.exists(self._path(to)):
+                continue
+            if self.fs.rename(self._path(path), self._path(to)):
+                return to
+            if not self.fs.exists(self._path(to)):  # else another mover was first
+                raise OSError(f"file {path} can't be moved to {to}")
 
     def statistics(self) -> dict[str, int]:
         return {f or "main": sum(s.getPath().getName().lower().endswith(SUFFIXES) for s in self._files(f)) for f in ("", "processed", "errors", "pending")}

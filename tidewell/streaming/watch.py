@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.files import Folder
+
 
 def raw_stream(spark: SparkSession, path: str, columns: list[str], archive: str | None = None, max_files: int | None = None) -> DataFrame:
     """Rows of CSV files as strings with ``_source_file``; finished files go to ``archive``."""
@@ -26,18 +28,23 @@ def watch(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int],
 
 
 def import_stream(importer, path: str, checkpoint: str, target: str | None = None, minutes: int | None = None):
-    """Import each new CSV file of a folder once, in the order of their names, as :meth:`Importer.import_file` does.
+    """Import each file of a folder once, in the order of their names, as :meth:`Importer.import_file` does, when new ones come.
 
-    The stream only brings the names of new files; rows are read and numbered by the import itself.  A batch that is
-    repeated after a failure changes nothing: its rows' hashes are known by then.
+    The stream only tells of new files; rows are read and numbered by the import itself.  A file that was imported goes to
+    ``processed``, one that waits for approval to ``pending``, one that can't be imported to ``errors``, and the others go on.  Rows that were ever imported are known by the log, so a file that comes again, or a batch that is
+    repeated, changes nothing.
     """
-    files = importer.spark.readStream.schema("value string").csv(path).select(F.col("_metadata.file_path").alias("_source_file"))
+    names = importer.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.csv").load(path)
+    names = names.select("path")  # no content is read
 
     def batch(rows: DataFrame, _: int) -> None:
-        for r in rows.distinct().orderBy("_source_file").collect():  # names of one batch's files
-            importer.import_file(r["_source_file"], target)
+        folder = Folder(importer.spark, path)
+        folder.create()
+        # The source passes over files without a byte and such as come again under a name that it has seen; the folder has them.
+        for file in folder.inputs():
+            importer.import_and_move(folder, file, target)
 
-    return watch(files, checkpoint, batch, minutes)
+    return watch(names, checkpoint, batch, minutes)
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
