@@ -12,8 +12,7 @@ lists members (rarest first), they share one of the first ``size - least overlap
 lists, so passages that many documents have in common make no long lists unless a sketch holds little else.
 Equal sets are one class, so copies make no lists.
 
-Members of a list are compared with one representative, then, as far as links don't connect
-them yet, with the member that has most links.  What is still apart is dealt to cells of bounded size: the
+Members of a list are compared with two representatives.  What links don't connect then is dealt to cells of bounded size: the
 overlap is bounded by parity bits of the sketches, the union's sketch estimates, and the members that may have a link
 get their texts.  Every link is confirmed on full sets.  A cell gives a spanning
 forest of its links.
@@ -141,10 +140,10 @@ def lists(held: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """(sig, class, first, n) of the lists with several members; of lists with the same members one stays. ``first``: the least member."""
-    head = rows.groupBy("sig").agg(F.min("class").alias("first"), F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("all")).filter("n > 1")
-    one = head.groupBy("first", "n", "all").agg(F.min("sig").alias("s")).select("s", "first", "n")
-    return rows.join(one, F.col("sig") == F.col("s")).select("sig", "class", "first", "n")
+    """(sig, class, first, last, n) of the lists with several members; of lists with the same members one stays. ``first``, ``last``: the least and the greatest member."""
+    head = rows.groupBy("sig").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("all")).filter("n > 1")
+    one = head.groupBy("first", "last", "n", "all").agg(F.min("sig").alias("s")).select("s", "first", "last", "n")
+    return rows.join(one, F.col("sig") == F.col("s")).select("sig", "class", "first", "last", "n")
 
 
 def estimated(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
@@ -223,33 +222,23 @@ def link(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text"
             work.drop(f"{part}-{name}")
         return out
 
-    links = compared(_ordered(open_groups, "class", "first"), "0")
+    ends = open_groups.select("class", F.explode(F.array("first", "last")).alias("head"))
+    links = compared(_ordered(ends, "class", "head"), "0")
     roots = components(links, work, "roots-0")
-
-    def still_open(i: int) -> DataFrame:
-        """Lists that links don't connect as a whole, with the components; the only pair of a list of two has been compared."""
-        rooted = open_groups.select("sig", "class").join(roots, F.col("class") == F.col("node"), "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
-        apart = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select(F.col("sig").alias("s"), "n")
-        return work.write(rooted.join(apart, F.col("sig") == F.col("s")).drop("s"), f"lists-{i}")
-
-    open_groups = still_open(1)
-    if not open_groups.isEmpty():
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-        rank = open_groups.join(degree, F.col("class") == F.col("node"), "left").select("sig", "class", "root", F.coalesce("count", F.lit(0)).alias("rank"))
-        heads = rank.groupBy(F.col("sig").alias("s")).agg(F.max(F.struct("rank", "class", "root")).alias("head"))
-        more = compared(_ordered(open_groups.join(heads, F.col("sig") == F.col("s")).filter("root != head.root").select("class", F.col("head.class").alias("head")), "class", "head"), "1")
-        roots = roots if more.isEmpty() else _joined(roots, more, work, 1)
-        open_groups = still_open(2)
+    # Lists that links don't connect as a whole, with the components; the only pair of a list of two has been compared, and the pairs of three but one.
+    rooted = open_groups.filter("n > 2").select("sig", "class", "n").join(roots, F.col("class") == F.col("node"), "left").select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
+    apart = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select(F.col("sig").alias("s"))
+    open_groups = work.write(rooted.join(apart, F.col("sig") == F.col("s")).drop("s"), "lists-1")
     if not open_groups.isEmpty():
         members = work.write(candidates_within(in_cells(open_groups, held, block), k, percent), "members")
         more = work.write(forests(members, text_of(members.select("class"), "cells"), words, percent), "links-cells")
-        roots = roots if more.isEmpty() else _joined(roots, more, work, 2)
+        roots = roots if more.isEmpty() else _joined(roots, more, work, 1)
 
     firsts = known.groupBy("class").agg(F.min("key").alias("key"))
     labels = firsts.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "key")
     least = labels.groupBy("root").agg(F.min("key").alias("component_id"))
     component = work.write(labels.select("class", "root").join(least, "root").select(F.col("class").alias("c"), "component_id"), "components")
-    for name in ("held", "lists-0", "lists-1", "lists-2", "members", "texts-cells"):
+    for name in ("held", "lists-0", "lists-1", "members", "texts-cells"):
         work.drop(name)
     linked = known.join(component, F.col("class") == F.col("c")).select("key", "n_shingles", "component_id")
     alone = own.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"))
