@@ -1,4 +1,4 @@
-"""Registered queries of operators over metadata, files and state: literal inputs whose results are known, as SQL values.
+"""Cases of operators over metadata, files and state: literal inputs whose results are known, as SQL values.
 
 A case has its inputs and the expected outputs side by side; the query computes the outputs from the inputs with the
 operator, the SQL states them.  Files and stores are made in the folder that driver and executors share.

@@ -205,3 +205,25 @@ def test_backfill(spark):
     df = spark.createDataFrame([("b", "x", None), ("a", "x", None), ("c", "x", "kept")], "name string, v string, row_hash string")
     got = {r["name"]: r["row_hash"] for r in identity.backfill_hashes(df, ["v"]).collect()}
     assert got["c"] == "kept" and len(set(got.values())) == 3
+
+
+def test_one_base_is_numbered_by_ranges(spark, monkeypatch):
+    from tidewell.workspace import Workspace
+
+    written = {}
+    write = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.setdefault(self.path, write(self, df, name)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would come to one range
+    rng = random.Random(3)
+    data = [("hot", i) for i in range(4000)] + [(None, i) for i in range(50)] + [(f"b{i % 30}", i) for i in range(300)]
+    rng.shuffle(data)
+    got = {(r["b"], r["o"]): r["n"] for r in upsert.numbered(spark.createDataFrame(data, "b string, o int"), ["b"], ["o"], "n").collect()}
+    for base in {b for b, _ in data}:
+        for n, o in enumerate(sorted(o for b, o in data if b == base)):
+            assert got[base, o] == n
+    (held,) = written.values()
+    sizes = [r["count"] for r in held.groupBy("_range").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # The base that nine tenths of the rows share lies in all ranges.
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * len(data)
+    assert upsert.numbered(spark.createDataFrame([], "b string, o int"), ["b"], ["o"], "n").count() == 0

@@ -159,6 +159,24 @@ def strict(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.repartition(1).mapInPandas(fold, "row_index long, action string, record_name string")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], into: str) -> DataFrame:
+    """``rows`` with their number (from 0) among those with equal ``keys``, by ``order``.
+
+    Rows are dealt to ranges of (keys, order), numbered within a range and key, and get the counts of the ranges before added, so a
+    key that most rows share takes as many tasks as others.  Rows at equal places are numbered in any order.
+    """
+    work = Workspace(rows.sparkSession, "numbered")
+    dealt = rows.repartitionByRange(*keys, *order) if keys or order else rows
+    held = work.write(dealt.sortWithinPartitions(*keys, *order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rows")
+    counts = held.groupBy("_range", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # One row for each range, and for each key within it: the least place of a key in its range is its first.
+    before = counts.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_first", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    return held.join(before, same).select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(into))
+
+
 def numbered_names(rows: DataFrame, base: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``unique_name``: base, base-1, base-2 ... in order, each the first that is free among taken names (name).
 
@@ -186,12 +204,13 @@ def _first_free(rows: DataFrame, names: DataFrame) -> DataFrame:
     split = names.filter(F.col("name").rlike("-[1-9][0-9]{0,17}$")).select(F.regexp_extract("name", "^(.*)-[0-9]+$", 1).alias("_b"), F.regexp_extract("name", "-([0-9]+)$", 1).cast("bigint").alias("_n"))
     used = names.select(F.col("name").alias("_b"), F.lit(0).cast("bigint").alias("_n")).unionByName(split).distinct().join(rows.select("_b").distinct(), "_b", "left_semi")
     # The j-th taken number t stands before t - j free ones; so many taken numbers precede the n-th free one as have t - j <= n.
-    gaps = used.select("_b", (F.col("_n") - F.row_number().over(Window.partitionBy("_b").orderBy("_n")) + 1).alias("_p"), F.lit(0).alias("_kind"))
-    wanted = rows.withColumns({"_p": (F.row_number().over(Window.partitionBy("_b").orderBy("_o", "_id")) - 1).cast("bigint"), "_kind": F.lit(1)})
-    both = wanted.unionByName(gaps, allowMissingColumns=True)
-    before = F.count(F.when(F.col("_kind") == 0, 1)).over(Window.partitionBy("_b").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = both.withColumn("_n", F.col("_p") + before).filter("_kind = 1")
-    return numbered.select("_id", "_b", "_o", F.when(F.col("_n") == 0, F.col("_b")).otherwise(F.concat("_b", F.lit("-"), F.col("_n").cast("string"))).alias("_name"))
+    # Both are numbered by ranges, so a base that most rows share isn't one task; then the gaps before a row are those among both, in their order.
+    gaps = numbered(used, ["_b"], ["_n"], "_j").select("_b", (F.col("_n") - F.col("_j")).alias("_p"), F.lit(0).alias("_kind"))
+    wanted = numbered(rows, ["_b"], ["_o", "_id"], "_p").withColumn("_kind", F.lit(1))
+    both = numbered(wanted.unionByName(gaps, allowMissingColumns=True), ["_b"], ["_p", "_kind"], "_place")
+    # Of the rows at places up to its own, p come before a row; the rest are gaps.
+    found = both.filter("_kind = 1").withColumn("_n", F.col("_place"))
+    return found.select("_id", "_b", "_o", F.when(F.col("_n") == 0, F.col("_b")).otherwise(F.concat("_b", F.lit("-"), F.col("_n").cast("string"))).alias("_name"))
 
 
 def recommendations(success: int, updated: int, skipped: int, failed: int) -> list[str]:

@@ -18,20 +18,7 @@ from tidewell.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-TABLES = {
-    "region": ("r_regionkey", "r_name"),
-    "nation": ("n_nationkey", "n_name", "n_regionkey"),
-    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
-    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
-    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
-    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
-    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
-    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
-    "labels": ("doc_id", "quality", "toxic"),
-    "benchmark": ("item_id", "text"),
-    "pages": ("page_id", "url", "html"),
-    "conversations": ("conv_id", "turn", "role", "text"),
-}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def query(sql: str | None = None):
@@ -223,16 +210,17 @@ def dup_content_documents(spark, sf_dir):
     return content_hash_documents(spark, sf_dir).groupBy("content_hash").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id")).filter("rows > 1")
 
 
-_HEADERS = "(VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in TABLES.items() for c in cs) + ") AS h(t, c)"
+_HEADERS = f"(SELECT DISTINCT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN {TABLES}) AS h"
 
 
-def headers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, c) for t, cs in TABLES.items() for c in cs], "t string, c string")
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the tables, as their files have them."""
+    return spark.createDataFrame([(t, c) for t in TABLES for c in table(spark, sf_dir, t).columns], "t string, c string")
 
 
 @query(f"SELECT t, md5(string_agg(c, '|' ORDER BY c)) AS fingerprint FROM {_HEADERS} GROUP BY t")
 def schema_fingerprints(spark, sf_dir):
-    return headers(spark).groupBy("t").agg(schema_fingerprint_column(F.collect_list("c")).alias("fingerprint"))
+    return headers(spark, sf_dir).groupBy("t").agg(schema_fingerprint_column(F.collect_list("c")).alias("fingerprint"))
 
 
 _PAIRS = f"""WITH h AS (SELECT * FROM {_HEADERS}), n AS (SELECT t, count(*) AS k FROM h GROUP BY t),
@@ -242,20 +230,20 @@ SELECT p.a, p.b, matching, matching / (x.k + y.k - matching) AS similarity FROM
 
 @query(_PAIRS)
 def header_jaccard(spark, sf_dir):
-    sets = matching.header_sets(headers(spark), "t", "c").withColumnRenamed("t", "by")
+    sets = matching.header_sets(headers(spark, sf_dir), "t", "c").withColumnRenamed("t", "by")
     return matching.similar_types(sets, 0.0, 1000)
 
 
 @query(f"SELECT * FROM ({_PAIRS}) WHERE similarity > 0.1 ORDER BY similarity DESC, a, b LIMIT 3")
 def similar_types_topk(spark, sf_dir):
-    return matching.similar_types(matching.header_sets(headers(spark), "t", "c").withColumnRenamed("t", "by"), 0.1, 3)
+    return matching.similar_types(matching.header_sets(headers(spark, sf_dir), "t", "c").withColumnRenamed("t", "by"), 0.1, 3)
 
 
 @query(f"""WITH h AS (SELECT * FROM {_HEADERS}), n AS (SELECT t, count(*) AS k FROM h GROUP BY t),
 p AS (SELECT a.t AS source, b.t AS target, count(*) AS n_both FROM h a JOIN h b ON a.c = b.c GROUP BY 1, 2)
 SELECT source, target, n_both, round(0.3 * (n_both / (x.k + y.k - n_both)) + 0.5 * (n_both / x.k) + 0.2 * (n_both / x.k), 6) AS score FROM p JOIN n x ON x.t = source JOIN n y ON y.t = target""")
 def schema_match_score(spark, sf_dir):
-    h = headers(spark)
+    h = headers(spark, sf_dir)
     return matching.schema_scores(h.toDF("source", "header"), h.toDF("target", "field"))
 
 
@@ -561,8 +549,141 @@ def filled_orders(spark, sf_dir):
     return rows.agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("customers"))
 
 
-# Metadata, files and state: literal inputs with known results.
-from tidewell import cases  # noqa: E402
+# ---- values, records and keys
 
-QUERIES |= cases.QUERIES
-ORACLE_SQL |= cases.ORACLE_SQL
+
+_MIXED = "CASE CAST(o_orderkey % 6 AS INTEGER) WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) WHEN 3 THEN 'c' || CAST(o_custkey AS VARCHAR) || '@x.org' WHEN 4 THEN ' Yes ' ELSE o_orderpriority END"
+
+
+def _mixed(df: DataFrame) -> DataFrame:
+    """(o_orderkey, v): values of six kinds."""
+    k, customer = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    v = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, customer).when(k == 2, money("o_totalprice")).when(k == 3, F.concat(F.lit("c"), customer, F.lit("@x.org"))).when(k == 4, " Yes ").otherwise(F.col("o_orderpriority"))
+    return df.select("o_orderkey", v.alias("v"))
+
+
+_KIND = """CASE WHEN regexp_full_match(trim({v}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CASE WHEN contains({v}, '.') THEN 'Float' ELSE 'Int' END
+WHEN regexp_matches(trim({v}), '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}})') THEN 'Date' WHEN regexp_full_match(trim({v}), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}') THEN 'Email'
+WHEN lower(trim({v})) IN ('true', 'false', 'yes', 'no', 'y', 'n', 'on', 'off') THEN 'Check' WHEN length(trim({v})) > 140 THEN 'Text' ELSE 'Data' END"""
+
+
+@query(f"SELECT o_orderkey, {_KIND.format(v='v')} AS kind FROM (SELECT o_orderkey, {_MIXED} AS v FROM orders)")
+def value_types_of_orders(spark, sf_dir):
+    return _mixed(table(spark, sf_dir, "orders")).select("o_orderkey", infer.value_type_column(F.col("v")).alias("kind"))
+
+
+@query(f"SELECT o_orderkey, nullif(left(trim(v), 12), '') AS text, CASE WHEN lower(trim(v)) IN ('1', 'yes') THEN true WHEN trim(v) = '0' THEN false END AS flag FROM (SELECT o_orderkey, {_MIXED} AS v FROM orders)")
+def text_values_of_orders(spark, sf_dir):
+    return _mixed(table(spark, sf_dir, "orders")).select("o_orderkey", content.to_text(F.col("v"), 12).alias("text"), content.to_boolean(F.col("v")).alias("flag"))
+
+
+@query(f"SELECT doc_id, field, left(v, 100) AS value, {_KIND.format(v='v')} AS field_type, trim(v) = '' AS is_empty FROM (SELECT doc_id, 'text' AS field, replace(text, chr(10), ' ') AS v FROM documents UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents UNION ALL SELECT doc_id, 'lang', lang FROM documents)")
+def record_fields_of_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    return infer.record_structure(rows, "doc_id", ["text", "n_chars", "lang"])
+
+
+@query("""SELECT * FROM (VALUES ('mail', 'Email', 'Data'), ('day', 'Date', 'Date'), ('code', 'ID', 'Data'), ('word', 'Text', 'Data')) AS v(column_name, detected, field_type)
+JOIN (SELECT 'mail' AS column_name, avg(CASE WHEN o_orderkey % 10 < 9 THEN 1.0 ELSE 0 END) AS confidence FROM orders UNION ALL SELECT 'day', 1.0 UNION ALL SELECT 'code', avg(CASE WHEN o_orderkey >= 1000 OR o_orderkey % 10 < 9 THEN 1.0 ELSE 0 END) FROM orders UNION ALL SELECT 'word', 0.3) USING (column_name)""")
+def scored_types_of_orders(spark, sf_dir):
+    k = F.col("o_orderkey")
+    few = k % 10 < 9
+    values = F.create_map(F.lit("mail"), F.when(few, F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org"))).otherwise("none"), F.lit("day"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("code"), F.when(few | (k >= 1000), F.concat(F.lit("AB-"), F.lpad(k.cast("string"), 8, "0"))).otherwise("x"), F.lit("word"), F.lower("o_orderpriority"))
+    return infer.scored_types(table(spark, sf_dir, "orders").select(F.explode(values).alias("column_name", "value")))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' || CAST(doc_id AS VARCHAR) ELSE left(sha256('ROW_' || CAST(row_number() OVER (PARTITION BY lang, regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0')) - 1 AS VARCHAR) || '|' || {_DOC_HASH.removeprefix("left(sha256(").removesuffix("), 16)")}), 16) END AS row_hash FROM documents""")
+def backfilled_hashes_of_documents(spark, sf_dir):
+    """Copies get hashes of their own, by their place among equal records."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), "text", "lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("kept"), F.col("doc_id").cast("string"))).alias("row_hash"))
+    return identity.backfill_hashes(rows, ["text", "lang"]).select("doc_id", "row_hash")
+
+
+@query("""WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n FROM part)
+SELECT p_partkey, CASE WHEN n = 0 THEN p_name || '-1' ELSE p_name || '-' || CAST(n + CASE WHEN n >= 2 THEN 2 ELSE 1 END AS VARCHAR) END AS unique_name FROM r""")
+def names_beside_taken(spark, sf_dir):
+    """Names of parts where each name itself and its third counter are taken."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    names = parts.select("p_name").distinct()
+    taken = names.select(F.col("p_name").alias("name")).unionByName(names.select(F.concat("p_name", F.lit("-3")).alias("name")))
+    return upsert.numbered_names(parts, "p_name", "p_partkey", taken).select("p_partkey", "unique_name")
+
+
+@query("SELECT 'line' || CASE WHEN n = 0 THEN '' ELSE '-' || CAST(n AS VARCHAR) END AS unique_name, n AS place FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS n FROM lineitem)")
+def one_name_for_all_lines(spark, sf_dir):
+    """One base for all rows: they are numbered by ranges, not in one task."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = upsert.numbered(table(spark, sf_dir, "lineitem").select(*order, F.lit("line").alias("base")), [], order, "place")
+    return upsert.numbered_names(rows, "base", "place").select("unique_name", "place")
+
+
+@query(f"""WITH d AS ({_ACTIONS}) SELECT record_name, CASE action WHEN 'INSERT' THEN 'Inserted' WHEN 'UPDATE' THEN 'Updated' ELSE 'Skipped' END AS action, row_index % 2 = 0 AS known FROM d WHERE action <> 'FAILED'""")
+def logged_batch(spark, sf_dir):
+    """Log entries of a batch, and which of them the log had before."""
+    batch, known = _batch(spark, sf_dir)
+    decided = upsert.decide(batch, known, ["code"]).withColumns({"source_file": F.lit("customer.csv"), "raw": F.create_map(F.lit("code"), "code")})
+    entries = state.log_entries(decided, "s", "Customer")
+    before = state.log_entries(decided.filter("row_index % 2 = 0"), "r", "Customer")
+    new = state.new_log_entries(entries, before).select(F.col("row_hash").alias("h"))
+    return entries.join(new, F.col("row_hash") == F.col("h"), "left").select("record_name", "action", F.col("h").isNull().alias("known"))
+
+
+# ---- imports of files that hold a table
+
+
+def _file(df: DataFrame, path: str, name: str, order: str) -> str:
+    """The rows as one CSV file of that name."""
+    out = f"{path}/{name}.parts"
+    df.orderBy(order).coalesce(1).write.options(header=True, escape='"').csv(out)
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(out).select("path").collect()
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p(f"{path}/in"))
+    fs.rename(p(files[0]["path"]), p(f"{path}/in/{name}.csv"))
+    return f"{path}/in/{name}.csv"
+
+
+_CUSTOMER_FIELDS = [Field("customer_code", unique=True), Field("title"), Field("balance", "Currency")]
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k, F.concat(F.lit("C"), k.cast("string")).alias("Customer Code"), F.col("c_name").alias("Title"), money("c_acctbal").alias("Balance"))
+
+
+@query(f"""SELECT 'C' || CAST(c_custkey AS VARCHAR) AS customer_code, CASE WHEN c_custkey % 5 = 0 THEN 'Renamed' ELSE c_name END AS title, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 2 = 0 THEN 1.5 ELSE CAST({SQL_MONEY.format('c_acctbal')} AS DOUBLE) END AS balance,
+CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 2 END AS imports FROM customer""")
+def import_of_customers(spark, sf_dir):
+    """Three files: all customers; a fifth of them renamed, some with an empty balance that overwrites nothing; and the first again, which changes nothing."""
+    from tidewell.plans.config import Settings
+    from tidewell.plans.importing import Importer
+
+    path = Workspace(spark, "import-customers").path
+    imp, rows = Importer(spark, f"{path}/store", Settings(hash_with_row_number=False)), _customers(spark, sf_dir)
+    imp.create_table("Customer", _CUSTOMER_FIELDS)
+    changed = rows.filter("c_custkey % 5 = 0").withColumns({"Title": F.lit("Renamed"), "Balance": F.when(F.col("c_custkey") % 2 == 0, "1.50").otherwise("")})
+    first, second = _file(rows, path, "first", "c_custkey"), _file(changed, path, "second", "c_custkey")
+    for file in (first, second, first):
+        imp.import_file(file, "Customer")
+    staged = imp.store.read("staging").groupBy(F.col("raw")["Customer Code"].alias("code")).agg(F.count("*").cast("int").alias("imports"))
+    return imp.records("Customer").join(staged, F.col("customer_code") == F.col("code")).select("customer_code", "title", "balance", "imports")
+
+
+@query("""SELECT 'nation' AS file, 'completed' AS status, count(*) AS inserted, 0 AS failed FROM nation UNION ALL SELECT 'region', 'completed', count(*), 0 FROM region
+UNION ALL SELECT 'supplier', 'completed', count(CASE WHEN s_suppkey % 4 <> 0 THEN 1 END), count(CASE WHEN s_suppkey % 4 = 0 THEN 1 END) FROM supplier""")
+def import_of_a_folder(spark, sf_dir):
+    """A folder with files of three tables, each into its own; suppliers with an amount that is none fail."""
+    from tidewell.plans.config import Settings
+    from tidewell.plans.importing import Importer
+
+    path = Workspace(spark, "import-folder").path
+    imp = Importer(spark, f"{path}/store", Settings(approval_required=False))
+    s = table(spark, sf_dir, "supplier")
+    imp.create_table("Supplier", [Field("supplier_code", unique=True), Field("supplier_title"), Field("supplier_balance", "Currency")])
+    _file(s.select("s_suppkey", F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("Supplier Code"), F.col("s_name").alias("Supplier Title"), F.when(F.col("s_suppkey") % 4 == 0, "1-2").otherwise(money("s_acctbal")).alias("Supplier Balance")).select("Supplier Code", "Supplier Title", "Supplier Balance"), path, "supplier", "Supplier Code")
+    _file(table(spark, sf_dir, "nation").select(F.col("n_name").alias("Nation Code"), F.col("n_regionkey").alias("Area")), path, "nation", "Nation Code")
+    _file(table(spark, sf_dir, "region").select(F.col("r_name").alias("Reference"), F.col("r_regionkey").alias("Place")), path, "region", "Reference")
+    done = imp.import_folder(f"{path}/in")
+    log = imp.store.read("staging").groupBy(F.regexp_extract("source_file", "([a-z]+)\\.csv$", 1).alias("file")).agg(F.count_if(F.col("status") == "Processed").alias("inserted"), F.count_if(F.col("status") == "Failed").cast("int").alias("failed"))
+    status = spark.createDataFrame([(n, r.status) for n, r in zip(("nation", "region", "supplier"), done, strict=True)], "f string, status string")
+    return log.join(status, F.col("file") == F.col("f")).select("file", "status", "inserted", "failed")
