@@ -227,3 +227,26 @@ def test_one_base_is_numbered_by_ranges(spark, monkeypatch):
     # The base that nine tenths of the rows share lies in all ranges.
     assert len(sizes) >= 4 and max(sizes) < 0.5 * len(data)
     assert upsert.numbered(spark.createDataFrame([], "b string, o int"), ["b"], ["o"], "n").count() == 0
+
+
+def test_similar_sets(spark, monkeypatch):
+    from tidewell.workspace import Workspace
+
+    written = {}
+    write = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+    rng = random.Random(6)
+    sets = {k: {"common", "all"} | {f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 9))} for k in range(300)}
+    for k in range(300, 340):
+        near = set(sets[k - 300])
+        near.add(f"x{k}")
+        sets[k] = near
+    rows = [(k, w) for k, s in sets.items() for w in s] + [(0, None), (None, "common"), (1, "common")]
+    df = spark.createDataFrame(rows, "k int, w string")
+    for percent in (50, 80):
+        written.clear()
+        got = {(r["a"], r["b"], r["matching"]) for r in matching.similar_sets(df, "k", "w", percent).collect()}
+        want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert got == want and len(want) > 10
+    # Two words that all sets share would join all 57630 pairs.
+    assert written["candidates"].count() < 3 * len(want) + 200

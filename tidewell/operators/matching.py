@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.naming import plain, snake
+from tidewell.workspace import Workspace
 
 #: Fixed values.
 SEMANTIC_GROUPS = (
@@ -100,6 +101,37 @@ def similar_types(sets: DataFrame, least: float = SIMILAR_TYPE, most: int = 10)
     return pairs.filter(F.col("similarity") > least).orderBy(F.desc("similarity"), "a", "b").limit(most)
 
 
+def similar_sets(items: DataFrame, by: str, item: str, percent: int = 80) -> DataFrame:
+    """(a, b, matching, similarity) of all pairs of sets (rows of ``by`` and ``item``; a < b) with a Jaccard similarity of ``percent`` or more.
+
+    Each set's items go in one order for all, rarest first.  Similar sets share one of the first n - least overlap + 1 of each, so
+    only those are joined and a common item makes no pairs unless a set has little else; the places of a shared item bound what the sets
+    can have in common, and only pairs that this leaves are counted in full.
+
+    Defined cases: null items and rows without a set are left out; repeated rows count once; other columns aren't looked at.
+    """
+    work = Workspace(items.sparkSession, "similar-sets")
+    sets = work.write(items.select(F.col(f"`{by}`").alias("by"), F.col(f"`{item}`").alias("item")).dropna().distinct(), "sets")
+    often = sets.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("often"))
+    ordered = sets.join(often, F.col("item") == F.col("i")).groupBy("by").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    n = F.size("items")
+    first = F.expr(f"slice(items, 1, cast(size(items) - ceil({percent} * size(items) / 100) + 1 as int))")
+    prefixes = ordered.select("by", n.alias("n"), F.posexplode(first).alias("at", "x")).select("by", "n", "at", F.col("x.item").alias("item"))
+    one, two = (prefixes.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("by", "n", "at")]) for x in "ab")
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # At a shared item that is the first of both, no more than what follows it in either can be common.
+    bound = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+    enough = (100 + percent) * bound >= percent * (F.col("n_a") + F.col("n_b"))
+    met = one.join(two, "item").filter((F.col("by_a") < F.col("by_b")) & sizes)
+    # The first shared item of a pair stands earliest in both.
+    pairs = met.groupBy("by_a", "by_b", "n_a", "n_b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b")).filter(enough)
+    pairs = work.write(pairs.select(F.col("by_a").alias("a"), F.col("by_b").alias("b"), "n_a", "n_b"), "candidates")
+    left, right = (sets.select(F.col("by").alias(f"by_{x}"), F.col("item").alias(f"item_{x}")) for x in "ab")
+    both = pairs.join(left, F.col("a") == F.col("by_a")).join(right, (F.col("b") == F.col("by_b")) & (F.col("item_a") == F.col("item_b")))
+    counted = both.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("matching")).withColumn("all", F.col("n_a") + F.col("n_b") - F.col("matching"))
+    return counted.filter(100 * F.col("matching") >= percent * F.col("all")).select("a", "b", "matching", F.round(F.col("matching") / F.col("all"), 6).alias("similarity"))
+
+
 # ---- fields, as metadata
 
 

@@ -247,6 +247,33 @@ def schema_match_score(spark, sf_dir):
     return matching.schema_scores(h.toDF("source", "header"), h.toDF("target", "field"))
 
 
+@query("""WITH t AS (SELECT DISTINCT page_id, unnest(string_split_regex(url, '[^a-z0-9]+')) AS w FROM pages), n AS (SELECT page_id, count(*) AS n FROM t WHERE w <> '' GROUP BY page_id),
+p AS (SELECT x.page_id AS a, y.page_id AS b, count(*) AS matching FROM t x JOIN t y ON x.w = y.w AND x.w <> '' AND x.page_id < y.page_id GROUP BY 1, 2)
+SELECT a, b, matching, round(matching / (i.n + j.n - matching), 6) AS similarity FROM p JOIN n i ON i.page_id = a JOIN n j ON j.page_id = b WHERE 100 * matching >= 60 * (i.n + j.n - matching)""")
+def similar_urls(spark, sf_dir):
+    """Pairs of pages whose urls share most words."""
+    words = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("url", "[^a-z0-9]+")).alias("w")).filter("w <> ''")
+    return matching.similar_sets(words, "page_id", "w", 60)
+
+
+@query(f"""WITH s AS (SELECT t, list(c ORDER BY c) AS cs FROM {_HEADERS} GROUP BY t) SELECT a.t AS one, b.t AS other, array_to_string(list_sort(list_filter(a.cs, lambda x: NOT list_contains(b.cs, x))), ',') AS removed, array_to_string(list_sort(list_filter(b.cs, lambda x: NOT list_contains(a.cs, x))), ',') AS added FROM s a JOIN s b ON a.t < b.t AND len(list_intersect(a.cs, b.cs)) > 0""")
+def differences_of_tables(spark, sf_dir):
+    """What tables that share a column have apart."""
+    sets = matching.header_sets(headers(spark, sf_dir), "t", "c")
+    a, b = (sets.select(F.col("t").alias(f"t_{x}"), F.col("headers").alias(f"h_{x}")) for x in "ab")
+    only, new = matching.differences(F.col("h_a"), F.col("h_b"))
+    pairs = a.join(b, (F.col("t_a") < F.col("t_b")) & F.arrays_overlap("h_a", "h_b"))
+    return pairs.select(F.col("t_a").alias("one"), F.col("t_b").alias("other"), F.array_join(F.array_sort(only), ",").alias("removed"), F.array_join(F.array_sort(new), ",").alias("added"))
+
+
+@query(f"""WITH f AS (SELECT t, md5(string_agg(c, '|' ORDER BY c)) AS p FROM {_HEADERS} GROUP BY t) SELECT t AS file, CASE WHEN t < 'm' THEN upper(t) END AS target FROM f""")
+def known_schemas_of_tables(spark, sf_dir):
+    """Tables as files whose schema a registry knows or not."""
+    files = headers(spark, sf_dir).groupBy(F.col("t").alias("file")).agg(schema_fingerprint_column(F.collect_list("c")).alias("schema_fingerprint"))
+    registry = files.filter("file < 'm'").select("schema_fingerprint", F.upper("file").alias("target"))
+    return matching.known_patterns(files, registry).select("file", "target")
+
+
 # ---- conversion and validation
 
 
