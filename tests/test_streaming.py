@@ -39,3 +39,22 @@ def test_moved_files_never_replace_others(spark, tmp_path):
     assert sorted(p.read_text() for p in (tmp_path / "processed").glob("*.csv")) == ["a", "b", "c"]
     (tmp_path / "noname").write_text("1")
     assert folder.move(str(tmp_path / "noname"), "errors").endswith("errors/noname")
+
+
+def test_a_lookup_lives_between_batches(spark, tmp_path):
+    """Later batches, and a second run from the checkpoint, update what earlier ones have inserted."""
+    from tidewell.streaming.lookup import decide_stream
+
+    source, schema = tmp_path / "src", "code string, row_index long, new_name string"
+    batches = [[("a", 2, "N2"), (" a", 1, "N1"), (None, 3, "N3"), ("", 4, "N4")], [("a", 5, "N5"), ("b", 6, "N6")], [("b", 7, "N7"), ("c", 8, "N8")]]
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        decide_stream(stream, "code", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return {r["row_index"]: (r["action"], r["record_name"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    for b in batches[:2]:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    spark.createDataFrame(batches[2], schema).coalesce(1).write.mode("append").parquet(str(source))
+    assert run() == {1: ("INSERT", "N1"), 2: ("UPDATE", "N1"), 3: ("INSERT", "N3"), 4: ("INSERT", "N4"), 5: ("UPDATE", "N1"), 6: ("INSERT", "N6"), 7: ("UPDATE", "N6"), 8: ("INSERT", "N8")}

@@ -385,7 +385,10 @@ def upsert_merged(spark, sf_dir):
     return upsert.merge(upsert.decide(batch, known, ["code"]), known, ["code", "c_name", "balance"], state.now()).select("name", "code", "c_name", "balance")
 
 
-@query("""SELECT n, action, count(*) AS rows FROM (SELECT l_orderkey AS n, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1 THEN 'INSERT' ELSE 'UPDATE' END AS action FROM lineitem) GROUP BY n, action""")
+_FIRST_INSERTS = """SELECT n, action, count(*) AS rows FROM (SELECT l_orderkey AS n, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1 THEN 'INSERT' ELSE 'UPDATE' END AS action FROM lineitem) GROUP BY n, action"""
+
+
+@query(_FIRST_INSERTS)
 def intra_batch_first_insert(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("row_index"))
@@ -395,6 +398,21 @@ def intra_batch_first_insert(spark, sf_dir):
     return decided.groupBy(F.col("order_no").cast("long").alias("n"), "action").agg(F.count("*").alias("rows"))
 
 
+@query(_FIRST_INSERTS)
+def stream_first_insert(spark, sf_dir):
+    """The same of a stream that brings the lines in ten files, one a batch; state knows the orders of the batches before."""
+    from tidewell.streaming.lookup import decide_stream
+
+    path = Workspace(spark, "first-inserts").path
+    place = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_no"), place.alias("row_index"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("new_name"))
+    rows.repartition(10, "row_index").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    decide_stream(stream, "order_no", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    decided = spark.read.parquet(f"{path}/out")
+    return decided.groupBy(F.col("value").cast("long").alias("n"), "action").agg(F.count("*").alias("rows"))
+
+
 @query("SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey % 4 = 0 THEN 'balance' END, CASE WHEN s_suppkey % 6 = 0 THEN 'nation' END) AS changed FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 6 = 0")
 def change_detect(spark, sf_dir):
     k = F.col("s_suppkey")
