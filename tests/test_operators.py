@@ -250,3 +250,21 @@ def test_similar_sets(spark, monkeypatch):
         assert got == want and len(want) > 10
     # Two words that all sets share would join all 57630 pairs.
     assert written["candidates"].count() < 3 * len(want) + 200
+
+
+def test_closest_values(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(8)
+    known = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(0, 12))) for _ in range(150)} | {"", "a", "aaaaaaaa"})
+    typed = ["".join(c for c in k if rng.random() > 0.15) + rng.choice(["", "z", "ab"]) for k in known] + ["", "a", "zzzzzzzz", "zz", "aaaaaa"]
+    df = spark.createDataFrame([(t,) for t in typed] + [(None,), ("a",)], "t string")
+    got = {(r["typed"], r["value"], r["distance"]) for r in matching.closest_values(df, "t", spark.createDataFrame([(k,) for k in known] + [(None,)], "v string"), "v").collect()}
+    best = {t: min((distance(t, k), k.encode(), k) for k in known) for t in typed}
+    assert got == {(t, k, d) for t, (d, _, k) in best.items() if d <= 2}

@@ -132,6 +132,42 @@ def similar_sets(items: DataFrame, by: str, item: str, percent: int = 80) -> Dat
     return counted.filter(100 * F.col("matching") >= percent * F.col("all")).select("a", "b", "matching", F.round(F.col("matching") / F.col("all"), 6).alias("similarity"))
 
 
+def closest_values(typed: DataFrame, column: str, known: DataFrame, value: str, most: int = 2, q: int = 2) -> DataFrame:
+    """(typed, value, distance): for each different text of ``column`` the known value with the least edit distance, up to ``most``; the least of equals.
+
+    Texts within ``most`` edits differ in at most ``most * q`` of their padded q-grams.  With each text's q-grams (repeats numbered) in one
+    order for all, rarest first, they thus share one of the first ``most * q + 1``; only those are joined.  Texts with no more
+    q-grams than that are joined by nearby lengths too, since they may share none.
+
+    Defined cases: null texts find nothing and are not found; an empty text is one of length 0; repeated rows count once.
+    """
+    work = Workspace(typed.sparkSession, "closest")
+    one = typed.select(F.col(f"`{column}`").cast("string").alias("text"), F.lit(True).alias("asked")).dropna().distinct()
+    two = known.select(F.col(f"`{value}`").cast("string").alias("text"), F.lit(False).alias("asked")).dropna().distinct()
+    pad = "\x01" * (q - 1)
+    padded = F.concat(F.lit(pad), "text", F.lit(pad))
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") + (q - 1)), lambda i: F.substr(padded, i, F.lit(q)))
+    counted = one.unionByName(two).withColumn("grams", F.when(F.length("text") > 0, grams).otherwise(F.array().cast("array<string>")))
+    # A gram's n-th occurrence in a text is an item of its own.
+    items = work.write(counted.select("asked", "text", F.explode("grams").alias("g")).groupBy("asked", "text", "g").agg(F.count("*").cast("int").alias("c")).select("asked", "text", F.explode(F.transform(F.sequence(F.lit(1), "c"), lambda i: F.concat("g", i.cast("string")))).alias("item")), "items")
+    often = items.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("often"))
+    ordered = items.join(often, F.col("item") == F.col("i")).groupBy("asked", "text").agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "item"))), 1, most * q + 1).alias("first"))
+    rare = ordered.select("asked", "text", F.explode("first.item").alias("item"))
+    short = counted.filter(F.length("text") + (q - 1) <= most * q).select("asked", "text")
+    # Short texts stand at their own length and those that edits can reach.
+    asked_at = short.filter("asked").select("text", F.explode(F.sequence(F.greatest(F.lit(0), F.length("text") - most), F.length("text") + most)).alias("item"))
+    known_at = counted.filter("not asked").filter(F.length("text") + (q - 1) <= most * (q + 1)).select("text", F.length("text").alias("item"))
+    pairs = _met(rare.filter("asked"), rare.filter("not asked"))
+    found = pairs.unionByName(_met(asked_at, known_at)).filter(F.abs(F.length("typed") - F.length("value")) <= most).distinct()
+    close = found.withColumn("distance", F.levenshtein("typed", "value")).filter(F.col("distance") <= most)
+    return close.groupBy("typed").agg(F.min(F.struct("distance", "value")).alias("b")).select("typed", "b.value", "b.distance")
+
+
+def _met(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(typed, value) of texts that share an item."""
+    return asked.select(F.col("text").alias("typed"), "item").join(known.select(F.col("text").alias("value"), "item"), "item").select("typed", "value")
+
+
 # ---- fields, as metadata
 
 

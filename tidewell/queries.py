@@ -274,6 +274,20 @@ def known_schemas_of_tables(spark, sf_dir):
     return matching.known_patterns(files, registry).select("file", "target")
 
 
+_TYPED = "(SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, CAST(p_partkey % length(p_name) AS INTEGER)) || substr(p_name, CAST(p_partkey % length(p_name) AS INTEGER) + 2) WHEN p_partkey % 3 = 1 THEN 'x' || p_name ELSE p_name || ' ?' END AS typed FROM part)"
+
+
+@query(f"""SELECT typed, value, distance FROM (SELECT typed, value, levenshtein(typed, value) AS distance, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(typed, value), value) AS k
+FROM {_TYPED} t, (SELECT DISTINCT p_name AS value FROM part) v) WHERE k = 1 AND distance <= 2""")
+def closest_part_names(spark, sf_dir):
+    """Part names that were typed with errors, and the names that are meant."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    at = (k % F.length(name)).cast("int")
+    typed = F.when(k % 3 == 0, F.concat(F.substr(name, F.lit(1), at), F.substr(name, at + 2))).when(k % 3 == 1, F.concat(F.lit("x"), name)).otherwise(F.concat(name, F.lit(" ?")))
+    parts = table(spark, sf_dir, "part")
+    return matching.closest_values(parts.select(typed.alias("typed")), "typed", parts, "p_name").withColumn("distance", F.col("distance").cast("bigint"))
+
+
 # ---- conversion and validation
 
 
