@@ -93,3 +93,13 @@ def test_messages(spark):
     assert values(spark, messages.business_context, ["Client Name", "sku of item", "zip"]) == ["Customer", "Item", "General"]
     e = messages.ImportFailure("the csv is bad")
     assert (e.category, e.severity) == ("file_processing", "medium")
+
+
+def test_variants(spark):
+    from tidewell.functions import variants
+
+    df = spark.createDataFrame([(1, '{"a": 1, "b": [true]}'), (2, '{"a": "x"}'), (3, "{"), (4, None), (5, "")], "i int, t string")
+    got = {r["i"]: tuple(r)[2:] for r in variants.shredded(df, "t", {"a": ("$.a", "bigint"), "b": ("$.b[0]", "boolean")}).collect()}
+    assert got == {1: (1, True, None), 2: (None, None, None), 3: (None, None, "{"), 4: (None, None, None), 5: (None, None, "")}
+    assert tuple(variants.schema_of(df, "t").first()) == (2, 2, "OBJECT<a: VARIANT, b: ARRAY<BOOLEAN>>")
+    assert variants.schema_of(df.limit(0), "t").first()["parsed"] == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import content, messages, naming
+from tidewell.functions import content, messages, naming, variants
 from tidewell.functions.hashing import row_hash, schema_fingerprint_column
 from tidewell.functions.strings import blank, json_map, strip
 from tidewell.operators import identity, infer, matching, profile, reports, upsert, validation
@@ -525,6 +525,30 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", parsed["k"].cast("long").alias("k"), F.size(parsed).alias("n_keys"))
 
 
+_BROKEN = "CASE WHEN event_id % 11 = 0 THEN left(props, length(props) - 1) WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 7 = 0 THEN '{\"k\": \"' || event_type || '\", \"more\": {\"at\": ' || CAST(event_id AS VARCHAR) || '}}' ELSE props END"
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events, some of them cut off, missing or of another type."""
+    k = F.col("event_id")
+    other = F.concat(F.lit('{"k": "'), "event_type", F.lit('", "more": {"at": '), k.cast("string"), F.lit("}}"))
+    text = F.when(k % 11 == 0, F.expr("left(props, length(props) - 1)")).when(k % 13 == 0, F.lit(None)).when(k % 7 == 0, other).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", text.alias("raw"))
+
+
+@query(f"""SELECT event_id, CASE WHEN json_valid(raw) THEN TRY_CAST(json_extract_string(raw, '$.k') AS BIGINT) END AS k, CASE WHEN json_valid(raw) THEN CAST(json_extract_string(raw, '$.more.at') AS BIGINT) END AS more_at,
+CASE WHEN NOT json_valid(raw) THEN raw END AS failed_text FROM (SELECT event_id, {_BROKEN} AS raw FROM events)""")
+def shredded_props(spark, sf_dir):
+    rows = variants.shredded(_broken(spark, sf_dir), "raw", {"k": ("$.k", "bigint"), "more_at": ("$.more.at", "bigint")})
+    return rows.select("event_id", "k", "more_at", "failed_text")
+
+
+@query(f"""SELECT event_type, count(CASE WHEN json_valid(raw) THEN 1 END) AS parsed, count(CASE WHEN NOT json_valid(raw) THEN 1 END) AS failed,
+CASE WHEN count(CASE WHEN json_valid(raw) AND contains(raw, 'more') THEN 1 END) = 0 THEN 'OBJECT<k: BIGINT>' ELSE 'OBJECT<k: VARIANT, more: OBJECT<at: BIGINT>>' END AS schema FROM (SELECT event_type, {_BROKEN} AS raw FROM events) GROUP BY event_type""")
+def schema_of_props(spark, sf_dir):
+    return variants.schema_of(_broken(spark, sf_dir), "raw", "event_type")
+
+
 @query("SELECT c_custkey, to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS document FROM customer")
 def json_rows(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("document"))
