@@ -162,7 +162,9 @@ class Importer:
         if touched:
             part = self.records(target, touched.__contains__)
             merged = upsert.merge(decided, part, list(by), state.now(), migration_source=F.lit(source[0] if source else None).cast("string"), migration_batch=F.lit(session))
-            self.store.replace_parts(self._table(target), merged, state.bucket(F.col("name"), self.settings.buckets), touched)
+            # A bucket is one task's and one file; staging stays dealt as it was read.
+            key = state.bucket(F.col("name"), self.settings.buckets)
+            self.store.replace_parts(self._table(target), merged.repartition(key), key, touched)
             self._sketch(target, touched)
         membership.append_log(self.store, state.new_log_entries(state.log_entries(decided, session, target), log))
         self._finish(decided, session, target)

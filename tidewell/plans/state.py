@@ -82,7 +82,7 @@ class Store:
         if by is None:
             df.write.parquet(f"{self.path}/{name}/{version}")
             return {version: [version]}
-        df.withColumn("_part", by).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}/{version}")
+        df.withColumn("_part", by).write.partitionBy("_part").parquet(f"{self.path}/{name}/{version}")
         folders = [x.getPath().getName() for x in self._fs.listStatus(self._at(name, version)) if x.isDirectory()]
         return {unquote(f.removeprefix("_part=")): [f"{version}/{f}"] for f in folders}
 
