@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import SLICE_ROWS, Workspace, texts
 from tidewell.llm.components import components
-from tidewell.llm.jaccard import BLOCK, CACHE_CLASSES, ODD, Shingles, _joined, _ordered, first_rows, forests, mix, set_hash, texts_of, verified, whole_cells
+from tidewell.llm.jaccard import BLOCK, CACHE_CLASSES, ODD, OWNERS, Shingles, _joined, _ordered, first_rows, forests, mix, set_hash, texts_of, verified, whole_cells
 
 WORDS, PERCENT = 4, 80
 #: Retained values; the chance that a similar pair of larger sets shares fewer than :func:`need` of its union's.
@@ -162,12 +162,16 @@ def estimated(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFr
 
 
 def in_cells(open_groups: DataFrame, held: DataFrame, block: int) -> DataFrame:
-    """The members (sig, class, root, n) of lists dealt to cells of bounded size: any two blocks of a list meet in one."""
+    """The members (sig, class, root, n) of lists dealt to cells of bounded size: any two blocks of a list meet in one.
+
+    ``least`` are the class's least lists, in order.
+    """
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = open_groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    known = held.select(F.col("class").alias("k"), "size", "mins")
-    return other.join(known, F.col("class") == F.col("k")).select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "root", "size", "mins", "own")
+    sigs = open_groups.groupBy(F.col("class").alias("c")).agg(F.slice(F.array_sort(F.collect_list("sig")), 1, OWNERS).alias("least"))
+    known = held.select(F.col("class").alias("k"), "size", "mins").join(sigs, F.col("k") == F.col("c"))
+    return other.join(known, F.col("class") == F.col("k")).select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "root", "size", "mins", "own", "least")
 
 
 def parity(values: np.ndarray) -> np.ndarray:
@@ -177,7 +181,10 @@ def parity(values: np.ndarray) -> np.ndarray:
 
 
 def candidates_within(cells: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows (sig, lo, hi, class, root) that may have a link to one of another root in their cell; no more than the cell's rows."""
+    """The rows (sig, lo, hi, class, root) that may have a link to one of another root in their cell; no more than the cell's rows.
+
+    A pair is looked at in the cell of the least list that both are known to share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_cells(batches):
@@ -186,7 +193,7 @@ def candidates_within(cells: DataFrame, k: int, percent: int) -> DataFrame:
             same = t.column("lo").to_numpy() == t.column("hi").to_numpy()
             mins = [np.frombuffer(m, np.uint64) for m in t.column("mins").to_pylist()]
             bits, held = np.stack([parity(m) for m in mins]), np.array([len(m) for m in mins])
-            wanted = np.zeros(len(mins), bool)
+            wanted, sigs, least_of = np.zeros(len(mins), bool), t.column("sig").to_pylist(), [frozenset(x) for x in t.column("least").to_pylist()]
             for i in range(1, len(mins)):
                 j = np.arange(start[i], i)
                 j = j[(roots[j] != roots[i]) & (same[i] | (own[j] != own[i])) & ~(wanted[i] & wanted[j])]
@@ -194,7 +201,7 @@ def candidates_within(cells: DataFrame, k: int, percent: int) -> DataFrame:
                 least = np.where((sizes[j] <= k) & (sizes[i] <= k), -(-percent * (sizes[j] + sizes[i]) // (100 + percent)), need(k, percent))
                 j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= held[i] + held[j] - 2 * least]
                 for x in j.tolist():
-                    if not (wanted[i] and wanted[x]) and may_be_similar(mins[i], mins[x], int(sizes[i]), int(sizes[x]), k, percent):
+                    if not (wanted[i] and wanted[x]) and min(least_of[i] & least_of[x], default=sigs[i]) >= sigs[i] and may_be_similar(mins[i], mins[x], int(sizes[i]), int(sizes[x]), k, percent):
                         wanted[i] = wanted[x] = True
             if wanted.any():
                 yield t.select(["sig", "lo", "hi", "class", "root"]).filter(pa.array(wanted))
