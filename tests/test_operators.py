@@ -252,6 +252,24 @@ def test_similar_sets(spark, monkeypatch):
     assert written["candidates"].count() < 3 * len(want) + 200
 
 
+def test_similar_sets_of_copies(spark, monkeypatch):
+    """Copies meet as one set, also where a set is large or an item common."""
+    from tidewell.workspace import Workspace
+
+    written = {}
+    write = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+    monkeypatch.setattr(matching, "CELL", 4)
+    kinds = [{f"w{i}" for i in range(80)}, {f"w{i}" for i in range(72)}, {"w0", "x", "y", "z"}, {"w0", "x", "y", "z", "q"}, {"alone"}]
+    kinds += [{"x", "y", "z", f"n{i}"} for i in range(20)]
+    sets = {k: kinds[k % len(kinds)] for k in range(6 * len(kinds))}
+    df = spark.createDataFrame([(k, w) for k, s in sets.items() for w in s], "k int, w string")
+    got = sorted(map(tuple, matching.similar_sets(df, "k", "w", 60).collect()))
+    want = sorted((a, b, len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]))
+    assert got == want
+    assert written["candidates"].count() < len(kinds) ** 2 / 2 < len(want) / 20
+
+
 def test_closest_values(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))

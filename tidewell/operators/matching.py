@@ -5,10 +5,11 @@ from __future__ import annotations
 import difflib
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.naming import plain, snake
+from tidewell.operators.upsert import numbered
 from tidewell.workspace import Workspace
 
 #: Fixed values.
@@ -101,35 +102,62 @@ def similar_types(sets: DataFrame, least: float = SIMILAR_TYPE, most: int = 10)
     return pairs.filter(F.col("similarity") > least).orderBy(F.desc("similarity"), "a", "b").limit(most)
 
 
+#: Sets of up to so many items meet with all of them; rows of an item that meet in one cell.
+SMALL_SET, CELL = 64, 2048
+
+
 def similar_sets(items: DataFrame, by: str, item: str, percent: int = 80) -> DataFrame:
     """(a, b, matching, similarity) of all pairs of sets (rows of ``by`` and ``item``; a < b) with a Jaccard similarity of ``percent`` or more.
 
-    Each set's items go in one order for all, rarest first.  Similar sets share one of the first n - least overlap + 1 of each, so
-    only those are joined and a common item makes no pairs unless a set has little else; the places of a shared item bound what the sets
-    can have in common, and only pairs that this leaves are counted in full.
+    Equal sets are compared as one and told apart only at the end.  Each set's items go in one order for all, rarest first.  Similar sets
+    share one of the first n - least overlap + 1 of each, so only those are joined and a common item makes no pairs unless a set has little else;
+    the places of a shared item bound what the sets can have in common.  Small sets bring all their items to the join, where a pair counts at
+    its first shared item: pairs that aren't similar are never shuffled.  Pairs with a larger set are counted afterwards.
 
     Defined cases: null items and rows without a set are left out; repeated rows count once; other columns aren't looked at.
     """
     work = Workspace(items.sparkSession, "similar-sets")
-    sets = work.write(items.select(F.col(f"`{by}`").alias("by"), F.col(f"`{item}`").alias("item")).dropna().distinct(), "sets")
-    often = sets.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("often"))
-    ordered = sets.join(often, F.col("item") == F.col("i")).groupBy("by").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
-    n = F.size("items")
-    first = F.expr(f"slice(items, 1, cast(size(items) - ceil({percent} * size(items) / 100) + 1 as int))")
-    prefixes = ordered.select("by", n.alias("n"), F.posexplode(first).alias("at", "x")).select("by", "n", "at", F.col("x.item").alias("item"))
-    one, two = (prefixes.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("by", "n", "at")]) for x in "ab")
+    sets = items.select(F.col(f"`{by}`").alias("by"), F.col(f"`{item}`").alias("item")).dropna().groupBy("by").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    equal = Window.partitionBy("items")
+    sets = work.write(sets.withColumns({"class": F.min("by").over(equal), "m": F.count("*").over(equal)}), "sets")
+    each = sets.filter("by = class").select("by", "m", F.explode("items").alias("item"))
+    ranks = work.write(numbered(each.groupBy("item").agg(F.count("*").alias("often")), [], ["often", "item"], "rank"), "ranks")
+    ordered = each.join(ranks, "item").groupBy("by", "m").agg(F.array_sort(F.collect_list(F.struct("rank", "often"))).alias("items"), F.bit_or(F.expr("shiftleft(1L, cast(rank % 64 as int))")).alias("bits"))
+    ordered = work.write(ordered.select("by", "m", "bits", F.size("items").alias("n"), F.col("items.rank").alias("ranks"), F.col("items.often").alias("often")), "ordered")
+    cells = F.ceil(F.col("x.often") / CELL).cast("int")
+    held = F.when(F.col("n") <= SMALL_SET, F.col("ranks")).alias("ranks")
+    first = F.expr(f"slice(arrays_zip(ranks, often), 1, cast(n - ceil({percent} * n / 100) + 1 as int))")
+    prefixes = ordered.select("by", "n", "m", "bits", held, F.posexplode(first).alias("at", "x")).select("by", "n", "m", "bits", "ranks", "at", F.col("x.ranks").alias("rank"), cells.alias("cells"))
+    # The rows of a common item are dealt to cells on one side and stand in each on the other, so they take many tasks.
+    one = prefixes.withColumn("cell", F.pmod(F.xxhash64("by"), F.col("cells")).cast("int"))
+    two = prefixes.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    # Few rows may make many pairs, so how many tasks there are doesn't depend on their bytes.
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, two = (x.select("rank", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("by", "n", "m", "bits", "ranks", "at")]).repartition(tasks, "rank", "cell") for x, s in ((one, "a"), (two, "b")))
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # At a shared item that is the first of both, no more than what follows it in either can be common.
     bound = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    enough = (100 + percent) * bound >= percent * (F.col("n_a") + F.col("n_b"))
-    met = one.join(two, "item").filter((F.col("by_a") < F.col("by_b")) & sizes)
-    # The first shared item of a pair stands earliest in both.
-    pairs = met.groupBy("by_a", "by_b", "n_a", "n_b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b")).filter(enough)
-    pairs = work.write(pairs.select(F.col("by_a").alias("a"), F.col("by_b").alias("b"), "n_a", "n_b"), "candidates")
-    left, right = (sets.select(F.col("by").alias(f"by_{x}"), F.col("item").alias(f"item_{x}")) for x in "ab")
-    both = pairs.join(left, F.col("a") == F.col("by_a")).join(right, (F.col("b") == F.col("by_b")) & (F.col("item_a") == F.col("item_b")))
-    counted = both.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("matching")).withColumn("all", F.col("n_a") + F.col("n_b") - F.col("matching"))
-    return counted.filter(100 * F.col("matching") >= percent * F.col("all")).select("a", "b", "matching", F.round(F.col("matching") / F.col("all"), 6).alias("similarity"))
+    # Bits that differ stand for items that only one set has.
+    most = (F.col("n_a") + F.col("n_b") - F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))) / 2
+    needed = lambda n: (100 + percent) * n >= percent * (F.col("n_a") + F.col("n_b"))
+    met = one.join(two, ["rank", "cell"]).filter((F.col("by_a") < F.col("by_b")) & sizes & needed(bound) & needed(most))
+    names = [F.col("by_a").alias("a"), F.col("by_b").alias("b"), "n_a", "n_b", "m_a", "m_b"]
+    both = F.array_intersect("ranks_a", "ranks_b")  # in order
+    small = met.filter(F.greatest("n_a", "n_b") <= SMALL_SET).filter(needed(F.size(both)) & (both[0] == F.col("rank"))).select(*names, F.size(both).alias("matching"))
+    sides = [ordered.select(F.col("by").alias(x), F.col("ranks").alias(f"all_{x}")) for x in "ab"]
+    large = met.filter(F.greatest("n_a", "n_b") > SMALL_SET).select(*names).distinct().join(sides[0], "a").join(sides[1], "b")
+    large = large.withColumn("matching", F.size(F.array_intersect("all_a", "all_b"))).filter(needed(F.col("matching"))).select(*small.columns)
+    pairs = work.write(small.unionByName(large), "candidates")
+    alike = F.col("n_a") + F.col("n_b") - F.col("matching")
+    pairs = pairs.select("a", "b", "m_a", "m_b", F.col("matching").cast("bigint").alias("matching"), F.round(F.col("matching") / alike, 6).alias("similarity"))
+    copies = sets.filter("m > 1").select("class", F.col("by").alias("member"), F.size("items").cast("bigint").alias("n"))
+    within = copies.join(copies.select("class", F.col("member").alias("other")), "class").filter("member < other").select(F.col("member").alias("a"), F.col("other").alias("b"), F.col("n").alias("matching"), F.lit(1.0).alias("similarity"))
+    members = sets.select("class", F.col("by").alias("member")).filter(F.col("m") > 1)
+    left = pairs.filter("m_a > 1").join(members, F.col("a") == F.col("class")).select(F.col("member").alias("a"), "b", "m_b", "matching", "similarity")
+    left = left.unionByName(pairs.filter("m_a = 1 and m_b > 1").select(*left.columns))
+    right = left.filter("m_b > 1").join(members, F.col("b") == F.col("class")).select("a", F.col("member").alias("b"), "matching", "similarity")
+    grown = right.unionByName(left.filter("m_b = 1").select(*right.columns)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "matching", "similarity")
+    return pairs.filter("m_a = 1 and m_b = 1").select(*grown.columns).unionByName(grown).unionByName(within)
 
 
 def closest_values(typed: DataFrame, column: str, known: DataFrame, value: str, most: int = 2, q: int = 2) -> DataFrame:
