@@ -58,3 +58,39 @@ def test_a_lookup_lives_between_batches(spark, tmp_path):
     run()
     spark.createDataFrame(batches[2], schema).coalesce(1).write.mode("append").parquet(str(source))
     assert run() == {1: ("INSERT", "N1"), 2: ("UPDATE", "N1"), 3: ("INSERT", "N3"), 4: ("INSERT", "N4"), 5: ("UPDATE", "N1"), 6: ("INSERT", "N6"), 7: ("UPDATE", "N6"), 8: ("INSERT", "N8")}
+
+
+def test_a_batch_takes_a_call_for_each_bucket(spark, tmp_path, monkeypatch):
+    """Not one for each value; names of many batches are packed into one table."""
+    import pandas as pd
+
+    from tidewell.streaming import lookup
+
+    class Held:
+        def __init__(self):
+            self.rows, self.puts, self.calls = [], 0, 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def appendValue(self, row):
+            self.rows, self.calls = [*self.rows, row], self.calls + 1
+
+        def put(self, rows):
+            self.rows, self.puts = list(rows), self.puts + 1
+
+    monkeypatch.setattr(lookup, "MOST_TABLES", 4)
+    one, seen = lookup.FirstInserts(), {}
+    one.names = held = Held()
+    for b in range(12):
+        batch = pd.DataFrame({"value": [f"v{i % 40 + 10 * b}" for i in range(80)], "row_index": range(79, -1, -1), "new_name": [f"b{b}-{i}" for i in range(80)]})
+        (out,) = one.handleInputRows((0,), iter([batch[:50], batch[50:]]), None)
+        for r in out.sort_values("row_index").itertuples():
+            first = seen.setdefault(r.value, f"b{b}-{79 - r.row_index}")
+            assert (r.action, r.record_name) == ("INSERT" if first == f"b{b}-{79 - r.row_index}" else "UPDATE", first)
+    assert held.calls <= 12 and held.puts >= 2 and len(held.rows) <= 5
+    plan = lookup.first_inserts(spark.range(5).selectExpr("cast(id as string) as code", "id as row_index", "'n' as new_name"), "code")
+    assert "bucket" in plan._jdf.queryExecution().logical().toString()
