@@ -88,3 +88,21 @@ def test_an_import_sketches_the_buckets_that_it_changed(spark, tmp_path):
     rows_ = imp.records("Thing")
     assert {r["part"] for r in imp.store.read("records_thing_sketches").collect()} == {r[0] for r in rows_.select(state.bucket(F.col("name"), 4)).distinct().collect()}
     assert identity.matching_keys(rows_, imp.tables()["Thing"], imp._sketches("Thing")) == ["serial_no", "code"]
+
+
+def test_hashes_are_held_packed(spark, monkeypatch):
+    """Values that come again and again, in many batches, are given once by a task; none is a Python object."""
+    written = {}
+    write = profile.Workspace.write
+    monkeypatch.setattr(profile.Workspace, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+    monkeypatch.setattr(profile, "HELD", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.range(0, 6000, 1, 1).selectExpr("cast(id % 700 as string) as few")
+        got = {r["column_name"]: r["unique_values"] for r in profile.uniqueness(df, ["few"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {"few": 700}
+    assert written["told"].filter("h is not null").count() == 700
+    run = next(c for c in profile.summaries.__code__.co_consts if getattr(c, "co_name", "") == "run")
+    assert "set" not in run.co_names and "unique" in run.co_names

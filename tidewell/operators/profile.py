@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tidewell.functions.content import is_currency, is_email, is_phone
 from tidewell.workspace import Workspace
 
-#: Hashes that a task holds before it gives them; groups in which first values are merged before they meet.
-HELD, SALTS = 1 << 20, 256
+#: Hashes that a task holds before it gives them, and gives at a time; groups in which first values are merged before they meet.
+HELD, GIVEN, SALTS = 1 << 20, 1 << 16, 256
 #: Size of a sketch (2 ** LG values), and the relative error that its estimate stays within (four standard errors).
 LG = 14
 ERROR = 4 * 1.04 / 2 ** (LG / 2)
@@ -43,18 +44,28 @@ def summaries(df: DataFrame, columns: list[str], order: str | None = None, n: in
     kind = rows.schema["o"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, told = [set() for _ in columns], [[0, None, None, 0] for _ in columns]
+        hashes, told = [[] for _ in columns], [[0, None, None, 0] for _ in columns]
+        held, limit = 0, HELD
         first: list = [None] * len(columns)
         total, salt, o_type = 0, 0, pa.int32()
 
-        def given() -> pa.RecordBatch:
-            c = [i for i, h in enumerate(hashes) for _ in h]
-            h = [x for h in hashes for x in h]
+        def thinned() -> int:
+            """Every hash once, as packed numbers; how many there are."""
+            for i, x in enumerate(hashes):
+                hashes[i] = [np.unique(np.concatenate(x))] if x else []
+            return sum(len(x) for h in hashes for x in h)
+
+        def given() -> Iterator[pa.RecordBatch]:
+            thinned()
+            c = np.concatenate([np.full(len(x), i, np.int32) for i, h in enumerate(hashes) for x in h] or [np.zeros(0, np.int32)])
+            h = np.concatenate([x for h in hashes for x in h] or [np.zeros(0, np.int64)])
             for x in hashes:
                 x.clear()
             names = ["c", "h", "salt", "total", "filled", "lo", "hi", "longest", "first"]
-            blank = [pa.nulls(len(c), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("position", o_type), ("value", pa.string())])))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(h, pa.int64()), *blank], names)
+            for at in range(0, len(c), GIVEN):
+                k = len(c[at : at + GIVEN])
+                blank = [pa.nulls(k, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("position", o_type), ("value", pa.string())])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + GIVEN]), pa.array(h[at : at + GIVEN]), *blank], names)
 
         for batch in batches:
             total, o_type = total + batch.num_rows, batch.column(1).type
@@ -66,7 +77,8 @@ def summaries(df: DataFrame, columns: list[str], order: str | None = None, n: in
                 v = v.filter(full)
                 if not len(v):
                     continue
-                hashes[i].update(batch.column(3 + 2 * i).filter(full).to_pylist())
+                hashes[i].append(pc.unique(batch.column(3 + 2 * i).filter(full)).to_numpy())
+                held += len(hashes[i][-1])
                 ends = pc.min_max(v).as_py()
                 t[0] += len(v)
                 t[1] = ends["min"] if t[1] is None else min(t[1], ends["min"], key=str.encode)
@@ -76,9 +88,13 @@ def summaries(df: DataFrame, columns: list[str], order: str | None = None, n: in
                     some = pa.table({"position": batch.column(1).filter(full), "value": v})
                     some = pa.concat_tables([first[i], some]) if first[i] is not None else some
                     first[i] = some.take(pc.select_k_unstable(some, n, [("position", "ascending")]))
-            if sum(map(len, hashes)) >= HELD:
-                yield given()
-        yield given()
+            if held >= limit:
+                held = thinned()
+                if held >= HELD:
+                    yield from given()
+                    held = 0
+                limit = max(HELD, 2 * held)
+        yield from given()
         firsts = pa.array([None if t is None else t.to_pylist() for t in first], pa.list_(pa.struct([("position", o_type), ("value", pa.string())])))
         k = len(columns)
         stats = [pa.array(range(k), pa.int32()), pa.nulls(k, pa.int64()), pa.array([salt] * k, pa.int32()), pa.array([total] * k, pa.int64()), pa.array([t[0] for t in told], pa.int64()), *[pa.array([t[j] for t in told], pa.string()) for j in (1, 2)], pa.array([t[3] for t in told], pa.int64()), firsts]
