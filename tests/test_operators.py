@@ -270,6 +270,27 @@ def test_similar_sets_of_copies(spark, monkeypatch):
     assert written["candidates"].count() < len(kinds) ** 2 / 2 < len(want) / 20
 
 
+def test_rows_of_a_batch_have_places_of_their_own(spark, tmp_path, monkeypatch):
+    """Lines of different orders don't share a row_index, by which decide joins."""
+    from tidewell import queries
+
+    spark.createDataFrame([(o, n, 1, 1, 1.0, 1.0) for o in range(30) for n in range(4)], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, decide = [], upsert.decide
+    monkeypatch.setattr(upsert, "decide", lambda rows, *a: seen.append(rows) or decide(rows, *a))
+    got = {(r["n"], r["action"], r["rows"]) for r in queries.intra_batch_first_insert(spark, str(tmp_path)).collect()}
+    assert got == {(o, a, n) for o in range(30) for a, n in (("INSERT", 1), ("UPDATE", 3))}
+    assert seen[0].select("row_index").distinct().count() == 120
+
+
+def test_names_beside_none_are_sorted_once(spark, monkeypatch):
+    calls, numbered = [], upsert.numbered
+    monkeypatch.setattr(upsert, "numbered", lambda *a: calls.append(a) or numbered(*a))
+    df = spark.createDataFrame([("x", i) for i in range(50)] + [(None, 60)], "b string, o int")
+    got = {r["o"]: r["unique_name"] for r in upsert.numbered_names(df, "b", "o").collect()}
+    assert got == {i: f"x-{i}" if i else "x" for i in range(50)} | {60: None}
+    assert len(calls) == 1
+
+
 def test_closest_values(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))

@@ -203,13 +203,20 @@ def _first_free(rows: DataFrame, names: DataFrame) -> DataFrame:
     """``rows`` (_id, _b, _o) with _name: the n-th row of a base gets its n-th number that isn't taken (0: the base alone)."""
     split = names.filter(F.col("name").rlike("-[1-9][0-9]{0,17}$")).select(F.regexp_extract("name", "^(.*)-[0-9]+$", 1).alias("_b"), F.regexp_extract("name", "-([0-9]+)$", 1).cast("bigint").alias("_n"))
     used = names.select(F.col("name").alias("_b"), F.lit(0).cast("bigint").alias("_n")).unionByName(split).distinct().join(rows.select("_b").distinct(), "_b", "left_semi")
+    wanted = numbered(rows, ["_b"], ["_o", "_id"], "_p")
+    used = Workspace(rows.sparkSession, "used").write(used, "used")
+    if used.isEmpty():  # no base has a taken name
+        return _named(wanted.withColumn("_n", F.col("_p")))
     # The j-th taken number t stands before t - j free ones; so many taken numbers precede the n-th free one as have t - j <= n.
     # Both are numbered by ranges, so a base that most rows share isn't one task; then the gaps before a row are those among both, in their order.
     gaps = numbered(used, ["_b"], ["_n"], "_j").select("_b", (F.col("_n") - F.col("_j")).alias("_p"), F.lit(0).alias("_kind"))
-    wanted = numbered(rows, ["_b"], ["_o", "_id"], "_p").withColumn("_kind", F.lit(1))
-    both = numbered(wanted.unionByName(gaps, allowMissingColumns=True), ["_b"], ["_p", "_kind"], "_place")
+    both = numbered(wanted.withColumn("_kind", F.lit(1)).unionByName(gaps, allowMissingColumns=True), ["_b"], ["_p", "_kind"], "_place")
     # Of the rows at places up to its own, p come before a row; the rest are gaps.
-    found = both.filter("_kind = 1").withColumn("_n", F.col("_place"))
+    return _named(both.filter("_kind = 1").withColumn("_n", F.col("_place")))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """(_id, _b, _o, _name) of rows with their number _n."""
     return found.select("_id", "_b", "_o", F.when(F.col("_n") == 0, F.col("_b")).otherwise(F.concat("_b", F.lit("-"), F.col("_n").cast("string"))).alias("_name"))
 
 
