@@ -49,19 +49,27 @@ def decide(rows: DataFrame, target: DataFrame, keys: list[str], log: DataFrame |
     out = work.write(matched.join(twins, F.col("row_index") == F.col("_t"), "left").drop("_t"), "rows")
     live = out.filter((F.size("errors") == 0) & F.col("hash_match").isNull() & F.col("_twin").isNull())
     hits = []
-    for i, k in enumerate(keys):
+    for i, k in enumerate(keys if len(keys) > 1 else []):
         own = live.filter(F.col(f"_m{i}").isNull()).withColumn("_value", filled(F.col(f"`{k}`").cast("string"))).filter("_value is not null")
         leads = own.groupBy("_value").agg(F.min(row).alias("_lead"))
         hits.append(own.select("row_index", "_value").join(leads, "_value").filter(F.col("_lead.row_index") < F.col("row_index")).select("row_index", F.struct(F.lit(i).alias("rank"), F.col("_lead.new_name").alias("name")).alias("hit")))
     found = F.lit(None).cast("string")
-    if keys:
+    if len(keys) == 1:
+        # One key decides alone, so rows meet the first of their value at once. Rows without a value are dealt by their place.
+        value = filled(F.col(f"`{keys[0]}`").cast("string"))
+        open_ = live.filter("_m0 is null").withColumn("_value", value)
+        leads = open_.filter("_value is not null").groupBy("_value").agg(F.min(row).alias("_lead")).select("_value", F.lit(0).cast("bigint").alias("_salt"), "_lead")
+        valued = out.withColumn("_value", value).withColumn("_salt", F.when(F.col("_value").isNull(), F.col("row_index")).otherwise(0).cast("bigint"))
+        out = valued.join(leads, ["_value", "_salt"], "left").drop("_value", "_salt")
+        found = F.coalesce("_m0", F.when(F.col("_lead.row_index") < F.col("row_index"), F.col("_lead.new_name")))
+    elif keys:
         best = reduce(DataFrame.unionByName, hits).groupBy(F.col("row_index").alias("_t")).agg(F.min("hit").alias("_hit"))
         out = out.join(best, F.col("row_index") == F.col("_t"), "left").drop("_t")
         found = F.coalesce(*[x for i in range(len(keys)) for x in (F.col(f"_m{i}"), F.when(F.col("_hit.rank") == i, F.col("_hit.name")))])
     action = F.when(F.size("errors") > 0, "FAILED").when(F.coalesce("hash_match", "_twin").isNotNull(), "SKIP").when(found.isNotNull(), "UPDATE").otherwise("INSERT")
     name = F.when(F.size("errors") > 0, F.lit(None)).otherwise(F.coalesce("hash_match", "_twin", found, "new_name"))
     out = out.withColumns({"action": action, "record_name": name})
-    out = out.drop("hash_match", "key_match", "_twin", "_hit", *[f"_m{i}" for i in range(len(keys))])
+    out = out.drop("hash_match", "key_match", "_twin", "_hit", "_lead", *[f"_m{i}" for i in range(len(keys))])
     # A row that others follow may itself follow another one by another key; with one key it is the first of its value, and inserted.
     return _followed(out, work) if len(keys) > 1 else out
 
