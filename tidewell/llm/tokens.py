@@ -31,8 +31,8 @@ COPY_BYTES = 40 << 20
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
-#: White space that isn't one space or line break between words.
-UNEVEN = re.compile(f"(?![ \n])[{WHITE}]|[ \n][ \n]|^[ \n]|[ \n]\\Z")
+#: What a text with other white space than one space or line break between words holds, unless it is at the text's ends.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Units of these characters alone are split here; their case, normal form and classes are the same in every Unicode version.
 PLAIN = re.compile("[ -~À-ÿ]*")
@@ -71,7 +71,7 @@ class CachedTokenizer:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token) - 4 * (self.kind == "word" and len(token) > 4 and token.endswith("</w>"))
-        self.cache: dict = {}
+        self.cache = _Cache()
         self.copies: dict[bytes, bytes] = {}
         self.copy_bytes = 0
         self.cache_bytes, self.held_bytes = cache_bytes, 0
@@ -80,7 +80,7 @@ class CachedTokenizer:
         """Keys of the text's units in the cache: a word stands for itself after a space, bytes for any other unit."""
         if self.kind == "word":
             return text.encode().split()
-        if not text or UNEVEN.search(text):
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, UNEVEN)):
             return [u[1:] if u[0] == " " and not u.isspace() else u.encode() for u in UNIT.findall(text)]
         out: list = []
         for line in text.split("\n"):
@@ -102,25 +102,25 @@ class CachedTokenizer:
             if (held := self.copies.get(marks[i])) is not None:
                 out.append(held)
                 continue
-            units = self.units(text)
-            try:
-                out.append(b"".join(map(cache.__getitem__, units)))
-            except KeyError:
+            ids = list(map(cache.__getitem__, self.units(text)))
+            if cache.new:
                 out.append(b"")
-                late.append((i, units))
-        if late:
-            missing = list(set().union(*[u for _, u in late]).difference(cache))
-            new = self.encode_units(missing)
+                late.append((i, ids))
+            else:
+                out.append(b"".join(ids))
+        if cache.new:
+            new = self.encode_units(list(cache.new))
+            for u, place in cache.new.items():
+                place += new[u]
+            for i, ids in late:
+                out[i] = b"".join(ids)
+            cache.new = {}
             kept = {u: x for u, x in new.items() if len(u) <= UNIT_BYTES}
             size = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+            # A full cache keeps what it has: the units that came early are the frequent ones.
             if len(kept) == len(new) and self.held_bytes + size <= self.cache_bytes:
                 cache.update(kept)
                 self.held_bytes += size
-                known = cache
-            else:  # a full cache keeps what it has: the units that came early are the frequent ones
-                known = _Both(cache, new)
-            for i, units in late:
-                out[i] = b"".join(map(known.__getitem__, units))
         for mark, ids in zip(marks, out, strict=True):
             if mark not in self.copies and len(ids) <= COPY_BYTES // 64:
                 self.copy_bytes += len(ids) + ENTRY_BYTES
@@ -165,15 +165,17 @@ class CachedTokenizer:
         return [data[4 * a : 4 * b] for a, b in zip([last, *cut[:-1].tolist()], cut.tolist(), strict=True)]
 
 
-class _Both(dict):
-    """Units of the cache and new ones, without a copy of the cache."""
+class _Cache(dict):
+    """Ids of units; one that isn't held gets an empty place in ``new``, which its ids are written to before texts are joined."""
 
-    def __init__(self, cache: dict, new: dict):
-        super().__init__(new)
-        self.cache = cache
+    def __init__(self):
+        super().__init__()
+        self.new: dict = {}
 
-    def __missing__(self, unit):
-        return self.cache[unit]
+    def __missing__(self, unit) -> bytearray:
+        if (place := self.new.get(unit)) is None:
+            place = self.new[unit] = bytearray()
+        return place
 
 
 @functools.lru_cache(maxsize=2)
