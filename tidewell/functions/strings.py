@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$"
+SPACE = " \t\n\r\f\x0b"
 
 
 def strip(c: Column | str) -> Column:
-    """White space (ASCII) off both ends; SQL's trim takes blanks only."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, SPACE, "")
+    """White space (ASCII) off both ends; SQL's trim takes blanks only, and Java's ``$`` stands before a last line separator too."""
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(SPACE))
 
 
 def blank(c: Column | str) -> Column:
