@@ -17,7 +17,7 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["content_hash_documents", "dup_content_documents"])
+@pytest.mark.parametrize("name", ["content_hash_documents", "dup_content_documents", "backfilled_hashes_of_documents"])
 def test_hashes_of_odd_texts(spark, odd, name):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")

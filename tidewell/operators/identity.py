@@ -121,10 +121,13 @@ def changed_fields(columns: list[str], old: str = "old", new: str = "new") -> Co
     return F.array_compact(F.array(*tests))
 
 
-def backfill_hashes(table: DataFrame, columns: list[str]) -> DataFrame:
+def backfill_hashes(table: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """``table`` with a row_hash for records that lack one.
 
     Equal records get different hashes by their number in the order of names, so hashes are the same in every run.
+    With ``exact`` values count as they are, and a record with a null gets none.
     """
-    place = F.row_number().over(Window.partitionBy(row_hash(columns)).orderBy("name")) - 1
-    return table.withColumn("_at", place).withColumn("row_hash", F.coalesce("row_hash", row_hash(columns, F.col("_at")))).drop("_at")
+    own = row_hash(columns, exact=exact)
+    # Records that get no hash need no number, so they aren't one group.
+    place = F.row_number().over(Window.partitionBy(own, F.when(own.isNull(), F.col("name"))).orderBy("name")) - 1
+    return table.withColumn("_at", place).withColumn("row_hash", F.coalesce("row_hash", row_hash(columns, F.col("_at"), exact))).drop("_at")
