@@ -1,19 +1,19 @@
 """Collocations: phrases of 2 to 4 words that occur often and whose parts seldom occur apart.
 
-1. Every n-gram falls into a cell of a sketch by its hash (with its language).  Tasks count
+1. Every n-gram (of 1 to 4 words) falls into a cell of a sketch by its hash (with its language).  Tasks count
    cells in chunks, slabs of cells are summed, and a cell's sum bounds the counts of the n-grams in it
-   from above.  Only one bit a cell goes on: whether the sum reaches the least count.
-2. Candidates are the n-grams whose cell has the bit and whose parts' cells have it.  No phrase that is
-   frequent enough is missed; some that aren't come along.
-3. Blocks of candidates compile into pyahocorasick automata.  Every word of a block
+   from above.  Only the cells that reach the least count go on, in a filter that lets a few others through.
+2. Parts of the text, of ``HELD`` bytes at most, find their candidates: n-grams whose cell is in the filter and whose
+   parts' cells are.  No phrase that is frequent enough is missed; some that aren't come along.
+3. A part's candidates compile into pyahocorasick automata.  Every word of one
    is a code of a few characters there, and all else (ends of pieces, other words) is the delimiter, which no pattern holds: a match
-   neither begins within a word nor runs across a guard.  Each block scans all texts and counts all matches, overlapping ones
+   neither begins within a word nor runs across a guard.  The part is scanned and all matches count, overlapping ones
    too, by language.
 4. Counts are summed by Spark, and only then thresholds, scores and ranks apply.
 
-The sketch has about a cell for every four bytes of text, up to ``2 ** CELL_BITS``; texts beyond that are
-sketched in several passes, each over its share of the n-grams' hashes.  The automata of a block are bounded too, so
-more candidates mean more scans and never larger tasks.
+So the text is scanned twice whatever its size and however many candidates it has.  The sketch has about a cell for every four
+bytes of text, up to ``2 ** CELL_BITS``.  Within a part n-grams are told apart by 64-bit hashes: among n of them n * n / 2**65
+pairs are expected to be taken for one.
 
 Defined cases: a null or empty text has no words; a null language is ``und``; rows that repeat count as often as
 they stand there; texts of any length count whole; a piece is never cut.  Equal scores go by count, then by phrase
@@ -22,8 +22,6 @@ in the order of its UTF-8 bytes.  An empty table gives an empty table.  Other co
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,14 +34,16 @@ from tidewell.llm.common import SLICE_ROWS, Workspace, texts
 from tidewell.llm.jaccard import ODD, all_hashes, mix
 
 LEAST, COVER, TOP, LONGEST = 30, 80, 2000, 4
-#: The greatest sketch of one pass (one bit a cell is broadcast), and the cells of a slab.
-CELL_BITS, SLAB_BITS = 28, 16
-#: n-grams that a task counts at a time; bytes of text that it looks at together; candidates that it holds before it gives them; languages whose counts it holds.
-CHUNK, BLOB, SEEN, LANGUAGES = 1 << 22, 1 << 20, 1 << 20, 16
+#: The greatest sketch; the cells of a slab, at least and at most; bits of the filter for each cell that reaches the least count.
+CELL_BITS, SLAB_BITS, MOST_SLAB_BITS, FILTER_BITS = 36, 16, 20, 16
+#: n-grams that a task counts at a time; bytes of text that it looks at together; candidates and bytes of text of a part; languages of a part.
+CHUNK, BLOB, SEEN, HELD, LANGUAGES = 1 << 22, 1 << 20, 1 << 19, 32 << 20, 256
+#: Places for hashes of n-grams that a part has seen.
+LAST = 1 << 21
 #: Candidates of a block, and bytes of their words.
 BLOCK_PHRASES, BLOCK_BYTES = 1_200_000, 48 << 20
 #: Cells that reach the least count, for each bucket of candidates.
-BUCKET = 4096
+BUCKET = 1 << 14
 
 #: Ends of pieces become line breaks, tabs spaces, A-Z a-z.
 TABLE = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -81,11 +81,12 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]
 
 
 def grams(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(where each n-gram begins, by word; its 64-bit hash) for 2 to ``LONGEST`` words; none crosses a line break."""
+    """(where each n-gram begins, by word; its 64-bit hash) for 1 to ``LONGEST`` words; none crosses a line break."""
     b = np.frombuffer(data, np.uint8)
     letter = (b != 32) & (b != 10)
     piece = np.cumsum(b == 10, dtype=np.int32)[np.flatnonzero(letter & ~np.append(False, letter[:-1]))]
-    h, out = all_hashes(data), []
+    h = all_hashes(data)
+    out = [(np.arange(len(h)), h)]
     state = h * ODD[0]
     for k in range(1, LONGEST):
         n = max(0, len(h) - k)
@@ -101,43 +102,63 @@ def _salt(lang: str) -> np.uint64:
 
 
 class _Sketch:
-    """Which cells of one pass reach the least count."""
+    """Cells of n-grams' hashes, and a filter that holds those that reach the least count; a few others get through it.
 
-    def __init__(self, bits: int, part: int, parts: int, heavy: np.ndarray | None = None):
-        self.bits, self.part, self.parts, self.heavy = bits, part, parts, heavy
+    There are as many cells as the text needs, since tasks sum them in slabs; only the filter is broadcast.
+    """
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.room(0)
 
     def cells(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return hashes >> np.uint64(64 - self.bits)
+
+    def _places(self, cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(byte, bit) of the first or second place of each cell in the filter."""
+        at = (cells * ODD[0]) >> np.uint64(64 - self.size) if k else cells & np.uint64((1 << self.size) - 1)
+        return at >> np.uint64(3), (at & np.uint64(7)).astype(np.uint8)
 
-    def own(self, hashes: np.ndarray) -> np.ndarray:
-        """Which hashes belong to this pass."""
-        return hashes % np.uint64(self.parts) == self.part
+    def room(self, n: int) -> None:
+        """For ``n`` cells; where all cells have a bit of their own, the filter is exact."""
+        self.n, self.size = n, min(self.bits, max(3, (FILTER_BITS * n).bit_length()))
+        self.held = np.zeros(1 << self.size - 3, np.uint8)
+
+    def add(self, cells: np.ndarray) -> None:
+        for k in range(1 if self.size == self.bits else 2):
+            at, bit = self._places(cells.astype(np.uint64), k)
+            np.bitwise_or.at(self.held, at, np.uint8(1) << bit)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        cell = self.cells(hashes)
-        return (self.heavy[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+        cells, left = self.cells(hashes), np.arange(len(hashes))
+        for k in range(1 if self.size == self.bits else 2):
+            at, bit = self._places(cells[left], k)
+            left = left[(self.held[at] >> bit & 1).astype(bool)]
+        out = np.zeros(len(hashes), bool)
+        out[left] = True
+        return out
 
 
-def heavy_cells(rows: DataFrame, sketch: _Sketch, least: int) -> np.ndarray:
-    """One bit for each cell of the sketch."""
+def heavy_cells(rows: DataFrame, work: Workspace, bits: int, least: int) -> _Sketch:
+    """The sketch of ``2 ** bits`` cells with those that reach the least count, by one scan."""
+    sketch, low = _Sketch(bits), min(max(SLAB_BITS, bits - 12), MOST_SLAB_BITS)
+    kind = "<u2" if low <= 16 else "<u4"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def chunk() -> pa.RecordBatch:
             cells, n = np.unique(np.concatenate(held), return_counts=True)
-            slab = cells >> SLAB_BITS
+            slab = cells >> np.uint64(low)
             start = np.flatnonzero(np.append(True, slab[1:] != slab[:-1]))
-            ends = [*start[1:].tolist(), len(cells)]
-            low, n = cells.astype("<u2").tobytes(), n.astype("<u4").tobytes()
-            cuts = list(zip(start.tolist(), ends, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(slab[start].astype(np.int32)), pa.array([low[2 * a : 2 * b] for a, b in cuts], pa.binary()), pa.array([n[4 * a : 4 * b] for a, b in cuts], pa.binary())], ["slab", "cells", "counts"])
+            cuts = list(zip(start.tolist(), [*start[1:].tolist(), len(cells)], strict=True))
+            places, n = (cells & np.uint64((1 << low) - 1)).astype(kind), n.astype("<u4")
+            return pa.RecordBatch.from_arrays([pa.array(slab[start].astype(np.int32)), pa.array([places[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], ["slab", "cells", "counts"])
 
         for lang, data in by_language(batches):
             salt = _salt(lang)
             for _, h in grams(data):
-                h = mix(h ^ salt)
-                held.append(sketch.cells(h[sketch.own(h)] if sketch.parts > 1 else h))
+                held.append(sketch.cells(mix(h ^ salt)))
                 size += len(held[-1])
             if size >= CHUNK:
                 yield chunk()
@@ -149,74 +170,127 @@ def heavy_cells(rows: DataFrame, sketch: _Sketch, least: int) -> np.ndarray:
         slab, n = None, None
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())], ["slab", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([np.flatnonzero(n >= least).astype("<u4").tobytes()], pa.binary())], ["slab", "cells"])
 
         for batch in batches:
             for s, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != slab:
                     if slab is not None:
                         yield row()
-                    slab, n = s, np.zeros(1 << SLAB_BITS, np.int64)
-                n[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u4")
+                    slab, n = s, np.zeros(1 << low, np.int64)
+                n[np.frombuffer(cells, kind)] += np.frombuffer(counts, "<u4")
         if slab is not None:
             yield row()
 
-    summed = rows.mapInArrow(count, "slab int, cells binary, counts binary").repartition("slab").sortWithinPartitions("slab").mapInArrow(total, "slab int, bits binary")
-    out, width = np.zeros(1 << sketch.bits - 3, np.uint8), 1 << SLAB_BITS - 3
-    for r in summed.toLocalIterator():
-        out[r["slab"] * width : (r["slab"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    summed = rows.mapInArrow(count, "slab int, cells binary, counts binary").repartition("slab").sortWithinPartitions("slab").mapInArrow(total, "slab int, cells binary")
+    found = work.write(summed, "heavy")
+    n = found.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0] // 4
+    sketch.room(n)
+    for r in found.toLocalIterator():  # a few bytes for each cell that reaches the count
+        sketch.add((r["slab"] << low) + np.frombuffer(r["cells"], "<u4").astype(np.int64))
+    return sketch
 
 
-def candidates(rows: DataFrame, sketch: _Sketch) -> DataFrame:
-    """(phrase): the n-grams whose cell, and in a single pass whose parts' cells, reach the least count, each once.
+def counts(rows: DataFrame, sketch: _Sketch, least: int, block_phrases: int, block_bytes: int) -> DataFrame:
+    """(lang, phrase, f) of the n-grams that occur ``least`` times and more; a null phrase: all words of the language.
 
-    Tasks give lines of phrases by buckets of their hashes, and a bucket's repeats go together.
+    Each part of the texts compiles its own candidates only and is scanned once, so work grows with the text and not with how many
+    candidates there are in all.  Parts give lines of phrases by buckets of their hashes, and a bucket's counts are summed.
     """
-    held = rows.sparkSession.sparkContext.broadcast(sketch.heavy)
-    bits, part, parts = sketch.bits, sketch.part, sketch.parts
-    buckets = max(64, int(np.bitwise_count(sketch.heavy).sum()) // BUCKET)
+    held = rows.sparkSession.sparkContext.broadcast(sketch.held)
+    bits, size = sketch.bits, sketch.size
+    buckets = max(64, sketch.n // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, found, n = _Sketch(bits, part, parts, held.value), set(), {}, 0
+        known = _Sketch(bits)
+        known.size, known.held = size, held.value
+        parts: dict[str, _Part] = {}
+        last = np.arange(LAST, dtype=np.uint64) ^ np.uint64(1)
 
-        def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([b"\n".join(x) for x in found.values()], pa.binary())], ["bucket", "lines"])
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang, part in parts.items():
+                yield part.given(lang, buckets, block_phrases, block_bytes)
+            parts.clear()
+            last[:] = np.arange(LAST, dtype=np.uint64) ^ np.uint64(1)  # each stands at a place that isn't its own
 
         for lang, data in by_language(batches):
-            salt, words, below = _salt(lang), data.split(), None
-            for k, (at, h) in enumerate(grams(data), 2):
-                salted = mix(h ^ salt)
-                ok = known.has(salted)
-                if parts > 1:
-                    ok &= known.own(salted)
-                elif below is not None:
-                    ok &= below[at] & below[at + 1]
-                below = np.zeros(len(words) + 1, bool)
-                below[at[ok]] = True
-                h, first = np.unique(h[ok], return_index=True)
-                for x, i in zip(h.tolist(), at[ok][first].tolist(), strict=True):
-                    if x not in seen:
-                        seen.add(x)
-                        found.setdefault(x % buckets, []).append(b" ".join(words[i : i + k]))
-            if len(seen) >= SEEN:
-                yield given()
-                seen, found = set(), {}
-        if found:
-            yield given()
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = None, set()
+            if lang not in parts:
+                if len(parts) >= LANGUAGES:
+                    yield from given()
+                parts[lang] = _Part(_salt(lang))
+            parts[lang].add(data, known, last)
+            if sum(len(p.seen) for p in parts.values()) >= SEEN or sum(p.bytes for p in parts.values()) >= HELD:
+                yield from given()
+        yield from given()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, {}
+
+        def row() -> pa.RecordBatch:
+            out = [(lang, p, f) for lang, found in sums.items() for p, f in found.items() if f >= least or not p]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1].decode() or None for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], ["lang", "phrase", "f"])
+
         for batch in batches:
-            for bucket, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, lang, lines, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
-                    at, known = bucket, set()
-                new = set(lines.split(b"\n")) - known
-                known |= new
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in new], pa.string())], ["phrase"])
+                    if at is not None:
+                        yield row()
+                    at, sums = bucket, {}
+                found = sums.setdefault(lang, {})
+                for p, f in zip(lines.split(b"\n"), np.frombuffer(n, "<u4").tolist(), strict=True):
+                    found[p] = found.get(p, 0) + f
+        if at is not None:
+            yield row()
 
-    return rows.mapInArrow(run, "bucket int, lines binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, "phrase string")
+    return rows.mapInArrow(run, "bucket int, lang string, lines binary, counts binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "lang string, phrase string, f long")
+
+
+class _Part:
+    """Texts of one language that a task holds, and their candidates: n-grams that the filter lets through, with all their parts."""
+
+    def __init__(self, salt: np.uint64):
+        self.salt, self.texts, self.bytes, self.words = salt, [], 0, 0
+        self.seen: dict[int, str] = {}
+
+    def add(self, data: bytes, known: _Sketch, last: np.ndarray) -> None:
+        """``last`` has the hash that came last at each place; most n-grams are known by it."""
+        words, below, seen, mask = data.split(), None, self.seen, np.uint64(len(last) - 1)
+        self.texts.append(data)
+        self.bytes += len(data)
+        self.words += len(words)
+        for k, (at, h) in enumerate(grams(data), 1):
+            if below is not None:
+                both = below[at] & below[at + 1]
+                at, h = at[both], h[both]
+            h = mix(h ^ self.salt)
+            ok = known.has(h)
+            at, h = at[ok], h[ok]
+            below = np.zeros(len(words) + 1, bool)
+            below[at] = True
+            new = last[h & mask] != h
+            h, first = np.unique(h[new], return_index=True)
+            last[h & mask] = h
+            for x, i in zip(h.tolist(), at[new][first].tolist(), strict=True):
+                if x not in seen:
+                    seen[x] = b" ".join(words[i : i + k]).decode()
+
+    def given(self, lang: str, buckets: int, block_phrases: int, block_bytes: int) -> pa.RecordBatch:
+        """(bucket, lang, lines, counts); bucket -1 has the words."""
+        phrases, bucket = list(self.seen.values()), np.fromiter(self.seen, np.uint64, len(self.seen)) % np.uint64(buckets)
+        size = np.cumsum([len(p) for p in phrases])
+        f, at = np.zeros(len(phrases), np.int64), 0
+        while at < len(phrases):
+            # Of more candidates than an automaton takes, each block scans the part.
+            end = max(at + 1, min(at + block_phrases, int(np.searchsorted(size, (size[at - 1] if at else 0) + block_bytes, "right"))))
+            scanner = _Scanner(phrases[at:end])
+            for data in self.texts:
+                f[at:end] += scanner.count(data)
+            at = end
+        out = [(-1, lang, b"", np.array([self.words], "<u4").tobytes())]
+        order = np.argsort(bucket, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+            out.append((int(bucket[some[0]]), lang, "\n".join([phrases[i] for i in some.tolist()]).encode(), f[some].astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "lang", "lines", "counts"])
 
 
 def symbols(n: int) -> np.ndarray:
@@ -241,129 +315,42 @@ class _Scanner:
         words = sorted({w for p in phrases for w in p.split(" ")})
         self.number = {w.encode(): i for i, w in enumerate(words, 1)}
         self.code = symbols(len(words))
+        digits, codes = self.code.shape[1], self.code[1:].tobytes().decode("utf-32-le")
+        code = {w: codes[i * digits : (i + 1) * digits] for i, w in enumerate(words)}.__getitem__
         self.automaton = ahocorasick.Automaton()
         self.single = np.full(len(words) + 1, -1, np.int64)
         for i, p in enumerate(phrases):
-            ids = [self.number[w] for w in p.encode().split(b" ")]
+            ids = p.split(" ")
             if len(ids) == 1:
-                self.single[ids[0]] = i
+                self.single[self.number[p.encode()]] = i
             else:
-                self.automaton.add_word(self.text(ids), i)
+                self.automaton.add_word("".join(map(code, ids)), i)
         if len(self.automaton):
             self.automaton.make_automaton()
         self.n = len(phrases)
 
-    def text(self, ids: list[int]) -> str:
-        return self.code[ids].tobytes().decode("utf-32-le")
-
     def count(self, data: bytes) -> np.ndarray:
         """How often each phrase occurs in the lines."""
         get = self.number.get
         # No word holds a point; it stands for the end of a piece.
-        ids = [get(w, 0) for w in data.replace(b"\n", b" . ").split()]
+        ids = np.array([get(w, 0) for w in data.replace(b"\n", b" . ").split()], np.int64)
         out = np.zeros(self.n, np.int64)
-        if len(self.automaton) and ids:
-            found = np.fromiter((i for _, i in self.automaton.iter(self.text(ids))), np.int64)
+        if len(self.automaton) and len(ids):
+            found = np.fromiter((i for _, i in self.automaton.iter(self.code[ids].tobytes().decode("utf-32-le"))), np.int64)
             out += np.bincount(found, minlength=self.n)
-        one = np.bincount(np.array(ids, np.int64), minlength=len(self.single))
+        one = np.bincount(ids, minlength=len(self.single))
         some = np.flatnonzero((self.single >= 0) & (one > 0))
         out[self.single[some]] = one[some]
         return out
 
 
-_scanners: dict[str, _Scanner] = {}
-
-
-def scanner(mark: str, lines: list[bytes]) -> _Scanner:
-    """Of phrases in compressed lines; a worker keeps the last one for its next tasks."""
-    if mark not in _scanners:
-        _scanners.clear()
-        _scanners[mark] = _Scanner([p for x in lines for p in zlib.decompress(x).decode().split("\n")])
-    return _scanners[mark]
-
-
-def counts(rows: DataFrame, block: DataFrame) -> DataFrame:
-    """(lang, i, f): how often each phrase of ``block`` (i, phrase) occurs in each language; i = -1: all words of the language.
-
-    Tasks give their counts in slabs of phrases, which are summed slab by slab.
-    """
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                lines = zlib.compress("\n".join(batch.column(1).to_pylist()).encode(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary()), pa.array([lines], pa.binary())], ["ids", "lines"])
-
-    # BLOCK_BYTES at most, compressed: a row for every thousands of phrases.
-    got = block.select("i", "phrase").mapInArrow(packed, "ids binary, lines binary").collect()
-    context = rows.sparkSession.sparkContext
-    ids, lines = context.broadcast(np.frombuffer(b"".join([r["ids"] for r in got]), np.int64)), context.broadcast([bytes(r["lines"]) for r in got])
-    mark, slab = uuid.uuid4().hex, 1 << SLAB_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total, n = scanner(mark, lines.value), {}, {}
-
-        def given(lang: str) -> pa.RecordBatch:
-            f, out = total.pop(lang), [(lang, -1, b"", np.array([n.pop(lang)]).tobytes())]
-            for at in range(0, len(f), slab):
-                if len(some := np.flatnonzero(f[at : at + slab])):
-                    out.append((lang, at >> SLAB_BITS, some.astype("<u2").tobytes(), f[at + some].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "slab", "cells", "counts"])
-
-        for lang, data in by_language(batches):
-            if lang not in total:
-                if len(total) >= LANGUAGES:
-                    yield given(next(iter(total)))
-                total[lang], n[lang] = np.zeros(block.n, np.int64), 0
-            total[lang] += block.count(data)
-            n[lang] += len(data.split())
-        for lang in list(total):
-            yield given(lang)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, f = None, None
-
-        def row() -> pa.RecordBatch:
-            some = np.flatnonzero(f)
-            i = ids.value[(at[1] << SLAB_BITS) + some] if at[1] >= 0 else np.array([-1] * len(some), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(some), pa.string()), pa.array(i), pa.array(f[some])], ["lang", "i", "f"])
-
-        for batch in batches:
-            for lang, s, cells, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, s) != at:
-                    if at is not None:
-                        yield row()
-                    at, f = (lang, s), np.zeros(slab if s >= 0 else 1, np.int64)
-                f[np.frombuffer(cells, "<u2") if s >= 0 else 0] += np.frombuffer(n, np.int64) if s >= 0 else int(np.frombuffer(n, np.int64)[0])
-        if at is not None:
-            yield row()
-
-    return rows.mapInArrow(run, "lang string, slab int, cells binary, counts binary").repartition("lang", "slab").sortWithinPartitions("lang", "slab").mapInArrow(total, "lang string, i long, f long")
-
-
 def counted(df: DataFrame, work: Workspace, lang: str, text: str, least: int, cell_bits: int, block_phrases: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, f) of candidates and their words, (lang, n))."""
+    """((lang, phrase, f) of frequent phrases and words, (lang, n))."""
     rows = df.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(SLAB_BITS, min(cell_bits, (size // 4).bit_length()))
-    parts, found = max(1, -(-(size // 4) >> bits)), None
-    for p in range(parts):
-        sketch = _Sketch(bits, p, parts)
-        sketch.heavy = heavy_cells(rows, sketch, least)
-        some = candidates(rows, sketch)
-        found = some if found is None else found.unionByName(some)
-    # With several passes a phrase may come in more than one.
-    phrases = work.write(found.distinct() if parts > 1 else found, "phrases")
-    words = phrases.select(F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    wanted = work.write(phrases.unionByName(words).withColumn("i", F.monotonically_increasing_id()), "wanted")
-    n, held = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
-    blocks = max(1, -(-n // block_phrases), -(-held // block_bytes))
-    sums = None
-    for b in range(blocks):
-        block = wanted.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b)
-        some = work.write(counts(rows, block).withColumn("block", F.lit(b)), f"counts-{b}")
-        sums = some if sums is None else sums.unionByName(some)
-    total = sums.filter("i = -1 and block = 0").select("lang", F.col("f").alias("n"))
-    return work.write(sums.filter("i >= 0").join(wanted.withColumnRenamed("i", "j"), F.col("i") == F.col("j")).select("lang", "phrase", "f"), "f"), total
+    sketch = heavy_cells(rows, work, max(SLAB_BITS, min(cell_bits, (size // 4).bit_length())), least)
+    sums = work.write(counts(rows, sketch, least, block_phrases, block_bytes), "counts")
+    return sums.filter("phrase is not null"), sums.filter("phrase is null").select("lang", F.col("f").alias("n"))
 
 
 def collocations(df: DataFrame, work: Workspace, lang: str = "lang", text: str = "text", least: int = LEAST, cover: int = COVER, top: int = TOP, cell_bits: int = CELL_BITS, block_phrases: int = BLOCK_PHRASES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
