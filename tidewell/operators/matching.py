@@ -102,62 +102,105 @@ def similar_types(sets: DataFrame, least: float = SIMILAR_TYPE, most: int = 10)
     return pairs.filter(F.col("similarity") > least).orderBy(F.desc("similarity"), "a", "b").limit(most)
 
 
-#: Sets of up to so many items meet with all of them; rows of an item that meet in one cell.
-SMALL_SET, CELL = 64, 2048
+#: Sets of up to so many items meet with all of them; rows of an item that meet in one cell; sets that share a rare item at most; members of a cell.
+SMALL_SET, CELL, RARE, MEMBERS = 64, 2048, 16, 512
 
 
 def similar_sets(items: DataFrame, by: str, item: str, percent: int = 80) -> DataFrame:
     """(a, b, matching, similarity) of all pairs of sets (rows of ``by`` and ``item``; a < b) with a Jaccard similarity of ``percent`` or more.
 
-    Equal sets are compared as one and told apart only at the end.  Each set's items go in one order for all, rarest first.  Similar sets
-    share one of the first n - least overlap + 1 of each, so only those are joined and a common item makes no pairs unless a set has little else;
-    the places of a shared item bound what the sets can have in common.  Small sets bring all their items to the join, where a pair counts at
-    its first shared item: pairs that aren't similar are never shuffled.  Pairs with a larger set are counted afterwards.
+    Equal sets are compared as one.  Few pairs share an item that ``RARE`` sets or fewer have: these are counted one by one.  What any other
+    pair has in common follows from the common items and the sizes, so sets with equal ones are a group, and groups are compared.  Only at the end
+    are groups and equal sets told apart, cell by cell, and pairs that were found are not shuffled: work beyond that grows with the sets.
 
     Defined cases: null items and rows without a set are left out; repeated rows count once; other columns aren't looked at.
     """
     work = Workspace(items.sparkSession, "similar-sets")
+    # Few rows may make many pairs, so how many tasks there are doesn't depend on their bytes.
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = items.select(F.col(f"`{by}`").alias("by"), F.col(f"`{item}`").alias("item")).dropna().groupBy("by").agg(F.array_sort(F.collect_set("item")).alias("items"))
     equal = Window.partitionBy("items")
     sets = work.write(sets.withColumns({"class": F.min("by").over(equal), "m": F.count("*").over(equal)}), "sets")
-    each = sets.filter("by = class").select("by", "m", F.explode("items").alias("item"))
+    each = sets.filter("by = class").select("by", F.explode("items").alias("item"))
     ranks = work.write(numbered(each.groupBy("item").agg(F.count("*").alias("often")), [], ["often", "item"], "rank"), "ranks")
-    ordered = each.join(ranks, "item").groupBy("by", "m").agg(F.array_sort(F.collect_list(F.struct("rank", "often"))).alias("items"), F.bit_or(F.expr("shiftleft(1L, cast(rank % 64 as int))")).alias("bits"))
-    ordered = work.write(ordered.select("by", "m", "bits", F.size("items").alias("n"), F.col("items.rank").alias("ranks"), F.col("items.often").alias("often")), "ordered")
-    cells = F.ceil(F.col("x.often") / CELL).cast("int")
-    held = F.when(F.col("n") <= SMALL_SET, F.col("ranks")).alias("ranks")
-    first = F.expr(f"slice(arrays_zip(ranks, often), 1, cast(n - ceil({percent} * n / 100) + 1 as int))")
-    prefixes = ordered.select("by", "n", "m", "bits", held, F.posexplode(first).alias("at", "x")).select("by", "n", "m", "bits", "ranks", "at", F.col("x.ranks").alias("rank"), cells.alias("cells"))
+    ordered = each.join(ranks, "item").groupBy("by").agg(F.array_sort(F.collect_list(F.struct("rank", "often"))).alias("items"))
+    rare, common = (F.transform(F.filter("items", test), lambda x: x["rank"]) for test in (lambda x: x["often"] <= RARE, lambda x: x["often"] > RARE))
+    ordered = work.write(ordered.select("by", F.size("items").alias("n"), rare.alias("rare"), common.alias("ranks")), "ordered")
+    groups = work.write(ordered.groupBy("ranks", "n").agg(F.min("by").alias("group"), F.count("*").alias("k")), "groups")
+    classes = work.write(ordered.join(groups, ["ranks", "n"]).select("by", "n", "group", "rare", "ranks"), "classes")
+    alike = work.write(_alike_groups(groups, percent, tasks), "candidates")
+
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    similarity = F.round(F.col("matching") / (F.col("n_a") + F.col("n_b") - F.col("matching")), 6).alias("similarity")
+    result = [F.col("a"), F.col("b"), F.col("matching").cast("bigint").alias("matching"), similarity]
+    rares = [classes.select(F.explode("rare").alias("rank"), *[F.col(c).alias(f"{c}_{x}") for c in ("by", "n", "group")]) for x in "ab"]
+    shared = rares[0].join(rares[1], "rank").filter((F.col("by_a") < F.col("by_b")) & sizes).groupBy("by_a", "by_b", "n_a", "n_b", "group_a", "group_b").agg(F.count("*").alias("rare"))
+    shared = work.write(shared, "shared")
+    sides = [classes.select(F.col("by").alias(f"by_{x}"), F.col("ranks").alias(f"ranks_{x}")) for x in "ab"]
+    judged = shared.join(sides[0], "by_a").join(sides[1], "by_b").withColumn("matching", F.col("rare") + F.size(F.array_intersect("ranks_a", "ranks_b")))
+    judged = judged.filter((100 + percent) * F.col("matching") >= percent * (F.col("n_a") + F.col("n_b"))).select(F.col("by_a").alias("a"), F.col("by_b").alias("b"), "n_a", "n_b", "matching")
+    copies = sets.filter("m > 1 and by = class").select(F.col("class").alias("a"), F.col("class").alias("b"), *[F.size("items").alias(c) for c in ("n_a", "n_b", "matching")])
+    single = _expanded(judged.unionByName(copies).select(*result), sets.select(F.col("class").alias("unit"), "by"), work, "class", tasks)
+
+    # Pairs that were counted by themselves are left out of their groups' pairs.
+    known = shared.select("by_a", "by_b", F.least("group_a", "group_b").alias("a"), F.greatest("group_a", "group_b").alias("b")).join(alike, ["a", "b"], "left_semi")
+    known = known.select(F.col("by_a").alias("class"), F.col("by_b").alias("other")).unionByName(known.select(F.col("by_b").alias("class"), F.col("by_a").alias("other")))
+    known = known.groupBy("class").agg(F.collect_list("other").alias("known"))
+    members = sets.select("by", "class").join(classes.select(F.col("by").alias("class"), F.col("group").alias("unit")), "class").join(known, "class", "left")
+    return single.unionByName(_expanded(alike.select(*result), members, work, "group", tasks))
+
+
+def _alike_groups(groups: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(a, b, n_a, n_b, matching) of groups (group, n, ranks, k) whose sets are similar by their common items alone; a group of several sets with itself too.
+
+    Similar groups share one of the first items of each that leave fewer than the least overlap, so only those, the rarest, are joined, and the
+    places of a shared item bound what the groups can have in common.  Groups of few items bring all to the join, where a pair counts at its
+    first shared item: pairs that aren't similar are never shuffled.  Pairs with a larger group are counted afterwards.
+    """
+    needed = lambda n: (100 + percent) * n >= percent * (F.col("n_a") + F.col("n_b"))
+    often = groups.select(F.explode("ranks").alias("rank")).groupBy("rank").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    held = F.when(F.size("ranks") <= SMALL_SET, F.col("ranks")).alias("ranks")
+    bits = F.expr("aggregate(ranks, 0L, (x, r) -> x | shiftleft(1L, cast(r % 64 as int)))").alias("bits")
+    first = F.expr(f"slice(ranks, 1, greatest(0, cast(size(ranks) - ceil({percent} * n / 100) + 1 as int)))")
+    prefixes = groups.select("group", "n", F.size("ranks").alias("c"), bits, held, F.posexplode(first).alias("at", "rank")).join(often, "rank")
     # The rows of a common item are dealt to cells on one side and stand in each on the other, so they take many tasks.
-    one = prefixes.withColumn("cell", F.pmod(F.xxhash64("by"), F.col("cells")).cast("int"))
+    one = prefixes.withColumn("cell", F.pmod(F.xxhash64("group"), F.col("cells")).cast("int"))
     two = prefixes.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    # Few rows may make many pairs, so how many tasks there are doesn't depend on their bytes.
-    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one, two = (x.select("rank", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("by", "n", "m", "bits", "ranks", "at")]).repartition(tasks, "rank", "cell") for x, s in ((one, "a"), (two, "b")))
+    one, two = (x.select("rank", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "c", "bits", "ranks", "at")]).repartition(tasks, "rank", "cell") for x, s in ((one, "a"), (two, "b")))
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # At a shared item that is the first of both, no more than what follows it in either can be common.
-    bound = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    # Bits that differ stand for items that only one set has.
-    most = (F.col("n_a") + F.col("n_b") - F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))) / 2
-    needed = lambda n: (100 + percent) * n >= percent * (F.col("n_a") + F.col("n_b"))
-    met = one.join(two, ["rank", "cell"]).filter((F.col("by_a") < F.col("by_b")) & sizes & needed(bound) & needed(most))
-    names = [F.col("by_a").alias("a"), F.col("by_b").alias("b"), "n_a", "n_b", "m_a", "m_b"]
+    bound = 1 + F.least(F.col("c_a") - F.col("at_a") - 1, F.col("c_b") - F.col("at_b") - 1)
+    # Bits that differ stand for items that only one group has.
+    most = (F.col("c_a") + F.col("c_b") - F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))) / 2
+    met = one.join(two, ["rank", "cell"]).filter((F.col("group_a") < F.col("group_b")) & sizes & needed(bound) & needed(most))
+    names = [F.col("group_a").alias("a"), F.col("group_b").alias("b"), "n_a", "n_b"]
     both = F.array_intersect("ranks_a", "ranks_b")  # in order
-    small = met.filter(F.greatest("n_a", "n_b") <= SMALL_SET).filter(needed(F.size(both)) & (both[0] == F.col("rank"))).select(*names, F.size(both).alias("matching"))
-    sides = [ordered.select(F.col("by").alias(x), F.col("ranks").alias(f"all_{x}")) for x in "ab"]
-    large = met.filter(F.greatest("n_a", "n_b") > SMALL_SET).select(*names).distinct().join(sides[0], "a").join(sides[1], "b")
+    small = met.filter(F.greatest("c_a", "c_b") <= SMALL_SET).filter(needed(F.size(both)) & (both[0] == F.col("rank"))).select(*names, F.size(both).alias("matching"))
+    sides = [groups.select(F.col("group").alias(x), F.col("ranks").alias(f"all_{x}")) for x in "ab"]
+    large = met.filter(F.greatest("c_a", "c_b") > SMALL_SET).select(*names).distinct().join(sides[0], "a").join(sides[1], "b")
     large = large.withColumn("matching", F.size(F.array_intersect("all_a", "all_b"))).filter(needed(F.col("matching"))).select(*small.columns)
-    pairs = work.write(small.unionByName(large), "candidates")
-    alike = F.col("n_a") + F.col("n_b") - F.col("matching")
-    pairs = pairs.select("a", "b", "m_a", "m_b", F.col("matching").cast("bigint").alias("matching"), F.round(F.col("matching") / alike, 6).alias("similarity"))
-    copies = sets.filter("m > 1").select("class", F.col("by").alias("member"), F.size("items").cast("bigint").alias("n"))
-    within = copies.join(copies.select("class", F.col("member").alias("other")), "class").filter("member < other").select(F.col("member").alias("a"), F.col("other").alias("b"), F.col("n").alias("matching"), F.lit(1.0).alias("similarity"))
-    members = sets.select("class", F.col("by").alias("member")).filter(F.col("m") > 1)
-    left = pairs.filter("m_a > 1").join(members, F.col("a") == F.col("class")).select(F.col("member").alias("a"), "b", "m_b", "matching", "similarity")
-    left = left.unionByName(pairs.filter("m_a = 1 and m_b > 1").select(*left.columns))
-    right = left.filter("m_b > 1").join(members, F.col("b") == F.col("class")).select("a", F.col("member").alias("b"), "matching", "similarity")
-    grown = right.unionByName(left.filter("m_b = 1").select(*right.columns)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "matching", "similarity")
-    return pairs.filter("m_a = 1 and m_b = 1").select(*grown.columns).unionByName(grown).unionByName(within)
+    within = groups.filter("k > 1 and size(ranks) > 0").select(F.col("group").alias("a"), F.col("group").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.size("ranks").alias("matching"))
+    return small.unionByName(large).unionByName(within.filter(needed(F.col("matching"))))
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, work: Workspace, name: str, tasks: int) -> DataFrame:
+    """Pairs (a, b, and more) of units as pairs of their members (unit, by), a < b.
+
+    With ``class`` and ``known``, members of one class and those whose class the other knows make no pair.  Members meet cell by cell, and a
+    row for two cells is all that is shuffled.
+    """
+    extra = [c for c in ("class", "known") if c in members.columns]
+    size = members.groupBy("unit").agg(F.ceil(F.count("*") / MEMBERS).alias("cells"))
+    dealt = members.join(size, "unit").withColumn("cell", F.pmod(F.xxhash64("by"), F.col("cells")).cast("int"))
+    cells = work.write(dealt.groupBy("unit", "cell").agg(F.collect_list(F.struct("by", *extra)).alias("held")), f"{name}-cells")
+    sides = [cells.select(F.col("unit").alias(x), F.col("cell").alias(f"cell_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").filter("a != b or cell_a <= cell_b").repartition(tasks, "a", "b", "cell_a", "cell_b")
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    met = met.withColumn("same", F.expr("a = b and cell_a = cell_b")).select("same", *rest, "held_b", F.explode("held_a").alias("x")).select("same", *rest, "x", F.explode("held_b").alias("y"))
+    met = met.filter("not same or x.by < y.by")
+    if extra:
+        met = met.filter("x.class != y.class and (x.known is null or not array_contains(x.known, y.class))")
+    return met.select(F.least("x.by", "y.by").alias("a"), F.greatest("x.by", "y.by").alias("b"), *rest)
 
 
 def closest_values(typed: DataFrame, column: str, known: DataFrame, value: str, most: int = 2, q: int = 2) -> DataFrame:
